@@ -16,6 +16,12 @@ MINOR_UNIT_DIVISORS = {"_brl": 100, "_usdc": 1_000_000, "_usd_cents": 100}
 
 # Decimal type used for per-row values that come out of a double division.
 FINE = T.DecimalType(30, 10)
+# Decimal type for aggregated money (keeps later additions inside 38 digits).
+MONEY = T.DecimalType(28, 10)
+
+
+def money(c) -> Column:
+    return col(c).cast(MONEY)
 
 
 def col(c) -> Column:
