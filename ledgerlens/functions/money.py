@@ -46,6 +46,12 @@ def safe_div(num, den) -> Column:
     return F.try_divide(dbl(num), dbl(den))
 
 
+def mean_exact(c) -> Column:
+    """Order-independent mean: exact DECIMAL sum, one double division."""
+    c = col(c)
+    return safe_div(F.sum(c), F.count(c))
+
+
 def r6(c) -> Column:
     """Round a derived ratio for presentation (percentile, mean, share...)."""
     return F.round(dbl(c), 6)

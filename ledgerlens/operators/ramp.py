@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from ..functions.calendar import in_window, period_start, week_ending_monday
 from ..functions.money import dbl, fine, nz, r6, safe_div
+from ..functions.quantiles import exact_percentiles
 
 # Direction labels that count as the on-ramp side.
 ONRAMP_DIRECTIONS = ("brl_to_usdc", "buy", "onramp")
@@ -149,13 +150,12 @@ def resample_volume(daily: DataFrame, freq: str, date: str = "date",
 def fx_stats(norm: DataFrame, freq: str = "D", ts: str = "created_at") -> DataFrame:
     """Mean, p10, p90 (linear interpolation) and count of the implied rate."""
     fx = implied_fx()
-    return (norm.where(F.col(ts).isNotNull())
-            .select(period_start(ts, freq).alias("period"), "side", fx.alias("fx"))
-            .groupBy("period", "side")
-            .agg(r6(F.avg("fx")).alias("fx_mean"),
-                 r6(F.percentile("fx", 0.1)).alias("fx_p10"),
-                 r6(F.percentile("fx", 0.9)).alias("fx_p90"),
-                 F.count("fx").alias("n")))
+    rows = (norm.where(F.col(ts).isNotNull())
+            .select(period_start(ts, freq).alias("period"), "side", fx.alias("fx")))
+    basic = rows.groupBy("period", "side").agg(r6(F.avg("fx")).alias("fx_mean"), F.count("fx").alias("n"))
+    pct = exact_percentiles(rows, "fx", {"fx_p10": 0.1, "fx_p90": 0.9}, ["period", "side"])
+    return basic.join(pct, ["period", "side"], "left").select(
+        "period", "side", "fx_mean", r6("fx_p10").alias("fx_p10"), r6("fx_p90").alias("fx_p90"), "n")
 
 
 def fx_rate_median(conv: DataFrame, start=None, end=None, default: float = 5.80,
@@ -163,7 +163,8 @@ def fx_rate_median(conv: DataFrame, start=None, end=None, default: float = 5.80,
     """Median on-ramp effective rate over the window; ``default`` when empty."""
     sel = scan_window(conv, "created_at", start, end,
                       (F.col("used") == F.lit(True)) & (F.col("direction") == "brl_to_usdc"))
-    return sel.agg(F.coalesce(r6(F.median(dbl(rate))), F.lit(default)).alias("fx_rate"))
+    med = exact_percentiles(sel, rate, {"m": 0.5})
+    return med.select(F.coalesce(r6("m"), F.lit(default)).alias("fx_rate"))
 
 
 def revenue_by_direction(norm: DataFrame, ts: str = "created_at") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import in_window
 from ..functions.money import MONEY, dbl, fine, money, nz, r6, safe_div
+from ..functions.quantiles import exact_percentiles
 
 # Fixed values.
 KYC_COST_USD = 2.07            # one-time verification cost per user
@@ -278,13 +279,15 @@ def activation_funnel(master: DataFrame, revenue_generating: DataFrame) -> DataF
 
 def acquisition_summary(master: DataFrame) -> DataFrame:
     tr = F.col("net_revenue_usd") > 0
-    return master.groupBy("acquisition_source").agg(
+    agg = master.groupBy("acquisition_source").agg(
         F.count("user_id").alias("n_users"),
         F.count_if(tr).alias("n_transacting"),
         r6(safe_div(F.sum("net_revenue_usd"), F.count("net_revenue_usd"))).alias("avg_net_revenue_usd"),
-        r6(F.median(dbl("net_revenue_usd"))).alias("median_net_revenue_usd"),
         dbl(F.sum("net_revenue_usd")).alias("total_net_revenue_usd"),
         r6(safe_div(F.count_if(tr), F.count(F.lit(1)))).alias("conversion_rate"))
+    med = exact_percentiles(master, "net_revenue_usd", {"median_net_revenue_usd": 0.5}, ["acquisition_source"])
+    return agg.join(med, ["acquisition_source"], "left").withColumn(
+        "median_net_revenue_usd", r6("median_net_revenue_usd"))
 
 
 def referral_code_summary(master: DataFrame) -> DataFrame:
