@@ -128,6 +128,24 @@ VIEWS: dict[str, str] = {
         FROM orders""",
 }
 
+VIEWS["card_invoices"] = """
+    SELECT 'INV-' || CAST(account_id AS VARCHAR) || '-' || period AS invoice_id, account_id, period,
+           CAST(CAST(n_transactions AS DECIMAL(20,0)) * 0.25 + tx_volume_usd * 0.002 AS DECIMAL(20,2)) AS invoice_total_usd,
+           CASE WHEN account_id % 2 = 0 THEN CAST(1000.00 AS DECIMAL(20,2)) ELSE CAST(0.00 AS DECIMAL(20,2)) END AS base_program_fee,
+           tx_volume_usd, applepay_volume_usd, n_active_cards, n_transactions, n_3ds, n_infinite_txs, n_platinum_txs,
+           n_applepay_txs, n_googlepay_txs, n_share_tokens, n_verify_domestic, n_verify_intl, n_chip_auth_intl, n_cross_border
+    FROM (SELECT l_suppkey AS account_id, strftime(l_shipdate, '%Y-%m') AS period, count(*) AS n_transactions,
+                 sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS tx_volume_usd, count(DISTINCT l_partkey) AS n_active_cards,
+                 count(*) FILTER (WHERE l_returnflag = 'R') AS n_3ds, count(*) FILTER (WHERE l_linenumber = 1) AS n_infinite_txs,
+                 count(*) FILTER (WHERE l_linenumber = 2) AS n_platinum_txs,
+                 count(*) FILTER (WHERE l_linestatus = 'F') AS n_applepay_txs,
+                 sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS applepay_volume_usd,
+                 count(*) FILTER (WHERE l_linestatus = 'O') AS n_googlepay_txs,
+                 count(*) FILTER (WHERE l_discount >= 0.05) AS n_share_tokens,
+                 count(*) FILTER (WHERE l_tax < 0.04) AS n_verify_domestic, count(*) FILTER (WHERE l_tax >= 0.04) AS n_verify_intl,
+                 count(*) FILTER (WHERE l_returnflag = 'A') AS n_chip_auth_intl, count(*) FILTER (WHERE l_quantity > 25) AS n_cross_border
+          FROM lineitem GROUP BY 1, 2)"""
+
 DEPS: dict[str, list[str]] = {
     "card_transactions": ["_lines"], "card_annual_fees": ["_lines"], "billing_charges": ["_lines"],
     "cashback_rewards": ["_lines"], "revenue_share_rewards": ["_lines"], "swap_transactions": ["_lines"],

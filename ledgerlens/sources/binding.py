@@ -254,3 +254,37 @@ class Bound:
             (-(F.col("o_totalprice").cast("decimal(18,2)") * F.expr("0.001"))).alias("amount"),
             merchant.alias("merchantName"),
             F.lit("USD").alias("currency"))
+
+    # --------------------------------------------------------------- invoices
+    @cached_property
+    def card_invoices(self) -> DataFrame:
+        """One invoice per (account = supplier, ship month): counts and volumes
+        are the cost drivers; the billed total is a fixed linear rule."""
+        li = self.table("lineitem")
+        price = F.col("l_extendedprice").cast("decimal(18,2)")
+        g = li.groupBy(F.col("l_suppkey").alias("account_id"),
+                       F.date_format("l_shipdate", "yyyy-MM").alias("period")).agg(
+            F.count(F.lit(1)).alias("n_transactions"),
+            F.sum(price).alias("tx_volume_usd"),
+            F.count_distinct("l_partkey").alias("n_active_cards"),
+            F.count_if(F.col("l_returnflag") == "R").alias("n_3ds"),
+            F.count_if(F.col("l_linenumber") == 1).alias("n_infinite_txs"),
+            F.count_if(F.col("l_linenumber") == 2).alias("n_platinum_txs"),
+            F.count_if(F.col("l_linestatus") == "F").alias("n_applepay_txs"),
+            F.sum(F.when(F.col("l_linestatus") == "F", price).otherwise(F.lit(0))).alias("applepay_volume_usd"),
+            F.count_if(F.col("l_linestatus") == "O").alias("n_googlepay_txs"),
+            F.count_if(F.col("l_discount") >= 0.05).alias("n_share_tokens"),
+            F.count_if(F.col("l_tax") < 0.04).alias("n_verify_domestic"),
+            F.count_if(F.col("l_tax") >= 0.04).alias("n_verify_intl"),
+            F.count_if(F.col("l_returnflag") == "A").alias("n_chip_auth_intl"),
+            F.count_if(F.col("l_quantity") > 25).alias("n_cross_border"))
+        return g.select(
+            F.concat(F.lit("INV-"), F.col("account_id").cast("string"), F.lit("-"), F.col("period")).alias("invoice_id"),
+            "account_id", "period",
+            (F.col("n_transactions").cast("decimal(20,0)") * F.expr("0.25")
+             + F.col("tx_volume_usd") * F.expr("0.002")).cast("decimal(20,2)").alias("invoice_total_usd"),
+            F.when(F.col("account_id") % 2 == 0, F.expr("CAST(1000.00 AS DECIMAL(20,2))"))
+             .otherwise(F.expr("CAST(0.00 AS DECIMAL(20,2))")).alias("base_program_fee"),
+            "tx_volume_usd", "applepay_volume_usd", "n_active_cards", "n_transactions", "n_3ds",
+            "n_infinite_txs", "n_platinum_txs", "n_applepay_txs", "n_googlepay_txs", "n_share_tokens",
+            "n_verify_domestic", "n_verify_intl", "n_chip_auth_intl", "n_cross_border")
