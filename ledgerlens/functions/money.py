@@ -85,3 +85,15 @@ def scale_minor_units(df: DataFrame, divisors: dict[str, int] | None = None) ->
         else:
             cols.append(_scale(F.col(name), div).alias(name))
     return df.select(*cols)
+
+
+def rnd(c, digits: int) -> Column:
+    """Half-up presentation rounding done on the decimal value, so the result
+    does not depend on the binary form of a double."""
+    return F.round(fine(c), digits).cast("double")
+
+
+def dlit(x) -> Column:
+    """An exact DECIMAL literal for a Python number (0.3 stays 0.3)."""
+    from decimal import Decimal
+    return F.lit(Decimal(str(x)))

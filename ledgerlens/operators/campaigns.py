@@ -14,15 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import dbl, fine, money, nz, safe_div
+from ..functions.money import dbl, fine, money, nz, rnd, safe_div
 from .users import KYC_COST_USD
 
 
-def rnd(c, digits: int) -> Column:
-    """Half-up presentation rounding done on the decimal value (engine independent)."""
-    return F.round(fine(c), digits).cast("double")
-
-
 # ------------------------------------------------------------------ spend
 def classify_merchant(merchant: Column) -> Column:
     """FACEBK prefix -> meta; 'google ads' anywhere (any case) -> google; else null (dropped)."""
