@@ -282,7 +282,7 @@ def _flat_thr(b: Bound):
 def _tier_sql(rows, mode: str) -> str:
     tv = _values(rows, ["tier", "lo", "hi", "fee"])
     rev = ("CAST(fee AS DECIMAL(12,6)) * coalesce(txs, 0)" if mode == "flat"
-           else "coalesce(s, 0) * CAST(fee AS DECIMAL(12,6)) / 100")
+           else "coalesce(j.s, 0) * CAST(fee AS DECIMAL(12,6)) / 100")
     return f"""
     WITH j AS (SELECT t.tier, count(c.amount_usd) AS txs, sum(c.amount_usd) AS s FROM card_spend c
                JOIN {tv} t ON c.amount_usd >= t.lo AND (t.hi IS NULL OR c.amount_usd < t.hi) GROUP BY 1)
