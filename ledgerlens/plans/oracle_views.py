@@ -194,6 +194,8 @@ def with_views(body: str, *names: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
     b = body.lstrip()
+    if b[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{b[14:]}"
     if b[:4].upper() == "WITH":
         return f"WITH {ctes},\n{b[4:]}"
     return f"WITH {ctes}\n{body}"
