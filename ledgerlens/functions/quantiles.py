@@ -5,12 +5,14 @@ aggregation buffer; for a global or heavily skewed group that is unbounded.
 Here the exact answer is found in two bounded steps:
 
 1. ``percentile_approx`` (Greenwald-Khanna, rank error <= n / accuracy) gives a
-   value band [lo, hi] around each wanted rank, and a count gives how many rows
-   fall below lo;
-2. only the rows inside the band (at most ~4 n / accuracy per group and
+   value band [lo, hi] around each wanted rank, and counts give how many rows
+   fall below lo (plus the nearest value on each side of the band);
+2. only the rows inside the bands (about 4 n / accuracy per group and
    percentile) are ranked exactly, then the two neighbours are interpolated.
 
-Everything stays a lazy plan: no collect, no driver loop.
+All requested fractions share one pass: one band aggregate, one statistics
+aggregate, one ranking of the (small) candidate rows.  Everything is a lazy
+plan: no collect, no driver loop.
 """
 
 from __future__ import annotations
@@ -22,61 +24,83 @@ DEFAULT_ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, ps: dict[str, float],
-                      keys: list[str] | tuple[str, ...] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                      keys: list[str] | tuple[str, ...] = (), accuracy: int = DEFAULT_ACCURACY,
+                      materialize: bool = False) -> DataFrame:
     """One row per group of ``keys`` with one DOUBLE column per entry of ``ps``
     (name -> fraction in [0, 1]).  Nulls are ignored; a group with no values
-    gives null."""
+    gives null.
+
+    The (keys, value) projection is read by several passes.  With
+    ``materialize`` it is checkpointed once to the shared checkpoint folder so
+    an expensive input plan (e.g. the per-user master) is not re-run per pass;
+    this runs one job when called, so it is left off for cheap inputs."""
     keys = list(keys)
+    names = list(ps)
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        base = base.checkpoint(eager=True)
     delta = 2.0 / accuracy
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for name, p in ps.items():
-        band = F.percentile_approx("_v", F.array(F.lit(max(0.0, p - delta)), F.lit(min(1.0, p + delta))),
-                                   accuracy)
-        aggs.append(band.alias(f"_b_{name}"))
-    bounds = base.groupBy(*keys).agg(*aggs)
-    out = bounds.select(*keys)
+    fracs = sorted({x for p in ps.values() for x in (max(0.0, p - delta), min(1.0, p + delta))})
+    idx = {x: i for i, x in enumerate(fracs)}
+    bounds = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                     F.percentile_approx("_v", F.array(*[F.lit(x) for x in fracs]), accuracy)
+                                     .alias("_b"))
+    bcols = [F.col("_n")]
+    for i, (name, p) in enumerate(ps.items()):
+        bcols += [F.col("_b")[idx[max(0.0, p - delta)]].alias(f"_lo{i}"),
+                  F.col("_b")[idx[min(1.0, p + delta)]].alias(f"_hi{i}")]
+    b = bounds.select(*keys, *bcols)
 
-    def join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    def join(a: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
         if keys:
-            return a.join(b, keys, how)
-        return a.crossJoin(F.broadcast(b)) if how == "inner" else a.join(F.broadcast(b), F.lit(True), how)
+            return a.join(other, keys, how)
+        # a global statistic is one row: broadcast it
+        return a.crossJoin(F.broadcast(other)) if how == "inner" else a.join(F.broadcast(other), F.lit(True), how)
 
-    for name, p in ps.items():
-        b = bounds.select(*keys, "_n", F.col(f"_b_{name}")[0].alias("_lo"), F.col(f"_b_{name}")[1].alias("_hi"))
-        j = join(base, b)
-        lo, hi = F.col("_v") < F.col("_lo"), F.col("_v") > F.col("_hi")
-        # Rows outside the band only contribute a count and their nearest value
-        # (one rank of slack on each side of the band).
-        stats = j.groupBy(*keys).agg(
-            F.first("_n").alias("_n"),
-            F.count_if(lo).alias("_below"), F.max(F.when(lo, F.col("_v"))).alias("_below_max"),
-            F.count_if(~lo & ~hi).alias("_ncand"), F.min(F.when(hi, F.col("_v"))).alias("_above_min"))
-        cand = j.where(~lo & ~hi)
-        w = Window.partitionBy(*keys).orderBy("_v") if keys else Window.orderBy("_v")
-        ranked = cand.select(*keys, "_v", (F.row_number().over(w) - 1).alias("_r"))
-        st = stats.withColumn("_pos", (F.col("_n") - 1).cast("double") * F.lit(float(p))).withColumn(
-            "_k", F.floor("_pos"))
-        r = join(ranked, st.select(*keys, "_below", "_k"))
-        g = F.col("_r") + F.col("_below")
-        pick = r.where((g == F.col("_k")) | (g == F.col("_k") + 1)).groupBy(*keys).agg(
-            F.max(F.when(g == F.col("_k"), F.col("_v"))).alias("_a0"),
-            F.max(F.when(g == F.col("_k") + 1, F.col("_v"))).alias("_b0"))
-        full = join(st, pick, "left")
+    j = join(base, b)
+    stats_aggs = [F.first("_n").alias("_n")]
+    for i in range(len(names)):
+        lo, hi = F.col("_v") < F.col(f"_lo{i}"), F.col("_v") > F.col(f"_hi{i}")
+        stats_aggs += [F.count_if(lo).alias(f"_below{i}"), F.max(F.when(lo, F.col("_v"))).alias(f"_bmax{i}"),
+                       F.count_if(~lo & ~hi).alias(f"_nc{i}"), F.min(F.when(hi, F.col("_v"))).alias(f"_amin{i}")]
+    stats = j.groupBy(*keys).agg(*stats_aggs)
+    # Candidate rows of every band, tagged with the band index, ranked per band.
+    tagged = j.select(*keys, "_v", F.explode(F.array(*[
+        F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i))
+        for i in range(len(names))])).alias("_i")).where(F.col("_i").isNotNull())
+    w = Window.partitionBy(*keys, "_i").orderBy("_v")
+    ranked = tagged.select(*keys, "_i", "_v", (F.row_number().over(w) - 1).alias("_r"))
+    # Global position of the wanted neighbours, per band.
+    st_rows = stats.select(*keys, "_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"_below{i}").alias("_below"),
+                 F.floor((F.col("_n") - 1).cast("double") * F.lit(float(p))).alias("_k"))
+        for i, p in enumerate(ps.values())])).alias("_s")).select(*keys, "_n", "_s.*")
+    r = ranked.join(st_rows, [*keys, "_i"])
+    g = F.col("_r") + F.col("_below")
+    pick = r.where((g == F.col("_k")) | (g == F.col("_k") + 1)).groupBy(*keys).agg(*[
+        agg for i in range(len(names)) for agg in (
+            F.max(F.when((F.col("_i") == i) & (g == F.col("_k")), F.col("_v"))).alias(f"_a{i}"),
+            F.max(F.when((F.col("_i") == i) & (g == F.col("_k") + 1), F.col("_v"))).alias(f"_c{i}"))])
+    full = join(stats, pick, "left")
+    out = []
+    for i, (name, p) in enumerate(ps.items()):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        k = F.floor(pos)
 
-        def at(rank: Column, found: Column) -> Column:
+        def at(rank: Column, found: Column, i=i) -> Column:
             return F.coalesce(found,
-                              F.when(rank == F.col("_below") - 1, F.col("_below_max")),
-                              F.when(rank == F.col("_below") + F.col("_ncand"), F.col("_above_min")))
+                              F.when(rank == F.col(f"_below{i}") - 1, F.col(f"_bmax{i}")),
+                              F.when(rank == F.col(f"_below{i}") + F.col(f"_nc{i}"), F.col(f"_amin{i}")))
 
-        a = at(F.col("_k"), F.col("_a0"))
-        bb = at(F.col("_k") + 1, F.col("_b0"))
-        frac = F.col("_pos") - F.col("_k")
-        val = F.when(F.col("_n") == 0, F.lit(None).cast("double")).when(frac == 0, a).otherwise(
-            a + frac * (bb - a))
-        out = join(out, full.select(*keys, val.alias(name)), "left")
-    return out
+        a = at(k, F.col(f"_a{i}"))
+        c = at(k + 1, F.col(f"_c{i}"))
+        frac = pos - k
+        out.append(F.when(F.col("_n") == 0, F.lit(None).cast("double")).when(frac == 0, a)
+                   .otherwise(a + frac * (c - a)).alias(name))
+    return full.select(*keys, *out)
 
 
 def exact_percentile_col(df: DataFrame, value: str, p: float, name: str = "pct",

@@ -19,7 +19,7 @@ def classify_segments(master: DataFrame, revenue: str = "net_revenue_usd",
                       days: str = "days_since_last_active") -> DataFrame:
     """Threshold = exact 80th percentile of revenue over all users (a one-row
     frame, broadcast); then a when-ladder on recency and revenue."""
-    thr = exact_percentiles(master, revenue, {"_thr": CHAMPION_PERCENTILE})
+    thr = exact_percentiles(master, revenue, {"_thr": CHAMPION_PERCENTILE}, materialize=True)
     j = master.crossJoin(F.broadcast(thr))
     d = F.col(days)
     rev = dbl(revenue)
@@ -46,7 +46,8 @@ def founders_vs_non_founders(master: DataFrame) -> DataFrame:
         F.count("user_id").alias("n_users"),
         r6(safe_div(F.sum("net_revenue_usd"), F.count("net_revenue_usd"))).alias("avg_net_revenue_usd"),
         r6(safe_div(F.count_if(tr), F.count(F.lit(1)))).alias("pct_transacting"))
-    med = exact_percentiles(master, "net_revenue_usd", {"median_net_revenue_usd": 0.5}, ["is_founder"])
+    med = exact_percentiles(master, "net_revenue_usd", {"median_net_revenue_usd": 0.5}, ["is_founder"],
+                           materialize=True)
     return g.join(med, ["is_founder"], "left").withColumn("median_net_revenue_usd", r6("median_net_revenue_usd"))
 
 

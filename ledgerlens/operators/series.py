@@ -160,18 +160,17 @@ def ordered_prefix(df: DataFrame, order_desc: str, tie: str, value: str, scale:
         pdf["_cum"] = pdf["_os"].astype("int64") + pdf["_u"].astype("int64").cumsum()
         yield pdf
 
+    tot = per.agg(F.sum("_n").alias("n_total"), F.sum("_s").alias("units_total"))
     return j.mapInPandas(local, schema).select(tie, F.col("_v").alias(value), "rank",
-                                              F.col("_cum").alias("cum_units"))
+                                              F.col("_cum").alias("cum_units")).crossJoin(F.broadcast(tot))
 
 
 def lorenz_curve(per_user: DataFrame, value: str = "net_revenue_usd", user: str = "user_id") -> DataFrame:
     """Users with positive value, descending: cumulative % of users and % of value."""
     pos = per_user.where(F.col(value) > 0).select(user, dbl(value).alias(value))
-    ranked = ordered_prefix(pos, value, user, value)
-    tot = pos.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.round(F.col(value) * 1_000_000).cast("long")).alias("_t"))
-    j = ranked.crossJoin(F.broadcast(tot))
-    return j.select(user, value, "rank", r6(dbl("rank") * 100 / dbl("_n")).alias("cum_users_pct"),
-                    r6(dbl("cum_units") * 100 / dbl("_t")).alias("cum_revenue_pct"))
+    j = ordered_prefix(pos, value, user, value)   # totals come from the partition summary
+    return j.select(user, value, "rank", r6(dbl("rank") * 100 / dbl("n_total")).alias("cum_users_pct"),
+                    r6(dbl("cum_units") * 100 / dbl("units_total")).alias("cum_revenue_pct"))
 
 
 def top_decile_share(per_user: DataFrame, value: str = "net_revenue_usd", user: str = "user_id") -> DataFrame:

@@ -285,7 +285,8 @@ def acquisition_summary(master: DataFrame) -> DataFrame:
         r6(safe_div(F.sum("net_revenue_usd"), F.count("net_revenue_usd"))).alias("avg_net_revenue_usd"),
         dbl(F.sum("net_revenue_usd")).alias("total_net_revenue_usd"),
         r6(safe_div(F.count_if(tr), F.count(F.lit(1)))).alias("conversion_rate"))
-    med = exact_percentiles(master, "net_revenue_usd", {"median_net_revenue_usd": 0.5}, ["acquisition_source"])
+    med = exact_percentiles(master, "net_revenue_usd", {"median_net_revenue_usd": 0.5}, ["acquisition_source"],
+                           materialize=True)
     return agg.join(med, ["acquisition_source"], "left").withColumn(
         "median_net_revenue_usd", r6("median_net_revenue_usd"))
 

@@ -25,6 +25,7 @@ def spend_daily(b: Bound):
 
 
 def campaigns(b: Bound):
+    """Campaign windows: a calendar-bounded table (broadcast side of the range joins)."""
     return cp.detect_campaigns(spend_daily(b), 7)
 
 
@@ -33,6 +34,7 @@ def signups_daily(b: Bound):
 
 
 def cohort(b: Bound):
+    """user -> campaign for users who signed up inside a window (at most one row per user)."""
     return cp.assign_cohort(b.app_users, campaigns(b))
 
 

@@ -14,6 +14,7 @@ from .user_plans import WIN, cohort_base, daily_activity, fx_rate, master, month
 
 
 def ltv(b: Bound):
+    """Long (user, month since signup) table (lazy; see ``master``)."""
     conv_m = users.conversion_monthly(conversions(b))
     ms = month_stream_frames(b, swaps_enabled=False)
     streams = {"card_fee_usd": ms["card_fee_usd"], "billing_usd": ms["billing_usd"],

@@ -42,6 +42,8 @@ def fx_rate(b: Bound):
 
 
 def master(b: Bound):
+    """One row per user.  Kept lazy: branches of one query that read it share
+    its shuffles through exchange reuse (measured faster than materialising)."""
     joined = users.join_revenue_streams(cohort_base(b), stream_frames(b))
     return users.time_signals(users.user_profit(joined, fx_rate(b)), AS_OF)
 
