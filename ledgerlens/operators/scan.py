@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.money import dbl, rnd
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ensure_python_package
 from .ramp import OFFRAMP_DIRECTIONS, ONRAMP_DIRECTIONS
 
 MICRO = 1_000_000
@@ -89,6 +89,7 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
     Order is (ts, id) so ties are stable; ``keys`` makes independent positions."""
     spark = conv.sparkSession
     ensure_checkpoint_dir(spark)
+    ensure_python_package(spark)
     keys = tuple(keys)
     ev = _events(conv, keys, ts, id_col, rate)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

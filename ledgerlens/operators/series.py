@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.money import dbl, fine, mean_exact, r6, rnd, safe_div
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ensure_python_package
 
 EWMA_SPAN = 7
 FORECAST_DAYS = 5
@@ -136,6 +136,7 @@ def ordered_prefix(df: DataFrame, order_desc: str, tie: str, value: str, scale:
     1/scale).  No task ever holds more than one partition."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    ensure_python_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = F.round(F.col(value) * F.lit(scale)).cast("long")
     base = df.select(tie, F.col(value).alias("_v"), units.alias("_u"))

@@ -33,9 +33,9 @@ def mask_user_id(c: Column | str, keep: int = 8) -> Column:
 
 
 def whole_days_between(later: Column, earlier: Column) -> Column:
-    """Elapsed whole days (floor of 24h periods)."""
-    secs = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return F.floor(secs / F.lit(86_400_000_000)).cast("bigint")
+    """Elapsed whole 24h periods (clipped at 0 by the callers); computed on
+    wall-clock (NTZ) values so the session time zone cannot shift it."""
+    return F.timestamp_diff("DAY", earlier.cast("timestamp_ntz"), later.cast("timestamp_ntz")).cast("bigint")
 
 
 def time_signals(df: DataFrame, as_of: str, last_active: str = "last_active_at",

@@ -45,4 +45,9 @@ def load_all() -> dict[str, Entry]:
 
 def runner(key: str) -> Callable[[SparkSession, str], DataFrame]:
     entry = load_all()[key]
-    return lambda spark, sf_dir: entry.build(Bound(spark, sf_dir))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..session import ensure_python_package
+        ensure_python_package(spark)
+        return entry.build(Bound(spark, sf_dir))
+    return run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,6 +37,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ensure_python_package(spark)
     return spark
 
 
@@ -58,3 +60,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def ensure_python_package(spark: SparkSession) -> None:
+    """Make ``ledgerlens`` importable in the Python workers (Arrow/pandas steps
+    reference its helpers): zip the package once and ``addPyFile`` it, the
+    same mechanism as ``--py-files``.  Done once per SparkContext."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerlens_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="ledgerlens-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "ledgerlens"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                  base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    sc._ledgerlens_shipped = True
