@@ -238,17 +238,20 @@ def user_behavior(norm: DataFrame, user: str = "user_id") -> DataFrame:
 
 def new_vs_returning(norm: DataFrame, ts: str = "created_at", user: str = "user_id") -> DataFrame:
     """Per month: conversions in the user's first month vs later months
-    (counts rows, as the reference does), plus distinct-user counts."""
+    (counts rows, as the reference does), plus distinct-user counts.
+
+    Rows are first combined to (user, month, n) map-side, so the per-user
+    window only sees a user's months (bounded by the calendar), never a hot
+    user's raw rows."""
     m = F.trunc(F.to_date(ts), "month")
-    w = Window.partitionBy(user)
-    t = norm.select(F.col(user).alias("user_id"), m.alias("month")).withColumn(
-        "first_month", F.min("month").over(w))
+    um = norm.groupBy(F.col(user).alias("user_id"), m.alias("month")).agg(F.count(F.lit(1)).alias("_n"))
+    t = um.withColumn("first_month", F.min("month").over(Window.partitionBy("user_id")))
     new = F.col("month") == F.col("first_month")
     return (t.groupBy("month")
-            .agg(F.count_if(new).alias("new_users"),
-                 F.count_if(~new).alias("returning_users"),
-                 F.count_distinct(F.when(new, F.col("user_id"))).alias("new_distinct_users"),
-                 F.count_distinct(F.when(~new, F.col("user_id"))).alias("returning_distinct_users")))
+            .agg(F.sum(F.when(new, F.col("_n")).otherwise(F.lit(0))).alias("new_users"),
+                 F.sum(F.when(~new, F.col("_n")).otherwise(F.lit(0))).alias("returning_users"),
+                 F.count_if(new).alias("new_distinct_users"),
+                 F.count_if(~new).alias("returning_distinct_users")))
 
 
 def top_users(norm: DataFrame, n: int = 20, by: str = "volume_brl", user: str = "user_id") -> DataFrame:
