@@ -338,7 +338,7 @@ def campaign_totals(roi: DataFrame, profit: DataFrame | None = None) -> DataFram
 
 def weighted_cac(roi: DataFrame) -> DataFrame:
     return roi.agg(rnd(safe_div(F.sum(fine("total_spend_usd")),
-                                F.nullif(F.sum(fine("incremental_users_est")), F.lit(0))), 2).alias("weighted_cac"))
+                                F.nullif(F.sum(fine("incremental_users_est")), F.lit(0))), 6).alias("weighted_cac"))
 
 
 def campaign_cac_active(summary: DataFrame, campaigns: DataFrame, kyc_users: DataFrame,

@@ -532,7 +532,7 @@ def _campaign_totals(b: Bound):
 
 @query("weighted_cac", with_views(
     "SELECT " + _r("CAST(sum(CAST(total_spend_usd AS DECIMAL(30,10))) AS DOUBLE) / "
-                   "NULLIF(CAST(sum(CAST(incremental_users_est AS DECIMAL(30,10))) AS DOUBLE), 0)", 2)
+                   "NULLIF(CAST(sum(CAST(incremental_users_est AS DECIMAL(30,10))) AS DOUBLE), 0)", 6)
     + " AS weighted_cac FROM roi", "roi"))
 def _weighted_cac(b: Bound):
     return cp.weighted_cac(roi(b))
