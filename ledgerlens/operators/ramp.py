@@ -43,10 +43,12 @@ def scan_settled_outflows(transfers: DataFrame, start=None, end=None, status: st
 
 def scan_card_spend(card_tx: DataFrame, start: str | None = None, end: str | None = None,
                     ts: str = "posted_at", amount_cents: str = "amount_usd_cents",
-                    status: str = "status") -> DataFrame:
-    """Completed spend with a positive amount, cents -> USD, no user id."""
+                    status: str = "status", kind: str = "transaction_type") -> DataFrame:
+    """Completed spend rows (not refunds) with a post time and a positive
+    amount, cents -> USD, no user id; optional inclusive day bounds."""
     return (scan_window(card_tx, ts, start, end,
-                        (F.col(status) == "completed") & (F.col(amount_cents) > 0))
+                        (F.col(status) == "completed") & (F.col(kind) == "spend") & F.col(ts).isNotNull()
+                        & (F.col(amount_cents) > 0))
             .select(F.col(ts).alias("posted_at"),
                     (F.col(amount_cents).cast("decimal(20,0)") * F.expr("0.01")).alias("amount_usd")))
 

@@ -65,7 +65,8 @@ def card_spend(b: Bound):
 register("card_spend", """
     SELECT posted_at, CAST(amount_usd_cents AS DECIMAL(20,0)) * 0.01 AS amount_usd FROM card_transactions
     WHERE posted_at >= TIMESTAMP '1995-01-01' AND posted_at < TIMESTAMP '2002-01-01'
-      AND status = 'completed' AND amount_usd_cents > 0""", ["card_transactions"])
+      AND status = 'completed' AND transaction_type = 'spend' AND posted_at IS NOT NULL
+      AND amount_usd_cents > 0""", ["card_transactions"])
 
 
 # ------------------------------------------------------------------ scans
