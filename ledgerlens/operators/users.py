@@ -362,6 +362,12 @@ def active_cards_summary(cards: DataFrame) -> DataFrame:
             .select(F.coalesce(F.col("variant"), F.lit("total")).alias("variant"), "n_cards"))
 
 
+def referral_code_options(registrations: DataFrame, referral_codes: DataFrame) -> DataFrame:
+    """Distinct codes that have attributed users (codes are a small dimension: broadcast)."""
+    rc = F.broadcast(referral_codes.select("id", "code"))
+    return registrations.join(rc, F.col("attributed_referral_code_id") == F.col("id")).select("code").distinct()
+
+
 def cumulative_profit_by_source(master: DataFrame) -> DataFrame:
     """Daily net revenue by signup day and source, running sum per source
     (the daily series is small: one row per (day, source))."""

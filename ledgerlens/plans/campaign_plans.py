@@ -606,5 +606,4 @@ def _channels(b: Bound):
     SELECT DISTINCT rc.code FROM referral_codes rc JOIN user_registrations ur ON ur.attributed_referral_code_id = rc.id""",
                                            "referral_codes", "user_registrations"))
 def _ref_options(b: Bound):
-    rc = F.broadcast(b.referral_codes)
-    return b.user_registrations.join(rc, F.col("attributed_referral_code_id") == F.col("id")).select("code").distinct()
+    return users.referral_code_options(b.user_registrations, b.referral_codes)
