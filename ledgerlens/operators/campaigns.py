@@ -76,14 +76,22 @@ def detect_campaigns(spend_daily: DataFrame, gap_days: int = 7, keys: tuple[str,
                     "start", "end", "total_spend_usd")
 
 
+def campaign_days(campaigns: DataFrame) -> DataFrame:
+    """(day, campaign_id, start) for every day inside a window; where windows
+    overlap the later window wins.  Its size is the number of campaign days
+    (bounded by the calendar), so it is the broadcast side of day equi-joins."""
+    d = campaigns.select("campaign_id", "start",
+                         F.explode(F.sequence("start", "end", F.expr("INTERVAL 1 DAY"))).alias("_day"))
+    return d.groupBy("_day").agg(F.max_by(F.struct("campaign_id", "start"), "start").alias("_c")).select(
+        "_day", F.col("_c.campaign_id").alias("campaign_id"), F.col("_c.start").alias("start"))
+
+
 def tag_campaign_window(days: DataFrame, campaigns: DataFrame, date: str = "date") -> DataFrame:
-    """Range join day -> campaign (start <= day <= end); later window wins;
-    untagged days get is_campaign = false and an empty id."""
-    dd = days.select(F.col(date).alias("_d")).distinct()
-    c = F.broadcast(campaigns.select("campaign_id", "start", "end"))
-    tags = (dd.join(c, (F.col("_d") >= F.col("start")) & (F.col("_d") <= F.col("end")))
-            .groupBy("_d").agg(F.max_by("campaign_id", "start").alias("_cid")))
-    j = days.join(tags, days[date] == tags["_d"], "left")
+    """Day -> campaign (start <= day <= end), later window wins; untagged days
+    get is_campaign = false and an empty id.  Equi-join on the day against the
+    broadcast campaign-day table (no nested-loop range join)."""
+    cd = F.broadcast(campaign_days(campaigns).select("_day", F.col("campaign_id").alias("_cid")))
+    j = days.join(cd, days[date] == cd["_day"], "left")
     return j.select(*[days[c] for c in days.columns], F.col("_cid").isNotNull().alias("is_campaign"),
                     F.coalesce(F.col("_cid"), F.lit("")).alias("campaign_id"))
 
@@ -104,14 +112,14 @@ def daily_context(signups_daily: DataFrame, spend_daily: DataFrame, campaigns: D
 # --------------------------------------------------------------- cohorts
 def assign_cohort(users: DataFrame, campaigns: DataFrame, ts: str = "created_at",
                   referral_users: DataFrame | None = None) -> DataFrame:
-    """(user_id, campaign_id, start) for users who signed up inside a window.
-    The optional referral filter is a semi join added only when a code is given."""
-    c = F.broadcast(campaigns.select("campaign_id", "start", "end"))
-    d = F.to_date(F.col(ts))
-    u = users.select("user_id", ts)
+    """(user_id, campaign_id, start) for users who signed up inside a window:
+    a hash join on the signup day against the broadcast campaign-day table,
+    so the cost is linear in users.  The optional referral filter is a semi
+    join added only when a code is given."""
+    u = users.select("user_id", F.to_date(F.col(ts)).alias("_day"))
     if referral_users is not None:
         u = u.join(referral_users.select("user_id"), "user_id", "left_semi")
-    return u.join(c, (d >= F.col("start")) & (d <= F.col("end"))).select("user_id", "campaign_id", "start")
+    return u.join(F.broadcast(campaign_days(campaigns)), "_day").select("user_id", "campaign_id", "start")
 
 
 def cohort_semi_join(facts: DataFrame, cohort: DataFrame, user: str = "user_id") -> DataFrame:
