@@ -170,11 +170,13 @@ def fx_rate_median(conv: DataFrame, start=None, end=None, default: float = 5.80,
 
 
 def revenue_by_direction(norm: DataFrame, ts: str = "created_at") -> DataFrame:
-    return (norm.groupBy(F.trunc(F.to_date(ts), "month").alias("month"), "side")
+    """Monthly fee, spread, count and total revenue (BRL) by side."""
+    return (norm.where(F.col(ts).isNotNull())
+            .groupBy(F.trunc(F.to_date(ts), "month").alias("month"), "side")
             .agg(dbl(F.sum(nz("fee_amount_brl"))).alias("fee_brl"),
                  dbl(F.sum(nz("spread_revenue_brl"))).alias("spread_brl"),
-                 F.count(F.lit(1)).alias("n_conversions"),
-                 dbl(F.sum("revenue_brl")).alias("total_brl")))
+                 F.count("direction").alias("n_conversions"),
+                 dbl(F.sum(nz("fee_amount_brl")) + F.sum(nz("spread_revenue_brl"))).alias("total_revenue_brl")))
 
 
 def revenue_monthly(conv: DataFrame, ts: str = "created_at", rate: str = "exchange_rate") -> DataFrame:
@@ -262,7 +264,7 @@ def top_users(norm: DataFrame, n: int = 20, by: str = "volume_brl", user: str =
         dbl(F.sum("volume_brl")).alias("volume_brl"),
         dbl(F.sum("volume_usdc")).alias("volume_usdc"),
         dbl(F.sum("revenue_brl")).alias("revenue_brl"),
-        F.count(F.lit(1)).alias("n_conversions"))
+        F.count("direction").alias("n_conversions"))
     return per.orderBy(F.col(by).desc(), F.col(user).asc()).limit(n)
 
 

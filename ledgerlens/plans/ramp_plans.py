@@ -258,8 +258,9 @@ def _fx_median(b: Bound):
     SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, side,
            CAST(sum(coalesce(fee_amount_brl, 0)) AS DOUBLE) AS fee_brl,
            CAST(sum(coalesce(spread_revenue_brl, 0)) AS DOUBLE) AS spread_brl,
-           count(*) AS n_conversions, CAST(sum(revenue_brl) AS DOUBLE) AS total_brl
-    FROM norm_used GROUP BY 1, 2""", "norm_used"))
+           count(direction) AS n_conversions,
+           CAST(sum(coalesce(fee_amount_brl, 0)) + sum(coalesce(spread_revenue_brl, 0)) AS DOUBLE) AS total_revenue_brl
+    FROM norm_used WHERE created_at IS NOT NULL GROUP BY 1, 2""", "norm_used"))
 def _rev_dir(b: Bound):
     return ramp.revenue_by_direction(normalized(b))
 
@@ -352,7 +353,7 @@ def _nvr(b: Bound):
 
 @query("top_users", with_views("""
     SELECT user_id, CAST(sum(volume_brl) AS DOUBLE) AS volume_brl, CAST(sum(volume_usdc) AS DOUBLE) AS volume_usdc,
-           CAST(sum(revenue_brl) AS DOUBLE) AS revenue_brl, count(*) AS n_conversions
+           CAST(sum(revenue_brl) AS DOUBLE) AS revenue_brl, count(direction) AS n_conversions
     FROM norm_used GROUP BY user_id ORDER BY sum(volume_brl) DESC, user_id LIMIT 20""", "norm_used"))
 def _top_users(b: Bound):
     return ramp.top_users(normalized(b), 20, "volume_brl")
