@@ -126,7 +126,7 @@ def cohort_summary(ltv: DataFrame, users_base: DataFrame | None = None) -> DataF
         "months_observed",
         r6(safe_div("g", F.nullif(F.col("n_active_users"), F.lit(0)))).alias("avg_gross_per_user_usd"),
         r6(safe_div("n", F.nullif(F.col("n_active_users"), F.lit(0)))).alias("avg_net_per_user_usd"),
-        r6(safe_div(F.col("g") - F.col("n"), F.col("g"))).alias("cost_load_pct"))
+        r6(safe_div((F.col("g") - F.col("n")) * 100, F.nullif(F.col("g"), F.lit(0)))).alias("cost_load_pct"))
 
 
 def cohort_avg_dau(activity: DataFrame, base: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def _ret_avg(b: Bound):
            months_observed,
            round(CAST(g AS DOUBLE) / CAST(NULLIF(a.n_active_users, 0) AS DOUBLE), 6) AS avg_gross_per_user_usd,
            round(CAST(n AS DOUBLE) / CAST(NULLIF(a.n_active_users, 0) AS DOUBLE), 6) AS avg_net_per_user_usd,
-           round(CAST(g - n AS DOUBLE) / NULLIF(CAST(g AS DOUBLE), 0), 6) AS cost_load_pct
+           round(CAST((g - n) * 100 AS DOUBLE) / NULLIF(CAST(g AS DOUBLE), 0), 6) AS cost_load_pct
     FROM (SELECT signup_month, count(DISTINCT user_id) AS n_users, CAST(sum(gross_revenue_usd) AS DECIMAL(28,10)) AS g,
                  CAST(sum(revenue_usd) AS DECIMAL(28,10)) AS n, CAST(sum(card_fee_usd) AS DECIMAL(28,10)) AS cf,
                  CAST(sum(billing_usd) AS DECIMAL(28,10)) AS bl, CAST(sum(swap_fee_usd) AS DECIMAL(28,10)) AS sw,
