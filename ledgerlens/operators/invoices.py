@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.money import dbl, dlit, fine, money, nz, r6, rnd, safe_div
+from ..functions.money import dbl, dlit, fine, money, nz, rnd, safe_div
 
 # Unit prices of the card-processing rate card (USD).
 RATE_CARD = {

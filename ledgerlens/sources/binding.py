@@ -36,19 +36,8 @@ class Bound:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._memo: dict[str, DataFrame] = {}
         self._tables: dict[str, DataFrame] = {}
 
-    def materialized(self, name: str, build) -> DataFrame:
-        """Build a frame that several branches of one query reuse and write it
-        once to the shared checkpoint folder (reliable, lineage cut), instead
-        of recomputing its joins per branch."""
-        if name not in self._memo:
-            from ..session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(self.spark)
-            self._memo[name] = build().checkpoint(eager=True)
-        return self._memo[name]
-
     def table(self, name: str) -> DataFrame:
         """One DataFrame per base table and binding: listing files and reading
         parquet footers happens once, not once per derived view."""
