@@ -418,6 +418,27 @@ def _daily_context(b: Bound):
     return cp.daily_context(signups_daily(b), spend_daily(b), campaigns(b), 14)
 
 
+def referral_users(b: Bound, code: str):
+    """Users attributed to a referral code (the optional cohort filter)."""
+    rc = b.referral_codes.where(F.col("code") == code).select(F.col("id").alias("attributed_referral_code_id"))
+    return b.user_registrations.join(F.broadcast(rc), "attributed_referral_code_id", "left_semi").select("user_id")
+
+
+@query("cohort_semi_join_referral", with_views("""
+    SELECT c.campaign_id, q.id FROM conversion_quotes q
+    JOIN (SELECT u.user_id, c.campaign_id, c.start FROM app_users u JOIN campaigns c
+            ON CAST(u.created_at AS DATE) >= c.start AND CAST(u.created_at AS DATE) <= c."end"
+          WHERE u.user_id IN (SELECT ur.user_id FROM user_registrations ur
+                              JOIN referral_codes rc ON rc.id = ur.attributed_referral_code_id
+                              WHERE rc.code = 'NATION_1')) c ON c.user_id = q.user_id
+    WHERE q.used = TRUE AND q.created_at >= c.start""", "conversion_quotes", "app_users", "campaigns",
+                                                "user_registrations", "referral_codes"))
+def _semi_referral(b: Bound):
+    c = cp.assign_cohort(b.app_users, campaigns(b), referral_users=referral_users(b, "NATION_1"))
+    j = cp.cohort_semi_join(b.conversion_quotes.where(F.col("used")), c)
+    return j.where(F.col("created_at") >= F.col("start")).select("campaign_id", "id")
+
+
 @query("cohort_semi_join", with_views("""
     SELECT c.campaign_id, q.id FROM conversion_quotes q JOIN cohort c ON c.user_id = q.user_id
     WHERE q.used = TRUE AND q.created_at >= c.start""", "conversion_quotes", "cohort"))
