@@ -25,7 +25,7 @@ DEFAULT_ACCURACY = 10_000
 
 def exact_percentiles(df: DataFrame, value: str | Column, ps: dict[str, float],
                       keys: list[str] | tuple[str, ...] = (), accuracy: int = DEFAULT_ACCURACY,
-                      materialize: bool = False) -> DataFrame:
+                      materialize: bool = False, exact: bool = True) -> DataFrame:
     """One row per group of ``keys`` with one DOUBLE column per entry of ``ps``
     (name -> fraction in [0, 1]).  Nulls are ignored; a group with no values
     gives null.
@@ -33,11 +33,16 @@ def exact_percentiles(df: DataFrame, value: str | Column, ps: dict[str, float],
     The (keys, value) projection is read by several passes.  With
     ``materialize`` it is checkpointed once to the shared checkpoint folder so
     an expensive input plan (e.g. the per-user master) is not re-run per pass;
-    this runs one job when called, so it is left off for cheap inputs."""
+    this runs one job when called, so it is left off for cheap inputs.
+    ``exact=False`` returns ``percentile_approx`` values instead (one pass)."""
     keys = list(keys)
     names = list(ps)
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+    if exact is False:
+        # Approximate mode: one map-side-combined sketch per group.
+        return base.groupBy(*keys).agg(*[F.percentile_approx("_v", F.lit(float(p)), accuracy).cast("double")
+                                         .alias(n) for n, p in ps.items()])
     if materialize:
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)

@@ -13,7 +13,7 @@ from .users import DEFAULT_INVOICE_USD, KYC_COST_USD
 
 def user_monthly_ltv(conv_monthly: DataFrame, streams: dict[str, DataFrame], card_monthly: DataFrame,
                      base: DataFrame, fx: DataFrame, invoice_total: float = DEFAULT_INVOICE_USD,
-                     kyc_cost: float = KYC_COST_USD) -> DataFrame:
+                     kyc_cost: float = KYC_COST_USD, months: str = "conversions") -> DataFrame:
     """Long table per (user, month since signup): net and gross revenue, the
     streams and running net / gross.
 
@@ -21,12 +21,23 @@ def user_monthly_ltv(conv_monthly: DataFrame, streams: dict[str, DataFrame], car
     streams: name -> (user_id, month, value) for card_fee_usd, billing_usd,
     swap_fee_usd, cashback_usd, revenue_share_usd; card_monthly: (user_id,
     month, n_card_txns); base: (user_id, signup_date, acquisition_source);
-    fx: one row with fx_rate.  Months come from the conversion stream (the
-    reference's rule); the KYC cost is charged once in the first active month.
+    fx: one row with fx_rate.  ``months="conversions"`` keeps the months that
+    have a conversion (the original rule: card-only months are not counted);
+    ``months="all_streams"`` keeps every (user, month) present in any stream.
+    The KYC cost is charged once in the first active month.
     """
+    if months == "all_streams":
+        keys = [conv_monthly.select("user_id", "month")] + [s.select("user_id", "month") for s in streams.values()]
+        keys.append(card_monthly.select("user_id", "month"))
+        allm = keys[0]
+        for k in keys[1:]:
+            allm = allm.unionByName(k)
+        conv_monthly = allm.distinct().join(conv_monthly, ["user_id", "month"], "left")
+    elif months != "conversions":
+        raise ValueError("months must be 'conversions' or 'all_streams'")
     m = conv_monthly.crossJoin(F.broadcast(fx.select("fx_rate"))).select(
         "user_id", "month",
-        money(fine(safe_div("conversion_revenue_brl", "fx_rate")) + nz("conversion_revenue_usdc")).alias("conv_usd"))
+        money(nz(fine(safe_div("conversion_revenue_brl", "fx_rate"))) + nz("conversion_revenue_usdc")).alias("conv_usd"))
     for name in ("card_fee_usd", "billing_usd", "swap_fee_usd", "cashback_usd", "revenue_share_usd"):
         s = streams[name].select("user_id", "month", F.col("value").alias(name))
         m = m.join(s, ["user_id", "month"], "left")

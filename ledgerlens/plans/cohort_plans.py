@@ -13,7 +13,7 @@ from .registry import query
 from .user_plans import WIN, cohort_base, daily_activity, fx_rate, master, month_stream_frames
 
 
-def ltv(b: Bound):
+def ltv(b: Bound, months: str = "conversions"):
     """Long (user, month since signup) table (lazy; see ``master``)."""
     conv_m = users.conversion_monthly(conversions(b))
     ms = month_stream_frames(b, swaps_enabled=False)
@@ -21,7 +21,7 @@ def ltv(b: Bound):
                "swap_fee_usd": ms["swap_fee_usd"], "cashback_usd": ms["cashback_usd"],
                "revenue_share_usd": ms["revenue_share_usd"]}
     card_m = ms["n_card_txns"].withColumnRenamed("value", "n_card_txns")
-    return cohorts.user_monthly_ltv(conv_m, streams, card_m, cohort_base(b), fx_rate(b))
+    return cohorts.user_monthly_ltv(conv_m, streams, card_m, cohort_base(b), fx_rate(b), months=months)
 
 
 def _dec_stream(name: str, table: str, expr: str, ts: str, pred: str, user: str = "user_id") -> str:
@@ -81,6 +81,46 @@ register("ltv", """
            CAST(sum(gross_revenue_usd) OVER (PARTITION BY user_id ORDER BY months_since_signup
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,10)) AS cum_gross_ltv
     FROM r""", ["lt_conv", "lt_cf", "lt_bl", "lt_cb", "lt_rs", "lt_cc", "fx", "cohort_base"])
+register("lt_keys", f"""
+    SELECT user_id, month FROM lt_conv UNION SELECT user_id, month FROM lt_cf UNION SELECT user_id, month FROM lt_bl
+    UNION SELECT user_id, month FROM lt_cb UNION SELECT user_id, month FROM lt_rs UNION SELECT user_id, month FROM lt_cc
+    UNION SELECT user_id, CAST(date_trunc('month', "timestamp") AS DATE) FROM swap_transactions WHERE {WIN.format(c='"timestamp"')}""",
+         ["lt_conv", "lt_cf", "lt_bl", "lt_cb", "lt_rs", "lt_cc", "swap_transactions"])
+register("ltv_all", """
+    WITH cpt AS (SELECT 6693.58 / greatest(coalesce(CAST(sum(n_card_txns) AS DOUBLE), 0.0), 1.0) AS c FROM lt_cc),
+    m AS (
+      SELECT c.user_id, c.month,
+             CAST(coalesce(CAST(CAST(c.brl AS DOUBLE) / fx.fx_rate AS DECIMAL(30,10)), 0) + coalesce(c.usdc, 0) AS DECIMAL(28,10)) AS conv_usd,
+             CAST(coalesce(cf.card_fee_usd, 0) AS DECIMAL(28,10)) AS card_fee_usd,
+             CAST(coalesce(bl.billing_usd, 0) AS DECIMAL(28,10)) AS billing_usd,
+             CAST(0 AS DECIMAL(28,10)) AS swap_fee_usd,
+             CAST(coalesce(cb.cashback_usd, 0) AS DECIMAL(28,10)) AS cashback_usd,
+             CAST(coalesce(rs.revenue_share_usd, 0) AS DECIMAL(28,10)) AS revenue_share_usd,
+             CAST(coalesce(CAST(CAST(cc.n_card_txns AS DOUBLE) * cpt.c AS DECIMAL(30,10)), 0) AS DECIMAL(28,10)) AS card_cost_usd
+      FROM (SELECT k.user_id, k.month, lc.brl, lc.usdc FROM lt_keys k LEFT JOIN lt_conv lc
+            ON lc.user_id = k.user_id AND lc.month = k.month) c CROSS JOIN fx CROSS JOIN cpt
+      LEFT JOIN lt_cf cf ON cf.user_id = c.user_id AND cf.month = c.month
+      LEFT JOIN lt_bl bl ON bl.user_id = c.user_id AND bl.month = c.month
+      LEFT JOIN lt_cb cb ON cb.user_id = c.user_id AND cb.month = c.month
+      LEFT JOIN lt_rs rs ON rs.user_id = c.user_id AND rs.month = c.month
+      LEFT JOIN lt_cc cc ON cc.user_id = c.user_id AND cc.month = c.month),
+    g AS (SELECT *, conv_usd + card_fee_usd + billing_usd + swap_fee_usd AS gross_revenue_usd FROM m),
+    n AS (SELECT *, gross_revenue_usd - cashback_usd - revenue_share_usd - card_cost_usd AS net FROM g),
+    j AS (SELECT n.*, CAST(date_trunc('month', b.signup_date) AS DATE) AS signup_month, b.acquisition_source,
+                 CAST((year(n.month) * 12 + month(n.month))
+                      - (year(b.signup_date) * 12 + month(b.signup_date)) AS BIGINT) AS months_since_signup
+          FROM n JOIN cohort_base b ON b.user_id = n.user_id),
+    k AS (SELECT *, months_since_signup = min(months_since_signup) OVER (PARTITION BY user_id) AS kyc_deducted
+          FROM j WHERE months_since_signup >= 0),
+    r AS (SELECT *, CASE WHEN kyc_deducted THEN CAST(net - CAST(2.07 AS DECIMAL(10,2)) AS DECIMAL(28,10))
+                         ELSE CAST(net AS DECIMAL(28,10)) END AS revenue_usd FROM k)
+    SELECT user_id, signup_month, acquisition_source, months_since_signup, kyc_deducted, revenue_usd,
+           CAST(gross_revenue_usd AS DECIMAL(28,10)) AS gross_revenue_usd, card_fee_usd, billing_usd, swap_fee_usd,
+           CAST(sum(revenue_usd) OVER (PARTITION BY user_id ORDER BY months_since_signup
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,10)) AS cum_ltv,
+           CAST(sum(gross_revenue_usd) OVER (PARTITION BY user_id ORDER BY months_since_signup
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,10)) AS cum_gross_ltv
+    FROM r""", ["lt_keys", "lt_conv", "lt_cf", "lt_bl", "lt_cb", "lt_rs", "lt_cc", "fx", "cohort_base"])
 register("ltv_active", "SELECT signup_month, count(DISTINCT user_id) AS n_active_users FROM ltv GROUP BY 1",
          ["ltv"])
 
@@ -98,6 +138,16 @@ def _ltv(b: Bound):
                          *[dbl(c).alias(c) for c in ("revenue_usd", "gross_revenue_usd", "cum_ltv", "cum_gross_ltv")])
 
 
+@query("user_monthly_ltv_all_streams", with_views("""
+    SELECT user_id, signup_month, acquisition_source, months_since_signup,
+           CAST(revenue_usd AS DOUBLE) AS revenue_usd, CAST(gross_revenue_usd AS DOUBLE) AS gross_revenue_usd,
+           CAST(cum_ltv AS DOUBLE) AS cum_ltv, CAST(cum_gross_ltv AS DOUBLE) AS cum_gross_ltv FROM ltv_all""", "ltv_all"))
+def _ltv_all(b: Bound):
+    return ltv(b, "all_streams").select("user_id", "signup_month", "acquisition_source", "months_since_signup",
+                                        *[dbl(c).alias(c) for c in ("revenue_usd", "gross_revenue_usd", "cum_ltv",
+                                                                    "cum_gross_ltv")])
+
+
 @query("kyc_first_month_deduction", _lq(
     "SELECT user_id, months_since_signup, kyc_deducted FROM ltv"))
 def _kyc(b: Bound):

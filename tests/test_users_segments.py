@@ -99,3 +99,29 @@ def test_cac_breakeven(spark):
     r = {x.acquisition_source: x for x in cohorts.cac_breakeven(df, 10.0).collect()}
     assert r["a"].payback_months == 1 and r["a"].ltv_at_month_12 == pytest.approx(30.0)
     assert r["b"].payback_months is None
+
+
+def test_ltv_all_streams_months(spark):
+    conv_m = spark.createDataFrame([("u0", dt.date(2026, 1, 1), D("58"), D("0"))],
+                                   "user_id string, month date, conversion_revenue_brl decimal(28,10), "
+                                   "conversion_revenue_usdc decimal(28,10)")
+    fee = spark.createDataFrame([("u0", dt.date(2026, 2, 1), D("3"))], "user_id string, month date, value decimal(28,10)")
+    empty = spark.createDataFrame([], "user_id string, month date, value decimal(28,10)")
+    streams = {"card_fee_usd": fee, "billing_usd": empty, "swap_fee_usd": empty, "cashback_usd": empty,
+               "revenue_share_usd": empty}
+    card_m = spark.createDataFrame([], "user_id string, month date, n_card_txns long")
+    base = spark.createDataFrame([("u0", dt.datetime(2026, 1, 3), "organic")],
+                                 "user_id string, signup_date timestamp, acquisition_source string")
+    fx = spark.createDataFrame([(5.80,)], "fx_rate double")
+    conv_only = cohorts.user_monthly_ltv(conv_m, streams, card_m, base, fx)
+    assert conv_only.count() == 1          # the card-only month is not counted (original rule)
+    allm = {r.months_since_signup: r for r in
+            cohorts.user_monthly_ltv(conv_m, streams, card_m, base, fx, months="all_streams").collect()}
+    assert float(allm[1].cum_ltv) == pytest.approx(10 - 2.07 + 3)
+
+
+def test_approx_percentile_mode(spark):
+    from ledgerlens.functions.quantiles import exact_percentiles
+    df = spark.createDataFrame([(float(i),) for i in range(101)], "v double")
+    r = exact_percentiles(df, "v", {"m": 0.5}, exact=False).first()
+    assert r.m == 50.0
