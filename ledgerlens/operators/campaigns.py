@@ -367,7 +367,7 @@ def revenue_vs_spend_daily(revenue_daily: DataFrame, spend_daily: DataFrame) ->
 def cohort_vs_all_boundary(all_daily: DataFrame, cohort_daily: DataFrame, spend_daily: DataFrame) -> DataFrame:
     """Daily all-user revenue minus cohort revenue (floor 0), outer-joined with spend."""
     a = all_daily.join(cohort_daily, "date", "left").select(
-        "date", dbl(F.greatest(nz("all_rev_usd") - nz("cohort_rev_usd"), F.lit(0))).alias("non_cohort_rev_usd"),
+        "date", dbl(F.greatest(money(nz("all_rev_usd")) - money(nz("cohort_rev_usd")), F.lit(0))).alias("non_cohort_rev_usd"),
         dbl(nz("cohort_rev_usd")).alias("cohort_rev_usd"))
     j = a.join(spend_daily, "date", "full_outer")
     return j.select("date", F.coalesce("non_cohort_rev_usd", F.lit(0.0)).alias("non_cohort_rev_usd"),

@@ -141,7 +141,7 @@ def resample_volume(daily: DataFrame, freq: str, date: str = "date",
     bucket = week_ending_monday(date) if f.startswith("W") else F.trunc(F.col(date), "month")
     step = "INTERVAL 7 DAYS" if f.startswith("W") else "INTERVAL 1 MONTH"
     sums = daily.groupBy(bucket.alias("period")).agg(
-        *[dbl(F.sum(c)).alias(c) for c in value_cols])
+        *[dbl(F.sum(fine(c))).alias(c) for c in value_cols])
     spine = (sums.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
              .where(F.col("lo").isNotNull())
              .select(F.explode(F.sequence("lo", "hi", F.expr(step))).alias("period")))

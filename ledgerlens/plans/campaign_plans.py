@@ -236,8 +236,8 @@ register("roi", f"""
 register("signed", f"""
     SELECT c.campaign_id, x.rev_date, x.rev_usd, x.src FROM (
       SELECT user_id, CAST(created_at AS DATE) AS rev_date,
-             CAST(coalesce(CAST(CAST(coalesce(fee_amount_brl, 0) + coalesce(spread_revenue_brl, 0) AS DOUBLE)
-                                / NULLIF(fx_rate, 0) AS DECIMAL(30,10)), 0)
+             CAST(coalesce(CAST(CAST(CAST(coalesce(fee_amount_brl, 0) + coalesce(spread_revenue_brl, 0) AS DOUBLE)
+                                / NULLIF(fx_rate, 0) AS VARCHAR) AS DECIMAL(30,10)), 0)
                   + coalesce(fee_amount_usdc, 0) + coalesce(spread_revenue_usdc, 0) AS DECIMAL(28,10)) AS rev_usd,
              'conversion' AS src FROM conversions CROSS JOIN fx_all WHERE used = TRUE
       UNION ALL SELECT user_id, CAST(created_at AS DATE), CAST(amount_usdc AS DECIMAL(28,10)), 'card_fee'
@@ -575,8 +575,8 @@ def _cac_active(b: Bound):
 
 register("all_conv_daily", """
     SELECT CAST(created_at AS DATE) AS "date",
-           sum(CAST(coalesce(CAST(CAST(coalesce(fee_amount_brl, 0) + coalesce(spread_revenue_brl, 0) AS DOUBLE)
-                                 / NULLIF(fx_rate, 0) AS DECIMAL(30,10)), 0)
+           sum(CAST(coalesce(CAST(CAST(CAST(coalesce(fee_amount_brl, 0) + coalesce(spread_revenue_brl, 0) AS DOUBLE)
+                                 / NULLIF(fx_rate, 0) AS VARCHAR) AS DECIMAL(30,10)), 0)
                    + coalesce(fee_amount_usdc, 0) + coalesce(spread_revenue_usdc, 0) AS DECIMAL(28,10))) AS v
     FROM conversions CROSS JOIN fx_all WHERE used = TRUE GROUP BY 1""", ["conversions", "fx_all"])
 
@@ -597,7 +597,7 @@ def _rev_vs_spend(b: Bound):
 
 
 @query("cohort_vs_all_boundary", with_views("""
-    WITH c AS (SELECT rev_date AS "date", sum(CAST(daily_rev_conversion_usd AS DECIMAL(30,10))) AS v FROM daily_rev GROUP BY 1),
+    WITH c AS (SELECT rev_date AS "date", sum(CAST(CAST(daily_rev_conversion_usd AS VARCHAR) AS DECIMAL(30,10))) AS v FROM daily_rev GROUP BY 1),
          a AS (SELECT a."date", CAST(greatest(coalesce(a.v, 0) - coalesce(c.v, 0), 0) AS DOUBLE) AS non_cohort_rev_usd,
                       CAST(coalesce(c.v, 0) AS DOUBLE) AS cohort_rev_usd
                FROM all_conv_daily a LEFT JOIN c ON c."date" = a."date")

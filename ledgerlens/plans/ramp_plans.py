@@ -11,7 +11,7 @@ from .oracle_views import register, with_views
 from .registry import query
 
 # Per-row USD value of BRL amounts at the row's own rate (SQL side).
-_USD = "CAST(({x}) / NULLIF(exchange_rate, 0) AS DECIMAL(30,10))"
+_USD = "CAST(CAST(({x}) / NULLIF(exchange_rate, 0) AS VARCHAR) AS DECIMAL(30,10))"
 
 
 def conversions(b: Bound):
@@ -212,7 +212,8 @@ def _cdp(b: Bound):
 @query("resample_volume", with_views("""
     WITH s AS (
         SELECT CAST(date_trunc('week', "date" - INTERVAL 1 DAY) + INTERVAL 7 DAY AS DATE) AS period,
-               sum(onramp) AS onramp, sum(offramp) AS offramp
+               CAST(sum(CAST(CAST(onramp AS VARCHAR) AS DECIMAL(30,10))) AS DOUBLE) AS onramp,
+               CAST(sum(CAST(CAST(offramp AS VARCHAR) AS DECIMAL(30,10))) AS DOUBLE) AS offramp
         FROM conv_daily GROUP BY 1),
     sp AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS DATE) AS period FROM s)
     SELECT sp.period, coalesce(s.onramp, 0.0) AS onramp, coalesce(s.offramp, 0.0) AS offramp
@@ -223,7 +224,9 @@ def _resample(b: Bound):
 
 @query("resample_volume_monthly", with_views("""
     WITH s AS (
-        SELECT CAST(date_trunc('month', "date") AS DATE) AS period, sum(onramp) AS onramp, sum(offramp) AS offramp
+        SELECT CAST(date_trunc('month', "date") AS DATE) AS period,
+               CAST(sum(CAST(CAST(onramp AS VARCHAR) AS DECIMAL(30,10))) AS DOUBLE) AS onramp,
+               CAST(sum(CAST(CAST(offramp AS VARCHAR) AS DECIMAL(30,10))) AS DOUBLE) AS offramp
         FROM conv_daily GROUP BY 1),
     sp AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM s)
     SELECT sp.period, coalesce(s.onramp, 0.0) AS onramp, coalesce(s.offramp, 0.0) AS offramp

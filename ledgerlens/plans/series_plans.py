@@ -156,8 +156,8 @@ def _usage(b: Bound):
 # ------------------------------------------------------- monthly series
 register("vol_monthly", f"""
     SELECT CAST(date_trunc('month', "date") AS DATE) AS month,
-           CAST(sum(CAST(onramp AS DECIMAL(30,10))) AS DOUBLE) AS onramp, CAST(sum(CAST(offramp AS DECIMAL(30,10))) AS DOUBLE) AS offramp,
-           CAST(sum(CAST(onramp AS DECIMAL(30,10))) + sum(CAST(offramp AS DECIMAL(30,10))) AS DOUBLE) AS total
+           CAST(sum(CAST(CAST(onramp AS VARCHAR) AS DECIMAL(30,10))) AS DOUBLE) AS onramp, CAST(sum(CAST(CAST(offramp AS VARCHAR) AS DECIMAL(30,10))) AS DOUBLE) AS offramp,
+           CAST(sum(CAST(CAST(onramp AS VARCHAR) AS DECIMAL(30,10))) + sum(CAST(CAST(offramp AS VARCHAR) AS DECIMAL(30,10))) AS DOUBLE) AS total
     FROM conv_daily GROUP BY 1""", ["conv_daily"])
 
 
@@ -228,7 +228,7 @@ def _top_decile(b: Bound):
 
 
 # ------------------------------------------------------ product revenue
-_USD = "CAST(({x}) / NULLIF(exchange_rate, 0) AS DECIMAL(30,10))"
+_USD = "CAST(CAST(({x}) / NULLIF(exchange_rate, 0) AS VARCHAR) AS DECIMAL(30,10))"
 
 
 @query("daily_revenue_by_product", with_views(f"""
