@@ -367,3 +367,27 @@ def _param_grid(b: Bound):
     rev = (F.col("flat_fee").cast("decimal(10,4)") * F.col("n") + F.col("pct_fee").cast("decimal(10,4)")
            * F.coalesce(F.col("s"), F.lit(0)))
     return rv.param_grid_cross_join(agg, grid, rnd(dbl(rev) / dbl("n_days") * 30, 2), "monthly_revenue_usd")
+
+
+# ---------------------------------------------------------- keyed EWMA
+register("acct_monthly", """
+    SELECT account_id, CAST(period || '-01' AS DATE) AS "date", CAST(n_transactions AS DOUBLE) AS v FROM card_invoices""",
+         ["card_invoices"])
+
+
+@query("ewma_fit_by_account", with_views(f"""
+    WITH d AS (SELECT account_id, "date", v, row_number() OVER (PARTITION BY account_id ORDER BY "date") AS rn
+               FROM acct_monthly),
+         e AS (SELECT a.account_id, a."date", a.v,
+                      sum(b.v * pow(0.75, a.rn - b.rn)) / sum(pow(0.75, a.rn - b.rn)) AS ewm
+               FROM d a JOIN d b ON b.account_id = a.account_id AND b.rn <= a.rn AND b.rn > a.rn - 400
+               GROUP BY a.account_id, a."date", a.v, a.rn)
+    SELECT account_id, "date", v AS n_transactions, {_r('ewm', 6)} AS ewm, {_r('v - ewm', 6)} AS residual,
+           {_r('coalesce(stddev_samp(v - ewm) OVER (PARTITION BY account_id ORDER BY "date" ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0.0)', 6)} AS rolling_std
+    FROM e""", "acct_monthly"))
+def _ewma_by_account(b: Bound):
+    m = b.card_invoices.select("account_id", F.to_date(F.concat("period", F.lit("-01"))).alias("date"),
+                               dbl("n_transactions").alias("n_transactions"))
+    f = se.ewma_fit(m, "n_transactions", keys=("account_id",))
+    return f.select("account_id", "date", "n_transactions", rnd("ewm", 6).alias("ewm"),
+                    rnd("residual", 6).alias("residual"), rnd("rolling_std", 6).alias("rolling_std"))
