@@ -264,7 +264,7 @@ register("spine", f"""
     FROM campaigns""", ["campaigns"])
 register("cum_rev", """
     SELECT campaign_id, "date", daily_rev_conversion_usd, daily_rev_card_fees_usd, daily_rev_billing_usd,
-           0.0 AS daily_rev_swap_usd, daily_cost_cashback_usd, daily_cost_rev_share_usd,
+           CAST(0.0 AS DOUBLE) AS daily_rev_swap_usd, daily_cost_cashback_usd, daily_cost_rev_share_usd,
            daily_rev_usd - daily_rev_swap_usd AS daily_rev_usd,
            """ + _r("""sum(CAST(daily_rev_usd - daily_rev_swap_usd AS DECIMAL(30,10))) OVER (PARTITION BY campaign_id ORDER BY "date"
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", 4) + """ AS cum_rev_usd

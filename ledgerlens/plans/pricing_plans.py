@@ -106,7 +106,7 @@ def _monthly(b: Bound):
 
 
 @query("fee_coverage", with_views(f"""
-    SELECT model, {_r('monthly_revenue_usd', 2)} AS revenue_usd, {round(COST, 2)!r} AS cost_usd,
+    SELECT model, {_r('monthly_revenue_usd', 2)} AS revenue_usd, CAST({round(COST, 2)!r} AS DOUBLE) AS cost_usd,
            {_r(f'monthly_revenue_usd / {COST!r}', 4)} AS coverage_ratio,
            {_r(f'monthly_revenue_usd - {COST!r}', 2)} AS margin_usd FROM monthly_models""", "monthly_models"))
 def _fee_cov(b: Bound):
@@ -127,7 +127,7 @@ def _cov_grid(b: Bound):
                       CAST(coalesce(s, 0) AS DOUBLE) / CAST(n_days AS DOUBLE) * 30 AS vm,
                       {_r('CAST(0.3 * n + 0.01 * coalesce(s, 0) AS DOUBLE) / CAST(n_days AS DOUBLE) * 30', 2)} AS rev FROM ndays)
     SELECT CAST(n_days AS DOUBLE) AS n_days, {_r('txm', 2)} AS tx_month, {_r('vm', 2)} AS volume_month_usd, rev AS revenue_usd,
-           {round(COST, 2)!r} AS cost_usd, {_r(f'rev / {COST!r}', 4)} AS coverage_ratio, {_r(f'rev - {COST!r}', 2)} AS margin_usd,
+           CAST({round(COST, 2)!r} AS DOUBLE) AS cost_usd, {_r(f'rev / {COST!r}', 4)} AS coverage_ratio, {_r(f'rev - {COST!r}', 2)} AS margin_usd,
            CASE WHEN vm > 0 THEN {_r(f'greatest(({COST!r} - 0.3 * txm) / vm, 0.0)', 6)} ELSE 'Infinity'::DOUBLE END AS required_pct_with_flat,
            CASE WHEN txm > 0 THEN {_r(f'greatest(({COST!r} - 0.01 * vm) / txm, 0.0)', 4)} ELSE 'Infinity'::DOUBLE END AS required_flat_with_pct
     FROM t""", "ndays"))
