@@ -103,8 +103,8 @@ def top_spenders_enriched(card_tx: DataFrame, users: DataFrame, registrations: D
     t = F.broadcast(top)   # n rows
     j = (t.join(users.select("user_id", "full_name"), "user_id", "left")
          .join(registrations, "user_id", "left")
-         .join(F.broadcast(referral_codes.select(F.col("id").alias("attributed_referral_code_id"), "code",
-                                                 "public_name")), "attributed_referral_code_id", "left")
+         .join(referral_codes.select(F.col("id").alias("attributed_referral_code_id"), "code", "public_name"),
+               "attributed_referral_code_id", "left")
          .join(founders.select("user_id", "invite_code"), "user_id", "left")
          .join(ramp, "user_id", "left"))
     return j.select("user_id", "full_name",

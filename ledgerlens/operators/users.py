@@ -56,11 +56,11 @@ def cohort_base(users: DataFrame, registrations: DataFrame, referral_codes: Data
                 founders: DataFrame, profiles: DataFrame, fallback: str = "organic") -> DataFrame:
     """users -> registration -> referral code -> founder -> profile (left joins).
 
-    Referral codes are a dimension (one row per code) and are broadcast; the
-    per-user sides are joined on user_id."""
+    No broadcast hint on the referral-code dimension: its size is not bounded
+    by construction, so the planner / AQE choose from the measured size."""
     u = users.alias("u")
     ur = registrations.alias("ur")
-    rc = F.broadcast(referral_codes).alias("rc")
+    rc = referral_codes.alias("rc")
     f = founders.alias("f")
     up = profiles.alias("up")
     j = (u.join(ur, F.col("ur.user_id") == F.col("u.user_id"), "left")
@@ -363,8 +363,8 @@ def active_cards_summary(cards: DataFrame) -> DataFrame:
 
 
 def referral_code_options(registrations: DataFrame, referral_codes: DataFrame) -> DataFrame:
-    """Distinct codes that have attributed users (codes are a small dimension: broadcast)."""
-    rc = F.broadcast(referral_codes.select("id", "code"))
+    """Distinct codes that have attributed users."""
+    rc = referral_codes.select("id", "code")
     return registrations.join(rc, F.col("attributed_referral_code_id") == F.col("id")).select("code").distinct()
 
 

@@ -421,7 +421,7 @@ def _daily_context(b: Bound):
 def referral_users(b: Bound, code: str):
     """Users attributed to a referral code (the optional cohort filter)."""
     rc = b.referral_codes.where(F.col("code") == code).select(F.col("id").alias("attributed_referral_code_id"))
-    return b.user_registrations.join(F.broadcast(rc), "attributed_referral_code_id", "left_semi").select("user_id")
+    return b.user_registrations.join(rc, "attributed_referral_code_id", "left_semi").select("user_id")
 
 
 @query("cohort_semi_join_referral", with_views("""
