@@ -200,3 +200,11 @@ def _read_invoices(b: Bound):
 def _extract(b: Bound):
     ex = iv.extract_invoice_fields(iv.render_invoice_text(b.card_invoices))
     return _as_out(ex.withColumn("applepay_volume_usd", F.col("applepay_volume_usd").cast("decimal(20,2)")))
+
+
+@query("cost_regression_multi")
+def _regression_multi(b: Bound):
+    t = totals(b).join(b.card_invoices.select("invoice_id", "n_active_cards", "tx_volume_usd"), "invoice_id")
+    r = iv.cost_regression_multi(t)
+    return r.select("account_id", "n_periods", *[F.round(c, 4).alias(c) for c in r.columns
+                                                 if c not in ("account_id", "n_periods")])

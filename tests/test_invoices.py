@@ -66,3 +66,26 @@ def test_extract_round_trip(invoices):
     assert float(by["INV-0008"].invoice_total_usd) == 6693.58
     assert float(by["INV-0009"].base_program_fee) == 2500.0
     assert float(by["INV-0008"].tx_volume_usd) == pytest.approx(265605.44, abs=5.0)
+
+
+def test_cost_regression_multi_matches_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = []
+    for acct in (1, 2):
+        for m in range(12):
+            n, cards, vol = rng.integers(100, 900), rng.integers(10, 90), float(rng.uniform(1e3, 9e4))
+            cost = 50 * acct + 0.3 * n + 0.2 * cards + 0.0015 * vol + float(rng.normal(0, 2))
+            rows.append((acct, f"2026-{m + 1:02d}", int(n), int(cards), float(vol), float(cost)))
+    df = spark.createDataFrame(rows, "account_id long, period string, n_transactions long, n_active_cards long, "
+                                     "tx_volume_usd double, modelled_total_usd double")
+    got = {r.account_id: r for r in iv.cost_regression_multi(df).collect()}
+    for acct in (1, 2):
+        sub = [r for r in rows if r[0] == acct]
+        X = np.array([[1.0, r[2], r[3], r[4]] for r in sub])
+        yv = np.array([r[5] for r in sub])
+        beta = np.linalg.lstsq(X, yv, rcond=None)[0]
+        g = got[acct]
+        assert [g.intercept, g.coef_n_transactions, g.coef_n_active_cards, g.coef_tx_volume_usd] == \
+            pytest.approx(list(beta), rel=1e-6, abs=1e-6)
+        assert g.n_periods == 12 and 0.9 < g.r_squared <= 1.0
