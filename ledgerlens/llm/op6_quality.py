@@ -18,13 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, read_table, words, written
-from .weak import Start, posteriors, vote
+from .weak import Start, one_failure_each, posteriors, vote
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 THRESHOLD = 0.5
-#: Good text is the rule; a bad vote is rare on good text, a good vote is weak.
-START = Start(positive=0.85, if_positive=(0.90, 0.01, 0.09), if_negative=(0.45, 0.35, 0.20), pseudo=20.0)
+#: Good text is the rule, and a rule's bad vote, set off at extreme values only,
+#: is rare on it.  Junk mostly fails one rule and passes the others, so there is
+#: a way to be junk for every rule; what the other rules say of it is estimated.
+RULES = 9
+START = one_failure_each(RULES, share=0.85, if_positive=0.995, failing=0.05, passing=0.93, pseudo=20.0,
+                         anchor=1.0)
 
 
 def _covered(starts: Column, window: int) -> Column:
@@ -92,7 +96,7 @@ def judge(measured: DataFrame, threshold: float = THRESHOLD, start: Start = STAR
     votes, quality (posterior) and kept."""
     votes = rules()
     coded = measured.withColumn("votes", F.concat(*votes)).withColumn("base_failed", base_failed())
-    model = posteriors(coded.select("votes"), len(votes), start, code="votes")
+    model = posteriors(coded.select("votes"), start, code="votes")
     answers = model.select(F.col("code").alias("__votes"), F.col("posterior").alias("quality"))
     # At most 3 ** rules rows of one short string and one number.
     judged = coded.join(F.broadcast(answers), F.col("votes") == F.col("__votes"), "left").drop("__votes")

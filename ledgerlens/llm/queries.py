@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_packing, op3_sentencepiece, op4_simhash, op5_token_counts, op6_quality, op7_chat, op9_exact_dedup
+from . import op2_packing, op3_sentencepiece, op4_simhash, op5_token_counts, op6_quality, op7_chat, op8_pii, op9_exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing.op2_packing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts.op5_token_counts,
     "op6_quality": op6_quality.op6_quality,
     "op7_chat": op7_chat.op7_chat,
+    "op8_pii": op8_pii.op8_pii,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
 }
 
