@@ -66,3 +66,13 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """UTF-8 bytes of a string column, one value at a time; null is empty."""
     for value in batch.column(column).cast(pa.binary()):
         yield value.as_py() or b""
+
+
+#: Rows up to which a written table may be broadcast (a few MB of ids).
+SMALL_ROWS = 200_000
+
+
+def if_small(table: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``table`` (written) marked for a broadcast join if its counted rows are
+    within the limit; beyond it the join is left to shuffle."""
+    return F.broadcast(table) if table.count() <= limit else table

@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_packing, op3_sentencepiece, op4_simhash, op5_token_counts, op6_quality, op7_chat, op8_pii, op9_exact_dedup
+from . import (
+    op1_substring,
+    op2_packing,
+    op3_sentencepiece,
+    op4_simhash,
+    op5_token_counts,
+    op6_quality,
+    op7_chat,
+    op8_pii,
+    op9_exact_dedup,
+    op10_lines,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": op1_substring.op1_substring,
     "op2_packing": op2_packing.op2_packing,
     "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_simhash": op4_simhash.op4_simhash,
@@ -17,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": op7_chat.op7_chat,
     "op8_pii": op8_pii.op8_pii,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
+    "op10_lines": op10_lines.op10_lines,
 }
 
 #: Operators that SQL cannot express (tokenizers, fitted models, packing) have none.
