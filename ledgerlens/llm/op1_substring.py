@@ -29,6 +29,7 @@ empty table gives an empty result; columns other than id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -107,9 +108,15 @@ class _WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=1)
+def _word_hashes() -> _WordHashes:
+    """One cache for all tasks of a worker process."""
+    return _WordHashes()
+
+
 def _first_level(window: int):
     def make():
-        hashes = _WordHashes()
+        hashes = _word_hashes()
 
         def step(batch):
             out = {k: [] for k in ("th", "n_words", "sha", "starts", "hashes")}
@@ -127,7 +134,7 @@ def _first_level(window: int):
 
 def _full_windows(window: int):
     def make():
-        hashes = _WordHashes()
+        hashes = _word_hashes()
 
         def run(batch):
             out = {k: [] for k in ("starts", "h1", "h2")}

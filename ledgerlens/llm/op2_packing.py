@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,40 +37,78 @@ END_ID = 0
 GROUPS = 512
 LARGE = 1 / 4
 BUCKETS = 64
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
 CACHE_BYTES = 64
+SIGNS = b".,;:!?%$&*#|)"
 
 
 class ChunkEncoder:
     """Token ids of whole texts through the tokenizers library.  Its
-    pre-tokenizer drops white space and never joins across it, so a text is the
-    sequence of its chunks between spaces and line ends; the ids of chunks
-    already seen in the task are kept in a bounded cache."""
+    pre-tokenizer drops white space, never joins across it, and parts letters
+    from other characters, so a text is the sequence of its chunks between
+    spaces and line ends, and a chunk that is letters with signs behind them is
+    the letters and the signs.  The ids of chunks seen lately are kept, in two
+    generations of bounded size."""
 
     def __init__(self, tokenizer_file: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.batch = partial(Tokenizer.from_file(tokenizer_file).encode_batch_fast, add_special_tokens=False)
-        self.cache: dict[bytes, bytes] = {b"": b""}
+        self.new: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Puts the ids of the chunks into the cache; returns those of chunks
+        too long for it."""
+        new, old = self.new, self.old
+        parts, unknown = [], {}
+        for chunk in chunks:
+            ids = old.get(chunk)
+            if ids is not None:
+                new[chunk] = ids
+                continue
+            letters = chunk.rstrip(SIGNS)
+            if len(letters) == len(chunk) or not letters.decode()[-1:].isalpha():
+                unknown[chunk] = None
+                continue
+            signs = chunk[len(letters):]
+            parts.append((chunk, letters, signs))
+            for part in (letters, signs):
+                if part not in new:
+                    unknown[part] = old.get(part)
+        ask = [c for c, ids in unknown.items() if ids is None]
+        for chunk, got in zip(ask, self.batch([c.decode() for c in ask])):
+            unknown[chunk] = np.array(got.ids, "<u4").tobytes()
+        for chunk, letters, signs in parts:
+            unknown[chunk] = (new.get(letters) or unknown[letters]) + (new.get(signs) or unknown[signs])
+        long = {c: ids for c, ids in unknown.items() if len(c) > CACHE_BYTES}
+        new.update(unknown)
+        for chunk in long:
+            del new[chunk]
+        return long
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        if len(self.cache) >= CACHE_CHUNKS:
-            self.cache = {b"": b""}
+        if len(self.new) >= CACHE_CHUNKS:
+            self.old, self.new = self.new, {b"": b""}
         split = [raw.replace(b"\n", b" ").split(b" ") for raw in texts]
-        missing = list({c for chunks in split for c in chunks if c not in self.cache})
-        extra = {}
-        for chunk, got in zip(missing, self.batch([c.decode() for c in missing])):
-            (self.cache if len(chunk) <= CACHE_BYTES else extra)[chunk] = np.array(got.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([self.cache.get(c) or extra.get(c, b"") for c in chunks]) for chunks in split]
-        return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in split]
+        long = self._learn(set().union(*split).difference(self.new))
+        if long:
+            known = self.new.get
+            return [b"".join([long[c] if (ids := known(c)) is None else ids for c in chunks]) for chunks in split]
+        return [b"".join(map(self.new.__getitem__, chunks)) for chunks in split]
+
+
+@lru_cache(maxsize=1)
+def _chunk_encoder(tokenizer_file: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker process."""
+    return ChunkEncoder(tokenizer_file)
 
 
 def _piecer(tokenizer_file: str, capacity: int, end_id: int, with_ids: bool):
     def make():
-        encoder = ChunkEncoder(tokenizer_file)
+        encoder = _chunk_encoder(tokenizer_file)
         end = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
 

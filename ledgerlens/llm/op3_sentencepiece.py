@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ from .common import arrow_map, read_table, text_bytes
 
 #: Any letter as ``re`` knows it; a model moves signs such as superscripts out.
 LETTER = re.compile(r"[^\W\d_]")
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 CACHE_CHARS = 64
 
 
@@ -63,7 +64,9 @@ class MergeModel:
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte fallback")
         self.decimal = [str(i) for i in range(lib.vocab_size())]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # Chunks seen lately, in two generations of bounded size.
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def agenda(self, chunk: str) -> tuple[int, ...]:
         """Ids of one chunk (spaces stand for the space symbol)."""
@@ -102,18 +105,18 @@ class MergeModel:
         return tuple(ids)
 
     def _chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        ids = self.agenda(chunk)
+        ids = self.old.get(chunk) or self.agenda(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = ids
+            self.new[chunk] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without begin and end ids."""
         if not text:
             return []
-        get, make = self.cache.get, self._chunk_ids
+        if len(self.new) >= CACHE_CHUNKS:
+            self.old, self.new = self.new, {}
+        get, make = self.new.get, self._chunk_ids
         chunks = self.chunks(" " + text.replace("▁", " "))
         return list(chain.from_iterable([get(c) or make(c) for c in chunks]))
 
@@ -128,9 +131,15 @@ class MergeModel:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=1)
+def _model(model_file: str) -> MergeModel:
+    """One model for all tasks of a worker process."""
+    return MergeModel(model_file)
+
+
 def _coder(model_file: str):
     def make():
-        model = MergeModel(model_file)
+        model = _model(model_file)
 
         def step(batch):
             out = {"id": batch.column("id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
@@ -153,7 +162,7 @@ def _coder(model_file: str):
 
 def _encoder(model_file: str):
     def make():
-        model = MergeModel(model_file)
+        model = _model(model_file)
 
         def step(batch):
             ids, decoded = [], []

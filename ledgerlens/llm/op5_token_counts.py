@@ -13,6 +13,8 @@ table gives an empty histogram; columns other than the text are not read.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,20 @@ from .common import arrow_map, read_table, text_bytes
 BAND = 256
 
 
+@lru_cache(maxsize=1)
+def _encoding(rank_file: str, pattern: str):
+    """One encoding for all tasks of a worker process."""
+    import base64
+
+    import tiktoken
+    with open(rank_file, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def _counter(rank_file: str, pattern: str):
     def make():
-        import base64
-
-        import tiktoken
-        with open(rank_file, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = _encoding(rank_file, pattern).encode_ordinary
         return lambda batch: {"length": [len(encode(raw.decode())) for raw in text_bytes(batch)]}
     return make
 
