@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     back: cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_table, text_bytes, written
+from .common import arrow_map, if_small, read_table, text_bytes, written
 
 WINDOW = 35
 CACHE_WORDS = 400_000
@@ -88,12 +88,16 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_starts(words: np.ndarray, window: int, repeated: np.ndarray) -> np.ndarray:
-    """Starts of full windows that hold one of the repeated anchors."""
+    """Starts of full windows whose least half window is among the repeated
+    anchors."""
     half = -(-window // 2)
-    near = np.zeros(len(words) + 1, np.int64)
-    np.add.at(near, np.maximum(repeated - (window - half), 0), 1)
-    np.add.at(near, np.minimum(repeated + 1, len(words)), -1)
-    return np.flatnonzero(np.cumsum(near)[:max(0, len(words) - window + 1)] > 0)
+    if len(words) < window:
+        return np.empty(0, np.int64)
+    order = _mix(window_hashes(words, half))
+    least = _sliding(order, window - half + 1, np.minimum)
+    known = np.full(len(order), np.iinfo(np.uint64).max, np.uint64)
+    known[repeated] = order[repeated]
+    return np.flatnonzero(_sliding(known, window - half + 1, np.minimum) == least)
 
 
 class _WordHashes(dict):
@@ -209,10 +213,11 @@ class Repeats:
         pairs = self.rows.select("row", F.inline(F.arrays_zip("starts", "hashes")))
         survive = pairs.join(repeated.withColumnRenamed("hash", "hashes"), "hashes").groupBy("row").agg(
             F.collect_list("starts").alias("starts"))
-        survive = survive.join(self.copies.where(~F.col("stands")).select("row"), "row", "left_anti")
-        keys = survive.join(self.rows.select("row", "id", "th"), "row").select(
-            "row", "starts", F.col("id").alias("__id"), F.col("th").alias("__th"))
-        candidates = written(self._with_text(keys), "candidates")
+        survive = written(survive.join(self.copies.where(~F.col("stands")).select("row"), "row", "left_anti"), "anchored")
+        keys = written(survive.select("row").join(self.rows.select("row", "id", "th"), "row").select(
+            "row", F.col("id").alias("__id"), F.col("th").alias("__th")), "wanted")
+        met = self.texts.join(if_small(keys), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+        candidates = written(met.select("row", "text").join(survive, "row"), "candidates")
         windows = arrow_map(candidates, "row long, starts array<int>, h1 array<bigint>, h2 array<bigint>",
                             _full_windows(self.window))
         windows = windows.select("row", F.inline(F.arrays_zip(F.col("starts").alias("start"), "h1", "h2")))
@@ -220,13 +225,6 @@ class Repeats:
         # A document that stands for copies is repeated as a whole.
         return candidates.drop("starts").join(starts, "row").join(self.copies.select("row"), "row", "left_anti")
 
-    def _with_text(self, keys: DataFrame) -> DataFrame:
-        """``keys`` with the text of each; rows that share id and text have the
-        same one, so their texts count once."""
-        one = keys.groupBy("__id", "__th").agg(F.collect_list(F.struct("row", "starts")).alias("rows"))
-        met = self.texts.join(one, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
-        return met.select("text", F.inline("rows")).dropDuplicates(["row"])
-
     def result(self, with_text: bool = False) -> DataFrame:
         """One row per document: id, n_words, n_removed, kept_sha256."""
         schema = "row long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
