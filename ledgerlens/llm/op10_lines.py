@@ -38,28 +38,29 @@ DENSE = 64
 PLACE = ("id", "th", "line_no")
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """id, th (hash of the text), line_no, line, h1, h2 of the eligible lines."""
+def lines(docs: DataFrame, edits: int = MAX_EDITS, id_col: str = "doc_id", text_col: str = "text",
+          min_chars: int = MIN_CHARS) -> DataFrame:
+    """The eligible lines, without their texts: id, th (hash of the text),
+    line_no, h1 and h2 (hashes of the line), own and probe (segment keys)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
-                       F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).where(F.length("line") >= min_chars)
-    return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), F.col("line")))
+                       F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, 2 * (edits + 1)))
+    return rows.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"),
+                       F.array(*own_keys(edits)).alias("own"), F.array(*probe_keys(edits)).alias("probe"))
 
 
-def later_occurrences(found: DataFrame) -> DataFrame:
-    """Places of lines whose text occurs earlier in the corpus."""
-    place = F.struct(*PLACE)
-    first = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    return found.select(*PLACE, "h1", "h2").join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select(*PLACE)
-
-
-def _same_place(a: str = "", b: str = "__") -> Column:
-    return (F.col(a + "id").eqNullSafe(F.col(b + "id")) & (F.col(a + "th") == F.col(b + "th"))
-            & (F.col(a + "line_no") == F.col(b + "line_no")))
+def distinct_lines(found: DataFrame) -> DataFrame:
+    """One row per line text: first (its first place), n (occurrences), keys."""
+    return found.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"),
+                                         F.first("own").alias("own"), F.first("probe").alias("probe"))
 
 
-def _marked(places: DataFrame) -> DataFrame:
-    return places.select(*[F.col(c).alias("__" + c) for c in PLACE])
+def later_occurrences(found: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Places of lines whose text occurs earlier in the corpus."""
+    several = distinct.where("n > 1").select("h1", "h2", "first")
+    met = found.select(*PLACE, "h1", "h2").join(several, ["h1", "h2"])
+    return met.where(~F.struct(*PLACE).eqNullSafe(F.col("first"))).select(*PLACE).distinct()
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -70,34 +71,30 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return size * i + before, size + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
 
 
-def segment_keys(edits: int, probe: bool) -> Column:
-    """Keys of column ``line``: of its own segments, or, for probes, of the
-    substrings that can be a segment of a line up to ``edits`` shorter."""
-    parts, n, keys = edits + 1, F.length("line"), []
-    for shorter in range(1, edits + 1) if probe else [0]:
-        other = n - shorter
+def own_keys(edits: int) -> list[Column]:
+    """Keys of the segments of columns line and n (its length)."""
+    keys = []
+    for i in range(edits + 1):
+        start, size = _segment(F.col("n"), i, edits + 1)
+        keys.append(F.xxhash64(F.lit(i), F.col("n"), F.substr(F.col("line"), start + 1, size)))
+    return keys
+
+
+def probe_keys(edits: int) -> list[Column]:
+    """Keys of the substrings that can be a segment of a line of the same
+    length (shifted) or of one up to ``edits`` shorter; null where a shift
+    leaves the line."""
+    parts, n, keys = edits + 1, F.col("n"), []
+    for shorter in range(edits + 1):
         for i in range(parts):
-            start, size = _segment(other, i, parts)
+            start, size = _segment(n - shorter, i, parts)
             # Shifts that leave few enough edits on either side of the segment.
-            low = max(-i, shorter - (parts - 1 - i))
-            high = min(i, shorter + (parts - 1 - i))
-            for shift in range(low, high + 1) if probe else [0]:
-                at = start + shift
-                key = F.xxhash64(F.lit(i), other, F.substr(F.col("line"), at + 1, size))
-                keys.append(F.when((at >= 0) & (at + size <= n), key))
-    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
-
-
-def shifted_keys(edits: int) -> Column:
-    """Keys of shifted substrings against lines of the same length."""
-    parts, n, keys = edits + 1, F.length("line"), []
-    for i in range(parts):
-        start, size = _segment(n, i, parts)
-        reach = min(i, parts - 1 - i)
-        for shift in [s for s in range(-reach, reach + 1) if s]:
-            at = start + shift
-            keys.append(F.when((at >= 0) & (at + size <= n), F.xxhash64(F.lit(i), n, F.substr(F.col("line"), at + 1, size))))
-    return F.filter(F.array(*keys).cast("array<bigint>"), lambda k: k.isNotNull())
+            for shift in range(max(-i, shorter - (parts - 1 - i)), min(i, shorter + (parts - 1 - i)) + 1):
+                if shorter or shift:
+                    key = F.xxhash64(F.lit(i), n - shorter, F.substr(F.col("line"), start + shift + 1, size))
+                    fits = (start + shift >= 0) & (start + shift + size <= n)
+                    keys.append(key if shift == (shorter if i else 0) else F.when(fits, key))
+    return keys
 
 
 def within(x: Column, y: Column, edits: int) -> Column:
@@ -136,16 +133,31 @@ def within(x: Column, y: Column, edits: int) -> Column:
     return (F.abs(F.length(x) - F.length(y)) <= edits) & F.element_at(F.transform(F.array(letters), decide), 1)
 
 
-def _earlier_by_pairs(keys: DataFrame, probes: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h1, at, line) of wanted lines (h1, first): only documents that hold one
+    are split."""
+    of = written(wanted.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(
+        F.collect_list(F.struct("h1", F.col("first.line_no").alias("line_no"))).alias("__wanted")), "wanted")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    met = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).join(
+        if_small(of), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+    split = met.select("id", "th", F.split("text", "\n", -1).alias("lines"), "__wanted")
+    one = split.select("id", "th", "lines", F.explode("__wanted").alias("w"))
+    at = F.struct("id", "th", F.col("w.line_no").alias("line_no")).alias("at")
+    return written(one.select(F.col("w.h1").alias("h1"), at, F.get("lines", F.col("w.line_no")).alias("line")).distinct(),
+                   "texts")
+
+
+def _earlier_by_pairs(keys: DataFrame, probes: DataFrame, distinct: DataFrame, docs: DataFrame, edits: int, id_col: str,
+                      text_col: str) -> DataFrame:
     """Places of lines with an earlier line within reach, by candidate pairs."""
     left = keys.select("key", F.col("h1").alias("a"))
     same = left.join(keys.select("key", F.col("h1").alias("b")), "key").where("a < b").select("a", "b")
     other = left.join(probes.select("key", F.col("h1").alias("b")), "key").where("a <> b").select("a", "b")
     pairs = written(same.unionByName(other).distinct(), "pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("__h")).distinct(), "wanted")
-    texts = written(first.select(*PLACE, "h1", "line").join(if_small(wanted), F.col("h1") == F.col("__h")).drop("__h")
-                    .dropDuplicates([*PLACE]), "texts")
-    side = lambda p: texts.select(F.col("h1").alias(p), F.struct(*PLACE).alias(p + "_at"), F.col("line").alias(p + "_line"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    texts = _texts(docs, distinct.select("h1", "first").join(wanted, "h1"), id_col, text_col)
+    side = lambda p: texts.select(F.col("h1").alias(p), F.col("at").alias(p + "_at"), F.col("line").alias(p + "_line"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
     close = met.where(within(F.col("a_line"), F.col("b_line"), edits))
     return close.select(F.inline(F.array(F.greatest("a_at", "b_at")))).select(*PLACE)
@@ -170,36 +182,33 @@ def _earlier_by_deletion(dense_lines: DataFrame) -> DataFrame:
     return swapped.unionByName(dropped).unionByName(added).distinct().select("at.*")
 
 
-def near_lines(first: DataFrame, edits: int = MAX_EDITS, dense: int = DENSE) -> DataFrame:
-    """Places of first occurrences (rows of :func:`lines`) that have an earlier
-    first occurrence within ``edits`` edits."""
-    keyed = first.select("h1", "line")
-    keys = keyed.select("h1", F.explode(segment_keys(edits, False)).alias("key"))
-    probes = keyed.select("h1", F.explode(segment_keys(edits, True)).alias("key"))
+def near_lines(docs: DataFrame, distinct: DataFrame, edits: int = MAX_EDITS, dense: int = DENSE, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """Places of first occurrences that have an earlier one within ``edits``
+    edits; ``distinct`` is a written table of :func:`distinct_lines`."""
+    keys = distinct.select("h1", F.explode("own").alias("key"))
+    probes = distinct.select("h1", F.explode("probe").alias("key")).where("key IS NOT NULL")
     if edits > 1:
-        probes = probes.unionByName(keyed.select("h1", F.explode(shifted_keys(edits)).alias("key")))
-        return _earlier_by_pairs(keys, probes, first, edits).distinct()
+        return _earlier_by_pairs(keys, probes, distinct, docs, edits, id_col, text_col).distinct()
     many = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
     if many.isEmpty():
-        return _earlier_by_pairs(keys, probes, first, edits).distinct()
+        return _earlier_by_pairs(keys, probes, distinct, docs, edits, id_col, text_col).distinct()
     hint = if_small(many)
-    sparse = _earlier_by_pairs(keys.join(hint, "key", "left_anti"), probes.join(hint, "key", "left_anti"), first, edits)
-    members = written(keys.unionByName(probes).join(hint, "key", "left_semi").select(F.col("h1").alias("__h")).distinct(),
-                      "members")
-    lines_of = written(first.select(*PLACE, "h1", "line").join(if_small(members), F.col("h1") == F.col("__h"))
-                       .select(*PLACE, "line").distinct(), "dense-lines")
-    return sparse.unionByName(_earlier_by_deletion(lines_of)).distinct()
+    sparse = _earlier_by_pairs(keys.join(hint, "key", "left_anti"), probes.join(hint, "key", "left_anti"), distinct, docs,
+                               edits, id_col, text_col)
+    members = keys.unionByName(probes).join(hint, "key", "left_semi").select("h1").distinct()
+    texts = _texts(docs, distinct.select("h1", "first").join(members, "h1"), id_col, text_col)
+    return sparse.unionByName(_earlier_by_deletion(texts.select("at.*", "line"))).distinct()
 
 
 def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, dense: int = DENSE,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th, exact and near: arrays of the line numbers a document loses."""
-    found = lines(docs, id_col, text_col, min_chars)
-    later = written(later_occurrences(found).distinct(), "later")
-    first = found.join(if_small(_marked(later), 1_000_000), _same_place(), "left_anti")
-    near = near_lines(first, edits, dense)
-    all_ = later.withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
-    return written(all_.groupBy("id", "th").agg(
+    found = written(lines(docs, edits, id_col, text_col, min_chars), "lines")
+    distinct = written(distinct_lines(found), "distinct-lines")
+    later = later_occurrences(found, distinct).withColumn("near", F.lit(False))
+    near = near_lines(docs, distinct, edits, dense, id_col, text_col).withColumn("near", F.lit(True))
+    return written(later.unionByName(near).groupBy("id", "th").agg(
         F.sort_array(F.collect_list(F.when(~F.col("near"), F.col("line_no")))).alias("exact"),
         F.sort_array(F.collect_list(F.when(F.col("near"), F.col("line_no")))).alias("near")), "removed")
 
@@ -237,7 +246,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: lines of all documents that repeat an earlier line."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     d = without_lines(docs, removed_lines(docs))
-    kept = F.coalesce("__kept", F.lit(""))
-    return d.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
+    text, kept = F.coalesce("text", F.lit("")), F.coalesce("__kept", F.lit(""))
+    return d.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
                     F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"),
                     F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
