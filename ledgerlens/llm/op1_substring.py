@@ -209,7 +209,8 @@ class Repeats:
         """(row, text, starts): documents that have repeated windows, without
         copies, and the starts of these windows."""
         once = self.rows.select("row", F.explode("hashes").alias("hash"))
-        repeated = once.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+        # Written, so that the join reads it as a side of its own and Spark may split its hot keys.
+        repeated = written(once.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
         pairs = self.rows.select("row", F.inline(F.arrays_zip("starts", "hashes")))
         survive = pairs.join(repeated.withColumnRenamed("hash", "hashes"), "hashes").groupBy("row").agg(
             F.collect_list("starts").alias("starts"))
