@@ -119,8 +119,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_rows, settled = prints, []
     while True:
         groups = open_rows.groupBy(*fp).agg(F.max(F.struct("id", "th")).alias("k"), F.count(F.lit(1)).alias("size"))
-        groups = groups.select(*fp, "size", F.col("k.id").alias("keep"), F.col("k.th").alias("keep_th"))
-        dealt = open_rows.join(groups, fp)
+        # Written, so that the join back reads it as a side of its own and Spark may split a hot group.
+        groups = written(groups.where("size > 1").select(*[F.col(c).alias(f"__{c}") for c in fp], "size", F.col("k.id").alias("keep"),
+                                                         F.col("k.th").alias("keep_th")), "groups")
+        same = (F.col("n_bytes") == F.col("__n_bytes")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))
+        alone = F.col("size").isNull()
+        dealt = open_rows.join(groups, same, "left").select(
+            "id", "th", "sha", *fp, F.coalesce("size", F.lit(1).cast("long")).alias("size"),
+            F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep"),
+            F.when(alone, F.col("th")).otherwise(F.col("keep_th")).alias("keep_th"))
         members = dealt.where(F.col("size") > 1).select("id", "th", "keep", "keep_th").distinct()
         differ = written(_same_text(docs, members, id_col, text_col, chunk_bytes), "differ")
         if differ.isEmpty():
