@@ -18,7 +18,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_table, text_bytes
+from .common import arrow_map, read_table, text_bytes, written
 
 BAND = 256
 
@@ -100,5 +100,6 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, rank_file: str | None = N
     """Query: the histogram of all documents with its suffix sums."""
     import public_tokenizers
     docs = read_table(spark, sf_dir, "documents")
-    return suffix_sums(histogram(lengths(docs, rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                                         public_tokenizers.PATTERN)))
+    encoded = lengths(docs, rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # The sums read the histogram twice; written, the documents are encoded once.
+    return suffix_sums(written(histogram(encoded), "histogram"))
