@@ -201,7 +201,8 @@ class Repeats:
         self.rows = written(arrow_map(numbered, f"row long, id {id_type}, th long, n_words long, sha binary, "
                                       "starts array<int>, hashes array<bigint>", _first_level(window)), "anchors")
         long = self.rows.where(F.col("n_words") >= window)
-        classes = long.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1")
+        classes = written(long.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1"),
+                          "classes")
         #: Rows whose whole word sequence is that of another row; ``first`` stands for its class.
         self.copies = long.select("row", "sha").join(classes, "sha").select("row", (F.col("row") == F.col("first")).alias("stands"))
 
