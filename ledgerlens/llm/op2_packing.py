@@ -37,7 +37,7 @@ END_ID = 0
 GROUPS = 512
 LARGE = 1 / 4
 BUCKETS = 64
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 CACHE_BYTES = 64
 SIGNS = b".,;:!?%$&*#|)"
 
@@ -54,17 +54,31 @@ class ChunkEncoder:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.batch = partial(Tokenizer.from_file(tokenizer_file).encode_batch_fast, add_special_tokens=False)
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.batch = partial(tokenizer.encode_batch_fast, add_special_tokens=False)
+        self.text = partial(tokenizer.encode, add_special_tokens=False)
         self.new: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: as one text of which each is a word."""
+        if not words:
+            return []
+        got = self.text(" ".join(words))
+        ends = np.flatnonzero(np.diff(np.array(got.word_ids, np.int64))) + 1
+        if len(ends) + 1 != len(words):  # some letter is more than one word to the tokenizer
+            return [np.array(e.ids, "<u4").tobytes() for e in self.batch(words)]
+        ids = np.array(got.ids, "<u4").tobytes()
+        ends = [0, *(ends * 4).tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
     def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Puts the ids of the chunks into the cache; returns those of chunks
         too long for it."""
         new, old = self.new, self.old
         parts, unknown = [], {}
         for chunk in chunks:
-            ids = old.get(chunk)
+            ids = old.pop(chunk, None)
             if ids is not None:
                 new[chunk] = ids
                 continue
@@ -76,9 +90,15 @@ class ChunkEncoder:
             parts.append((chunk, letters, signs))
             for part in (letters, signs):
                 if part not in new:
-                    unknown[part] = old.get(part)
-        ask = [c for c, ids in unknown.items() if ids is None]
-        for chunk, got in zip(ask, self.batch([c.decode() for c in ask])):
+                    unknown[part] = unknown.get(part) or old.pop(part, None)
+        words, others = [], []
+        for chunk, ids in unknown.items():
+            if ids is None:
+                (words if chunk.decode().isalpha() else others).append(chunk)
+        for at in range(0, len(words), 500):
+            part = words[at:at + 500]
+            unknown.update(zip(part, self._words([c.decode() for c in part])))
+        for chunk, got in zip(others, self.batch([c.decode() for c in others])):
             unknown[chunk] = np.array(got.ids, "<u4").tobytes()
         for chunk, letters, signs in parts:
             unknown[chunk] = (new.get(letters) or unknown[letters]) + (new.get(signs) or unknown[signs])
