@@ -120,7 +120,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> Da
     free = F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks])
     points = F.concat(F.array("fp"), F.transform(F.element_at(free, F.col("pair") + 1), lambda bit: F.col("fp").bitwiseXOR(bit)))
     many = met.where(F.col("n") > dense).select("fp", F.explode(points).alias("point"))
-    many = many.groupBy("point").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    # All that share a point are within two bits; within one bit they are of the point itself.
+    middle = F.min("fp") if distance == 2 else F.max(F.when(F.col("fp") == F.col("point"), F.col("fp")))
+    many = many.groupBy("point").agg(middle.alias("a"), F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     many = many.select("a", F.explode("fps").alias("b")).where((F.col("a") != F.col("b")) & (_apart(F.col("a"), F.col("b")) <= distance))
     return few.unionByName(many).distinct()
 
