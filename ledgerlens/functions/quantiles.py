@@ -7,8 +7,9 @@ Here the exact answer is found in two bounded steps:
 1. ``percentile_approx`` (Greenwald-Khanna, rank error <= n / accuracy) gives a
    value band [lo, hi] around each wanted rank, and counts give how many rows
    fall below lo (plus the nearest value on each side of the band);
-2. only the rows inside the bands (about 4 n / accuracy per group and
-   percentile) are ranked exactly, then the two neighbours are interpolated.
+2. the distinct values inside the bands are counted (ties map-side), ranked by
+   running counts, and the two neighbours are interpolated.  A band holds about
+   4 n / accuracy rows, so raise ``accuracy`` with the number of distinct values.
 
 All requested fractions share one pass: one band aggregate, one statistics
 aggregate, one ranking of the (small) candidate rows.  Everything is a lazy
@@ -76,19 +77,22 @@ def exact_percentiles(df: DataFrame, value: str | Column, ps: dict[str, float],
     tagged = j.select(*keys, "_v", F.explode(F.array(*[
         F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i))
         for i in range(len(names))])).alias("_i")).where(F.col("_i").isNotNull())
-    w = Window.partitionBy(*keys, "_i").orderBy("_v")
-    ranked = tagged.select(*keys, "_i", "_v", (F.row_number().over(w) - 1).alias("_r"))
+    # Ties are counted map-side first, so a value that many rows share is one row here.
+    counted = tagged.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.select(*keys, "_i", "_v", "_m", F.sum("_m").over(w).alias("_end"))
     # Global position of the wanted neighbours, per band.
     st_rows = stats.select(*keys, "_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("_i"), F.col(f"_below{i}").alias("_below"),
                  F.floor((F.col("_n") - 1).cast("double") * F.lit(float(p))).alias("_k"))
         for i, p in enumerate(ps.values())])).alias("_s")).select(*keys, "_n", "_s.*")
     r = ranked.join(st_rows, [*keys, "_i"])
-    g = F.col("_r") + F.col("_below")
-    pick = r.where((g == F.col("_k")) | (g == F.col("_k") + 1)).groupBy(*keys).agg(*[
+    first, end = F.col("_end") - F.col("_m") + F.col("_below"), F.col("_end") + F.col("_below")
+    holds = lambda k: (first <= k) & (k < end)  # noqa: E731  the value has the ranks from first up to end
+    pick = r.where(holds(F.col("_k")) | holds(F.col("_k") + 1)).groupBy(*keys).agg(*[
         agg for i in range(len(names)) for agg in (
-            F.max(F.when((F.col("_i") == i) & (g == F.col("_k")), F.col("_v"))).alias(f"_a{i}"),
-            F.max(F.when((F.col("_i") == i) & (g == F.col("_k") + 1), F.col("_v"))).alias(f"_c{i}"))])
+            F.max(F.when((F.col("_i") == i) & holds(F.col("_k")), F.col("_v"))).alias(f"_a{i}"),
+            F.max(F.when((F.col("_i") == i) & holds(F.col("_k") + 1), F.col("_v"))).alias(f"_c{i}"))])
     full = join(stats, pick, "left")
     out = []
     for i, (name, p) in enumerate(ps.items()):

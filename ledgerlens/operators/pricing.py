@@ -40,7 +40,7 @@ BIN_SWEEP_RANGE = tuple(round(v * 0.10, 2) for v in range(1, 21))
 SWEEP_THRESHOLDS = (5, 10, 15, 20, 25, 30, 40, 50, 60, 75, 100, 125, 150, 200)
 COVERAGE_FLAT_RANGE = (0, 0.25, 0.50, 0.75, 1.00, 1.25, 1.50, 2.00)
 COVERAGE_PCT_RANGE = (0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03)
-RAIN_COST_DEFAULT = 6693.58
+INVOICE_COST_DEFAULT = 6693.58
 PROG_FLAT_START = 0.30
 PROG_FLAT_END = 3.00
 PROG_PCT_START = 0.02
@@ -125,7 +125,7 @@ def monthly_revenue_by_model(spend: DataFrame, threshold: float = MODEL_C_THRESH
         "model", rnd(dbl("_t") / dbl("n_days") * 30, 2).alias("monthly_revenue_usd"))
 
 
-def fee_coverage(monthly: DataFrame, cost_usd: float = RAIN_COST_DEFAULT) -> DataFrame:
+def fee_coverage(monthly: DataFrame, cost_usd: float = INVOICE_COST_DEFAULT) -> DataFrame:
     c = float(cost_usd)
     return monthly.select(
         "model", rnd("monthly_revenue_usd", 2).alias("revenue_usd"), F.lit(round(c, 2)).alias("cost_usd"),
@@ -141,7 +141,7 @@ def _totals(spend: DataFrame, amount: str = "amount_usd") -> DataFrame:
                      .cast("bigint").alias("n_days"))
 
 
-def coverage_grid(spend: DataFrame, cost_usd: float = RAIN_COST_DEFAULT, flat_range=COVERAGE_FLAT_RANGE,
+def coverage_grid(spend: DataFrame, cost_usd: float = INVOICE_COST_DEFAULT, flat_range=COVERAGE_FLAT_RANGE,
                   pct_range=COVERAGE_PCT_RANGE) -> DataFrame:
     """flat x pct grid of 30-day coverage: flat * n + pct * sum(x) on one aggregate row."""
     grid = const_table(spend, ("flat_fee", "pct_fee"),
@@ -153,7 +153,7 @@ def coverage_grid(spend: DataFrame, cost_usd: float = RAIN_COST_DEFAULT, flat_ra
                                     rnd(monthly / F.lit(float(cost_usd)), 4).alias("coverage_ratio"))
 
 
-def flat_pct_metrics(spend: DataFrame, cost_usd: float = RAIN_COST_DEFAULT, flat_fee: float = 0.30,
+def flat_pct_metrics(spend: DataFrame, cost_usd: float = INVOICE_COST_DEFAULT, flat_fee: float = 0.30,
                      pct_fee: float = 0.01) -> DataFrame:
     """30-day revenue, coverage and breakeven flat / percent for flat + pct * x."""
     t = _totals(spend)
@@ -198,7 +198,7 @@ def bin_fee_revenue(spend: DataFrame, bin_fees=BIN_FEE_DEFAULTS, bin_pct_fees=No
                     rnd(rev / dbl("n_days") * 30, 4).alias("revenue_month_usd"))
 
 
-def bin_fee_coverage(spend: DataFrame, bin_fees=BIN_FEE_DEFAULTS, cost_usd: float = RAIN_COST_DEFAULT) -> DataFrame:
+def bin_fee_coverage(spend: DataFrame, bin_fees=BIN_FEE_DEFAULTS, cost_usd: float = INVOICE_COST_DEFAULT) -> DataFrame:
     b = bin_fee_revenue(spend, bin_fees)
     rev = b.agg(rnd(F.sum(fine("revenue_month_usd")), 2).alias("revenue_usd"))
     t = _totals(spend)
@@ -211,7 +211,7 @@ def bin_fee_coverage(spend: DataFrame, bin_fees=BIN_FEE_DEFAULTS, cost_usd: floa
 
 
 def bin_fee_sweep(spend: DataFrame, i_bin: int = 0, j_bin: int = 1, fee_range=BIN_SWEEP_RANGE,
-                  fixed_fees=BIN_FEE_DEFAULTS, cost_usd: float = RAIN_COST_DEFAULT) -> DataFrame:
+                  fixed_fees=BIN_FEE_DEFAULTS, cost_usd: float = INVOICE_COST_DEFAULT) -> DataFrame:
     """Two tiers swept over a fee range, the rest fixed: 7 tier counts x grid."""
     if len(fixed_fees) != len(BIN_LABELS):
         raise ValueError(f"fixed_fees must have {len(BIN_LABELS)} elements")
@@ -252,7 +252,7 @@ def _progressive(spend: DataFrame, n_bins: int, gap_col: Column, flat_start, fla
 
 def progressive_fee_breakdown(spend: DataFrame, n_bins: int = 10, gap: float = 20.0,
                               flat_start=PROG_FLAT_START, flat_end=PROG_FLAT_END, pct_start=PROG_PCT_START,
-                              pct_end=PROG_PCT_END, cost_usd: float = RAIN_COST_DEFAULT, flat_fees=None,
+                              pct_end=PROG_PCT_END, cost_usd: float = INVOICE_COST_DEFAULT, flat_fees=None,
                               amount: str = "amount_usd") -> DataFrame:
     """Equal-width bins (last one open); flat fee rising, percent falling
     linearly (or explicit flats); per-bin count, share and 30-day revenue."""
@@ -282,7 +282,7 @@ def progressive_fee_breakdown(spend: DataFrame, n_bins: int = 10, gap: float = 2
 
 def progressive_sweep(spend: DataFrame, gap_values, n_bins: int = 10, flat_start=PROG_FLAT_START,
                       flat_end=PROG_FLAT_END, pct_start=PROG_PCT_START, pct_end=PROG_PCT_END,
-                      cost_usd: float = RAIN_COST_DEFAULT, amount: str = "amount_usd") -> DataFrame:
+                      cost_usd: float = INVOICE_COST_DEFAULT, amount: str = "amount_usd") -> DataFrame:
     """Coverage for many bin widths: transactions x a broadcast list of gaps,
     aggregated per gap map-side (the list is a parameter, not data)."""
     gaps = const_table(spend, ("gap",), [(float(g),) for g in gap_values])

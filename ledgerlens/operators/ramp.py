@@ -211,17 +211,20 @@ def active_daily(sources: dict[str, DataFrame], in_source: str = "deposits",
                  out_source: str = "transfers", user: str = "user_id",
                  ts: str = "created_at") -> DataFrame:
     """Distinct users per day over every source, plus in-only and out-only
-    counts, from one union and one aggregation (one shuffle)."""
+    counts: flags per day and user first, then counts per day, so no row is
+    expanded for the distinct counts."""
     parts = [df.select(F.to_date(ts).alias("date"), F.col(user).cast("string").alias("user_id"),
                        F.lit(name).alias("src"))
              for name, df in sources.items()]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return (u.where(F.col("date").isNotNull()).groupBy("date")
-            .agg(F.count_distinct("user_id").alias("active_total"),
-                 F.count_distinct(F.when(F.col("src") == in_source, F.col("user_id"))).alias("active_in"),
-                 F.count_distinct(F.when(F.col("src") == out_source, F.col("user_id"))).alias("active_out")))
+    users = u.where(F.col("date").isNotNull()).groupBy("date", "user_id").agg(
+        F.bool_or(F.col("src") == in_source).alias("_in"), F.bool_or(F.col("src") == out_source).alias("_out"))
+    known = F.col("user_id").isNotNull()
+    return users.groupBy("date").agg(F.count("user_id").alias("active_total"),
+                                     F.count_if(F.col("_in") & known).alias("active_in"),
+                                     F.count_if(F.col("_out") & known).alias("active_out"))
 
 
 def active_users(df: DataFrame, freq: str = "M", ts: str = "created_at", user: str = "user_id",
@@ -304,7 +307,8 @@ def ramp_summary(conv: DataFrame, deposits: DataFrame, transfers: DataFrame, as_
     rev_brl = nz("fee_amount_brl") + nz("spread_revenue_brl")
     rev_usdc = nz("fee_amount_usdc") + nz("spread_revenue_usdc")
     rev_usd = nz(fine(safe_div(rev_brl, r))) + rev_usdc
-    l30 = F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS")
+    now = F.lit(as_of).cast("timestamp_ntz")
+    l30 = (F.col(ts) >= now - F.expr("INTERVAL 30 DAYS")) & (F.col(ts) < now)
     cv = conv.agg(
         F.count(F.lit(1)).alias("total_conversions"),
         F.count_distinct("user_id").alias("unique_conv_users"),

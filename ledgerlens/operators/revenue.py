@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import day_spine, in_window
+from ..functions.calendar import day_spine, in_window, spine_from
 from ..functions.money import dbl, fine, money, nz, safe_div
 from .users import acquisition_source, swap_fee_usd
 
 
 def daily_revenue_by_product(conv: DataFrame, card_fees: DataFrame, billing: DataFrame, swaps: DataFrame,
-                             start: str, end: str, rate: str = "exchange_rate", usdc_mint: str = "USDC") -> DataFrame:
-    """Zero-filled daily revenue (USD) per product over [start, end] inclusive:
+                             start: str | None = None, end: str | None = None, rate: str = "exchange_rate",
+                             usdc_mint: str = "USDC", swaps_enabled: bool = True) -> DataFrame:
+    """Zero-filled daily revenue (USD) per product over [start, end] inclusive
+    (from the first to the last day with revenue where a bound is missing):
     four daily aggregates unioned with a source tag, pivoted by an explicit
     list and joined to the day spine (the spine includes the end date)."""
     r = F.nullif(F.col(rate), F.lit(0))
@@ -31,10 +33,10 @@ def daily_revenue_by_product(conv: DataFrame, card_fees: DataFrame, billing: Dat
         swaps.where(in_window("timestamp", start, end)).select(
             F.to_date("timestamp").alias("date"), money(swap_fee_usd(usdc_mint)).alias("v"), F.lit("swap").alias("src")),
     ]
-    u = reduce(lambda a, b: a.unionByName(b), parts)
+    u = reduce(lambda a, b: a.unionByName(b), parts if swaps_enabled else parts[:-1])
     srcs = ("conversion", "card_fees", "billing", "swap")
     g = u.groupBy("date").agg(*[F.sum(F.when(F.col("src") == s, F.col("v"))).alias(s) for s in srcs])
-    sp = day_spine(conv.sparkSession, start, end, "date")
+    sp = day_spine(conv.sparkSession, start, end, "date") if start and end else spine_from(g, "date")
     j = sp.join(g, "date", "left")
     cols = {"daily_rev_conversion_usd": "conversion", "daily_rev_card_fees_usd": "card_fees",
             "daily_rev_billing_usd": "billing", "daily_rev_swap_usd": "swap"}

@@ -21,6 +21,7 @@ partition.  Keys (e.g. user or currency) restart the state.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +45,23 @@ def _events(conv: DataFrame, keys, ts: str, id_col: str, rate: str) -> DataFrame
         F.when(off, micros("from_amount_usdc")).otherwise(F.lit(0).cast("bigint")).alias("_in"),
         F.when(on, micros("to_amount_usdc")).otherwise(F.lit(0).cast("bigint")).alias("_out"),
         dbl(rate).alias("_price"),
-        F.when(on, dbl(rate)).alias("nbs_sell_onramp_rate"),
-        F.when(off, dbl(rate)).alias("nbs_buy_offramp_rate"))
+        F.when(on, dbl(rate)).alias("sell_onramp_rate"),
+        F.when(off, dbl(rate)).alias("buy_offramp_rate"))
 
 
 def _key_of(pdf: pd.DataFrame, keys, i: int):
-    return tuple(pdf[k].iat[i] for k in keys) if keys else ()
+    return tuple(_plain(pdf[k].iat[i]) for k in keys) if keys else ()
+
+
+def _plain(v):
+    """Key value with one form of null, so that null keys compare equal."""
+    return None if pd.isna(v) else v
+
+
+def _gathered(batches) -> pd.DataFrame:
+    """All (few) rows of a partition summary; empty where there are none."""
+    frames = list(batches)
+    return pd.concat(frames) if frames else pd.DataFrame()
 
 
 def _segments(pdf: pd.DataFrame, keys):
@@ -57,14 +69,12 @@ def _segments(pdf: pd.DataFrame, keys):
     n = len(pdf)
     if not keys:
         return [(0, n)]
-    kv = list(zip(*[pdf[k].tolist() for k in keys]))
-    out, s = [], 0
-    for i in range(1, n):
-        if kv[i] != kv[i - 1]:
-            out.append((s, i))
-            s = i
-    out.append((s, n))
-    return out
+    change = pd.Series(False, index=pdf.index)
+    for k in keys:  # null keys are one group: a null follows a null
+        before = pdf[k].shift()
+        change |= (pdf[k] != before).fillna(True).astype(bool) & ~(pdf[k].isna() & before.isna())
+    at = [i for i in np.flatnonzero(change.to_numpy()).tolist() if i]
+    return list(zip([0, *at], [*at, n]))
 
 
 def _fold(summary: pd.DataFrame, keys, init: dict, step) -> pd.DataFrame:
@@ -72,8 +82,8 @@ def _fold(summary: pd.DataFrame, keys, init: dict, step) -> pd.DataFrame:
     the state entering each partition's first key segment."""
     rows, prev_last, prev_state = [], None, None
     for r in summary.sort_values("_pid").to_dict("records"):
-        first = tuple(r[f"f_{k}"] for k in keys)
-        last = tuple(r[f"l_{k}"] for k in keys)
+        first = tuple(_plain(r[f"f_{k}"]) for k in keys)
+        last = tuple(_plain(r[f"l_{k}"]) for k in keys)
         carry = dict(prev_state) if (prev_state is not None and prev_last == first) else dict(init)
         rows.append({"_pid": r["_pid"], **{f"c_{k}": v for k, v in carry.items()}})
         start = carry if r["single"] else dict(init)
@@ -119,7 +129,7 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
                              T.StructType(sum_schema.fields + [T.StructField("dq", T.LongType())]))
 
     def fold_q(pdf_iter):
-        pdf = pd.concat(list(pdf_iter))
+        pdf = _gathered(pdf_iter)
         if pdf.empty:
             return
         yield _fold(pdf, keys, {"q": 0}, lambda st, r: {"q": st["q"] + r["dq"]})
@@ -177,7 +187,7 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
         return {"avg": r["A"] * avg_in + r["B"], "has": bool(st["has"] or r["any_buy"])}
 
     def fold_avg(pdf_iter):
-        pdf = pd.concat(list(pdf_iter))
+        pdf = _gathered(pdf_iter)
         if pdf.empty:
             return
         yield _fold(pdf, keys, {"avg": 0.0, "has": False}, step2)
@@ -207,7 +217,7 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
                 qin = pdf["_in"].iloc[s:e].tolist()
                 qout = pdf["_out"].iloc[s:e].tolist()
                 price = pdf["_price"].iloc[s:e].tolist()
-                sell = pdf["nbs_sell_onramp_rate"].iloc[s:e].tolist()
+                sell = pdf["sell_onramp_rate"].iloc[s:e].tolist()
                 q = q0
                 for i in range(e - s):
                     before = avg
@@ -246,7 +256,7 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
                           T.StructType(sum_schema.fields + [T.StructField("dp", T.LongType())]))
 
     def fold_pnl(pdf_iter):
-        pdf = pd.concat(list(pdf_iter))
+        pdf = _gathered(pdf_iter)
         if pdf.empty:
             return
         yield _fold(pdf, keys, {"p": 0}, lambda st, r: {"p": st["p"] + r["dp"]})
@@ -260,13 +270,13 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
         (F.col("_in").cast("decimal(30,0)") * F.expr("0.000001")).alias("stock_in_usdc"),
         (F.col("_out").cast("decimal(30,0)") * F.expr("0.000001")).alias("stock_out_usdc"),
         (F.col("_q").cast("decimal(30,0)") * F.expr("0.000001")).alias("position_qty_usdc"),
-        F.col("_avg").alias("avg_price_brl_per_usdc"), "nbs_sell_onramp_rate", "nbs_buy_offramp_rate",
+        F.col("_avg").alias("avg_price_brl_per_usdc"), "sell_onramp_rate", "buy_offramp_rate",
         (F.col("_pnl").cast("decimal(30,0)") * F.expr("0.00000001")).alias("pnl_brl"),
         (F.col("_pnl_cum").cast("decimal(30,0)") * F.expr("0.00000001")).alias("pnl_cum_brl"),
         F.when((F.col("_out") > 0) & avg_b.isNotNull(),
-               (F.col("nbs_sell_onramp_rate") - avg_b) / avg_b).alias("margin_sell_pct"),
+               (F.col("sell_onramp_rate") - avg_b) / avg_b).alias("margin_sell_pct"),
         F.when((F.col("_in") > 0) & avg_b.isNotNull(),
-               (avg_b - F.col("nbs_buy_offramp_rate")) / avg_b).alias("margin_buy_pct"))
+               (avg_b - F.col("buy_offramp_rate")) / avg_b).alias("margin_buy_pct"))
 
 
 def _partition_summaries(it, fn):

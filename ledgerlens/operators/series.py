@@ -78,14 +78,16 @@ def usage_summary(daily: DataFrame, count_fc: DataFrame, vol_fc: DataFrame, date
         c = F.lit(True) if n is None else (F.col(date) >= F.date_sub("_today", n - 1))
         return c
 
-    rows = []
+    # One aggregate for the three windows, then a row for each.
+    windows = []
     for label, n in (("last_7d", 7), ("last_30d", 30), ("all", None)):
         c = win(n)
-        rows.append(d.agg(F.lit(label).alias("period"),
-                          dbl(F.sum(F.when(c, F.col(count)))).alias("tx_count"),
-                          dbl(F.sum(F.when(c, fine(volume)))).alias("volume_usd"),
-                          rnd(mean_exact(F.when(c, F.col(count))), 1).alias("avg_count_day"),
-                          rnd(mean_exact(F.when(c, fine(volume))), 2).alias("avg_vol_day")))
+        windows.append(F.struct(F.lit(label).alias("period"),
+                                dbl(F.sum(F.when(c, F.col(count)))).alias("tx_count"),
+                                dbl(F.sum(F.when(c, fine(volume)))).alias("volume_usd"),
+                                rnd(mean_exact(F.when(c, F.col(count))), 1).alias("avg_count_day"),
+                                rnd(mean_exact(F.when(c, fine(volume))), 2).alias("avg_vol_day")))
+    rows = [d.agg(F.array(*windows).alias("_w")).select(F.inline("_w"))]
     fc = count_fc.select("h", F.col("forecast").alias("_c")).join(vol_fc.select("h", F.col("forecast").alias("_v")), "h")
     rows.append(fc.agg(F.lit("next_5d_forecast").alias("period"), rnd(F.sum(fine("_c")), 1).alias("tx_count"),
                        rnd(F.sum(fine("_v")), 6).alias("volume_usd"), rnd(mean_exact(fine("_c")), 1).alias("avg_count_day"),
@@ -176,10 +178,10 @@ def lorenz_curve(per_user: DataFrame, value: str = "net_revenue_usd", user: str
 
 def top_decile_share(per_user: DataFrame, value: str = "net_revenue_usd", user: str = "user_id") -> DataFrame:
     """Share of positive value held by the top max(1, n div 10) users."""
-    lc = lorenz_curve(per_user, value, user)
-    n = lc.agg(F.count(F.lit(1)).alias("_n"))
-    k = n.select(F.greatest(F.lit(1), (F.col("_n") / 10).cast("long")).alias("_k"), "_n")
-    j = lc.crossJoin(F.broadcast(k))
-    return j.agg(F.first("_k").alias("top_n_users"), F.first("_n").alias("n_positive_users"),
-                 F.coalesce(F.max(F.when(F.col("rank") == F.col("_k"), F.col("cum_revenue_pct"))), F.lit(0.0))
-                 .alias("top_decile_share_pct"))
+    pos = per_user.where(F.col(value) > 0).select(user, dbl(value).alias(value))
+    j = ordered_prefix(pos, value, user, value)  # one pass: every row has the totals
+    k = F.greatest(F.lit(1).cast("long"), (F.col("n_total") / 10).cast("long"))
+    share = F.when(F.col("rank") == k, r6(dbl("cum_units") * 100 / dbl("units_total")))
+    none = F.lit(0).cast("long")
+    return j.agg(F.coalesce(F.max(k), none).alias("top_n_users"), F.coalesce(F.max("n_total"), none).alias("n_positive_users"),
+                 F.coalesce(F.max(share), F.lit(0.0)).alias("top_decile_share_pct"))

@@ -343,15 +343,18 @@ def daily_signups(users: DataFrame, ts: str = "created_at", start=None, end=None
 
 
 def activity_kpis(users: DataFrame, as_of: str) -> DataFrame:
+    """Users active in the 1, 7 and 30 days before ``as_of`` (exclusive)."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    u = users.where(F.col("status") != "suspended")
+    u = users.where((F.col("status") != "suspended") & (F.col("last_active_at") < now))
     return u.agg(*[F.count_if(F.col("last_active_at") >= now - F.expr(f"INTERVAL {d} DAYS")).alias(n)
                    for n, d in (("dau", 1), ("wau", 7), ("mau", 30))])
 
 
 def signups_24h(users: DataFrame, as_of: str) -> DataFrame:
+    """Signups in the 24 hours before ``as_of`` (exclusive)."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    return users.where(F.col("created_at") >= now - F.expr("INTERVAL 24 HOURS")).agg(
+    recent = (F.col("created_at") >= now - F.expr("INTERVAL 24 HOURS")) & (F.col("created_at") < now)
+    return users.where(recent).agg(
         F.count(F.lit(1)).alias("new_signups_24h"))
 
 

@@ -11,7 +11,7 @@ from .oracle_views import register, with_views
 from .ramp_plans import card_spend
 from .registry import query
 
-COST = pr.RAIN_COST_DEFAULT
+COST = pr.INVOICE_COST_DEFAULT
 SCENARIOS = (("baseline", 1.0, 1.0), ("growth", 2.0, 1.5), ("scale", 5.0, 2.0), ("aggressive", 10.0, 3.0))
 GAPS = (5.0, 10.0, 15.0, 20.0, 30.0, 50.0)
 FLATS = (0.10, 0.20, 0.30, 0.40, 0.50, 0.75, 1.00)

@@ -26,7 +26,7 @@ def normalized(b: Bound):
 
 register("conv_used", """
     SELECT * FROM conversions
-    WHERE created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '2002-01-01' AND used = TRUE""",
+    WHERE TRUE AND used = TRUE""",
          ["conversions"])
 register("norm_used", """
     SELECT *,
@@ -48,13 +48,13 @@ def completed_transfers(b: Bound):
 
 register("dep_settled", """
     SELECT id, user_id, state, provider_name, TRY_CAST(amount_brl AS DECIMAL(20,0)) * 0.01 AS amount_brl, created_at
-    FROM pix_deposits WHERE created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '2002-01-01'
+    FROM pix_deposits WHERE TRUE
       AND lower(state) IN ('completed', 'settled', 'confirmed')""", ["pix_deposits"])
 register("trf_completed", """
     SELECT id, user_id, pix_key_type, status, TRY_CAST(amount_brl AS DECIMAL(20,0)) * 0.01 AS amount_brl,
            TRY_CAST(fee_brl AS DECIMAL(20,0)) * 0.01 AS fee_brl,
            TRY_CAST(net_amount_brl AS DECIMAL(20,0)) * 0.01 AS net_amount_brl, executed_at, created_at
-    FROM pix_transfers WHERE created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '2002-01-01'
+    FROM pix_transfers WHERE TRUE
       AND status = 'completed'""", ["pix_transfers"])
 
 
@@ -64,7 +64,7 @@ def card_spend(b: Bound):
 
 register("card_spend", """
     SELECT posted_at, CAST(amount_usd_cents AS DECIMAL(20,0)) * 0.01 AS amount_usd FROM card_transactions
-    WHERE posted_at >= TIMESTAMP '1995-01-01' AND posted_at < TIMESTAMP '2002-01-01'
+    WHERE TRUE
       AND status = 'completed' AND transaction_type = 'spend' AND posted_at IS NOT NULL
       AND amount_usd_cents > 0""", ["card_transactions"])
 
@@ -252,7 +252,7 @@ def _fx_stats(b: Bound):
 @query("fx_rate_median", with_views("""
     SELECT coalesce(round(median(CAST(effective_rate AS DOUBLE)), 6), 5.8) AS fx_rate
     FROM conversions WHERE used = TRUE AND direction = 'brl_to_usdc'
-      AND created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '2002-01-01'""", "conversions"))
+      AND TRUE""", "conversions"))
 def _fx_median(b: Bound):
     return ramp.fx_rate_median(scale_minor_units(b.conversion_quotes), FULL_START, FULL_END)
 
@@ -384,7 +384,7 @@ def _dep_cohort(b: Bound):
          trf AS (SELECT coalesce(sum(amount_brl), 0) AS pix_out, CAST(sum(amount_brl) AS DOUBLE) / NULLIF(count(amount_brl), 0) AS avg_out,
                         count(DISTINCT user_id) AS unique_out FROM trf_completed),
          r AS (SELECT *, lower(direction) IN ('brl_to_usdc','buy','onramp') AS on_,
-                      created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS l30,
+                      created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND created_at < TIMESTAMP '{AS_OF}' AS l30,
                       coalesce(fee_amount_brl, 0) + coalesce(spread_revenue_brl, 0) AS rb,
                       coalesce(fee_amount_usdc, 0) + coalesce(spread_revenue_usdc, 0) AS ru FROM conv_used),
          r2 AS (SELECT *, CASE WHEN on_ THEN coalesce({_USD.format(x='coalesce(from_amount_brl, 0)')}, 0)

@@ -41,7 +41,7 @@ def _r(x: str, d: int) -> str:
       FROM st s JOIN ev e ON e.rn = s.rn + 1)
     SELECT e.created_at, e.id, e.side, CAST(e.s_in AS DOUBLE) AS stock_in_usdc, CAST(e.s_out AS DOUBLE) AS stock_out_usdc,
            CAST(s.q AS DOUBLE) AS position_qty_usdc, {_r('s.avg', 6)} AS avg_price_brl_per_usdc,
-           e.sell_rate AS nbs_sell_onramp_rate, e.buy_rate AS nbs_buy_offramp_rate,
+           e.sell_rate AS sell_onramp_rate, e.buy_rate AS buy_offramp_rate,
            {_r('s.pnl', 2)} AS pnl_brl, {_r('s.cum', 2)} AS pnl_cum_brl,
            CASE WHEN e.s_out > 0 AND s.before IS NOT NULL THEN {_r('(e.sell_rate - s.before) / s.before', 6)} END AS margin_sell_pct,
            CASE WHEN e.s_in > 0 AND s.before IS NOT NULL THEN {_r('(s.before - e.buy_rate) / s.before', 6)} END AS margin_buy_pct
@@ -50,8 +50,8 @@ def _position(b: Bound):
     p = scan.position_pnl(normalized(b))
     return p.select("created_at", "id", "side", dbl("stock_in_usdc").alias("stock_in_usdc"),
                     dbl("stock_out_usdc").alias("stock_out_usdc"), dbl("position_qty_usdc").alias("position_qty_usdc"),
-                    rnd("avg_price_brl_per_usdc", 6).alias("avg_price_brl_per_usdc"), "nbs_sell_onramp_rate",
-                    "nbs_buy_offramp_rate", rnd("pnl_brl", 2).alias("pnl_brl"), rnd("pnl_cum_brl", 2).alias("pnl_cum_brl"),
+                    rnd("avg_price_brl_per_usdc", 6).alias("avg_price_brl_per_usdc"), "sell_onramp_rate",
+                    "buy_offramp_rate", rnd("pnl_brl", 2).alias("pnl_brl"), rnd("pnl_cum_brl", 2).alias("pnl_cum_brl"),
                     rnd("margin_sell_pct", 6).alias("margin_sell_pct"), rnd("margin_buy_pct", 6).alias("margin_buy_pct"))
 
 
@@ -244,7 +244,8 @@ _USD = "CAST(CAST(({x}) / NULLIF(exchange_rate, 0) AS VARCHAR) AS DECIMAL(30,10)
                        sum(CASE WHEN input_mint = 'USDC' THEN CAST(input_amount AS DECIMAL(20,0)) * CAST(platform_fee_bps AS DECIMAL(5,0)) * 0.0000000001
                                 WHEN output_mint = 'USDC' THEN CAST(output_amount AS DECIMAL(20,0)) * CAST(platform_fee_bps AS DECIMAL(5,0)) * 0.0000000001
                                 ELSE 0 END) AS v FROM swap_transactions WHERE {WIN.format(c='"timestamp"')} GROUP BY 1),
-         sp AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)
+         days AS (SELECT d FROM c UNION SELECT d FROM f UNION SELECT d FROM bl UNION SELECT d FROM sw),
+         sp AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM days), (SELECT max(d) FROM days), INTERVAL 1 DAY)) AS DATE) AS d)
     SELECT sp.d AS "date", CAST(coalesce(c.v, 0) AS DOUBLE) AS daily_rev_conversion_usd,
            CAST(coalesce(f.v, 0) AS DOUBLE) AS daily_rev_card_fees_usd, CAST(coalesce(bl.v, 0) AS DOUBLE) AS daily_rev_billing_usd,
            CAST(coalesce(sw.v, 0) AS DOUBLE) AS daily_rev_swap_usd,
@@ -323,12 +324,14 @@ def _first_value(b: Bound):
 
 @query("calendar_spine_join", with_views("""
     SELECT sp.d AS signup_date, CAST(coalesce(s.new_signups, 0) AS BIGINT) AS new_signups
-    FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d) sp
+    FROM (SELECT CAST(unnest(generate_series((SELECT min(signup_date) FROM signups_daily),
+                                             (SELECT max(signup_date) FROM signups_daily), INTERVAL 1 DAY)) AS DATE) AS d) sp
     LEFT JOIN signups_daily s ON s.signup_date = sp.d""", "signups_daily"))
 def _spine_join(b: Bound):
-    from ..functions.calendar import day_spine
+    from ..functions.calendar import spine_from
     from .campaign_plans import signups_daily
-    return rv.calendar_spine_join(signups_daily(b), day_spine(b.spark, FULL_START, FULL_END, "signup_date"),
+    daily = signups_daily(b)
+    return rv.calendar_spine_join(daily, spine_from(daily, "signup_date"),
                                   "signup_date", ["new_signups"]).withColumn("new_signups",
                                                                              F.col("new_signups").cast("bigint"))
 

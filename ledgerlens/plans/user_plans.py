@@ -11,7 +11,7 @@ from .oracle_views import register, with_views
 from .ramp_plans import conversions
 from .registry import query
 
-WIN = "{c} >= TIMESTAMP '1995-01-01' AND {c} < TIMESTAMP '2002-01-01'"
+WIN = "TRUE"  # the plans read all rows; a window is a parameter of the operators
 
 
 def cohort_base(b: Bound):
@@ -471,14 +471,15 @@ def _daily_signups(b: Bound):
     SELECT count(*) FILTER (WHERE last_active_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY) AS dau,
            count(*) FILTER (WHERE last_active_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS wau,
            count(*) FILTER (WHERE last_active_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS mau
-    FROM app_users WHERE status <> 'suspended'""", "app_users"))
+    FROM app_users WHERE status <> 'suspended' AND last_active_at < TIMESTAMP '{AS_OF}'""", "app_users"))
 def _activity_kpis(b: Bound):
     return users.activity_kpis(b.app_users, AS_OF)
 
 
 @query("signups_24h", with_views(f"""
     SELECT count(*) AS new_signups_24h FROM app_users
-    WHERE created_at >= TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 24 HOUR""", "app_users"))
+    WHERE created_at >= TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 24 HOUR
+      AND created_at < TIMESTAMP '1998-06-01 00:00:00'""", "app_users"))
 def _signups_24h(b: Bound):
     return users.signups_24h(b.app_users, "1998-06-01 00:00:00")
 

@@ -44,22 +44,23 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is.  Only when the
-    setting is absent (local tests) a fresh scratch folder is created.
+    A cluster names a shared folder there; it is used as is.  Where it is
+    absent, a local session (tests) gets a fresh scratch folder, and any other
+    one an error: its executors would write to disks of their own.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        path = local_scratch(spark.sparkContext.master)
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A location under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+def local_scratch(master: str) -> str:
+    """A scratch folder for a session whose executors are this process."""
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
 
 
 def ensure_python_package(spark: SparkSession) -> None:

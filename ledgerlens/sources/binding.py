@@ -20,8 +20,9 @@ SETTLED_DEPOSIT_STATES = ("completed", "settled", "confirmed")
 DEPOSIT_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 TRANSFER_PRIORITIES = ("4-NOT SPECIFIED", "5-LOW")
 USDC_MINT = "USDC"
-FULL_START = "1995-01-01"
-FULL_END = "2001-12-31"
+# Unbounded: the registered queries read all rows of their tables.
+FULL_START: str | None = None
+FULL_END: str | None = None
 AS_OF = "2001-08-01 12:00:00"
 
 

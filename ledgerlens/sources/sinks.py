@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.campaigns import classify_merchant
+from ..session import ensure_checkpoint_dir
 
 
 def spend_rows(expenses: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def new_rows(batch: DataFrame, existing: DataFrame | None, id_col: str = "id",
                                                F.struct(*order)).alias("_r"))
     dedup = first.select(id_col, "_r.*")
     if existing is not None:
-        dedup = dedup.join(existing.select(id_col).distinct(), id_col, "left_anti")
+        dedup = dedup.join(existing.select(id_col), id_col, "left_anti")
     return dedup.select(*cols)
 
 
@@ -55,6 +56,7 @@ def append_new_rows(batch: DataFrame, target_path: str, id_col: str = "id") -> t
     existing = spark.read.parquet(target_path) if _exists(spark, target_path) else None
     fresh = new_rows(batch, existing, id_col)
     # Materialise once so the counts and the write see the same rows.
+    ensure_checkpoint_dir(spark)
     fresh = fresh.checkpoint(eager=True)
     n_new = fresh.count()
     n_batch = batch.count()

@@ -3,18 +3,14 @@
 New expense CSV files dropped in a folder are read as a stream, reduced to
 ad-platform rows and appended to the spend table with the idempotent
 ``append_new_rows`` in ``foreachBatch``: a micro-batch replayed after a
-failure finds its ids already present and inserts nothing.  The stream's
-checkpoint lives under the shared checkpoint folder.
+failure finds its ids already present and inserts nothing.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import ensure_checkpoint_dir
 from ..sources.files import EXPENSE_SCHEMA
 from ..sources.sinks import append_new_rows, spend_rows
 
@@ -26,12 +22,14 @@ def spend_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: in
 
 
 def start_spend_ingest(spark: SparkSession, source_dir: str, target_path: str,
-                       checkpoint_location: str | None = None, available_now: bool = True) -> StreamingQuery:
-    ckpt = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "spend_ingest")
+                       checkpoint_location: str, available_now: bool = True) -> StreamingQuery:
+    """``checkpoint_location`` is the shared folder of this stream: a restart
+    with the same one goes on where the last run ended."""
 
     def write_batch(df: DataFrame, epoch_id: int) -> None:
         append_new_rows(df, target_path)
 
-    w = spend_stream(spark, source_dir).writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    w = spend_stream(spark, source_dir).writeStream.foreachBatch(write_batch).option("checkpointLocation",
+                                                                                               checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
