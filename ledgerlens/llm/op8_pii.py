@@ -170,6 +170,10 @@ def _strictly(kind: str):
     return lambda s: strict(kind, s["value"])
 
 
+def _possible(kind: str):
+    return _strictly(kind) if kind == "card" else lambda s: s["value"].rlike(DOMAINS)
+
+
 def _clear_of(column: str):
     """Spans that overlap none of the column."""
     return lambda s: ~F.exists(column, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -199,8 +203,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         d = d.withColumn(f"base_{kind}", F.filter(f"base_{kind}", _strictly(kind)))
         d = _found(d, "text", f"wide_{kind}", WIDE[kind], F.col("text").rlike(WIDE_HINT[kind]))
         d = d.withColumn(f"wide_{kind}", F.filter(f"wide_{kind}", _clear_of(f"base_{kind}")))
-        if kind == "card":  # a number that fails its checksum is no card, whatever else speaks for it
-            d = d.withColumn(f"wide_{kind}", F.filter(f"wide_{kind}", _strictly(kind)))
+        # A number that fails its checksum is no card, and words around "at" are no address
+        # without a known top-level domain, whatever else speaks for them.
+        if kind in ("card", "email"):
+            d = d.withColumn(f"wide_{kind}", F.filter(f"wide_{kind}", _possible(kind)))
     parts = []
     for rank, kind in enumerate(KINDS):
         for base in (True, False):

@@ -338,6 +338,15 @@ def test_personal_data_spans(spark):
     assert op8_pii.spans(empty(spark)).count() == 0
 
 
+def test_personal_data_added_spans_leave_prose_alone(spark):
+    texts = ["we looked at it.Then left at the.end", "write to jo.doe at example dot com please", "version 1 234 567",
+             "call (743) 555-3824 now", "seven 743-555-3824 times"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: [texts[r["id"]][s["start"]:s["end"]] for s in r["spans"]] for r in op8_pii.spans(df).collect()}
+    assert got[0] == [] and got[2] == []
+    assert got[1] == ["jo.doe at example dot com"] and got[3] == ["(743) 555-3824"]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_personal_data_patterns_on_noise(spark, seed):
     rnd = random.Random(seed)
