@@ -107,11 +107,20 @@ def bin_transactions(spend: DataFrame, amount: str = "amount_usd") -> DataFrame:
                     .alias("pct"))
 
 
+def _fee_sums(spend: DataFrame, threshold: float, *keys: Column) -> DataFrame:
+    """Row per (keys, model) with count and fee sum ``_s``: the four sums are made
+    in one aggregate over the transactions and unpivoted after it."""
+    fees = model_fees(F.col("amount_usd"), threshold)
+    sums = spend.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"),
+                                    *[F.sum(money(f)).alias(f"_f{i}") for i, f in enumerate(fees.values())])
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_f{i}").alias("_s")) for i, m in enumerate(fees)])
+    return sums.where("count > 0").withColumn("_rows", rows).select("*", F.inline("_rows")).drop(
+        "_rows", *[f"_f{i}" for i in range(len(fees))])
+
+
 def fee_comparison(spend: DataFrame, threshold: float = MODEL_C_THRESHOLD_DEFAULT) -> DataFrame:
     """Sum of each model's fee per tier (rounded to 2), long format."""
-    f = card_fee_models(spend, threshold)
-    g = f.where(F.col("amount_usd") >= 0).groupBy(bin_index(F.col("amount_usd")).alias("bin"), "model").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("fee").alias("_s"))
+    g = _fee_sums(spend.where(F.col("amount_usd") >= 0), threshold, bin_index(F.col("amount_usd")).alias("bin"))
     grid = _bins(spend).crossJoin(const_table(spend, ("model",), [(m,) for m in MODELS]))
     j = grid.join(g, ["bin", "model"], "left")
     return j.select("label", "model", nz("count").cast("bigint").alias("count"),
@@ -120,9 +129,8 @@ def fee_comparison(spend: DataFrame, threshold: float = MODEL_C_THRESHOLD_DEFAUL
 
 def monthly_revenue_by_model(spend: DataFrame, threshold: float = MODEL_C_THRESHOLD_DEFAULT) -> DataFrame:
     """Total fee / observed days * 30, per model."""
-    f = card_fee_models(spend, threshold).groupBy("model").agg(F.sum("fee").alias("_t"))
-    return f.crossJoin(F.broadcast(observed_days(spend))).select(
-        "model", rnd(dbl("_t") / dbl("n_days") * 30, 2).alias("monthly_revenue_usd"))
+    return _fee_sums(spend, threshold).crossJoin(F.broadcast(observed_days(spend))).select(
+        "model", rnd(dbl("_s") / dbl("n_days") * 30, 2).alias("monthly_revenue_usd"))
 
 
 def fee_coverage(monthly: DataFrame, cost_usd: float = INVOICE_COST_DEFAULT) -> DataFrame:
@@ -301,11 +309,13 @@ def growth_scenarios(spend: DataFrame, tx_mults, size_mults, labels,
     the scaled median ticket; long format."""
     sc = const_table(spend, ("scenario", "tx_mult", "size_mult"),
                      [(lab, float(t), float(s)) for lab, t, s in zip(labels, tx_mults, size_mults)])
-    x = spend.where(F.col(amount).isNotNull()).crossJoin(F.broadcast(sc))
-    scaled = F.col(amount) * F.col("size_mult").cast("decimal(10,4)")
-    fees = model_fees(scaled, threshold)
-    arr = F.array(*[F.struct(F.lit(m).alias("model"), money(f).alias("fee")) for m, f in fees.items()])
-    g = x.select("scenario", F.inline(arr)).groupBy("scenario", "model").agg(F.sum("fee").alias("_t"))
+    # One aggregate over the transactions with a sum for each scenario and model.
+    sums = []
+    for lab, size in zip(labels, size_mults):
+        fees = model_fees(F.col(amount) * F.lit(float(size)).cast("decimal(10,4)"), threshold)
+        sums += [F.struct(F.lit(lab).alias("scenario"), F.lit(m).alias("model"), F.sum(money(f)).alias("_t"))
+                 for m, f in fees.items()]
+    g = spend.where(F.col(amount).isNotNull()).agg(F.array(*sums).alias("_s")).select(F.inline("_s")).where("_t IS NOT NULL")
     med = exact_percentiles(spend, amount, {"_med": 0.5})
     j = g.join(sc, "scenario").crossJoin(observed_days(spend)).crossJoin(med)
     return j.select("scenario", "tx_mult", "size_mult", rnd(F.col("_med") * F.col("size_mult"), 2).alias("avg_ticket_usd"),
