@@ -37,7 +37,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder and read
     back: cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
