@@ -128,14 +128,13 @@ def cohort_semi_join(facts: DataFrame, cohort: DataFrame, user: str = "user_id")
     return facts.join(cohort.withColumnRenamed("user_id", user), user, "inner")
 
 
-def user_revenue(conv: DataFrame, card_fees: DataFrame, billing: DataFrame, swaps: DataFrame,
-                 cashback: DataFrame, rev_share: DataFrame, fx: DataFrame, include_swaps: bool = False) -> DataFrame:
-    """All-time per-user revenue terms (USD) used by the cohort queries; each
-    input is a per-user aggregate (user_id, value)."""
+def user_revenue(conv: DataFrame, streams: DataFrame, fx: DataFrame, include_swaps: bool = False) -> DataFrame:
+    """All-time per-user revenue terms (USD) used by the cohort queries: the
+    conversion revenue of each user (brl, usdc) and the wide sums of the other
+    streams (see ``users.ledger_sums``)."""
     onr = conv.crossJoin(F.broadcast(fx.select("fx_rate"))).select(
         "user_id", money(fine(safe_div("brl", "fx_rate")) + nz("usdc")).alias("onramp_rev_usd"))
-    parts = [onr, card_fees, billing, swaps, cashback, rev_share]
-    j = reduce(lambda a, b: a.join(b, "user_id", "full_outer"), parts)
+    j = onr.join(streams, "user_id", "full_outer")
     cols = ["onramp_rev_usd", "card_fee_usd", "billing_usd", "swap_fee_usd", "cashback_usd", "revenue_share_usd"]
     j = j.select("user_id", *[money(nz(c)).alias(c) for c in cols])
     if not include_swaps:

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,45 +13,51 @@ from ..functions.money import dbl, fine, mean_exact, money, nz, r6, safe_div
 from .users import DEFAULT_INVOICE_USD, KYC_COST_USD
 
 
-def user_monthly_ltv(conv_monthly: DataFrame, streams: dict[str, DataFrame], card_monthly: DataFrame,
-                     base: DataFrame, fx: DataFrame, invoice_total: float = DEFAULT_INVOICE_USD,
-                     kyc_cost: float = KYC_COST_USD, months: str = "conversions") -> DataFrame:
+MONTH_TERMS = ("card_fee_usd", "billing_usd", "swap_fee_usd", "cashback_usd", "revenue_share_usd")
+
+
+def merge_month_streams(streams: dict[str, DataFrame], card_monthly: DataFrame) -> DataFrame:
+    """Separate (user_id, month, value) streams and the card counts as one wide
+    frame per (user, month), by one aggregate over their union."""
+    parts = [df.select("user_id", "month", F.col("value").alias(name)) for name, df in streams.items()]
+    parts.append(card_monthly.select("user_id", "month", "n_card_txns"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy("user_id", "month").agg(*[money(F.sum(n)).alias(n) for n in streams],
+                                                F.sum("n_card_txns").alias("n_card_txns"))
+
+
+def user_monthly_ltv(conv_monthly: DataFrame, streams: dict[str, DataFrame] | DataFrame,
+                     card_monthly: DataFrame | None, base: DataFrame, fx: DataFrame,
+                     invoice_total: float = DEFAULT_INVOICE_USD, kyc_cost: float = KYC_COST_USD,
+                     months: str = "conversions", card_total: DataFrame | None = None) -> DataFrame:
     """Long table per (user, month since signup): net and gross revenue, the
     streams and running net / gross.
 
     conv_monthly: (user_id, month, conversion_revenue_brl, conversion_revenue_usdc);
     streams: name -> (user_id, month, value) for card_fee_usd, billing_usd,
-    swap_fee_usd, cashback_usd, revenue_share_usd; card_monthly: (user_id,
-    month, n_card_txns); base: (user_id, signup_date, acquisition_source);
-    fx: one row with fx_rate.  ``months="conversions"`` keeps the months that
-    have a conversion (the original rule: card-only months are not counted);
-    ``months="all_streams"`` keeps every (user, month) present in any stream.
-    The KYC cost is charged once in the first active month.
+    swap_fee_usd, cashback_usd, revenue_share_usd with card_monthly (user_id,
+    month, n_card_txns), or one wide frame per (user, month) with all six columns
+    and card_monthly None; base: one row per user (user_id, signup_date,
+    acquisition_source); fx: one row with fx_rate; card_total: one row with the
+    card transactions of all users (n_card_txns), summed here if not given.
+    ``months="conversions"`` keeps the months that have a conversion (the
+    original rule: card-only months are not counted); ``months="all_streams"``
+    keeps every (user, month) present in any stream.  The KYC cost is charged
+    once in the first active month.
     """
-    if months == "all_streams":
-        keys = [conv_monthly.select("user_id", "month")] + [s.select("user_id", "month") for s in streams.values()]
-        keys.append(card_monthly.select("user_id", "month"))
-        allm = keys[0]
-        for k in keys[1:]:
-            allm = allm.unionByName(k)
-        conv_monthly = allm.distinct().join(conv_monthly, ["user_id", "month"], "left")
-    elif months != "conversions":
+    if months not in ("conversions", "all_streams"):
         raise ValueError("months must be 'conversions' or 'all_streams'")
-    m = conv_monthly.crossJoin(F.broadcast(fx.select("fx_rate"))).select(
-        "user_id", "month",
-        money(nz(fine(safe_div("conversion_revenue_brl", "fx_rate"))) + nz("conversion_revenue_usdc")).alias("conv_usd"))
-    for name in ("card_fee_usd", "billing_usd", "swap_fee_usd", "cashback_usd", "revenue_share_usd"):
-        s = streams[name].select("user_id", "month", F.col("value").alias(name))
-        m = m.join(s, ["user_id", "month"], "left")
-    m = m.select("user_id", "month", "conv_usd",
-                 *[money(nz(c)).alias(c) for c in ("card_fee_usd", "billing_usd", "swap_fee_usd", "cashback_usd",
-                                                   "revenue_share_usd")])
+    wide = merge_month_streams(streams, card_monthly) if isinstance(streams, dict) else streams
+    m = conv_monthly.join(wide, ["user_id", "month"], "left" if months == "conversions" else "full_outer")
     # Cost per card transaction = invoice / all transactions (one-row aggregate).
-    cpt = card_monthly.agg(F.sum("n_card_txns").alias("_t")).select(
-        (F.lit(float(invoice_total)) / F.greatest(F.coalesce(dbl("_t"), F.lit(0.0)), F.lit(1.0))).alias("_cpt"))
-    cost = card_monthly.crossJoin(F.broadcast(cpt)).select(
-        "user_id", "month", money(fine(dbl("n_card_txns") * F.col("_cpt"))).alias("card_cost_usd"))
-    m = m.join(cost, ["user_id", "month"], "left").withColumn("card_cost_usd", money(nz("card_cost_usd")))
+    total = card_total if card_total is not None else wide.agg(F.sum("n_card_txns").alias("n_card_txns"))
+    cpt = total.select((F.lit(float(invoice_total)) / F.greatest(F.coalesce(dbl("n_card_txns"), F.lit(0.0)), F.lit(1.0)))
+                       .alias("_cpt"))
+    m = m.crossJoin(F.broadcast(fx.select("fx_rate"))).crossJoin(F.broadcast(cpt)).select(
+        "user_id", "month",
+        money(nz(fine(safe_div("conversion_revenue_brl", "fx_rate"))) + nz("conversion_revenue_usdc")).alias("conv_usd"),
+        *[money(nz(c)).alias(c) for c in MONTH_TERMS],
+        money(nz(fine(dbl("n_card_txns") * F.col("_cpt")))).alias("card_cost_usd"))
     gross = money(money(money(F.col("conv_usd") + F.col("card_fee_usd")) + F.col("billing_usd"))
                   + F.col("swap_fee_usd"))
     m = m.withColumn("gross_revenue_usd", gross)
@@ -75,15 +83,21 @@ def user_monthly_ltv(conv_monthly: DataFrame, streams: dict[str, DataFrame], car
                     money(F.sum("gross_revenue_usd").over(run)).alias("cum_gross_ltv"))
 
 
-def _active_per_cohort(ltv: DataFrame) -> DataFrame:
-    return ltv.groupBy("signup_month").agg(F.count_distinct("user_id").alias("n_active_users"))
+def _cells(ltv: DataFrame, *aggs) -> DataFrame:
+    """One aggregate per (cohort, month offset): users present and the given
+    terms, beside the cohort's ever-active users.  A user has one row a month and
+    one first month, so the first months of a cohort's cells (calendar-bounded)
+    add up to its users without a second pass."""
+    known = F.col("user_id").isNotNull()
+    cells = ltv.groupBy("signup_month", "months_since_signup").agg(
+        F.count("user_id").alias("active_users"), F.count_if(F.col("kyc_deducted") & known).alias("_first"), *aggs)
+    return cells.withColumn("n_active_users", F.sum("_first").over(Window.partitionBy("signup_month")))
 
 
 def cohort_ltv(ltv: DataFrame, value: str = "cum_ltv") -> DataFrame:
     """Sum of running value over users present at (cohort, offset) divided by
     the cohort's ever-active users."""
-    cells = ltv.groupBy("signup_month", "months_since_signup").agg(F.sum(value).alias("_s"))
-    return cells.join(_active_per_cohort(ltv), "signup_month").select(
+    return _cells(ltv, F.sum(value).alias("_s")).select(
         "signup_month", "months_since_signup", r6(safe_div("_s", "n_active_users")).alias("ltv_usd"))
 
 
@@ -92,23 +106,19 @@ def cohort_total_profit(ltv: DataFrame) -> DataFrame:
 
 
 def cohort_active_users(ltv: DataFrame) -> DataFrame:
-    return ltv.groupBy("signup_month", "months_since_signup").agg(
-        F.count_distinct("user_id").alias("active_users"))
+    return ltv.groupBy("signup_month", "months_since_signup").agg(F.count("user_id").alias("active_users"))
 
 
 def cohort_retention(ltv: DataFrame) -> DataFrame:
-    act = cohort_active_users(ltv)
-    return act.join(_active_per_cohort(ltv), "signup_month").select(
-        "signup_month", "months_since_signup", r6(safe_div("active_users", "n_active_users")).alias("retention"))
+    return _cells(ltv).select("signup_month", "months_since_signup",
+                              r6(safe_div("active_users", "n_active_users")).alias("retention"))
 
 
 def retention_average(ltv: DataFrame, cac_usd: float | None = None) -> DataFrame:
     """Mean over cohorts at each offset of retention and of LTV; LTV:CAC when
     a CAC is given."""
-    cells = ltv.groupBy("signup_month", "months_since_signup").agg(
-        F.count_distinct("user_id").alias("_a"), F.sum("cum_ltv").alias("_s"))
-    j = cells.join(_active_per_cohort(ltv), "signup_month").select(
-        "months_since_signup", fine(safe_div("_a", "n_active_users")).alias("_ret"),
+    j = _cells(ltv, F.sum("cum_ltv").alias("_s")).select(
+        "months_since_signup", fine(safe_div("active_users", "n_active_users")).alias("_ret"),
         fine(safe_div("_s", "n_active_users")).alias("_ltv"))
     out = j.groupBy("months_since_signup").agg(r6(mean_exact("_ret")).alias("avg_retention"),
                                                r6(mean_exact("_ltv")).alias("avg_ltv_usd"),
@@ -120,12 +130,12 @@ def retention_average(ltv: DataFrame, cac_usd: float | None = None) -> DataFrame
 
 def cohort_summary(ltv: DataFrame, users_base: DataFrame | None = None) -> DataFrame:
     g = ltv.groupBy("signup_month").agg(
-        F.count_distinct("user_id").alias("n_users"),
+        F.count_if(F.col("kyc_deducted") & F.col("user_id").isNotNull()).alias("n_users"),
         money(F.sum("gross_revenue_usd")).alias("g"), money(F.sum("revenue_usd")).alias("n"),
         money(F.sum("card_fee_usd")).alias("cf"), money(F.sum("billing_usd")).alias("bl"),
         money(F.sum("swap_fee_usd")).alias("sw"),
         F.max("months_since_signup").alias("months_observed"))
-    g = g.join(_active_per_cohort(ltv), "signup_month")
+    g = g.withColumn("n_active_users", F.col("n_users"))
     conv = F.col("g") - F.col("cf") - F.col("bl") - F.col("sw")
     return g.select(
         F.date_format("signup_month", "yyyy-MM").alias("cohort_month"), "n_users", "n_active_users",

@@ -9,38 +9,34 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import day_spine, in_window, spine_from
 from ..functions.money import dbl, fine, money, nz, safe_div
-from .users import acquisition_source, swap_fee_usd
+from .users import acquisition_source, ledger_rows
 
 
-def daily_revenue_by_product(conv: DataFrame, card_fees: DataFrame, billing: DataFrame, swaps: DataFrame,
-                             start: str | None = None, end: str | None = None, rate: str = "exchange_rate",
-                             usdc_mint: str = "USDC", swaps_enabled: bool = True) -> DataFrame:
+PRODUCT_STREAMS = ("card_fee_usd", "billing_usd", "swap_fee_usd")
+
+
+def daily_revenue_by_product(conv: DataFrame, ledger: DataFrame, start: str | None = None, end: str | None = None,
+                             rate: str = "exchange_rate", swaps_enabled: bool = True) -> DataFrame:
     """Zero-filled daily revenue (USD) per product over [start, end] inclusive
-    (from the first to the last day with revenue where a bound is missing):
-    four daily aggregates unioned with a source tag, pivoted by an explicit
-    list and joined to the day spine (the spine includes the end date)."""
+    (from the first to the last day with revenue where a bound is missing): the
+    conversions join the ledger as one more stream, one aggregate per day sums
+    them all and is joined to the day spine (the spine includes the end date)."""
     r = F.nullif(F.col(rate), F.lit(0))
     conv_usd = (nz(fine(safe_div(nz("fee_amount_brl"), r))) + nz("fee_amount_usdc")
                 + nz(fine(safe_div(nz("spread_revenue_brl"), r))) + nz("spread_revenue_usdc"))
-    parts = [
-        conv.where(in_window("created_at", start, end)).select(F.to_date("created_at").alias("date"),
-                                                              money(conv_usd).alias("v"), F.lit("conversion").alias("src")),
-        card_fees.where((F.col("status") == "paid") & in_window("created_at", start, end)).select(
-            F.to_date("created_at").alias("date"), money("amount_usdc").alias("v"), F.lit("card_fees").alias("src")),
-        billing.where((F.col("status") == "settled") & in_window("created_at", start, end)).select(
-            F.to_date("created_at").alias("date"), money(F.col("amount").cast("decimal(20,0)") * F.expr("0.000001")).alias("v"),
-            F.lit("billing").alias("src")),
-        swaps.where(in_window("timestamp", start, end)).select(
-            F.to_date("timestamp").alias("date"), money(swap_fee_usd(usdc_mint)).alias("v"), F.lit("swap").alias("src")),
-    ]
-    u = reduce(lambda a, b: a.unionByName(b), parts if swaps_enabled else parts[:-1])
-    srcs = ("conversion", "card_fees", "billing", "swap")
-    g = u.groupBy("date").agg(*[F.sum(F.when(F.col("src") == s, F.col("v"))).alias(s) for s in srcs])
+    streams = PRODUCT_STREAMS if swaps_enabled else PRODUCT_STREAMS[:-1]
+    own = conv.where(in_window("created_at", start, end)).select(
+        F.to_date("created_at").alias("date"), money(conv_usd).alias("conversion"))
+    other = ledger_rows(ledger, streams, start, end).select(F.to_date("ts").alias("date"), *streams)
+    srcs = ("conversion", *streams)
+    g = own.unionByName(other, allowMissingColumns=True).groupBy("date").agg(*[F.sum(c).alias(c) for c in srcs])
+    if not swaps_enabled:
+        g = g.withColumn("swap_fee_usd", money(F.lit(0)))
     sp = day_spine(conv.sparkSession, start, end, "date") if start and end else spine_from(g, "date")
     j = sp.join(g, "date", "left")
-    cols = {"daily_rev_conversion_usd": "conversion", "daily_rev_card_fees_usd": "card_fees",
-            "daily_rev_billing_usd": "billing", "daily_rev_swap_usd": "swap"}
-    total = reduce(lambda a, b: money(a + b), [money(nz(s)) for s in srcs])
+    cols = {"daily_rev_conversion_usd": "conversion", "daily_rev_card_fees_usd": "card_fee_usd",
+            "daily_rev_billing_usd": "billing_usd", "daily_rev_swap_usd": "swap_fee_usd"}
+    total = reduce(lambda a, b: money(a + b), [money(nz(s)) for s in cols.values()])
     return j.select("date", *[dbl(money(nz(src))).alias(name) for name, src in cols.items()],
                     dbl(total).alias("daily_rev_usd"))
 
@@ -71,12 +67,10 @@ def card_revenue_monthly(fees_m: DataFrame, billing_m: DataFrame) -> DataFrame:
                     dbl(nz("annual_fee_usd") + nz("billing_usd")).alias("card_revenue_usd"))
 
 
-def merge_monthly_streams(base: DataFrame, streams: dict[str, DataFrame]) -> DataFrame:
-    """Left join (user_id, month) streams onto the monthly base; gaps -> 0."""
-    out = base
-    for name, s in streams.items():
-        out = out.join(s.select("user_id", "month", F.col("value").alias(name)), ["user_id", "month"], "left")
-    return out.select(*base.columns, *[money(nz(n)).alias(n) for n in streams])
+def merge_monthly_streams(base: DataFrame, streams: DataFrame) -> DataFrame:
+    """Left join of the wide (user_id, month) streams onto the monthly base; gaps -> 0."""
+    names = [c for c in streams.columns if c not in ("user_id", "month")]
+    return base.join(streams, ["user_id", "month"], "left").select(*base.columns, *[money(nz(n)).alias(n) for n in names])
 
 
 def self_first_value_join(df: DataFrame, key: str, value: str, name: str = "first_value") -> DataFrame:

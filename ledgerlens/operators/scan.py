@@ -15,8 +15,10 @@ prefix sum).  It is computed as a distributed three-pass scan:
    incoming average, 'has average' flag and cumulative PnL;
 4. pass 3: every row is computed locally from its partition's carry.
 
-Tasks only ever hold one partition; the folds run over one row per
-partition.  Keys (e.g. user or currency) restart the state.
+Tasks hold one Arrow batch and the state of the current key: a partition
+arrives in order, so every pass runs on from batch to batch and memory does not
+grow with the partition.  The folds run over one row per partition.  Keys (e.g.
+user or currency) restart the state.
 """
 
 from __future__ import annotations
@@ -77,6 +79,65 @@ def _segments(pdf: pd.DataFrame, keys):
     return list(zip([0, *at], [*at, n]))
 
 
+def _summary(batches, keys, begin, step, finish):
+    """One row about an ordered partition: its first and last key, whether it
+    holds a single key, and the state of its last key, folded batch by batch.
+    ``begin(row, first)`` gives the state before a key's rows (``first``: the
+    partition's first key), ``step(state, rows)`` the state after some of them."""
+    pid = first = last = state = None
+    n_keys = 0
+    for pdf in batches:
+        for s, e in _segments(pdf, keys) if len(pdf) else ():
+            key = _key_of(pdf, keys, s)
+            if key != last:
+                n_keys += 1
+                state = begin(pdf.iloc[s], n_keys == 1)
+            if n_keys == 1 and first is None:
+                first, pid = key, int(pdf["_pid"].iat[s])
+            last = key
+            state = step(state, pdf.iloc[s:e])
+    if n_keys:
+        yield pd.DataFrame([{"_pid": pid, "single": n_keys == 1, **{f"f_{k}": v for k, v in zip(keys, first)},
+                             **{f"l_{k}": v for k, v in zip(keys, last)}, **finish(state)}])
+
+
+def _quantities(rows: pd.DataFrame, q: int):
+    """Bought and sold micros and the quantity before each row, from the entering one."""
+    qin, qout = rows["_in"].to_numpy(dtype="int64"), rows["_out"].to_numpy(dtype="int64")
+    after = q + np.cumsum(qin - qout)
+    return qin, qout, after - qin + qout, after
+
+
+def _compose(state, rows: pd.DataFrame):
+    """Affine map of the average over some rows (avg -> a * avg + b), with the
+    quantity and whether anything was bought."""
+    q, a, b, bought = state
+    qin, _, before, after = _quantities(rows, q)
+    buys = qin > 0
+    if buys.any():
+        total = (before + qin)[buys].astype(float)
+        price = rows["_price"].fillna(0.0).to_numpy(dtype=float)[buys]
+        held = total > 0
+        safe = np.where(held, total, 1.0)
+        a_i = np.where(held, before[buys] / safe, 0.0)
+        b_i = np.where(held, qin[buys] * price / safe, price)
+        later = np.append(np.cumprod(a_i[::-1])[::-1], 1.0)  # product of the maps from each row on
+        a, b = float(later[0] * a), float(later[0] * b + (b_i * later[1:]).sum())
+    return int(after[-1]), a, b, bool(bought or buys.any())
+
+
+def _averages(qin, before, price, avg):
+    """Average after each purchase, in order (the first entry is the one
+    before all of them; NaN where there is none)."""
+    out = [float("nan") if avg is None else avg]
+    for n, q, p in zip(qin.tolist(), before.tolist(), price.tolist()):
+        total = q + n
+        p = p if p == p else 0.0
+        avg = ((q / MICRO) * (avg or 0.0) + (n / MICRO) * p) / (total / MICRO) if total > 0 else p
+        out.append(avg)
+    return np.array(out), avg
+
+
 def _fold(summary: pd.DataFrame, keys, init: dict, step) -> pd.DataFrame:
     """Sequential fold over partitions (one row each, ordered by pid) giving
     the state entering each partition's first key segment."""
@@ -109,24 +170,15 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
     ordered = ordered.checkpoint(eager=True)
     key_fields = [f for f in ordered.schema.fields if f.name in keys]
 
-    # ---- pass 1: quantity change of each partition's last key segment
-    def pass1(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            segs = _segments(pdf, keys)
-            s, e = segs[-1]
-            yield pd.DataFrame([{
-                "_pid": int(pdf["_pid"].iat[0]), "single": len(segs) == 1,
-                **{f"f_{k}": v for k, v in zip(keys, _key_of(pdf, keys, 0))},
-                **{f"l_{k}": v for k, v in zip(keys, _key_of(pdf, keys, len(pdf) - 1))},
-                "dq": int((pdf["_in"].iloc[s:e] - pdf["_out"].iloc[s:e]).sum())}])
+    # ---- pass 1: quantity change of each partition's last key
+    def pass1(batches):
+        return _summary(batches, keys, lambda row, first: 0,
+                        lambda dq, rows: dq + int((rows["_in"] - rows["_out"]).sum()), lambda dq: {"dq": dq})
 
     sum_schema = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("single", T.BooleanType())]
                               + [T.StructField(f"f_{f.name}", f.dataType) for f in key_fields]
                               + [T.StructField(f"l_{f.name}", f.dataType) for f in key_fields])
-    s1 = ordered.mapInPandas(lambda it: _partition_summaries(it, pass1),
-                             T.StructType(sum_schema.fields + [T.StructField("dq", T.LongType())]))
+    s1 = ordered.mapInPandas(pass1, T.StructType(sum_schema.fields + [T.StructField("dq", T.LongType())]))
 
     def fold_q(pdf_iter):
         pdf = _gathered(pdf_iter)
@@ -137,48 +189,15 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
     carry_q = s1.coalesce(1).mapInPandas(fold_q, "_pid int, c_q long")
     with_q = ordered.join(F.broadcast(carry_q), "_pid", "left")
 
-    # ---- pass 2: composed average map and PnL coefficients per partition
-    def seg_arrays(pdf, s, e, q0):
-        qin = pdf["_in"].iloc[s:e].to_numpy()
-        qout = pdf["_out"].iloc[s:e].to_numpy()
-        q_after = q0 + (qin - qout).cumsum()
-        q_before = q_after - qin + qout
-        return qin, qout, q_before, q_after
-
-    def coeffs(pdf, s, e, q0):
-        """Per row: avg after the row as A_i*avg_in + B_i; buy flag."""
-        qin, qout, q_before, _ = seg_arrays(pdf, s, e, q0)
-        price = pdf["_price"].iloc[s:e].fillna(0.0).tolist()
-        a_prev, b_prev = 1.0, 0.0
-        A, B = [], []
-        for i in range(e - s):
-            if qin[i] > 0:
-                tot = float(q_before[i] + qin[i])
-                if tot > 0:
-                    a = float(q_before[i]) / tot
-                    b = float(qin[i]) * price[i] / tot
-                else:
-                    a, b = 0.0, price[i]
-                a_prev, b_prev = a * a_prev, a * b_prev + b
-            A.append(a_prev)
-            B.append(b_prev)
-        return A, B, qin, qout
-
-    def pass2(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            segs = _segments(pdf, keys)
-            s, e = segs[-1]
-            q0 = int(pdf["c_q"].iat[0]) if (len(segs) == 1 and pd.notna(pdf["c_q"].iat[0])) else 0
-            A, B, qin, _ = coeffs(pdf, s, e, q0)
-            yield pd.DataFrame([{
-                "_pid": int(pdf["_pid"].iat[0]), "single": len(segs) == 1,
-                **{f"f_{k}": v for k, v in zip(keys, _key_of(pdf, keys, 0))},
-                **{f"l_{k}": v for k, v in zip(keys, _key_of(pdf, keys, len(pdf) - 1))},
-                "A": A[-1], "B": B[-1], "any_buy": bool((qin > 0).any())}])
-
-    s2 = with_q.mapInPandas(lambda it: _partition_summaries(it, pass2), T.StructType(
+    # ---- pass 2: composed average map of each partition's last key
+    def entering(row, column, default):
+        return default if pd.isna(row[column]) else row[column]
+
+    def pass2(batches):
+        return _summary(batches, keys, lambda row, first: (int(entering(row, "c_q", 0)) if first else 0, 1.0, 0.0, False),
+                        _compose, lambda st: {"A": st[1], "B": st[2], "any_buy": st[3]})
+
+    s2 = with_q.mapInPandas(pass2, T.StructType(
         sum_schema.fields + [T.StructField(c, T.DoubleType()) for c in ("A", "B")]
         + [T.StructField("any_buy", T.BooleanType())]))
 
@@ -202,58 +221,45 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
         T.StructField("_avg_before", T.DoubleType()), T.StructField("_seg0", T.BooleanType())]
     out_schema = T.StructType(out_fields)
 
-    def pass3(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            segs = _segments(pdf, keys)
-            res = []
-            for si, (s, e) in enumerate(segs):
-                first = si == 0
-                q0 = int(pdf["c_q"].iat[0]) if first and pd.notna(pdf["c_q"].iat[0]) else 0
-                has = bool(pdf["c_has"].iat[0]) if first and pd.notna(pdf["c_has"].iat[0]) else False
-                avg = float(pdf["c_avg"].iat[0]) if first and has else None
-                cum = 0
-                qin = pdf["_in"].iloc[s:e].tolist()
-                qout = pdf["_out"].iloc[s:e].tolist()
-                price = pdf["_price"].iloc[s:e].tolist()
-                sell = pdf["sell_onramp_rate"].iloc[s:e].tolist()
-                q = q0
-                for i in range(e - s):
-                    before = avg
-                    if qin[i] > 0:
-                        tot = q + qin[i]
-                        p = price[i] if price[i] == price[i] and price[i] is not None else 0.0
-                        avg = ((q / MICRO) * (avg or 0.0) + (qin[i] / MICRO) * p) / (tot / MICRO) if tot > 0 else p
-                        q = tot
-                    if qout[i] > 0:
-                        q -= qout[i]
-                    pnl = 0
-                    if qout[i] > 0 and before is not None and sell[i] is not None and sell[i] == sell[i]:
-                        pnl = round((sell[i] - before) * (qout[i] / MICRO) * PNL_SCALE)
-                    cum += pnl
-                    res.append((q, avg, pnl, cum, before, first))
-            extra = pd.DataFrame(res, columns=["_q", "_avg", "_pnl", "_pnl_cum", "_avg_before", "_seg0"])
-            base = pdf[[f.name for f in out_fields[:-6]]].reset_index(drop=True)
-            yield pd.concat([base, extra], axis=1)
-
-    rows = full.mapInPandas(lambda it: _partition_summaries(it, pass3), out_schema).checkpoint(eager=True)
+    def pass3(batches):
+        last, n_keys = None, 0
+        q, avg, cum = 0, None, 0
+        for pdf in batches:
+            parts = []
+            for s, e in _segments(pdf, keys) if len(pdf) else ():
+                part, key = pdf.iloc[s:e], _key_of(pdf, keys, s)
+                if key != last:
+                    n_keys += 1
+                    q, avg, cum = 0, None, 0
+                    if n_keys == 1:
+                        row = pdf.iloc[s]
+                        q = int(entering(row, "c_q", 0))
+                        avg = float(row["c_avg"]) if entering(row, "c_has", False) else None
+                last = key
+                qin, qout, before, after = _quantities(part, q)
+                buys = qin > 0
+                price = part["_price"].to_numpy(dtype=float)
+                averages, avg = _averages(qin[buys], before[buys], price[buys], avg)
+                n_buys = np.cumsum(buys)
+                avg_before = averages[n_buys - buys]
+                gain = (part["sell_onramp_rate"].to_numpy(dtype=float) - avg_before) * (qout / MICRO) * PNL_SCALE
+                pnl = np.where((qout > 0) & ~np.isnan(gain), np.rint(np.nan_to_num(gain)), 0).astype("int64")
+                run = cum + np.cumsum(pnl)
+                q, cum = int(after[-1]), int(run[-1])
+                parts.append(pd.DataFrame({"_q": after, "_avg": averages[n_buys], "_pnl": pnl, "_pnl_cum": run,
+                                           "_avg_before": avg_before, "_seg0": n_keys == 1}))
+            if parts:
+                base = pdf[[f.name for f in out_fields[:-6]]].reset_index(drop=True)
+                yield pd.concat([base, pd.concat(parts, ignore_index=True)], axis=1)
+
+    rows = full.mapInPandas(pass3, out_schema).checkpoint(eager=True)
 
     # ---- cumulative PnL carried across partitions (same per-row rounding)
-    def pass4(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            segs = _segments(pdf, keys)
-            s, e = segs[-1]
-            yield pd.DataFrame([{
-                "_pid": int(pdf["_pid"].iat[0]), "single": len(segs) == 1,
-                **{f"f_{k}": v for k, v in zip(keys, _key_of(pdf, keys, 0))},
-                **{f"l_{k}": v for k, v in zip(keys, _key_of(pdf, keys, len(pdf) - 1))},
-                "dp": int(pdf["_pnl"].iloc[s:e].sum())}])
-
-    s4 = rows.mapInPandas(lambda it: _partition_summaries(it, pass4),
-                          T.StructType(sum_schema.fields + [T.StructField("dp", T.LongType())]))
+    def pass4(batches):
+        return _summary(batches, keys, lambda row, first: 0, lambda dp, part: dp + int(part["_pnl"].sum()),
+                        lambda dp: {"dp": dp})
+
+    s4 = rows.mapInPandas(pass4, T.StructType(sum_schema.fields + [T.StructField("dp", T.LongType())]))
 
     def fold_pnl(pdf_iter):
         pdf = _gathered(pdf_iter)
@@ -278,12 +284,3 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
         F.when((F.col("_in") > 0) & avg_b.isNotNull(),
                (avg_b - F.col("buy_offramp_rate")) / avg_b).alias("margin_buy_pct"))
 
-
-def _partition_summaries(it, fn):
-    """mapInPandas may hand one partition over in several Arrow batches; gather
-    the partition (bounded by the range partitioning) before summarising."""
-    batches = [b for b in it if not b.empty]
-    if not batches:
-        return
-    pdf = pd.concat(batches, ignore_index=True)
-    yield from fn(iter([pdf]))

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from ..functions.money import dbl, fine, mean_exact, r6, rnd, safe_div
 from ..session import ensure_checkpoint_dir, ensure_python_package
 
+#: Rows folded at a time, so that the output grows by blocks and not by single values.
+EWMA_BLOCK = 64
 EWMA_SPAN = 7
 FORECAST_DAYS = 5
 Z_95 = 1.96
@@ -25,15 +27,23 @@ def ewma_fit(daily: DataFrame, value: str, date: str = "date", keys: tuple[str,
     w = 1.0 - 2.0 / (span + 1)
     g = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"),
                                                                        dbl(value).alias("v")))).alias("_s"))
-    init = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"),
-                    F.array().cast("array<double>").alias("out"))
+    none = F.array().cast("array<double>")
+
+    def state(num, den, out):
+        return F.struct(num.alias("num"), den.alias("den"), out.alias("out"))
 
     def step(acc, x):
         num = x["v"] + F.lit(w) * acc["num"]
         den = F.lit(1.0) + F.lit(w) * acc["den"]
-        return F.struct(num.alias("num"), den.alias("den"), F.concat(acc["out"], F.array(num / den)).alias("out"))
+        return state(num, den, F.concat(acc["out"], F.array(num / den)))
+
+    def block(acc, first):
+        done = F.aggregate(F.slice("_s", first, F.lit(EWMA_BLOCK)), state(acc["num"], acc["den"], none), step)
+        return state(done["num"], done["den"], F.concat(acc["out"], done["out"]))
 
-    folded = g.select(*keys, "_s", F.aggregate("_s", init, step)["out"].alias("_e"))
+    starts = F.sequence(F.lit(1), F.size("_s"), F.lit(EWMA_BLOCK))
+    folded = g.where(F.size("_s") > 0).select(
+        *keys, "_s", F.aggregate(starts, state(F.lit(0.0), F.lit(0.0), none), block)["out"].alias("_e"))
     rows = folded.select(*keys, F.inline(F.arrays_zip(F.col("_s").alias("s"), F.col("_e").alias("e"))))
     rows = rows.select(*keys, F.col("s.d").alias(date), F.col("s.v").alias(value), F.col("e").alias("ewm"))
     rows = rows.withColumn("residual", F.col(value) - F.col("ewm"))
@@ -135,7 +145,8 @@ def ordered_prefix(df: DataFrame, order_desc: str, tie: str, value: str, scale:
     Range-partitioned and checkpointed so partitions are contiguous; per
     partition counts and sums (one row each) give offsets; each partition then
     adds its offset to a local cumulative sum (exact, in integer units of
-    1/scale).  No task ever holds more than one partition."""
+    1/scale), carried from one Arrow batch to the next.  No task holds more than
+    one batch."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ensure_python_package(spark)
@@ -153,15 +164,16 @@ def ordered_prefix(df: DataFrame, order_desc: str, tie: str, value: str, scale:
     schema = T.StructType([f for f in j.schema.fields] + [T.StructField("rank", T.LongType()),
                                                           T.StructField("_cum", T.LongType())])
 
-    def local(it):
-        batches = [b for b in it if not b.empty]
-        if not batches:
-            return
-        pdf = pd.concat(batches, ignore_index=True)
-        pdf = pdf.sort_values(["_v", tie], ascending=[False, True], kind="stable").reset_index(drop=True)
-        pdf["rank"] = pdf["_on"].astype("int64") + pd.RangeIndex(1, len(pdf) + 1)
-        pdf["_cum"] = pdf["_os"].astype("int64") + pdf["_u"].astype("int64").cumsum()
-        yield pdf
+    def local(batches):
+        # The partition arrives in order: rank and sum run on from batch to batch.
+        rank = total = 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf["rank"] = pdf["_on"].astype("int64") + rank + pd.RangeIndex(1, len(pdf) + 1)
+            pdf["_cum"] = pdf["_os"].astype("int64") + total + pdf["_u"].astype("int64").cumsum()
+            rank, total = rank + len(pdf), total + int(pdf["_u"].sum())
+            yield pdf
 
     tot = per.agg(F.sum("_n").alias("n_total"), F.sum("_s").alias("units_total"))
     return j.mapInPandas(local, schema).select(tie, F.col("_v").alias(value), "rank",

@@ -161,6 +161,46 @@ def swaps_per_user(swaps: DataFrame, usdc_mint: str = "USDC", enabled: bool = Fa
                                         F.count(F.lit(1)).alias("n_swaps"))
 
 
+# ------------------------------------------------------- ledger of streams
+def stream_ledger(streams: dict[str, DataFrame]) -> DataFrame:
+    """Separate streams of (user_id, ts, value) as one wide frame: a row per
+    event with its value in the column of its stream and null in the others."""
+    parts = [df.select("user_id", "ts", F.col("value").alias(name)) for name, df in streams.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def ledger_rows(ledger: DataFrame, names, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The window's rows with a value in at least one of the named streams."""
+    known = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names])
+    return ledger.where(in_window("ts", start, end) & known)
+
+
+def ledger_month() -> Column:
+    return F.trunc(F.to_date("ts"), "month").alias("month")
+
+
+def ledger_sums(ledger: DataFrame, names, by=("user_id",), start: str | None = None,
+                end: str | None = None) -> DataFrame:
+    """Sums of the named streams per key: one aggregate (one shuffle) however
+    many streams there are.  A stream without an event of the key is null;
+    ``n_*`` streams are counts, the others money."""
+    total = lambda n: F.sum(n) if n.startswith("n_") else money(F.sum(n))
+    return ledger_rows(ledger, names, start, end).groupBy(*by).agg(*[total(n).alias(n) for n in names])
+
+
+def ledger_long(sums: DataFrame, names, keys) -> DataFrame:
+    """Wide sums -> (keys, stream, value), without the streams a key lacks."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("stream"), dbl(n).alias("value")) for n in names])
+    return sums.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull())
+
+
+def with_grand_total(per_user: DataFrame, count: str, total: DataFrame, name: str) -> DataFrame:
+    """The grand total (a one-row frame with column ``name``, broadcast) beside
+    the counts; 0 for users without a count."""
+    j = per_user.crossJoin(F.broadcast(total.select(F.col(name).alias("_total"))))
+    return j.withColumn(name, F.when(F.col(count) > 0, F.col("_total")).otherwise(F.lit(0))).drop("_total")
+
+
 def card_tx_share(card_tx: DataFrame, status: str = "completed", start=None, end=None,
                   ts: str = "posted_at") -> DataFrame:
     """Per-user count plus the grand total on every row.  The grand total is a
@@ -237,7 +277,7 @@ def product_adoption(master: DataFrame, mask: bool = True) -> DataFrame:
         "has_offramp": F.col("offramp_volume_usdc") > 0,
         "has_card": (F.col("card_fee_usd") > 0) | (F.col("card_tx_fee_usd") > 0),
         "has_swap": F.col("n_swaps") > 0,
-        "has_crossborder": F.lit(False),
+        "has_crossborder": F.col("payout_fee_usd") > 0 if "payout_fee_usd" in master.columns else F.lit(False),
     }
     uid = mask_user_id("user_id") if mask else F.col("user_id")
     out = master.select(uid.alias("user_id"), *[v.alias(k) for k, v in flags.items()])

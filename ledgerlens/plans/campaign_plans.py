@@ -11,7 +11,7 @@ from ..sources.binding import AS_OF, FULL_END, FULL_START, Bound
 from .oracle_views import register, with_views
 from .ramp_plans import conversions
 from .registry import query
-from .user_plans import fx_rate
+from .user_plans import fx_rate, transacting_sources
 
 AS_OF_DATE = AS_OF[:10]
 
@@ -38,20 +38,14 @@ def cohort(b: Bound):
     return cp.assign_cohort(b.app_users, campaigns(b))
 
 
+REVENUE_STREAMS = ("card_fee_usd", "billing_usd", "swap_fee_usd", "cashback_usd", "revenue_share_usd")
+
+
 def user_revenue(b: Bound):
     q = scale_minor_units(b.conversion_quotes).where(F.col("used"))
     conv = q.groupBy("user_id").agg(money(F.sum(nz("fee_amount_brl") + nz("spread_revenue_brl"))).alias("brl"),
                                     money(F.sum(nz("fee_amount_usdc") + nz("spread_revenue_usdc"))).alias("usdc"))
-    st = F.col("status")
-    cf = b.card_annual_fees.where(st == "paid").groupBy("user_id").agg(money(F.sum("amount_usdc")).alias("card_fee_usd"))
-    bl = b.billing_charges.where(st == "settled").groupBy("user_id").agg(
-        money(F.sum(F.col("amount").cast("decimal(20,0)") * F.expr("0.000001"))).alias("billing_usd"))
-    sw = b.swap_transactions.groupBy("user_id").agg(money(F.sum(users.swap_fee_usd("USDC"))).alias("swap_fee_usd"))
-    cb = b.cashback_rewards.where(st == "completed").groupBy("user_id").agg(
-        money(F.sum("reward_usd_value")).alias("cashback_usd"))
-    rs = b.revenue_share_rewards.where(st == "completed").groupBy(F.col("source_user_id").alias("user_id")).agg(
-        money(F.sum("reward_usd_value")).alias("revenue_share_usd"))
-    return cp.user_revenue(conv, cf, bl, sw, cb, rs, fx_all(b))
+    return cp.user_revenue(conv, users.ledger_sums(b.card_ledger, REVENUE_STREAMS), fx_all(b))
 
 
 def fx_all(b: Bound):
@@ -59,10 +53,7 @@ def fx_all(b: Bound):
 
 
 def transacting(b: Bound):
-    st = F.col("status")
-    return users.distinct_users([b.conversion_quotes.where(F.col("used")), b.card_annual_fees.where(st == "paid"),
-                                 b.billing_charges.where(st == "settled"), b.swap_transactions]).select(
-        F.col("user_id").cast("bigint").alias("user_id"))
+    return users.distinct_users(transacting_sources(b)).select(F.col("user_id").cast("bigint").alias("user_id"))
 
 
 def summary(b: Bound):
@@ -82,27 +73,12 @@ def signed_rows(b: Bound):
                                            F.nullif(F.col("fx_rate"), F.lit(0)))))
                           + nz("fee_amount_usdc") + nz("spread_revenue_usdc")).alias("rev_usd"),
                     F.lit("conversion").alias("src"))
-    st = F.col("status")
-    parts = [
-        conv,
-        b.card_annual_fees.where(st == "paid").select("user_id", F.to_date("created_at").alias("rev_date"),
-                                                      money("amount_usdc").alias("rev_usd"), F.lit("card_fee")),
-        b.billing_charges.where(st == "settled").select(
-            "user_id", F.to_date("created_at").alias("rev_date"),
-            money(F.col("amount").cast("decimal(20,0)") * F.expr("0.000001")).alias("rev_usd"), F.lit("billing")),
-        b.swap_transactions.select("user_id", F.to_date("timestamp").alias("rev_date"),
-                                   money(users.swap_fee_usd("USDC")).alias("rev_usd"), F.lit("swap")),
-        b.cashback_rewards.where(st == "completed").select(
-            "user_id", F.to_date("created_at").alias("rev_date"), money(-F.col("reward_usd_value")).alias("rev_usd"),
-            F.lit("cashback")),
-        b.revenue_share_rewards.where(st == "completed").select(
-            F.col("source_user_id").alias("user_id"), F.to_date("created_at").alias("rev_date"),
-            money(-F.col("reward_usd_value")).alias("rev_usd"), F.lit("rev_share")),
-    ]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.union(p)
-    return cp.cohort_semi_join(u, c.select("user_id", "campaign_id"))
+    signs = {"card_fee": F.col("card_fee_usd"), "billing": F.col("billing_usd"), "swap": F.col("swap_fee_usd"),
+             "cashback": -F.col("cashback_usd"), "rev_share": -F.col("revenue_share_usd")}
+    events = F.array(*[F.struct(money(v).alias("rev_usd"), F.lit(k).alias("src")) for k, v in signs.items()])
+    other = users.ledger_rows(b.card_ledger, REVENUE_STREAMS).select(
+        "user_id", F.to_date("ts").alias("rev_date"), F.inline(events)).where(F.col("rev_usd").isNotNull())
+    return cp.cohort_semi_join(conv.unionByName(other), c.select("user_id", "campaign_id"))
 
 
 def daily_rev(b: Bound):
@@ -195,8 +171,9 @@ register("transacting", """
     SELECT DISTINCT user_id FROM (SELECT user_id FROM conversion_quotes WHERE used = TRUE
       UNION ALL SELECT user_id FROM card_annual_fees WHERE status = 'paid'
       UNION ALL SELECT user_id FROM billing_charges WHERE status = 'settled'
-      UNION ALL SELECT user_id FROM swap_transactions)""",
-         ["conversion_quotes", "card_annual_fees", "billing_charges", "swap_transactions"])
+      UNION ALL SELECT user_id FROM swap_transactions
+      UNION ALL SELECT user_id FROM payouts WHERE status = 'completed')""",
+         ["conversion_quotes", "card_annual_fees", "billing_charges", "swap_transactions", "payouts"])
 
 
 def _r(x: str, d: int) -> str:

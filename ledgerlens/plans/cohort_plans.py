@@ -6,22 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions.money import dbl
 from ..operators import cohorts, segments, users
-from ..sources.binding import Bound
+from ..sources.binding import FULL_END, FULL_START, Bound
 from .oracle_views import register, with_views
 from .ramp_plans import conversions
 from .registry import query
-from .user_plans import WIN, cohort_base, daily_activity, fx_rate, master, month_stream_frames
+from .user_plans import WIN, cohort_base, daily_activity, fx_rate, master, month_streams
 
 
 def ltv(b: Bound, months: str = "conversions"):
     """Long (user, month since signup) table (lazy; see ``master``)."""
     conv_m = users.conversion_monthly(conversions(b))
-    ms = month_stream_frames(b, swaps_enabled=False)
-    streams = {"card_fee_usd": ms["card_fee_usd"], "billing_usd": ms["billing_usd"],
-               "swap_fee_usd": ms["swap_fee_usd"], "cashback_usd": ms["cashback_usd"],
-               "revenue_share_usd": ms["revenue_share_usd"]}
-    card_m = ms["n_card_txns"].withColumnRenamed("value", "n_card_txns")
-    return cohorts.user_monthly_ltv(conv_m, streams, card_m, cohort_base(b), fx_rate(b), months=months)
+    zero = F.lit(0).cast("decimal(28,10)")  # swaps are off in the cohort tables
+    wide = month_streams(b).withColumnRenamed("n_card_spend", "n_card_txns").withColumn("swap_fee_usd", zero)
+    total = users.ledger_rows(b.card_ledger, ["n_card_spend"], FULL_START, FULL_END).agg(
+        F.count(F.lit(1)).alias("n_card_txns"))
+    return cohorts.user_monthly_ltv(conv_m, wide, None, cohort_base(b), fx_rate(b), months=months, card_total=total)
 
 
 def _dec_stream(name: str, table: str, expr: str, ts: str, pred: str, user: str = "user_id") -> str:

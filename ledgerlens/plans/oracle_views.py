@@ -103,6 +103,10 @@ VIEWS: dict[str, str] = {
                CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) * 9900 AS output_amount,
                CAST(10 + l_suppkey % 40 AS INTEGER) AS platform_fee_bps
         FROM _lines WHERE l_linenumber = 3""",
+    "payouts": """
+        SELECT o_custkey AS user_id, l_shipdate AS created_at, CAST(l_extendedprice AS DECIMAL(18,2)) * 0.015 AS fee_usd,
+               CASE WHEN l_linestatus = 'F' THEN 'completed' ELSE 'pending' END AS status
+        FROM _lines WHERE l_linenumber = 4""",
     "pix_deposits": """
         SELECT o_orderkey AS id, o_custkey AS user_id,
                CASE WHEN o_orderkey % 4 = 0 THEN 'completed' WHEN o_orderkey % 4 = 1 THEN 'settled'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import scale_minor_units
-from ..operators import ramp
+from ..operators import ramp, users
 from ..sources.binding import AS_OF, FULL_END, FULL_START, Bound
 from .oracle_views import register, with_views
 from .registry import query
@@ -301,11 +301,9 @@ def _activity_sources(b: Bound):
     return {
         "deposits": settled_deposits(b),
         "transfers": completed_transfers(b),
-        "card_tx": b.card_transactions.where(F.col("status") == "completed")
-                    .select("user_id", F.col("posted_at").alias("created_at")),
-        "card_fees": b.card_annual_fees.where(F.col("status") == "paid"),
-        "billing": b.billing_charges.where(F.col("status") == "settled"),
-        "swaps": b.swap_transactions.select("user_id", F.col("timestamp").alias("created_at")),
+        # card transactions, paid fees, settled billing, swaps and completed payouts
+        "ledger": users.ledger_rows(b.card_ledger, ("n_card_tx", "card_fee_usd", "billing_usd", "n_swaps", "payout_fee_usd"))
+                       .select("user_id", F.col("ts").alias("created_at")),
     }
 
 
@@ -316,12 +314,13 @@ def _activity_sources(b: Bound):
         UNION ALL SELECT CAST(posted_at AS DATE), CAST(user_id AS VARCHAR), 'card_tx' FROM card_transactions WHERE status = 'completed'
         UNION ALL SELECT CAST(created_at AS DATE), CAST(user_id AS VARCHAR), 'card_fees' FROM card_annual_fees WHERE status = 'paid'
         UNION ALL SELECT CAST(created_at AS DATE), CAST(user_id AS VARCHAR), 'billing' FROM billing_charges WHERE status = 'settled'
-        UNION ALL SELECT CAST("timestamp" AS DATE), CAST(user_id AS VARCHAR), 'swaps' FROM swap_transactions)
+        UNION ALL SELECT CAST("timestamp" AS DATE), CAST(user_id AS VARCHAR), 'swaps' FROM swap_transactions
+        UNION ALL SELECT CAST(created_at AS DATE), CAST(user_id AS VARCHAR), 'payouts' FROM payouts WHERE status = 'completed')
     SELECT d AS "date", count(DISTINCT u) AS active_total,
            count(DISTINCT u) FILTER (WHERE src = 'deposits') AS active_in,
            count(DISTINCT u) FILTER (WHERE src = 'transfers') AS active_out
     FROM u WHERE d IS NOT NULL GROUP BY 1""", "dep_settled", "trf_completed", "card_transactions",
-                                     "card_annual_fees", "billing_charges", "swap_transactions"))
+                                     "card_annual_fees", "billing_charges", "swap_transactions", "payouts"))
 def _active_daily(b: Bound):
     return ramp.active_daily(_activity_sources(b))
 

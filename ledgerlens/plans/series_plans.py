@@ -63,7 +63,7 @@ from ..operators import users as us  # noqa: E402
 from ..sources.binding import FULL_END, FULL_START  # noqa: E402
 from .oracle_views import register  # noqa: E402
 from .ramp_plans import card_spend, conversions  # noqa: E402
-from .user_plans import WIN, master, month_stream_frames  # noqa: E402
+from .user_plans import WIN, master, month_streams  # noqa: E402
 
 
 def daily(b: Bound):
@@ -253,8 +253,7 @@ _USD = "CAST(CAST(({x}) / NULLIF(exchange_rate, 0) AS VARCHAR) AS DECIMAL(30,10)
     FROM sp LEFT JOIN c ON c.d = sp.d LEFT JOIN f ON f.d = sp.d LEFT JOIN bl ON bl.d = sp.d LEFT JOIN sw ON sw.d = sp.d""",
                                               "conv_used", "card_annual_fees", "billing_charges", "swap_transactions"))
 def _daily_product(b: Bound):
-    return rv.daily_revenue_by_product(conversions(b), b.card_annual_fees, b.billing_charges, b.swap_transactions,
-                                       FULL_START, FULL_END)
+    return rv.daily_revenue_by_product(conversions(b), b.card_ledger, FULL_START, FULL_END)
 
 
 _W2 = "{c} >= TIMESTAMP '1997-01-01' AND {c} < TIMESTAMP '2000-01-01'"
@@ -309,9 +308,8 @@ def _card_rev_monthly(b: Bound):
     LEFT JOIN lt_rs rs ON rs.user_id = c.user_id AND rs.month = c.month""", "lt_conv", "lt_cf", "lt_bl", "lt_cb", "lt_rs"))
 def _merge_monthly(b: Bound):
     base = us.conversion_monthly(conversions(b))
-    ms = month_stream_frames(b, swaps_enabled=False)
-    m = rv.merge_monthly_streams(base, {k: ms[k] for k in ("card_fee_usd", "billing_usd", "cashback_usd",
-                                                           "revenue_share_usd")})
+    m = rv.merge_monthly_streams(base, month_streams(b, ("card_fee_usd", "billing_usd", "cashback_usd",
+                                                         "revenue_share_usd")))
     return m.select("user_id", "month", *[dbl(c).alias(c) for c in m.columns if c not in ("user_id", "month")])
 
 

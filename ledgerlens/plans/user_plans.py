@@ -18,22 +18,25 @@ def cohort_base(b: Bound):
     return users.cohort_base(b.app_users, b.user_registrations, b.referral_codes, b.founders, b.user_profiles)
 
 
+#: Streams of the master table, and the events that make a user a transacting one.
+USER_STREAMS = ("card_fee_usd", "billing_usd", "cashback_usd", "revenue_share_usd", "swap_fee_usd", "payout_fee_usd",
+                "n_swaps", "n_card_tx")
+TRANSACTING_STREAMS = ("card_fee_usd", "billing_usd", "n_swaps", "payout_fee_usd")
+
+
 def stream_frames(b: Bound, swaps_enabled: bool = False):
-    st = F.col("status")
-    return [
-        users.conversion_revenue_per_user(conversions(b)),
-        users.per_user_sum(b.card_annual_fees, F.col("amount_usdc"), "card_fee_usd", pred=st == "paid"),
-        users.card_tx_share(b.card_transactions, "completed", FULL_START, FULL_END),
-        users.per_user_sum(b.billing_charges, F.col("amount").cast("decimal(20,0)") * F.expr("0.000001"),
-                           "card_tx_fee_usd", pred=st == "settled", ts="created_at", start=FULL_START, end=FULL_END),
-        users.per_user_sum(b.cashback_rewards, F.col("reward_usd_value"), "cashback_usd",
-                           pred=st == "completed", ts="created_at", start=FULL_START, end=FULL_END),
-        users.per_user_sum(b.revenue_share_rewards, F.col("reward_usd_value"), "revenue_share_paid_usd",
-                           user="source_user_id", pred=st == "completed", ts="created_at",
-                           start=FULL_START, end=FULL_END),
-        users.swaps_per_user(ramp.scan_window(b.swap_transactions, "timestamp", FULL_START, FULL_END),
-                             enabled=swaps_enabled),
-    ]
+    """Conversions per user, and all other streams from one pass over the
+    ledger plus one for the grand total of card transactions."""
+    per = users.ledger_sums(b.card_ledger, USER_STREAMS, ("user_id",), FULL_START, FULL_END)
+    total = users.ledger_rows(b.card_ledger, ["n_card_tx"], FULL_START, FULL_END).agg(
+        F.count(F.lit(1)).alias("total_tx_count"))
+    fee = F.col("swap_fee_usd") if swaps_enabled else F.lit(0).cast("decimal(28,10)")
+    per = per.select("user_id", "card_fee_usd", F.col("n_card_tx").alias("user_tx_count"),
+                     F.col("billing_usd").alias("card_tx_fee_usd"), "cashback_usd",
+                     F.col("revenue_share_usd").alias("revenue_share_paid_usd"), fee.alias("swap_fee_usd"), "n_swaps",
+                     "payout_fee_usd")
+    return [users.conversion_revenue_per_user(conversions(b)),
+            users.with_grand_total(per, "user_tx_count", total, "total_tx_count")]
 
 
 def fx_rate(b: Bound):
@@ -42,8 +45,8 @@ def fx_rate(b: Bound):
 
 
 def master(b: Bound):
-    """One row per user.  Kept lazy: branches of one query that read it share
-    its shuffles through exchange reuse (measured faster than materialising)."""
+    """One row per user (lazy): the lines are read twice, for the streams of the
+    users and for the grand total."""
     joined = users.join_revenue_streams(cohort_base(b), stream_frames(b))
     return users.time_signals(users.user_profit(joined, fx_rate(b)), AS_OF)
 
@@ -93,6 +96,9 @@ register("s_revshare", f"""
     SELECT source_user_id AS user_id, CAST(sum(reward_usd_value) AS DECIMAL(28,10)) AS revenue_share_paid_usd
     FROM revenue_share_rewards WHERE status = 'completed' AND {WIN.format(c='created_at')}
     GROUP BY source_user_id""", ["revenue_share_rewards"])
+register("s_payouts", f"""
+    SELECT user_id, CAST(sum(fee_usd) AS DECIMAL(28,10)) AS payout_fee_usd FROM payouts
+    WHERE status = 'completed' AND {WIN.format(c='created_at')} GROUP BY user_id""", ["payouts"])
 register("s_swaps", f"""
     SELECT user_id, CAST(sum(0) AS DECIMAL(28,10)) AS swap_fee_usd, count(*) AS n_swaps FROM swap_transactions
     WHERE {WIN.format(c='"timestamp"')} GROUP BY user_id""", ["swap_transactions"])
@@ -108,14 +114,15 @@ register("joined", """
       coalesce(ct.user_tx_count, 0) AS user_tx_count, coalesce(ct.total_tx_count, 0) AS total_tx_count,
       coalesce(bc.card_tx_fee_usd, 0) AS card_tx_fee_usd, coalesce(cb.cashback_usd, 0) AS cashback_usd,
       coalesce(rs.revenue_share_paid_usd, 0) AS revenue_share_paid_usd,
-      coalesce(sw.swap_fee_usd, 0) AS swap_fee_usd, coalesce(sw.n_swaps, 0) AS n_swaps
+      coalesce(sw.swap_fee_usd, 0) AS swap_fee_usd, coalesce(sw.n_swaps, 0) AS n_swaps,
+      coalesce(po.payout_fee_usd, 0) AS payout_fee_usd
     FROM cohort_base b
     LEFT JOIN conv_per_user c ON c.user_id = b.user_id LEFT JOIN s_card_fees cf ON cf.user_id = b.user_id
     LEFT JOIN s_card_txs ct ON ct.user_id = b.user_id LEFT JOIN s_billing bc ON bc.user_id = b.user_id
     LEFT JOIN s_cashback cb ON cb.user_id = b.user_id LEFT JOIN s_revshare rs ON rs.user_id = b.user_id
-    LEFT JOIN s_swaps sw ON sw.user_id = b.user_id""",
+    LEFT JOIN s_swaps sw ON sw.user_id = b.user_id LEFT JOIN s_payouts po ON po.user_id = b.user_id""",
          ["cohort_base", "conv_per_user", "s_card_fees", "s_card_txs", "s_billing", "s_cashback", "s_revshare",
-          "s_swaps"])
+          "s_swaps", "s_payouts"])
 register("master", f"""
     SELECT *, on_usd + off_usd + card_fee_usd + card_tx_fee_usd + swap_fee_usd - cashback_usd
               - revenue_share_paid_usd - card_cost_allocated_usd - kyc_cost_usd AS net_revenue_usd
@@ -191,15 +198,11 @@ def _conv_monthly(b: Bound):
     UNION ALL SELECT user_id, 'revenue_share_paid_usd', CAST(revenue_share_paid_usd AS DOUBLE) FROM s_revshare""",
                                   "s_card_fees", "s_billing", "s_cashback", "s_revshare"))
 def _per_user_sums(b: Bound):
-    fr = stream_frames(b)
-    parts = []
-    for df, name in ((fr[1], "card_fee_usd"), (fr[3], "card_tx_fee_usd"), (fr[4], "cashback_usd"),
-                     (fr[5], "revenue_share_paid_usd")):
-        parts.append(df.select("user_id", F.lit(name).alias("stream"), dbl(name).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names = {"card_fee_usd": "card_fee_usd", "card_tx_fee_usd": "billing_usd", "cashback_usd": "cashback_usd",
+             "revenue_share_paid_usd": "revenue_share_usd"}
+    sums = users.ledger_sums(b.card_ledger, list(names.values()), ("user_id",), FULL_START, FULL_END)
+    return users.ledger_long(sums.select("user_id", *[F.col(v).alias(k) for k, v in names.items()]), list(names),
+                             ["user_id"])
 
 
 register("month_streams", f"""
@@ -225,37 +228,21 @@ register("month_streams", f"""
           "swap_transactions"])
 
 
-def month_stream_frames(b: Bound, swaps_enabled: bool = True):
-    st = F.col("status")
-    s, e = FULL_START, FULL_END
-    return {
-        "card_fee_usd": users.per_user_month_sum(b.card_annual_fees, F.col("amount_usdc"), "value", "created_at",
-                                                 pred=st == "paid", start=s, end=e),
-        "billing_usd": users.per_user_month_sum(
-            b.billing_charges, F.col("amount").cast("decimal(20,0)") * F.expr("0.000001"), "value", "created_at",
-            pred=st == "settled", start=s, end=e),
-        "cashback_usd": users.per_user_month_sum(b.cashback_rewards, F.col("reward_usd_value"), "value",
-                                                 "created_at", pred=st == "completed", start=s, end=e),
-        "revenue_share_usd": users.per_user_month_sum(b.revenue_share_rewards, F.col("reward_usd_value"), "value",
-                                                      "created_at", user="source_user_id",
-                                                      pred=st == "completed", start=s, end=e),
-        "n_card_txns": users.per_user_month_sum(
-            b.card_transactions, F.lit(1), "value", "posted_at",
-            pred=(st == "completed") & (F.col("transaction_type") == "spend") & F.col("posted_at").isNotNull(),
-            start=s, end=e),
-        "swap_fee_usd": users.per_user_month_sum(b.swap_transactions, users.swap_fee_usd("USDC", swaps_enabled),
-                                                 "value", "timestamp", start=s, end=e),
-    }
+MONTH_STREAMS = ("card_fee_usd", "billing_usd", "cashback_usd", "revenue_share_usd", "n_card_spend", "swap_fee_usd",
+                 "n_swaps")
+
+
+def month_streams(b: Bound, names=MONTH_STREAMS):
+    """All streams per (user, month) in one pass over the ledger."""
+    return users.ledger_sums(b.card_ledger, names, ("user_id", users.ledger_month()), FULL_START, FULL_END)
 
 
 @query("per_user_month_sums", with_views("SELECT * FROM month_streams", "month_streams"))
 def _per_user_month(b: Bound):
-    parts = [df.select("user_id", "month", F.lit(k).alias("stream"), dbl("value").alias("value"))
-             for k, df in month_stream_frames(b).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names = {"card_fee_usd": "card_fee_usd", "billing_usd": "billing_usd", "cashback_usd": "cashback_usd",
+             "revenue_share_usd": "revenue_share_usd", "n_card_txns": "n_card_spend", "swap_fee_usd": "swap_fee_usd"}
+    sums = month_streams(b).select("user_id", "month", *[F.col(v).alias(k) for k, v in names.items()])
+    return users.ledger_long(sums, list(names), ["user_id", "month"])
 
 
 @query("swap_fee", with_views(f"""
@@ -329,9 +316,9 @@ def _leaderboard(b: Bound):
 register("adoption", """
     SELECT user_id, n_conversions > 0 AS has_conversion, onramp_volume_brl > 0 AS has_onramp,
            offramp_volume_usdc > 0 AS has_offramp, (card_fee_usd > 0 OR card_tx_fee_usd > 0) AS has_card,
-           n_swaps > 0 AS has_swap, FALSE AS has_crossborder,
+           n_swaps > 0 AS has_swap, payout_fee_usd > 0 AS has_crossborder,
            CAST(n_conversions > 0 AS BIGINT) + CAST(card_fee_usd > 0 OR card_tx_fee_usd > 0 AS BIGINT)
-           + CAST(n_swaps > 0 AS BIGINT) + CAST(FALSE AS BIGINT) AS n_products
+           + CAST(n_swaps > 0 AS BIGINT) + CAST(payout_fee_usd > 0 AS BIGINT) AS n_products
     FROM master""", ["master"])
 
 
@@ -367,18 +354,24 @@ register("rev_gen_users", f"""
     UNION SELECT CAST(user_id AS VARCHAR) FROM swap_transactions
     UNION SELECT CAST(user_id AS VARCHAR) FROM cashback_rewards WHERE status = 'completed'
     UNION SELECT CAST(user_id AS VARCHAR) FROM pix_transfers WHERE status = 'completed'
-    UNION SELECT CAST(recipient_user_id AS VARCHAR) FROM revenue_share_rewards WHERE status = 'completed'""",
+    UNION SELECT CAST(recipient_user_id AS VARCHAR) FROM revenue_share_rewards WHERE status = 'completed'
+    UNION SELECT CAST(user_id AS VARCHAR) FROM payouts WHERE status = 'completed'""",
          ["conversion_quotes", "card_annual_fees", "billing_charges", "swap_transactions", "cashback_rewards",
-          "pix_transfers", "revenue_share_rewards"])
+          "pix_transfers", "revenue_share_rewards", "payouts"])
+
+
+def transacting_sources(b: Bound):
+    """The one list of sources that make a user a transacting one: used
+    conversions, paid card fees, settled billing, swaps and completed payouts."""
+    return [b.conversion_quotes.where(F.col("used")).select("user_id"),
+            users.ledger_rows(b.card_ledger, TRANSACTING_STREAMS).select("user_id")]
 
 
 def revenue_generating_sources(b: Bound):
+    """The transacting sources, cashback, transfers and recipients of revenue share."""
     st = F.col("status")
-    return [b.conversion_quotes.where(F.col("used")),
-            b.card_annual_fees.where(st == "paid"),
-            b.billing_charges.where(st == "settled"),
-            b.swap_transactions,
-            b.cashback_rewards.where(st == "completed"),
+    return [b.conversion_quotes.where(F.col("used")).select("user_id"),
+            users.ledger_rows(b.card_ledger, (*TRANSACTING_STREAMS, "cashback_usd")).select("user_id"),
             b.pix_transfers.where(st == "completed"),
             b.revenue_share_rewards.where(st == "completed").select(F.col("recipient_user_id").alias("user_id"))]
 
@@ -502,20 +495,17 @@ def _cum_by_source(b: Bound):
 
 
 # ------------------------------------------------------------------ set ops
-@query("transacting_users", with_views(f"""
+@query("transacting_users", with_views("""
     SELECT DISTINCT user_id FROM (
       SELECT CAST(user_id AS VARCHAR) AS user_id FROM conv_used
       UNION ALL SELECT CAST(user_id AS VARCHAR) FROM card_annual_fees WHERE status = 'paid'
       UNION ALL SELECT CAST(user_id AS VARCHAR) FROM billing_charges WHERE status = 'settled'
       UNION ALL SELECT CAST(user_id AS VARCHAR) FROM swap_transactions
-      UNION ALL SELECT CAST(user_id AS VARCHAR) FROM card_transactions WHERE status = 'completed')""",
+      UNION ALL SELECT CAST(user_id AS VARCHAR) FROM payouts WHERE status = 'completed')""",
                                       "conv_used", "card_annual_fees", "billing_charges", "swap_transactions",
-                                      "card_transactions"))
+                                      "payouts"))
 def _transacting(b: Bound):
-    st = F.col("status")
-    return users.distinct_users([conversions(b), b.card_annual_fees.where(st == "paid"),
-                                 b.billing_charges.where(st == "settled"), b.swap_transactions,
-                                 b.card_transactions.where(st == "completed")])
+    return users.distinct_users(transacting_sources(b))
 
 
 register("daily_act", f"""

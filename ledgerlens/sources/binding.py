@@ -15,6 +15,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.money import money
+
 # Fixed values of the binding (kept identical in plans/oracle_views.py).
 SETTLED_DEPOSIT_STATES = ("completed", "settled", "confirmed")
 DEPOSIT_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
@@ -216,6 +218,47 @@ class Bound:
             (_cents("l_extendedprice") * 9900).alias("output_amount"),
             (F.lit(10) + F.col("l_suppkey") % 40).cast("int").alias("platform_fee_bps"))
 
+    @cached_property
+    def payouts(self) -> DataFrame:
+        return self._lines.where(F.col("l_linenumber") == 4).select(
+            F.col("o_custkey").alias("user_id"),
+            F.col("l_shipdate").alias("created_at"),
+            (F.col("l_extendedprice").cast("decimal(18,2)") * F.expr("0.015")).alias("fee_usd"),
+            F.when(F.col("l_linestatus") == "F", "completed").otherwise("pending").alias("status"))
+
+    @cached_property
+    def card_ledger(self) -> DataFrame:
+        """The counted events of all line-based views as one wide frame (see
+        ``operators.users.stream_ledger``): a row per line with a value in the
+        streams that it feeds, so that queries over several streams read the
+        lines once.  Equal to the ledger of the separate views."""
+        line = F.col("l_linenumber")
+        closed = F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
+        refund = F.coalesce(F.col("l_returnflag") == "R", F.lit(False))
+        price = F.col("l_extendedprice").cast("decimal(18,2)")
+        taxed = price * F.col("l_tax").cast("decimal(4,2)")
+        discounted = price * F.col("l_discount").cast("decimal(4,2)")
+        # Either side of a swap is the stable coin for even parts, for the output also for multiples of 3.
+        even, third = F.col("l_partkey") % 2 == 0, F.col("l_partkey") % 3 == 0
+        cents = _cents("l_extendedprice")
+        side = F.when(even, cents * 10000).when(third, cents * 9900).otherwise(F.lit(0).cast("bigint"))
+        bps = (F.lit(10) + F.col("l_suppkey") % 40).cast("decimal(5,0)")
+        one = F.lit(1).cast("bigint")
+        streams = {
+            "card_fee_usd": F.when((line == 1) & ~refund, money(taxed)),
+            "billing_usd": F.when((line == 2) & closed, money((taxed * 1000000).cast("bigint").cast("decimal(20,0)")
+                                                              * F.expr("0.000001"))),
+            "cashback_usd": F.when((line % 2 == 1) & closed, money(discounted)),
+            "revenue_share_usd": F.when((line % 2 == 0) & closed, money(discounted * F.expr("0.1"))),
+            "swap_fee_usd": F.when(line == 3, money(side.cast("decimal(20,0)") * bps * F.expr("0.0000000001"))),
+            "payout_fee_usd": F.when((line == 4) & closed, money(price * F.expr("0.015"))),
+            "n_swaps": F.when(line == 3, one),
+            "n_card_tx": F.when(closed, one),
+            "n_card_spend": F.when(closed & ~refund & F.col("l_shipdate").isNotNull(), one),
+        }
+        return self._lines.select(F.col("o_custkey").alias("user_id"), F.col("l_shipdate").alias("ts"),
+                                  *[v.alias(k) for k, v in streams.items()])
+
     # -------------------------------------------------------------- PIX flows
     @cached_property
     def pix_deposits(self) -> DataFrame:
