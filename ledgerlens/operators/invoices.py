@@ -323,53 +323,54 @@ def extract_invoice_fields(texts: DataFrame, col: str = "text") -> DataFrame:
     return texts.select(*[v.alias(k) for k, v in cols.items()])
 
 
-REGRESSION_FEATURES = ("n_transactions", "n_active_cards", "tx_volume_usd")
-
-
-def cost_regression_multi(totals_with_drivers: DataFrame, features=REGRESSION_FEATURES,
-                          y: str = "modelled_total_usd", keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
-    """Least squares of cost on several drivers (plus intercept) per account.
-
-    The data never leaves the executors as rows: one aggregation produces the
-    normal-equation sums (X'X, X'y, y'y, n) per account; a pandas step then
-    solves the small (k+1)x(k+1) system of each account (minimum-norm, so
-    collinear drivers are allowed) from that single row."""
-    import numpy as np
-    import pandas as pd
-
-    cols = ["_one"] + list(features)
-    x = totals_with_drivers.select(*keys, F.lit(1.0).alias("_one"), *[dbl(c).alias(c) for c in features],
-                                   dbl(y).alias("_y"))
-    aggs = [F.count(F.lit(1)).alias("_n"), F.sum(F.col("_y") * F.col("_y")).alias("_yy")]
-    for i, a in enumerate(cols):
-        aggs.append(F.sum(F.col(a) * F.col("_y")).alias(f"_xy{i}"))
-        for j in range(i, len(cols)):
-            aggs.append(F.sum(F.col(a) * F.col(cols[j])).alias(f"_xx{i}_{j}"))
-    sums = x.groupBy(*keys).agg(*aggs)
-    k = len(cols)
-    out_fields = [f for f in sums.schema.fields if f.name in keys]
-    schema = T.StructType(out_fields + [T.StructField("n_periods", T.LongType()),
-                                        T.StructField("intercept", T.DoubleType())]
+# The drivers of the cost regression.
+REGRESSION_FEATURES = ("n_transactions", "n_active_cards", "tx_volume_usd", "n_infinite_txs", "n_platinum_txs",
+                       "n_share_tokens", "n_cross_border")
+#: Eigenvalues below this share of the largest are taken as collinear drivers.
+COLLINEAR = 1e-13
+
+
+def cost_regression_multi(totals_with_drivers: DataFrame, features=None, y: str = "modelled_total_usd",
+                          keys: tuple[str, ...] = ("account_id",), period: str = "period") -> DataFrame:
+    """Least squares of cost on several drivers (plus intercept) per account, and
+    the cost it predicts for the drivers of the latest period.
+
+    Default drivers: those of REGRESSION_FEATURES that the frame has.  One
+    aggregation gives means and covariances (central moments, so large values do
+    not cancel); the small systems of all accounts in an Arrow batch are then
+    solved together (minimum norm, so collinear drivers and fewer periods than
+    drivers are allowed).  Rows with a null driver or cost are left out; no rows
+    give no accounts, a constant cost a null r_squared."""
+    features = list(features or [f for f in REGRESSION_FEATURES if f in totals_with_drivers.columns])
+    cols = [*features, y]
+    x = totals_with_drivers.select(*keys, period, *[dbl(c).alias(c) for c in cols]).dropna(subset=cols)
+    aggs = [F.count(F.lit(1)).alias("n_periods"), F.max_by(F.array(*features), F.col(period)).alias("_latest"),
+            F.array(*[F.avg(c) for c in cols]).alias("_mean"),
+            F.array(*[F.covar_pop(a, b) for a in cols for b in cols]).alias("_cov")]
+    moments = x.groupBy(*keys).agg(*aggs)
+    k = len(features)
+    schema = T.StructType([f for f in moments.schema.fields if f.name in keys]
+                          + [T.StructField("n_periods", T.LongType()), T.StructField("intercept", T.DoubleType())]
                           + [T.StructField(f"coef_{c}", T.DoubleType()) for c in features]
-                          + [T.StructField("r_squared", T.DoubleType())])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in pdf.to_dict("records"):
-            xx = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    xx[i, j] = xx[j, i] = r[f"_xx{i}_{j}"]
-            xy = np.array([r[f"_xy{i}"] for i in range(k)])
-            beta = np.linalg.pinv(xx) @ xy
-            n = r["_n"]
-            sse = r["_yy"] - 2 * beta @ xy + beta @ xx @ beta
-            ybar = xy[0] / n
-            sst = r["_yy"] - n * ybar * ybar
-            r2 = float(1 - sse / sst) if sst > 1e-12 else None
-            rows.append({**{c: r[c] for c in keys}, "n_periods": int(n), "intercept": float(beta[0]),
-                         **{f"coef_{c}": float(b) for c, b in zip(features, beta[1:])}, "r_squared": r2})
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    # Each group is the single aggregated row of one account.
-    return sums.groupBy(*keys).applyInPandas(solve, schema)
+                          + [T.StructField("r_squared", T.DoubleType()),
+                             T.StructField("predicted_latest_usd", T.DoubleType())])
+
+    def solve(batches):
+        import numpy as np
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            cov = np.stack(pdf["_cov"].to_list()).reshape(-1, k + 1, k + 1)
+            mean, latest = np.stack(pdf["_mean"].to_list()), np.stack(pdf["_latest"].to_list())
+            beta = (np.linalg.pinv(cov[:, :k, :k], rcond=COLLINEAR, hermitian=True) @ cov[:, :k, k:])[:, :, 0]
+            intercept = mean[:, k] - (beta * mean[:, :k]).sum(axis=1)
+            explained, spread = (beta * cov[:, :k, k]).sum(axis=1), cov[:, k, k]
+            out = pdf[[*keys, "n_periods"]].assign(intercept=intercept)
+            for i, c in enumerate(features):
+                out[f"coef_{c}"] = beta[:, i]
+            flat = spread <= 0
+            out["r_squared"] = np.where(flat, np.nan, explained / np.where(flat, 1.0, spread))
+            out["predicted_latest_usd"] = intercept + (beta * latest).sum(axis=1)
+            yield out
+
+    return moments.mapInPandas(solve, schema)

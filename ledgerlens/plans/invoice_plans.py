@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.money import dbl
 from ..operators import invoices as iv
 from ..sources.binding import Bound
+from ..sources.files import read_invoices
 from .oracle_views import register, with_views
 from .registry import query
 
@@ -188,6 +189,13 @@ def _as_out(df):
     f"CAST({c} AS DOUBLE) AS {c}" if c.endswith("_usd") or c == "base_program_fee" else c for c in _INV_OUT)
                                    + " FROM card_invoices", "card_invoices"))
 def _read_invoices(b: Bound):
+    return _as_out(read_invoices(b.spark, b.spooled(b.card_invoices.select(*_INV_OUT), "json"), multiline=False))
+
+
+@query("parse_invoice_json", with_views("SELECT " + ", ".join(
+    f"CAST({c} AS DOUBLE) AS {c}" if c.endswith("_usd") or c == "base_program_fee" else c for c in _INV_OUT)
+                                        + " FROM card_invoices", "card_invoices"))
+def _parse_invoices(b: Bound):
     docs = b.card_invoices.select(F.to_json(F.struct(*_INV_OUT)).alias("json"))
     return _as_out(iv.parse_invoice_json(docs))
 
@@ -204,7 +212,8 @@ def _extract(b: Bound):
 
 @query("cost_regression_multi")
 def _regression_multi(b: Bound):
-    t = totals(b).join(b.card_invoices.select("invoice_id", "n_active_cards", "tx_volume_usd"), "invoice_id")
+    drivers = [c for c in iv.REGRESSION_FEATURES if c != "n_transactions"]
+    t = totals(b).join(b.card_invoices.select("invoice_id", *drivers), "invoice_id")
     r = iv.cost_regression_multi(t)
     return r.select("account_id", "n_periods", *[F.round(c, 4).alias(c) for c in r.columns
                                                  if c not in ("account_id", "n_periods")])

@@ -1,11 +1,14 @@
-"""Load and export queries (read-only: they return what a load would write)."""
+"""Load and export queries: they return what a load would write, or read files
+that they wrote to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.campaigns import load_ad_spend
 from ..sources import sinks
 from ..sources.binding import Bound
+from ..sources.files import EXPENSE_SCHEMA, read_expense_csv
 from .oracle_views import with_views
 from .registry import query
 
@@ -51,7 +54,25 @@ def _append_counts(b: Bound):
     return sinks.load_counts(batch, sinks.new_rows(batch, _target(b)))
 
 
-@query("export_records")
+@query("export_records", with_views("SELECT * FROM summary", "summary"))
 def _export(b: Bound):
+    """The exported records, read back: the text of a record keeps every value."""
     from .ramp_plans import _summary
-    return sinks.export_records(_summary(b))
+    records = sinks.export_records(_summary(b))
+    return records.select(F.from_json("record", "metric string, value double").alias("_r")).select("_r.*")
+
+
+@query("read_expense_csv", with_views("""
+    SELECT "date", platform, CAST(sum(amount_usd) AS DOUBLE) AS daily_spend_usd FROM (
+      SELECT "date", abs(round(amount, 2)) AS amount_usd,
+             CASE WHEN merchantName LIKE 'FACEBK%' THEN 'meta'
+                  WHEN lower(merchantName) LIKE '%google ads%' THEN 'google' END AS platform FROM expense_export)
+    WHERE platform IS NOT NULL GROUP BY 1, 2""", "expense_export"))
+def _read_expenses(b: Bound):
+    """The expense export written as CSV files, read back and loaded."""
+    e = b.expense_export
+    cents = F.round("amount", 2).cast("decimal(18,2)")
+    out = e.select(*[cents.alias(f.name) if f.name == "amount" else F.col(f.name) if f.name in e.columns
+                     else F.lit(None).cast("string").alias(f.name) for f in EXPENSE_SCHEMA.fields])
+    spend = load_ad_spend(read_expense_csv(b.spark, b.spooled(out, "csv")))
+    return spend.withColumn("daily_spend_usd", F.col("daily_spend_usd").cast("double"))

@@ -377,7 +377,7 @@ def _dep_cohort(b: Bound):
     return ramp.deposit_cohort_retention(settled_deposits(b))
 
 
-@query("ramp_summary", with_views(f"""
+register("summary", f"""
     WITH dep AS (SELECT coalesce(sum(amount_brl), 0) AS pix_in, CAST(sum(amount_brl) AS DOUBLE) / NULLIF(count(amount_brl), 0) AS avg_in,
                         count(DISTINCT user_id) AS unique_in FROM dep_settled),
          trf AS (SELECT coalesce(sum(amount_brl), 0) AS pix_out, CAST(sum(amount_brl) AS DOUBLE) / NULLIF(count(amount_brl), 0) AS avg_out,
@@ -417,6 +417,9 @@ def _dep_cohort(b: Bound):
         UNION ALL SELECT 'Total volume USD L30', CAST(volume_usd_l30 AS DOUBLE) FROM x
         UNION ALL SELECT 'Total revenue USD L30', CAST(revenue_usd_l30 AS DOUBLE) FROM x
         UNION ALL SELECT 'Total revenue USD', CAST(revenue_usd AS DOUBLE) FROM x)""",
-                                  "dep_settled", "trf_completed", "conv_used"))
+         ["dep_settled", "trf_completed", "conv_used"])
+
+
+@query("ramp_summary", with_views("SELECT * FROM summary", "summary"))
 def _summary(b: Bound):
     return ramp.ramp_summary(conversions(b), settled_deposits(b), completed_transfers(b), AS_OF)

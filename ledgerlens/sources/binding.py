@@ -10,12 +10,14 @@ on keys, so every view grows with its base table.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import money
+from ..session import ensure_checkpoint_dir
 
 # Fixed values of the binding (kept identical in plans/oracle_views.py).
 SETTLED_DEPOSIT_STATES = ("completed", "settled", "confirmed")
@@ -48,6 +50,13 @@ class Bound:
             self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
+    def spooled(self, df: DataFrame, kind: str) -> str:
+        """Rows written as CSV (with header) or JSON files in the shared folder; the path."""
+        root = ensure_checkpoint_dir(self.spark).rstrip("/")
+        path = f"{root}/files-{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        df.write.format(kind).option("header", True).save(path)
+        return path
+
     # ------------------------------------------------------------------ users
     @cached_property
     def app_users(self) -> DataFrame:
