@@ -158,13 +158,31 @@ def cohort_revenue_summary(cohort: DataFrame, revenue: DataFrame, transacting: D
         *[rnd(nz(F.sum(c)), 4).alias(c) for c in REV_COLS])
 
 
-def baseline_rate(signups_daily: DataFrame, campaigns: DataFrame, window_days: int = 7) -> DataFrame:
-    """Mean daily signups over the days *with* signups in the window before each
-    campaign start; 0 when there are none."""
+def kyc_by_level(users: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Cohort users with a KYC level of 1 or more, per campaign."""
+    j = cohort_semi_join(users.where(F.col("kyc_level") >= 1).select("user_id"), cohort)
+    return j.groupBy("campaign_id").agg(F.count_distinct("user_id").alias("kyc_users"))
+
+
+def kyc_by_verification(verifications: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Approved (GREEN) and completed verifications of cohort users, per campaign
+    and day of completion.  The two sources of KYC counts may disagree, so each
+    has an operator of its own."""
+    done = verifications.where((F.col("status") == "completed") & (F.col("review_answer") == "GREEN"))
+    j = cohort_semi_join(done.select("user_id", F.to_date("completed_at").alias("date")), cohort)
+    return j.groupBy("campaign_id", "date").agg(F.count(F.lit(1)).alias("kyc_count"))
+
+
+def baseline_rate(signups_daily: DataFrame, campaigns: DataFrame, window_days: int = 7,
+                  all_days: bool = False) -> DataFrame:
+    """Mean daily signups in the window before each campaign start, over the days
+    *with* signups or, with ``all_days``, over the length of the window; 0 when
+    there are none."""
     c = F.broadcast(campaigns.select("campaign_id", "start"))
     j = signups_daily.join(c, (F.col("signup_date") >= F.date_sub("start", window_days))
                            & (F.col("signup_date") < F.col("start")))
-    b = j.groupBy("campaign_id").agg(safe_div(F.sum("new_signups"), F.count("new_signups")).alias("_b"),
+    days = F.lit(window_days) if all_days else F.count("new_signups")
+    b = j.groupBy("campaign_id").agg(safe_div(F.sum("new_signups"), days).alias("_b"),
                                      F.sum("new_signups").alias("_s"))
     return campaigns.select("campaign_id").join(b, "campaign_id", "left").select(
         "campaign_id", F.when(nz("_s") > 0, F.col("_b")).otherwise(F.lit(0.0)).alias("baseline"))

@@ -322,6 +322,7 @@ def ramp_summary(conv: DataFrame, deposits: DataFrame, transfers: DataFrame, as_
         nz(F.sum(F.when(l30, rev_usd))).alias("revenue_usd_l30"),
         nz(F.sum(rev_usd)).alias("revenue_usd"))
     row = dep.crossJoin(trf).crossJoin(cv)
+    # The labels of the summary.
     metrics = [
         ("PIX IN (dep)", dbl("pix_in")),
         ("PIX OUT (transf)", dbl("pix_out")),

@@ -269,9 +269,9 @@ def revenue_leaderboard(master: DataFrame, n: int = 50) -> DataFrame:
 PRODUCTS = ("has_conversion", "has_card", "has_swap", "has_crossborder")
 
 
-def product_adoption(master: DataFrame, mask: bool = True) -> DataFrame:
-    """Per user: product flags and the number of the four products used."""
-    flags = {
+def product_flags(master: DataFrame) -> dict[str, Column]:
+    """Whether a user of the master table uses a product."""
+    return {
         "has_conversion": F.col("n_conversions") > 0,
         "has_onramp": F.col("onramp_volume_brl") > 0,
         "has_offramp": F.col("offramp_volume_usdc") > 0,
@@ -279,10 +279,19 @@ def product_adoption(master: DataFrame, mask: bool = True) -> DataFrame:
         "has_swap": F.col("n_swaps") > 0,
         "has_crossborder": F.col("payout_fee_usd") > 0 if "payout_fee_usd" in master.columns else F.lit(False),
     }
+
+
+def n_products(master: DataFrame) -> Column:
+    """Number of the four products that a user of the master table uses."""
+    flags = product_flags(master)
+    return reduce(lambda a, b: a + b, [flags[p].cast("bigint") for p in PRODUCTS])
+
+
+def product_adoption(master: DataFrame, mask: bool = True) -> DataFrame:
+    """Per user: product flags and the number of the four products used."""
     uid = mask_user_id("user_id") if mask else F.col("user_id")
-    out = master.select(uid.alias("user_id"), *[v.alias(k) for k, v in flags.items()])
-    return out.withColumn("n_products", reduce(lambda a, b: a + b,
-                                               [F.col(p).cast("bigint") for p in PRODUCTS]))
+    return master.select(uid.alias("user_id"), *[v.alias(k) for k, v in product_flags(master).items()],
+                         n_products(master).alias("n_products"))
 
 
 def product_adoption_rates(adoption: DataFrame) -> DataFrame:
@@ -343,11 +352,10 @@ def referral_code_summary(master: DataFrame) -> DataFrame:
                     r6(avg - comm).alias("net_arpu_after_commission"))
 
 
-def founders_report(master: DataFrame, adoption: DataFrame) -> DataFrame:
-    """Founders by net revenue, revenue per network member; products counted on
-    the full (unmasked) id."""
-    f = master.where(F.col("is_founder")).join(
-        adoption.select("user_id", "n_products"), "user_id", "left")
+def founders_report(master: DataFrame) -> DataFrame:
+    """Founders by net revenue, revenue per network member; products are counted
+    in the founder's own row of the master table."""
+    f = master.where(F.col("is_founder")).withColumn("n_products", n_products(master))
     return f.select(
         "user_id", "full_name", "referral_code", "founder_number", "founder_network_size",
         "invites_remaining", dbl("net_revenue_usd").alias("net_revenue_usd"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.money import dbl, fine, money, nz, safe_div, scale_minor_units
 from ..operators import campaigns as cp
 from ..operators import ramp, users
-from ..sources.binding import AS_OF, FULL_END, FULL_START, Bound
+from ..sources.binding import AS_OF, FULL_END, FULL_START, Bound, once
 from .oracle_views import register, with_views
 from .ramp_plans import conversions
 from .registry import query
@@ -16,23 +16,28 @@ from .user_plans import fx_rate, transacting_sources
 AS_OF_DATE = AS_OF[:10]
 
 
+@once
 def spend(b: Bound):
     return cp.load_ad_spend(b.expense_export)
 
 
+@once
 def spend_daily(b: Bound):
     return cp.aggregate_spend(spend(b))
 
 
+@once
 def campaigns(b: Bound):
     """Campaign windows: a calendar-bounded table (broadcast side of the range joins)."""
     return cp.detect_campaigns(spend_daily(b), 7)
 
 
+@once
 def signups_daily(b: Bound):
     return users.daily_signups(b.app_users, "created_at", FULL_START, FULL_END)
 
 
+@once
 def cohort(b: Bound):
     """user -> campaign for users who signed up inside a window (at most one row per user)."""
     return cp.assign_cohort(b.app_users, campaigns(b))
@@ -41,6 +46,7 @@ def cohort(b: Bound):
 REVENUE_STREAMS = ("card_fee_usd", "billing_usd", "swap_fee_usd", "cashback_usd", "revenue_share_usd")
 
 
+@once
 def user_revenue(b: Bound):
     q = scale_minor_units(b.conversion_quotes).where(F.col("used"))
     conv = q.groupBy("user_id").agg(money(F.sum(nz("fee_amount_brl") + nz("spread_revenue_brl"))).alias("brl"),
@@ -48,14 +54,17 @@ def user_revenue(b: Bound):
     return cp.user_revenue(conv, users.ledger_sums(b.card_ledger, REVENUE_STREAMS), fx_all(b))
 
 
+@once
 def fx_all(b: Bound):
     return ramp.fx_rate_median(scale_minor_units(b.conversion_quotes))
 
 
+@once
 def transacting(b: Bound):
     return users.distinct_users(transacting_sources(b)).select(F.col("user_id").cast("bigint").alias("user_id"))
 
 
+@once
 def summary(b: Bound):
     return cp.cohort_revenue_summary(cohort(b), user_revenue(b), transacting(b))
 
@@ -85,6 +94,7 @@ def daily_rev(b: Bound):
     return cp.cohort_daily_revenue(signed_rows(b))
 
 
+@once
 def cum_rev(b: Bound):
     return cp.cumulative_revenue(daily_rev(b), campaigns(b), AS_OF_DATE)
 

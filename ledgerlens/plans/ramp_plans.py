@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import scale_minor_units
 from ..operators import ramp, users
-from ..sources.binding import AS_OF, FULL_END, FULL_START, Bound
+from ..sources.binding import AS_OF, FULL_END, FULL_START, Bound, once
 from .oracle_views import register, with_views
 from .registry import query
 
@@ -14,12 +14,14 @@ from .registry import query
 _USD = "CAST(CAST(({x}) / NULLIF(exchange_rate, 0) AS VARCHAR) AS DECIMAL(30,10))"
 
 
+@once
 def conversions(b: Bound):
     """Used conversions in the full window, real units."""
     return scale_minor_units(ramp.scan_window(b.conversion_quotes, "created_at", FULL_START, FULL_END,
                                               F.col("used") == F.lit(True)))
 
 
+@once
 def normalized(b: Bound):
     return ramp.normalize_conversions(conversions(b))
 

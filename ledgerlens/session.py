@@ -18,6 +18,8 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No capture of a call site for each column expression: plans here have thousands.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Checkpoint files of multi-pass operators are removed once unreferenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -11,7 +11,7 @@ on keys, so every view grows with its base table.
 from __future__ import annotations
 
 import uuid
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +35,18 @@ def _cents(c: str) -> Column:
     return (F.col(c).cast("decimal(18,2)") * 100).cast("bigint")
 
 
+def once(build):
+    """A builder of a lazy frame over a binding that runs once for each binding."""
+    name = f"_once_{build.__module__}.{build.__qualname__}"
+
+    @wraps(build)
+    def shared(b: Bound):
+        if name not in b.__dict__:
+            b.__dict__[name] = build(b)
+        return b.__dict__[name]
+    return shared
+
+
 class Bound:
     """Lazy business views over one folder of generated parquet tables."""
 
