@@ -20,6 +20,7 @@ on their own; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache, partial
@@ -47,8 +48,9 @@ class ChunkEncoder:
     pre-tokenizer drops white space, never joins across it, and parts letters
     from other characters, so a text is the sequence of its chunks between
     spaces and line ends, and a chunk that is letters with signs behind them is
-    the letters and the signs.  The ids of chunks seen lately are kept, in two
-    generations of bounded size."""
+    the letters and the signs.  Where normalising turns the last letter into
+    more than letters (a mark would join the signs), the chunk stays whole.  The
+    ids of chunks seen lately are kept, in two generations of bounded size."""
 
     def __init__(self, tokenizer_file: str):
         import os
@@ -60,6 +62,14 @@ class ChunkEncoder:
         self.new: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def _ends_in_letter(chunk: str) -> bool:
+        """Whether the chunk ends in a letter before and after NFC and lower-casing."""
+        last = chunk[-1:]
+        if last.isascii():
+            return last.isalpha()
+        return last.isalpha() and last.lower().isalpha() and unicodedata.normalize("NFC", chunk) == chunk
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: as one text of which each is a word."""
         if not words:
@@ -83,7 +93,7 @@ class ChunkEncoder:
                 new[chunk] = ids
                 continue
             letters = chunk.rstrip(SIGNS)
-            if len(letters) == len(chunk) or not letters.decode()[-1:].isalpha():
+            if len(letters) == len(chunk) or not self._ends_in_letter(letters.decode()):
                 unknown[chunk] = None
                 continue
             signs = chunk[len(letters):]
