@@ -9,10 +9,9 @@ have the results that the operators define."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlens.llm import op2_packing, op4_simhash, op6_quality, op8_pii, op10_lines
-from ledgerlens.llm.common import if_small, read_table, written
+from ledgerlens.llm.common import read_table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occur earlier, or nearly so, go, and with them documents that
-    have little else."""
+    """Lines that occur earlier, or nearly so, go; a document goes only if no
+    word of it is left."""
     return op10_lines.remove_lines(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id stays."""
-    found = op4_simhash.near_duplicates(docs)
-    more = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(if_small(written(more, "more")), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """Of each near-duplicate component one row stays, that with the smallest id."""
+    return op4_simhash.remove_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

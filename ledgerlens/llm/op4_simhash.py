@@ -17,7 +17,9 @@ linear in the size of the bucket.  Components then come from the link table.
 Defined results: null text is the empty text; equal fingerprints always share a
 component; rows that share a doc_id are rows of their own; component_id is null
 only where all ids of a component are; an empty table gives an empty result;
-columns other than id and text are not read.
+columns other than id and text are not read.  :func:`remove_near_duplicates`
+keeps one row of each component: the smallest id (null after all others), then
+the smallest hash of the text, then the smallest of the other columns.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_table, text_bytes, written
+from .common import arrow_map, if_small, read_table, text_bytes, written
 from .graph import connected_components
 
 SHINGLE = 3
@@ -76,16 +78,22 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprinter(shingle: int):
     def make():
-        return lambda batch: {"id": batch.column("id"), "fp": np.array(
+        return lambda batch: {name: batch.column(name) for name in batch.schema.names if name != "text"} | {"fp": np.array(
             [fingerprint(raw, shingle) for raw in text_bytes(batch)], np.uint64).view(np.int64)}
     return make
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
+                 with_hash: bool = False) -> DataFrame:
+    """(id, fp) for every row; fp is the fingerprint as a signed long.  On
+    request also th, the hash of the text."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), f"id {id_type}, fp long",
-                     _fingerprinter(shingle))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[_text_hash(text_col).alias("th")] * with_hash)
+    return arrow_map(rows, f"id {id_type}" + ", th long" * with_hash + ", fp long", _fingerprinter(shingle))
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _signed(x: int) -> int:
@@ -127,13 +135,19 @@ def links(prints: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> Da
     return few.unionByName(many).distinct()
 
 
-def components(prints: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
-    """``prints`` (id, fp; a written table, it is read more than once) with
-    component_id."""
+def component_roots(prints: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
+    """(fp, least, root) for every distinct fingerprint: its smallest id and the
+    fingerprint that stands for its component."""
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = written(connected_components(links(distinct, distance, dense)), "roots")
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").drop("node")
-    linked = classes.withColumn("root", F.coalesce("root", "fp"))
+    return classes.withColumn("root", F.coalesce("root", "fp"))
+
+
+def components(prints: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
+    """``prints`` (id, fp; a written table, it is read more than once) with
+    component_id."""
+    linked = component_roots(prints, distance, dense)
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = linked.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
     return prints.join(of_print, F.col("fp") == F.col("__fp")).drop("__fp")
@@ -147,6 +161,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def remove_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, dense: int = DENSE,
+                           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with exactly one row of each component, columns as they are."""
+    prints = written(fingerprints(docs, shingle, id_col, text_col, with_hash=True), "fingerprints")
+    roots = component_roots(prints, distance, dense).select(F.col("fp").alias("__fp"), "root")
+    texts = prints.groupBy("id", "th").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th").alias("place")
+    texts = written(texts.join(roots, F.col("fp") == F.col("__fp")).select("id", "th", "n", "root", place), "texts")
+    stays = texts.groupBy(F.col("root").alias("__root")).agg(F.min("place").alias("stays"))
+    met = texts.join(stays, F.col("root") == F.col("__root")).withColumn("one", F.col("place").eqNullSafe(F.col("stays")))
+    met = written(met.where("NOT one OR n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"), "one"), "more")
+    rows = docs.withColumn("__t", _text_hash(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th"))
+    rest = rows.join(if_small(met), same, "left_anti")
+    # Repeated rows of the text that stays: one of them, found by an aggregate.
+    again = met.where("one")
+    if again.isEmpty():
+        return rest.select(*docs.columns)
+    repeated = rows.join(if_small(again), same, "left_semi")
+    once = repeated.groupBy(F.col(id_col).alias("__id"), F.col("__t").alias("__th")).agg(
+        F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return rest.select(*docs.columns).unionByName(once)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: near-duplicate components of all documents."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
