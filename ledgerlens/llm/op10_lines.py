@@ -231,14 +231,13 @@ def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
         .withColumn("__near", F.when(F.col("__th").isNotNull(), count("near")).otherwise(F.lit(0).cast("long")))
 
 
-def remove_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, min_words: int = 20,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
     """``docs`` without the removed lines, columns as they are.  A document
-    that loses lines and has fewer than ``min_words`` words left holds nothing
-    of its own any more and goes."""
+    that loses lines goes only if no word of it is left."""
     d = without_lines(docs, removed_lines(docs, edits, min_chars, DENSE, id_col, text_col), id_col, text_col)
     lost = F.col("__exact") + F.col("__near") > 0
-    d = d.where(~(lost & (F.size(words(F.col("__kept"))) < min_words)))
+    d = d.where(~(lost & (F.size(words(F.col("__kept"))) == 0)))
     return d.withColumn(text_col, F.col("__kept")).select(*docs.columns)
 
 
