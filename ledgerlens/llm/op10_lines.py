@@ -2,23 +2,27 @@
 functions only.
 
 A line of at least ``min_chars`` characters is removed if the same line occurs
-earlier in the corpus, or if a line within ``max_edits`` edits of it has its
-first occurrence before its own; earlier means by id, then line number.  The
-edit join runs over the first occurrences:
-
-1. A line is split into ``max_edits + 1`` segments.  Within that many edits one
-   segment stays intact, so two such lines share a segment at nearly the same
-   place: the longer line is probed with the substrings that can match, by
-   segment number, length of the other line, and shift.
-2. Lines that share a key are candidates; each candidate pair is verified by a
-   bit-parallel automaton over the diagonal band of the edit matrix.
-3. A key with more than ``dense`` lines is not paired off when one edit is
-   allowed: its lines are grouped by what is left when one character is taken
-   out, which finds the same neighbours in time linear in their number.  (For
-   more edits such keys are paired like the others.)
-
-Shuffled are hashes and positions.  Texts are moved only for candidate lines and
-for documents that lose lines, and without a shuffle while their list is short.
+earlier in the corpus, or if a line within reach of it has its first occurrence
+before its own; earlier means by id, then line number.  Within reach are lines
+that differ by at most one edit for each ``CHARS_PER_EDIT`` characters begun of
+the shorter line, and by at most ``MAX_EDITS``; or by ``edits`` if it is given.
+The edit join runs over the first occurrences:
+
+1. Lengths fall into classes; with k edits allowed in a class, the first k + 1
+   pieces of a line that its class cuts off are its segments.  Of two lines
+   within k edits, the longer one holds some segment j of the shorter one intact,
+   with at most j edits before and k - j behind it, so it is probed with the
+   substrings that can match, by class, segment number and shift.
+2. Lines that share a key are candidates; each candidate pair is verified by
+   the banded edit distance.
+3. A key with more than ``dense`` lines is not paired off at once.  All its lines
+   are compared with the earliest of them; those near it are decided, and need
+   be met only as earlier lines.  If others are open, the key is refined: what is
+   left of a line without the segment is cut into segments again, and lines meet
+   if they share one of these as well.  Pairs of two decided lines are left out.
+
+Shuffled are hashes, positions, and the texts of distinct lines once; later on
+texts are moved only for candidate lines and for documents that lose lines.
 
 Defined results: null text is the empty text; shorter lines stay; rows that
 share id and text share their decisions; a null id comes first; an empty table
@@ -32,28 +36,45 @@ from pyspark.sql import functions as F
 
 from .common import if_small, read_table, words, written
 
-MAX_EDITS = 1
+MAX_EDITS = 6
+CHARS_PER_EDIT = 20
 MIN_CHARS = 20
 DENSE = 64
 PLACE = ("id", "th", "line_no")
 
 
-def lines(docs: DataFrame, edits: int = MAX_EDITS, id_col: str = "doc_id", text_col: str = "text",
+def least_chars(edits: int | None, min_chars: int) -> int:
+    return max(min_chars, 2 * ((edits or 1) + 1))
+
+
+def class_base(n: Column, edits: int | None, min_chars: int) -> Column:
+    """Least length of the class of a length: a quarter of an octave; where the
+    edits grow with the length, that of all lengths with as many edits."""
+    octave = F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 1)
+    step = F.greatest(F.shiftright(octave, 2), F.lit(1))
+    base = octave + F.floor((n - octave) / step).cast("int") * step
+    if not edits:
+        most = (MAX_EDITS - 1) * CHARS_PER_EDIT
+        same = F.floor((n - 1) / CHARS_PER_EDIT).cast("int") * CHARS_PER_EDIT + 1
+        base = F.when(n <= most, same).otherwise(F.greatest(base, F.lit(most + 1)))
+    return F.greatest(base, F.lit(least_chars(edits, min_chars)))
+
+
+def lines(docs: DataFrame, edits: int | None = None, id_col: str = "doc_id", text_col: str = "text",
           min_chars: int = MIN_CHARS) -> DataFrame:
-    """The eligible lines, without their texts: id, th (hash of the text),
-    line_no, h1 and h2 (hashes of the line), own and probe (segment keys)."""
+    """The eligible lines: id, th (hash of the text), line_no, h1 and h2 (hashes
+    of the line), line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
                        F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, 2 * (edits + 1)))
-    return rows.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"),
-                       F.array(*own_keys(edits)).alias("own"), F.array(*probe_keys(edits)).alias("probe"))
+    rows = rows.where(F.length("line") >= least_chars(edits, min_chars))
+    return rows.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line")
 
 
 def distinct_lines(found: DataFrame) -> DataFrame:
-    """One row per line text: first (its first place), n (occurrences), keys."""
+    """One row per line text: first (its first place), n (occurrences), line."""
     return found.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"),
-                                         F.first("own").alias("own"), F.first("probe").alias("probe"))
+                                         F.first("line").alias("line"))
 
 
 def later_occurrences(found: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -63,151 +84,117 @@ def later_occurrences(found: DataFrame, distinct: DataFrame) -> DataFrame:
     return met.where(~F.struct(*PLACE).eqNullSafe(F.col("first"))).select(*PLACE).distinct()
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i: an even partition, the last
-    segments one longer if the length does not divide."""
-    size, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    before = F.greatest(F.lit(i) - (F.lit(parts) - longer), F.lit(0))
-    return size * i + before, size + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-
-
-def own_keys(edits: int) -> list[Column]:
-    """Keys of the segments of columns line and n (its length)."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment(F.col("n"), i, edits + 1)
-        keys.append(F.xxhash64(F.lit(i), F.col("n"), F.substr(F.col("line"), start + 1, size)))
-    return keys
-
-
-def probe_keys(edits: int) -> list[Column]:
-    """Keys of the substrings that can be a segment of a line of the same
-    length (shifted) or of one up to ``edits`` shorter; null where a shift
-    leaves the line."""
-    parts, n, keys = edits + 1, F.col("n"), []
-    for shorter in range(edits + 1):
-        for i in range(parts):
-            start, size = _segment(n - shorter, i, parts)
-            # Shifts that leave few enough edits on either side of the segment.
-            for shift in range(max(-i, shorter - (parts - 1 - i)), min(i, shorter + (parts - 1 - i)) + 1):
-                if shorter or shift:
-                    key = F.xxhash64(F.lit(i), n - shorter, F.substr(F.col("line"), start + shift + 1, size))
-                    fits = (start + shift >= 0) & (start + shift + size <= n)
-                    keys.append(key if shift == (shorter if i else 0) else F.when(fits, key))
-    return keys
-
-
-def within(x: Column, y: Column, edits: int) -> Column:
-    """Whether two strings are within ``edits`` of each other.  Bit k of vector
-    d at character j of y says that the first ``j - edits + k`` characters of x
-    are within d edits of the first j of y; a column of the band is two or
-    three word operations a vector."""
-    width = (1 << (2 * edits + 1)) - 1
-
-    def decide(s: Column) -> Column:
-        a, m = s["a"], F.size(s["a"])
-        start = F.struct(F.lit(1).alias("j"), *[
-            F.lit(sum(1 << (edits + i) for i in range(d + 1))).alias(f"r{d}") for d in range(edits + 1)])
-
-        def column(acc: Column, c: Column) -> Column:
-            equal = F.lit(0)
-            for k in range(2 * edits + 1):
-                same = F.get(a, F.greatest(acc["j"] - edits + k - 1, F.lit(0))) == c
-                inside = (acc["j"] - edits + k >= 1) & (acc["j"] - edits + k <= m)
-                equal = equal + F.when(inside & same, 1 << k).otherwise(0)
-            return F.element_at(F.transform(F.array(equal), lambda e: step(acc, e)), 1)
-
-        def step(acc: Column, equal: Column) -> Column:
-            new = [acc["r0"].bitwiseAND(equal)]
-            for d in range(1, edits + 1):
-                old, less = acc[f"r{d}"], acc[f"r{d - 1}"]
-                new.append(old.bitwiseAND(equal).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1))
-                           .bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(width)))
-            return F.struct((acc["j"] + 1).alias("j"), *[v.alias(f"r{d}") for d, v in enumerate(new)])
-
-        end = m - F.size(s["b"]) + edits
-        last = F.aggregate(s["b"], start, column, lambda acc: acc[f"r{edits}"])
-        return (end >= 0) & (end <= 2 * edits) & (F.floor(last / F.pow(F.lit(2.0), end)) % 2 == 1)
-
-    letters = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"))
-    return (F.abs(F.length(x) - F.length(y)) <= edits) & F.element_at(F.transform(F.array(letters), decide), 1)
-
-
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, at, line) of wanted lines (h1, first): only documents that hold one
-    are split."""
-    of = written(wanted.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(
-        F.collect_list(F.struct("h1", F.col("first.line_no").alias("line_no"))).alias("__wanted")), "wanted")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    met = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).join(
-        if_small(of), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
-    split = met.select("id", "th", F.split("text", "\n", -1).alias("lines"), "__wanted")
-    one = split.select("id", "th", "lines", F.explode("__wanted").alias("w"))
-    at = F.struct("id", "th", F.col("w.line_no").alias("line_no")).alias("at")
-    return written(one.select(F.col("w.h1").alias("h1"), at, F.get("lines", F.col("w.line_no")).alias("line")).distinct(),
-                   "texts")
-
-
-def _earlier_by_pairs(keys: DataFrame, probes: DataFrame, distinct: DataFrame, docs: DataFrame, edits: int, id_col: str,
-                      text_col: str) -> DataFrame:
-    """Places of lines with an earlier line within reach, by candidate pairs."""
-    left = keys.select("key", F.col("h1").alias("a"))
-    same = left.join(keys.select("key", F.col("h1").alias("b")), "key").where("a < b").select("a", "b")
-    other = left.join(probes.select("key", F.col("h1").alias("b")), "key").where("a <> b").select("a", "b")
-    pairs = written(same.unionByName(other).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    texts = _texts(docs, distinct.select("h1", "first").join(wanted, "h1"), id_col, text_col)
-    side = lambda p: texts.select(F.col("h1").alias(p), F.col("at").alias(p + "_at"), F.col("line").alias(p + "_line"))
+def _patterns(k: int, own: bool) -> list[tuple[int, int]]:
+    """(segment, shift) of the keys of a line, or of the probes of one that is
+    as long or longer: a shift to the left has to be made good behind it."""
+    return [(j, s) for j in range(k + 1) for s in range(0 if own else -min(j, k - j), 1 if own else j + 1)]
+
+
+def _pattern_table(edits: int | None, own: bool) -> Column:
+    rows = ["array(" + ", ".join(f"named_struct('j', {j}, 's', {s})" for j, s in _patterns(k, own)) + ")"
+            for k in range((edits or MAX_EDITS) + 1)]
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
+def _classed(distinct: DataFrame, own: bool, edits: int | None, min_chars: int) -> DataFrame:
+    """Lines (h1, line) with their class c, or the classes they probe: those of
+    lines as long or shorter by the edits that the class allows."""
+    n, least = F.length("line"), F.lit(least_chars(edits, min_chars))
+    lengths = [n] + [F.greatest(n - d, least) for d in range(1, 1 + (0 if own else edits or MAX_EDITS))]
+    bases = F.array_distinct(F.array(*[class_base(m, edits, min_chars) for m in lengths])) if not own else F.array(
+        class_base(n, edits, min_chars))
+    k = F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(F.col("base") / CHARS_PER_EDIT).cast("int"))
+    return distinct.select("h1", "line", F.explode(bases).alias("base")).withColumn("k", k)
+
+
+def _cut(rows: DataFrame, own: bool, edits: int | None, size: Column, *of: str) -> DataFrame:
+    """``rows`` with one row for each segment or probe of column line: key (of
+    columns ``of``, segment number and substring), start and size."""
+    pattern = F.inline(F.get(_pattern_table(edits, own), F.col("k"))).alias("j", "s")
+    cut = rows.withColumn("size", size.cast("int")).select("*", pattern)
+    cut = cut.withColumn("start", F.col("j") * F.col("size") + F.col("s")).where("start >= 0")
+    cut = cut.withColumn("part", F.substr("line", F.col("start") + 1, F.col("size"))).where(F.length("part") == F.col("size"))
+    return cut.withColumn("key", F.xxhash64(*of, "j", "part")).drop("j", "s", "part")
+
+
+def keys_of(distinct: DataFrame, own: bool, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, line, base, k, size, start and key of the segments or probes of lines."""
+    return _cut(_classed(distinct, own, edits, min_chars), own, edits, F.floor(F.col("base") / (F.col("k") + 1)), "base")
+
+
+def _refined(cut: DataFrame, own: bool, edits: int | None) -> DataFrame:
+    """Finer keys for rows of :func:`keys_of`, from the lines without the segment."""
+    rest = F.concat(F.substr("line", F.lit(1), F.col("start")), F.substr("line", F.col("start") + F.col("size") + 1))
+    rows = cut.select("h1", F.col("key").alias("of"), rest.alias("line"), "k", (F.col("base") - F.col("size")).alias("left"))
+    return _cut(rows, own, edits, F.floor(F.col("left") / (F.col("k") + 1)), "of").select("key", "h1")
+
+
+def within(x: Column, y: Column, edits: int | Column) -> Column:
+    """Whether two strings are within ``edits`` of each other."""
+    edits = edits if isinstance(edits, Column) else F.lit(edits)
+    return (F.abs(F.length(x) - F.length(y)) <= edits) & (F.call_function("levenshtein", x, y, edits) >= 0)
+
+
+def _near(pairs: DataFrame, distinct: DataFrame, edits: int | None) -> DataFrame:
+    """(h1, place) of the later line of each pair (a, b) within reach."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
+    texts = written(distinct.select("h1", "first", "line").join(wanted, "h1"), "texts")
+    side = lambda p: texts.select(F.col("h1").alias(p), F.col("first").alias(p + "_at"), F.col("line").alias(p + "_line"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
-    close = met.where(within(F.col("a_line"), F.col("b_line"), edits))
-    return close.select(F.inline(F.array(F.greatest("a_at", "b_at")))).select(*PLACE)
-
-
-def _earlier_by_deletion(dense_lines: DataFrame) -> DataFrame:
-    """Places of lines with an earlier line one edit away, among ``dense_lines``
-    (place, line): lines that differ by a substitution are equal without the
-    character there, and all of these are one edit apart; a line is one edit
-    from those that become it without a character."""
-    line, at = F.col("line"), F.struct(*PLACE).alias("at")
-    rest = F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.struct(
-        i.alias("gap"), F.concat(F.substr(line, F.lit(1), i - 1), F.substr(line, i + 1)).alias("rest")))
-    cut = dense_lines.select(at, F.inline(rest)).select(
-        "at", "gap", F.xxhash64("rest").alias("k1"), F.xxhash64(F.lit(1), F.col("rest")).alias("k2"))
-    least = cut.groupBy("gap", "k1", "k2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    swapped = cut.join(least, ["gap", "k1", "k2"]).where(F.col("at") != F.col("first")).select("at")
-    whole = dense_lines.select(at, F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
-    longer = cut.groupBy("k1", "k2").agg(F.min("at").alias("longer"))
-    dropped = whole.join(longer, ["k1", "k2"]).where(F.col("longer") < F.col("at")).select("at")
-    added = cut.join(whole.withColumnRenamed("at", "shorter"), ["k1", "k2"]).where(F.col("shorter") < F.col("at")).select("at")
-    return swapped.unionByName(dropped).unionByName(added).distinct().select("at.*")
-
-
-def near_lines(docs: DataFrame, distinct: DataFrame, edits: int = MAX_EDITS, dense: int = DENSE, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """Places of first occurrences that have an earlier one within ``edits``
-    edits; ``distinct`` is a written table of :func:`distinct_lines`."""
-    keys = distinct.select("h1", F.explode("own").alias("key"))
-    probes = distinct.select("h1", F.explode("probe").alias("key")).where("key IS NOT NULL")
-    if edits > 1:
-        return _earlier_by_pairs(keys, probes, distinct, docs, edits, id_col, text_col).distinct()
-    many = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
-    if many.isEmpty():
-        return _earlier_by_pairs(keys, probes, distinct, docs, edits, id_col, text_col).distinct()
-    hint = if_small(many)
-    sparse = _earlier_by_pairs(keys.join(hint, "key", "left_anti"), probes.join(hint, "key", "left_anti"), distinct, docs,
-                               edits, id_col, text_col)
-    members = keys.unionByName(probes).join(hint, "key", "left_semi").select("h1").distinct()
-    texts = _texts(docs, distinct.select("h1", "first").join(members, "h1"), id_col, text_col)
-    return sparse.unionByName(_earlier_by_deletion(texts.select("at.*", "line"))).distinct()
+    shorter = F.least(F.length("a_line"), F.length("b_line"))
+    reach = F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(shorter / CHARS_PER_EDIT).cast("int"))
+    close = met.where(within(F.col("a_line"), F.col("b_line"), reach))
+    later = F.greatest(F.struct("a_at", F.col("a").alias("h1")), F.struct(F.col("b_at").alias("a_at"), F.col("b").alias("h1")))
+    return close.select(later.alias("l")).select(F.col("l.h1").alias("h1"), F.col("l.a_at").alias("place")).distinct()
+
 
+def _pairs(own: DataFrame, probes: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of (key, h1) and (key, h1)."""
+    met = own.select("key", F.col("h1").alias("a")).join(probes.select("key", F.col("h1").alias("b")), "key").where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, dense: int = DENSE,
+
+def near_lines(distinct: DataFrame, edits: int | None = None, dense: int = DENSE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Places of first occurrences that have an earlier one within reach;
+    ``distinct`` is a written table of :func:`distinct_lines`."""
+    own, probes = (keys_of(distinct, o, edits, min_chars).select("key", "h1") for o in (True, False))
+    many = written(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
+    if many.isEmpty():
+        return _near(written(_pairs(own, probes), "pairs"), distinct, edits).select("place.*")
+    hint = if_small(many)
+    few = _pairs(own.join(hint, "key", "left_anti"), probes.join(hint, "key", "left_anti"))
+    near = _near(written(few, "pairs"), distinct, edits)
+    # Lines of dense keys against the earliest of each.
+    members = written(own.unionByName(probes).join(hint, "key", "left_semi").distinct(), "members")
+    placed = members.join(distinct.select("h1", "first"), "h1")
+    heads = written(placed.groupBy("key").agg(F.min(F.struct("first", "h1")).alias("head")).select(
+        "key", F.col("head.h1").alias("head")), "heads")
+    leads = members.join(heads, "key").where("h1 <> head").select(F.least("h1", "head").alias("a"), F.greatest("h1", "head").alias("b"))
+    near = written(near.unionByName(_near(written(leads.distinct(), "leads"), distinct, edits)).distinct(), "near")
+    decided = near.select("h1").distinct()
+    undecided = members.join(heads, "key").where("h1 <> head").join(decided, "h1", "left_anti")
+    left = written(undecided.select("key").distinct(), "open")
+    if left.isEmpty():
+        return near.select("place.*")
+    # Keys with other open lines are refined.
+    hint = if_small(left)
+    texts = written(distinct.select("h1", "line").join(
+        members.join(hint, "key", "left_semi").select("h1").distinct(), "h1"), "members")
+    fine = [written(_refined(keys_of(texts, o, edits, min_chars).join(hint, "key", "left_semi"), o, edits).distinct(), "fine")
+            for o in (True, False)]
+    unsure = [f.join(decided, "h1", "left_anti") for f in fine]
+    more = _pairs(unsure[0], fine[1]).unionByName(_pairs(fine[0], unsure[1])).distinct()
+    return near.unionByName(_near(written(more, "pairs"), distinct, edits)).select("place.*").distinct()
+
+
+def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, dense: int = DENSE,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th, exact and near: arrays of the line numbers a document loses."""
-    found = written(lines(docs, edits, id_col, text_col, min_chars), "lines")
-    distinct = written(distinct_lines(found), "distinct-lines")
+    all_lines = lines(docs, edits, id_col, text_col, min_chars)
+    found = written(all_lines.drop("line"), "lines")
+    distinct = written(distinct_lines(all_lines), "distinct-lines")
     later = later_occurrences(found, distinct).withColumn("near", F.lit(False))
-    near = near_lines(docs, distinct, edits, dense, id_col, text_col).withColumn("near", F.lit(True))
+    near = near_lines(distinct, edits, dense, min_chars).select(*PLACE).withColumn("near", F.lit(True))
     return written(later.unionByName(near).groupBy("id", "th").agg(
         F.sort_array(F.collect_list(F.when(~F.col("near"), F.col("line_no")))).alias("exact"),
         F.sort_array(F.collect_list(F.when(F.col("near"), F.col("line_no")))).alias("near")), "removed")
@@ -231,7 +218,7 @@ def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
         .withColumn("__near", F.when(F.col("__th").isNotNull(), count("near")).otherwise(F.lit(0).cast("long")))
 
 
-def remove_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
+def remove_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``docs`` without the removed lines, columns as they are.  A document
     that loses lines goes only if no word of it is left."""

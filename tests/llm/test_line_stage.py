@@ -1,6 +1,13 @@
 """Line deduplication: the stage, and lines within an edit limit that grows with their length."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
+from ledgerlens.llm import op10_lines
+
+from .test_operators import _edits
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -10,3 +17,38 @@ def test_line_stage_keeps_short_documents_with_words_left(spark):
     rows = [(1, line, "x"), (2, line + "\nfour words are left", "x"), (3, line, "x"), (4, "short", "x")]
     out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(map(tuple, out)) == [rows[0], (2, "four words are left", "x"), rows[3]]
+
+
+def _varied(rnd, line, times):
+    x = list(line)
+    for _ in range(times):
+        at = rnd.randint(0, len(x))
+        x[at:at + rnd.randint(0, 1)] = [rnd.choice("abcd")] * rnd.randint(0, 1)
+    return "".join(x)
+
+
+@pytest.mark.parametrize(("edits", "dense"), [(None, 64), (None, 1), (2, 1), (4, 2)])
+def test_edits_grow_with_the_line(spark, edits, dense):
+    rnd = random.Random(dense)
+    base = ["".join(rnd.choice("abcd ") for _ in range(n)) for n in (20, 30, 39, 41, 60, 79, 100, 101, 124, 127, 300)]
+    # A template: one part of the line is equal in all, the other in none.
+    texts = [_varied(rnd, b, rnd.choice([0, 1, 2, 3, 5, 6, 7, 9])) for b in base for _ in range(12)]
+    texts += [base[8][:90] + "".join(rnd.choice("abcd ") for _ in range(34)) for _ in range(20)]
+    rnd.shuffle(texts)
+    first = {}
+    for i, x in enumerate(texts):
+        if len(x) >= 20:
+            first.setdefault(x, i)
+    reach = lambda x, y: edits or min(6, -(-min(len(x), len(y)) // 20))
+    want = {i for x, i in first.items() for y, j in first.items()
+            if j < i and abs(len(x) - len(y)) <= 6 and _edits(x, y) <= reach(x, y)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = op10_lines.removed_lines(df, edits, 20, dense).where("size(near) > 0").select("id").collect()
+    assert {r["id"] for r in got} == want
+
+
+def test_one_word_replaced_is_a_near_copy(spark):
+    line = "all files are distributed under the licence of the people who wrote them, without a warranty of any kind at all"
+    rows = [(1, line, "x"), (2, line.replace("people", "persons") + "\nown words", "x")]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(map(tuple, out)) == [rows[0], (2, "own words", "x")]
