@@ -17,6 +17,9 @@ from . import (
     op8_pii,
     op9_exact_dedup,
     op10_lines,
+    op11_align,
+    op12_html,
+    op13_trie,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,10 +33,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii.op8_pii,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
     "op10_lines": op10_lines.op10_lines,
+    "op11_align": op11_align.op11_align,
+    "op12_html": op12_html.op12_html,
+    "op13_trie": op13_trie.op13_trie,
 }
 
 #: Operators that SQL cannot express (tokenizers, fitted models, packing) have none.
 ORACLES: dict[str, str] = {
     "op7_chat": op7_chat.ORACLE,
     "op9_exact_dedup": op9_exact_dedup.ORACLE,
+    "op13_trie": op13_trie.ORACLE,
 }
