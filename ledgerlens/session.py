@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator relies on: UTC wall clock, AQE for skew and
 # partition coalescing, and no UI server.
@@ -58,6 +59,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read back:
+    cuts the lineage like a checkpoint, and the size estimates of loops with it."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_scratch(master: str) -> str:
     """A scratch folder for a session whose executors are this process."""
     if not (master == "local" or master.startswith("local[")):

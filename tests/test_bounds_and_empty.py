@@ -54,7 +54,7 @@ def test_top_decile_of_an_empty_table(spark):
 def test_percentile_with_one_value_in_most_rows(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(F.lit(7000.0)).alias("v"))
     pdf = df.toPandas()["v"]
-    got = exact_percentiles(df, "v", {"a": 0.02, "b": 0.5, "c": 0.97}, accuracy=100).first()
+    got = exact_percentiles(df, "v", {"a": 0.02, "b": 0.5, "c": 0.97}, bound=100).first()
     assert tuple(got) == pytest.approx(tuple(pdf.quantile([0.02, 0.5, 0.97])))
 
 

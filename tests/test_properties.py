@@ -17,7 +17,7 @@ values = st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(-50, 5
 @given(rows=values, p=st.sampled_from([0.0, 0.1, 0.33, 0.5, 0.8, 0.99, 1.0]), acc=st.sampled_from([2, 10, 10_000]))
 def test_percentile_property(spark, rows, p, acc):
     df = spark.createDataFrame([(k, float(v)) for k, v in rows], "k string, v double")
-    got = {r.k: r.q for r in exact_percentiles(df, "v", {"q": p}, ["k"], acc).collect()}
+    got = {r.k: r.q for r in exact_percentiles(df, "v", {"q": p}, ["k"], bound=acc).collect()}
     for k in {k for k, _ in rows}:
         exp = np.quantile([float(v) for kk, v in rows if kk == k], p)
         assert got[k] == pytest.approx(exp, abs=1e-9)

@@ -71,7 +71,7 @@ def test_exact_percentiles_match_numpy(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     for acc in (10, 10_000):
         got = {r.k: (r.p10, r.p50, r.p90) for r in
-               exact_percentiles(df, "v", {"p10": .1, "p50": .5, "p90": .9}, ["k"], acc).collect()}
+               exact_percentiles(df, "v", {"p10": .1, "p50": .5, "p90": .9}, ["k"], bound=acc).collect()}
         for k in "abcd":
             vals = [v for kk, v in rows if kk == k]
             assert got[k] == pytest.approx(tuple(np.quantile(vals, q) for q in (.1, .5, .9)))
