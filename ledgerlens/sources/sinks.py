@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.campaigns import classify_merchant
-from ..session import ensure_checkpoint_dir
+from .id_table import IdTable
 
 
 def spend_rows(expenses: DataFrame) -> DataFrame:
@@ -48,21 +49,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def append_new_rows(batch: DataFrame, target_path: str, id_col: str = "id") -> tuple[int, int]:
-    """Idempotent load: append the batch rows whose id is not yet in the target
-    parquet table.  Re-running the same batch inserts nothing.  Returns
-    (inserted, skipped)."""
-    spark = batch.sparkSession
-    existing = spark.read.parquet(target_path) if _exists(spark, target_path) else None
-    fresh = new_rows(batch, existing, id_col)
-    # Materialise once so the counts and the write see the same rows.
-    ensure_checkpoint_dir(spark)
-    fresh = fresh.checkpoint(eager=True)
-    n_new = fresh.count()
-    n_batch = batch.count()
-    if n_new:
-        fresh.write.mode("append").parquet(target_path)
-    return n_new, n_batch - n_new
+def append_new_rows(batch: DataFrame, target_path: str, id_col: str = "id", tag: str | None = None) -> tuple[int, int]:
+    """Idempotent load: the rows of ``batch`` whose id is not yet in the target, an
+    :class:`IdTable`, are added in one step; only the files that may hold an id of the
+    batch are read.  A folder of plain Parquet files is taken over first (its rows
+    become the first version).  Re-running a batch inserts nothing.  Returns (inserted,
+    skipped)."""
+    table = IdTable(batch.sparkSession, target_path, id_col)
+    if not table.version() and _exists(batch.sparkSession, target_path):
+        try:
+            table.publish(batch.sparkSession.read.parquet(target_path), 0)
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":     # an empty folder
+                raise
+    return table.load(batch, tag)
 
 
 def export_records(df: DataFrame) -> DataFrame:

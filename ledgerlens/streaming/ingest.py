@@ -2,8 +2,8 @@
 
 New expense CSV files dropped in a folder are read as a stream, reduced to
 ad-platform rows and appended to the spend table with the idempotent
-``append_new_rows`` in ``foreachBatch``: a micro-batch replayed after a
-failure finds its ids already present and inserts nothing.
+``append_new_rows`` in ``foreachBatch``: a micro-batch carries its number as a tag, so
+one replayed after a failure is known as loaded, and a killed one left nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def start_spend_ingest(spark: SparkSession, source_dir: str, target_path: str,
     with the same one goes on where the last run ended."""
 
     def write_batch(df: DataFrame, epoch_id: int) -> None:
-        append_new_rows(df, target_path)
+        append_new_rows(df, target_path, tag=f"{checkpoint_location}#{epoch_id}")
 
     w = spend_stream(spark, source_dir).writeStream.foreachBatch(write_batch).option("checkpointLocation",
                                                                                                checkpoint_location)

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerlens.sources import sinks
+from ledgerlens.sources.id_table import IdTable
 from ledgerlens.streaming.ingest import start_spend_ingest
 
 HEADER = "id,date,postedDate,type,amount,merchantName,authorizationStatus,currency,cardholderEmail"
@@ -25,7 +26,7 @@ def test_append_is_idempotent(spark, tmp_path):
     target = str(tmp_path / "spend")
     assert sinks.append_new_rows(rows, target) == (2, 1)
     assert sinks.append_new_rows(rows, target) == (0, 3)
-    assert spark.read.parquet(target).count() == 2
+    assert IdTable(spark, target).read().count() == 2
 
 
 def test_export_records(spark):
@@ -45,5 +46,5 @@ def test_streaming_ingest(spark, tmp_path):
     _csv(src / "b.csv", ["1,2026-02-15,,spend,-99.00,FACEBK ADS,approved,usd,x", "2,2026-02-16,,spend,-7,DL *GOOGLE ADS1,approved,usd,x"])
     q = start_spend_ingest(spark, str(src), target, ckpt)
     q.awaitTermination(120)
-    got = sorted((r.id, r.platform) for r in spark.read.parquet(target).collect())
+    got = sorted((r.id, r.platform) for r in IdTable(spark, target).read().collect())
     assert got == [("1", "meta"), ("2", "google")]
