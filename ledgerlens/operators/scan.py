@@ -37,13 +37,24 @@ MICRO = 1_000_000
 PNL_SCALE = 100_000_000  # per-row PnL is fixed to 8 decimals so cumulative sums are exact
 
 
-def _events(conv: DataFrame, keys, ts: str, id_col: str, rate: str) -> DataFrame:
+#: Opening state of a key: quantity in micros, average, cumulative PnL in 1e-8.
+OPENING = ("_q0", "_a0", "_c0")
+
+
+def _events(conv: DataFrame, keys, ts: str, id_col: str, rate: str, opening: DataFrame | None = None) -> DataFrame:
     d = F.lower(F.col("direction"))
     on = d.isin(*ONRAMP_DIRECTIONS)
     off = d.isin(*OFFRAMP_DIRECTIONS)
     micros = lambda c: (F.abs(F.coalesce(F.col(c), F.lit(0))).cast("decimal(30,6)") * MICRO).cast("bigint")
+    if opening is None:
+        start = [F.lit(0).cast("bigint").alias("_q0"), F.lit(None).cast("double").alias("_a0"), F.lit(0).cast("bigint").alias("_c0")]
+    else:
+        o = opening.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_q").alias("_q0"), F.col("_avg").alias("_a0"),
+                           F.col("_pnl_cum").alias("_c0"))
+        conv = conv.join(o, [conv[k].eqNullSafe(o[f"_o_{k}"]) for k in keys], "left")
+        start = [F.coalesce("_q0", F.lit(0)).cast("bigint").alias("_q0"), "_a0", F.coalesce("_c0", F.lit(0)).cast("bigint").alias("_c0")]
     return conv.where(F.col(ts).isNotNull()).select(
-        *keys, F.col(ts).alias("_ts"), F.col(id_col).alias("_id"), F.col("side"),
+        *keys, *start, F.col(ts).alias("_ts"), F.col(id_col).alias("_id"), F.col("side"),
         F.when(off, micros("from_amount_usdc")).otherwise(F.lit(0).cast("bigint")).alias("_in"),
         F.when(on, micros("to_amount_usdc")).otherwise(F.lit(0).cast("bigint")).alias("_out"),
         dbl(rate).alias("_price"),
@@ -85,19 +96,20 @@ def _summary(batches, keys, begin, step, finish):
     ``begin(row, first)`` gives the state before a key's rows (``first``: the
     partition's first key), ``step(state, rows)`` the state after some of them."""
     pid = first = last = state = None
-    n_keys = 0
+    n_keys, opened = 0, {}
     for pdf in batches:
         for s, e in _segments(pdf, keys) if len(pdf) else ():
             key = _key_of(pdf, keys, s)
             if key != last:
                 n_keys += 1
                 state = begin(pdf.iloc[s], n_keys == 1)
+                opened |= {f"{side}{c}": _plain(pdf[c].iat[s]) for side in ("fl" if n_keys == 1 else "l") for c in OPENING}
             if n_keys == 1 and first is None:
                 first, pid = key, int(pdf["_pid"].iat[s])
             last = key
             state = step(state, pdf.iloc[s:e])
     if n_keys:
-        yield pd.DataFrame([{"_pid": pid, "single": n_keys == 1, **{f"f_{k}": v for k, v in zip(keys, first)},
+        yield pd.DataFrame([{"_pid": pid, "single": n_keys == 1, **opened, **{f"f_{k}": v for k, v in zip(keys, first)},
                              **{f"l_{k}": v for k, v in zip(keys, last)}, **finish(state)}])
 
 
@@ -138,31 +150,33 @@ def _averages(qin, before, price, avg):
     return np.array(out), avg
 
 
-def _fold(summary: pd.DataFrame, keys, init: dict, step) -> pd.DataFrame:
+def _fold(summary: pd.DataFrame, keys, init, step) -> pd.DataFrame:
     """Sequential fold over partitions (one row each, ordered by pid) giving
-    the state entering each partition's first key segment."""
+    the state entering each partition's first key segment.  ``init(row, side)`` is the
+    opening state of the first ("f") or last ("l") key of a partition."""
     rows, prev_last, prev_state = [], None, None
     for r in summary.sort_values("_pid").to_dict("records"):
         first = tuple(_plain(r[f"f_{k}"]) for k in keys)
         last = tuple(_plain(r[f"l_{k}"]) for k in keys)
-        carry = dict(prev_state) if (prev_state is not None and prev_last == first) else dict(init)
+        carry = dict(prev_state) if (prev_state is not None and prev_last == first) else init(r, "f")
         rows.append({"_pid": r["_pid"], **{f"c_{k}": v for k, v in carry.items()}})
-        start = carry if r["single"] else dict(init)
+        start = carry if r["single"] else init(r, "l")
         prev_state = step(start, r)
         prev_last = last
     return pd.DataFrame(rows)
 
 
-def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created_at", id_col: str = "id",
-                 rate: str = "effective_rate", num_partitions: int | None = None) -> DataFrame:
-    """Chronological USDC inventory: buys (off-ramp) update the weighted
-    average cost, sells (on-ramp) realise (sell rate - previous average) x qty.
-    Order is (ts, id) so ties are stable; ``keys`` makes independent positions."""
+def position_rows(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created_at", id_col: str = "id",
+                  rate: str = "effective_rate", num_partitions: int | None = None,
+                  opening: DataFrame | None = None) -> DataFrame:
+    """The events with the running state in exact units: ``_q`` (micros), ``_avg``,
+    ``_pnl`` and ``_pnl_cum`` (1e-8), ``_avg_before``.  ``opening`` (keys, _q, _avg,
+    _pnl_cum) is the state before the first event of a key."""
     spark = conv.sparkSession
     ensure_checkpoint_dir(spark)
     ensure_python_package(spark)
     keys = tuple(keys)
-    ev = _events(conv, keys, ts, id_col, rate)
+    ev = _events(conv, keys, ts, id_col, rate, opening)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (ev.repartitionByRange(n, *keys, "_ts", "_id").sortWithinPartitions(*keys, "_ts", "_id")
                .withColumn("_pid", F.spark_partition_id()))
@@ -176,6 +190,8 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
                         lambda dq, rows: dq + int((rows["_in"] - rows["_out"]).sum()), lambda dq: {"dq": dq})
 
     sum_schema = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("single", T.BooleanType())]
+                              + [T.StructField(side + f.name, f.dataType) for side in "fl"
+                                 for f in ordered.schema.fields if f.name in OPENING]
                               + [T.StructField(f"f_{f.name}", f.dataType) for f in key_fields]
                               + [T.StructField(f"l_{f.name}", f.dataType) for f in key_fields])
     s1 = ordered.mapInPandas(pass1, T.StructType(sum_schema.fields + [T.StructField("dq", T.LongType())]))
@@ -184,7 +200,7 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
         pdf = _gathered(pdf_iter)
         if pdf.empty:
             return
-        yield _fold(pdf, keys, {"q": 0}, lambda st, r: {"q": st["q"] + r["dq"]})
+        yield _fold(pdf, keys, lambda r, side: {"q": int(r[side + "_q0"])}, lambda st, r: {"q": st["q"] + r["dq"]})
 
     carry_q = s1.coalesce(1).mapInPandas(fold_q, "_pid int, c_q long")
     with_q = ordered.join(F.broadcast(carry_q), "_pid", "left")
@@ -194,7 +210,7 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
         return default if pd.isna(row[column]) else row[column]
 
     def pass2(batches):
-        return _summary(batches, keys, lambda row, first: (int(entering(row, "c_q", 0)) if first else 0, 1.0, 0.0, False),
+        return _summary(batches, keys, lambda row, first: (int(entering(row, "c_q", 0)) if first else int(row["_q0"]), 1.0, 0.0, False),
                         _compose, lambda st: {"A": st[1], "B": st[2], "any_buy": st[3]})
 
     s2 = with_q.mapInPandas(pass2, T.StructType(
@@ -209,7 +225,7 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
         pdf = _gathered(pdf_iter)
         if pdf.empty:
             return
-        yield _fold(pdf, keys, {"avg": 0.0, "has": False}, step2)
+        yield _fold(pdf, keys, lambda r, side: {"avg": entering(r, side + "_a0", 0.0), "has": not pd.isna(r[side + "_a0"])}, step2)
 
     carry = s2.coalesce(1).mapInPandas(fold_avg, "_pid int, c_avg double, c_has boolean")
     full = with_q.join(F.broadcast(carry), "_pid", "left")
@@ -230,11 +246,12 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
                 part, key = pdf.iloc[s:e], _key_of(pdf, keys, s)
                 if key != last:
                     n_keys += 1
-                    q, avg, cum = 0, None, 0
-                    if n_keys == 1:
-                        row = pdf.iloc[s]
-                        q = int(entering(row, "c_q", 0))
+                    row = pdf.iloc[s]
+                    if n_keys == 1:     # what its PnL starts from is added below
+                        q, cum = int(entering(row, "c_q", 0)), 0
                         avg = float(row["c_avg"]) if entering(row, "c_has", False) else None
+                    else:
+                        q, avg, cum = int(row["_q0"]), entering(row, "_a0", None), int(row["_c0"])
                 last = key
                 qin, qout, before, after = _quantities(part, q)
                 buys = qin > 0
@@ -265,11 +282,20 @@ def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created
         pdf = _gathered(pdf_iter)
         if pdf.empty:
             return
-        yield _fold(pdf, keys, {"p": 0}, lambda st, r: {"p": st["p"] + r["dp"]})
+        yield _fold(pdf, keys, lambda r, side: {"p": int(r[side + "_c0"])}, lambda st, r: {"p": st["p"] + r["dp"]})
 
     carry_p = s4.coalesce(1).mapInPandas(fold_pnl, "_pid int, c_p long")
-    rows = rows.join(F.broadcast(carry_p), "_pid", "left").withColumn(
+    return rows.join(F.broadcast(carry_p), "_pid", "left").withColumn(
         "_pnl_cum", F.col("_pnl_cum") + F.when(F.col("_seg0"), F.coalesce(F.col("c_p"), F.lit(0))).otherwise(F.lit(0)))
+
+
+def position_pnl(conv: DataFrame, keys: tuple[str, ...] = (), ts: str = "created_at", id_col: str = "id",
+                 rate: str = "effective_rate", num_partitions: int | None = None,
+                 opening: DataFrame | None = None) -> DataFrame:
+    """Chronological USDC inventory: buys (off-ramp) update the weighted
+    average cost, sells (on-ramp) realise (sell rate - previous average) x qty.
+    Order is (ts, id) so ties are stable; ``keys`` makes independent positions."""
+    rows = position_rows(conv, keys, ts, id_col, rate, num_partitions, opening)
     avg_b = F.col("_avg_before")
     return rows.select(
         *keys, F.col("_ts").alias(ts), F.col("_id").alias(id_col), "side",
