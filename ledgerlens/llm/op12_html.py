@@ -28,15 +28,16 @@ empty table gives an empty result; other columns are kept by :func:`main_text`.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable
 from html import unescape
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import arrow_map, read_table, written
+from .common import arrow_map, read_table, text_bytes, written
 
 MIN_PAGES = 5
 MIN_SHARE = 0.001
@@ -289,14 +290,25 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
                               lambda: _subtrees), "subtrees")
     cut = nodes.select("key", "node").distinct().join(site_templates(nodes, min_pages, min_share), "node") \
         .groupBy("key").agg(F.collect_set("node").alias("nodes"))
-    joined = keyed.join(cut, "key", "left").select("row", "url", "html", "nodes")
+
+    def pack(batches):
+        import pyarrow as pa
+        for batch in batches:
+            packed = [zlib.compress(h, 1) if h else None for h in text_bytes(batch, "html")]
+            yield batch.set_column(batch.schema.get_field_index("html"), "html", pa.array(packed, pa.binary()))
+
+    # Pages are shuffled compressed: Spark's own codec makes them half as small.
+    packed = keyed.mapInArrow(pack, StructType([StructField("html", BinaryType()) if f.name == "html" else f
+                                                for f in keyed.schema.fields]))
+    joined = packed.join(cut, "key", "left").select("row", "url", "html", "nodes")
 
     def extract(batches):
         import pyarrow as pa
         for batch in batches:
             texts, counts = [], []
             for u, h, nodes_of in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "nodes"))):
-                blocks, n = kept_blocks(h, host(u), set(nodes_of or ())) if h else ([], 0)
+                html_of = zlib.decompress(h).decode() if h else ""
+                blocks, n = kept_blocks(html_of, host(u), set(nodes_of or ()))
                 texts.append("\n".join(blocks))
                 counts.append(n)
             yield pa.RecordBatch.from_arrays(
