@@ -34,7 +34,7 @@ def load_all() -> dict[str, Entry]:
     # Importing the modules registers their queries.
     from . import ramp_plans  # noqa: F401
     for mod in ("user_plans", "cohort_plans", "campaign_plans", "pricing_plans",
-                "invoice_plans", "series_plans", "io_plans", "incremental_plans"):
+                "invoice_plans", "series_plans", "io_plans", "incremental_plans", "window_plans"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:

@@ -77,7 +77,7 @@ def _ewm_sql(value: str) -> str:
     FROM (SELECT a."date", a.v, sum(b.v * pow(0.75, a.rn - b.rn)) / sum(pow(0.75, a.rn - b.rn)) AS ewm
           FROM (SELECT row_number() OVER (ORDER BY "date") AS rn, "date", CAST({value} AS DOUBLE) AS v FROM daily_cards) a
           JOIN (SELECT row_number() OVER (ORDER BY "date") AS rn, CAST({value} AS DOUBLE) AS v FROM daily_cards) b
-            ON b.rn <= a.rn AND b.rn > a.rn - 400
+            ON b.rn <= a.rn
           GROUP BY a."date", a.v, a.rn)"""
 
 
@@ -381,7 +381,7 @@ register("acct_monthly", """
                FROM acct_monthly),
          e AS (SELECT a.account_id, a."date", a.v,
                       sum(b.v * pow(0.75, a.rn - b.rn)) / sum(pow(0.75, a.rn - b.rn)) AS ewm
-               FROM d a JOIN d b ON b.account_id = a.account_id AND b.rn <= a.rn AND b.rn > a.rn - 400
+               FROM d a JOIN d b ON b.account_id = a.account_id AND b.rn <= a.rn
                GROUP BY a.account_id, a."date", a.v, a.rn)
     SELECT account_id, "date", v AS n_transactions, {_r('ewm', 6)} AS ewm, {_r('v - ewm', 6)} AS residual,
            {_r('coalesce(stddev_samp(v - ewm) OVER (PARTITION BY account_id ORDER BY "date" ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0.0)', 6)} AS rolling_std
