@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.money import dbl, rnd
-from ..operators import activity, asof, inventory
+from ..operators import activity, asof, cohort_store, inventory
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources.binding import Bound, once
@@ -154,3 +154,27 @@ def _closings(b: Bound):
     return inventory.closing_positions(state, ("user_id",)).select(
         "user_id", "day", dbl("position_qty_usdc").alias("position_qty_usdc"),
         rnd("avg_price_brl_per_usdc", 6).alias("avg_price_brl_per_usdc"), rnd("pnl_cum_brl", 2).alias("pnl_cum_brl"))
+
+
+# ------------------------------------------------------------------ cohorts
+@query("cohort_cells_by_load", with_views("""
+    WITH m AS (SELECT t.user_id, CAST(date_trunc('month', t.posted_at) AS DATE) AS month, sum(t.amount_usd_cents) AS cents
+               FROM card_transactions t WHERE t.posted_at IS NOT NULL GROUP BY 1, 2),
+         j AS (SELECT m.*, CAST(date_trunc('month', u.created_at) AS DATE) AS signup_month,
+                      CAST((year(m.month) * 12 + month(m.month)) - (year(u.created_at) * 12 + month(u.created_at)) AS BIGINT) AS months_since_signup
+               FROM m JOIN app_users u ON u.user_id = m.user_id WHERE u.created_at IS NOT NULL),
+         c AS (SELECT signup_month, months_since_signup, count(*) AS active_users, CAST(sum(cents) AS BIGINT) AS amount_cents
+               FROM j WHERE months_since_signup >= 0 GROUP BY 1, 2),
+         e AS (SELECT signup_month, count(DISTINCT user_id) AS n FROM j WHERE months_since_signup >= 0 GROUP BY 1)
+    SELECT c.signup_month, c.months_since_signup, c.active_users, round(CAST(c.active_users AS DOUBLE) / CAST(e.n AS DOUBLE), 6) AS retention,
+           c.amount_cents, CAST(sum(c.amount_cents) OVER (PARTITION BY c.signup_month ORDER BY c.months_since_signup) AS BIGINT) AS cum_amount_cents
+    FROM c JOIN e ON e.signup_month = c.signup_month""", "card_transactions", "app_users"))
+def _cells(b: Bound):
+    """Cohort cells of card transactions after three loads; the last has late rows."""
+    tx, base = b.card_transactions, b.app_users.select("user_id", F.col("created_at").alias("signup_date"))
+    year, late = F.year("posted_at"), F.col("user_id") % 13 == 0
+    months = cells = None
+    for part in (tx.where((year < 1994) & ~late), tx.where((year >= 1994) & (year < 1997) & ~late), tx.where((year >= 1997) | late)):
+        delta = cohort_store.user_months(part, "posted_at", {"amount_cents": F.col("amount_usd_cents")})
+        months, cells, _ = cohort_store.apply_months(months, cells, delta, base)
+    return cohort_store.retention_report(cells, "amount_cents")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import activity, asof, inventory, scan
+from ledgerlens.operators import activity, asof, cohort_store, inventory, scan
 from ledgerlens.sources import sinks
 from ledgerlens.sources.id_table import IdTable
 
@@ -196,3 +196,28 @@ def test_closings_load_by_load_equal_the_full_run(spark):
             assert abs(got[key][2] - cum) <= 2 * len(rows)      # 1e-8 units
         # A load behind the stored days restates its own days only.
         assert sizes[1] == len({(r[4] if keys == ("k",) else 1, r[1].date()) for r in on_time if r[1].day == 6})
+
+
+# ----------------------------------------------------------------- cohorts
+def test_cells_change_only_for_cohorts_with_new_rows(spark):
+    rnd = random.Random(8)
+    base = [(u, dt.date(2024, 1 + u % 4, 3)) for u in range(40)] + [(90, None)]
+    facts = [(rnd.randrange(42), dt.date(2024, rnd.randrange(1, 13), rnd.randrange(1, 28)), rnd.randrange(1, 50)) for _ in range(400)]
+    facts += [(None, dt.date(2024, 5, 5), 3), (1, None, 4)]
+    b = spark.createDataFrame(base, "user_id int, signup_date date")
+    f = spark.createDataFrame(facts, "user_id int, ts date, amount long")
+    months = lambda rows: cohort_store.user_months(rows, "ts", {"amount": F.col("amount")})
+    full = cohort_store.cohort_cells(months(f), b)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    first, second = f.where("month(ts) < 9 AND user_id % 7 <> 3"), f.where("month(ts) >= 9 OR user_id % 7 = 3 OR ts IS NULL OR user_id IS NULL")
+    stored, cells, _ = cohort_store.apply_months(None, None, months(first), b)
+    one = months(second.where("user_id % 4 = 2"))
+    stored, cells2, again = cohort_store.apply_months(stored, cells, one, b)
+    assert {r["signup_month"] for r in again.collect()} == {dt.date(2024, 3, 1)}
+    untouched = F.col("signup_month") != F.lit("2024-03-01").cast("date")
+    assert key(cells2.where(untouched)) == key(cells.where(untouched))
+    stored, cells3, _ = cohort_store.apply_months(stored, cells2, months(second.where("user_id % 4 <> 2")), b)
+    assert key(cells3) == key(full)
+    report = cohort_store.retention_report(cells3, "amount").collect()
+    assert all(0 < r["retention"] <= 1 for r in report)
+    assert cohort_store.cohort_cells(months(f.limit(0)), b).count() == 0
