@@ -8,7 +8,8 @@ spans a boundary between letters, other characters and line ends (checked when
 the model is loaded), so the text falls into chunks that are encoded on their
 own, and a bounded cache keeps the ids of chunks already seen in the task.
 The ids of every Arrow batch are compared with those of the sentencepiece
-library; a difference fails the job rather than passing on wrong ids.
+library; a difference fails the job rather than passing on wrong ids.  Decoding
+is the library's.
 
 Defined results: null text is the empty text, which has no ids and decodes to
 the empty text; an empty table gives an empty result; columns other than id
@@ -18,19 +19,27 @@ and text are not read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
+from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, read_table, text_bytes
+from .common import arrow_map, read_table, text_bytes, uncollected
 
 #: Any letter as ``re`` knows it; a model moves signs such as superscripts out.
 LETTER = re.compile(r"[^\W\d_]")
+SIGNS = ".,;:!?%$&*#|)"
 CACHE_CHUNKS = 300_000
+CACHE_WORDS = 600_000
 CACHE_CHARS = 64
+#: Texts go to the library in groups of about so many characters.
+GROUP_CHARS = 8 << 20
 
 
 class MergeModel:
@@ -45,90 +54,114 @@ class MergeModel:
         # Letters, or other characters, each with the spaces before them; line ends.
         chunk = re.compile(rf" *[^\W\d_{signs}]+|\n| *(?:(?![ \n])[\W\d_{signs}])+| +")
         self.chunks = chunk.findall
-        self.id_of, self.score, self.byte_id, self.raw = {}, {}, {}, []
+        self.id_of, self.score, self.byte_id = {}, {}, {}
         for i, piece in enumerate(pieces):
             if lib.is_unused(i):
                 raise ValueError("models with unused pieces are not supported")
             if lib.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
-                self.raw.append(bytes([int(piece[3:5], 16)]))
-            elif lib.is_control(i):
-                self.raw.append(b"")
-            elif lib.is_unknown(i):
-                self.raw.append(" ⁇ ".encode())
-            else:
+            elif not (lib.is_control(i) or lib.is_unknown(i)):
                 if not chunk.fullmatch(piece):
                     raise ValueError(f"piece {piece!r} spans a chunk boundary")
-                self.id_of[piece], self.score[piece] = i, lib.get_score(i)
-                self.raw.append(piece.encode())
+                self.id_of[piece], self.score[piece] = i, -lib.get_score(i)
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte fallback")
-        self.decimal = [str(i) for i in range(lib.vocab_size())]
         # Chunks seen lately, in two generations of bounded size.
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        # Whole words (what stands between single spaces), made of the chunks.
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def agenda(self, chunk: str) -> tuple[int, ...]:
         """Ids of one chunk (spaces stand for the space symbol)."""
         score, n = self.score, len(chunk)
         symbols = list(chunk)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            s = score.get(chunk[i:i + 2])
-            if s is not None:
-                agenda.append((-s, i, i + 1, 2))
-        heapq.heapify(agenda)
+        agenda = [(score[pair], i, i + 1, pair) for i, pair in enumerate(map(add, chunk, chunk[1:])) if pair in score]
+        heapify(agenda)
         while agenda:
-            _, i, j, size = heapq.heappop(agenda)
+            _, i, j, merged = heappop(agenda)
             # A pair is stale once one of its symbols has been merged since.
-            if not symbols[i] or not symbols[j] or len(symbols[i]) + len(symbols[j]) != size:
+            if right[i] != j or symbols[i] + symbols[j] != merged:
                 continue
-            symbols[i] += symbols[j]
-            symbols[j] = ""
+            symbols[i], symbols[j] = merged, ""
             nxt = right[i] = right[j]
+            right[j] = -1
             if nxt < n:
                 left[nxt] = i
-                s = score.get(symbols[i] + symbols[nxt])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, i, nxt, len(symbols[i]) + len(symbols[nxt])))
+                pair = merged + symbols[nxt]
+                if pair in score:
+                    heappush(agenda, (score[pair], i, nxt, pair))
             prev = left[i]
             if prev >= 0:
-                s = score.get(symbols[prev] + symbols[i])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, prev, i, len(symbols[prev]) + len(symbols[i])))
-        ids = []
+                pair = symbols[prev] + merged
+                if pair in score:
+                    heappush(agenda, (score[pair], prev, i, pair))
+        ids: list[int] = []
         for symbol in symbols:
             if symbol:
                 known = self.id_of.get(symbol)
                 ids.extend((known,) if known is not None else (self.byte_id[b] for b in symbol.encode()))
         return tuple(ids)
 
-    def _chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        ids = self.old.get(chunk) or self.agenda(chunk)
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        made = self.old.get(chunk) or self.agenda(chunk)
         if len(chunk) <= CACHE_CHARS:
-            self.new[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text, without begin and end ids."""
-        if not text:
-            return []
+            self.new[chunk] = made
+        return made
+
+    def _pieces(self, text: str):
+        """Ids of the chunks of a text."""
+        get, make = self.new.get, self._chunk
+        return chain.from_iterable([get(c) or make(c) for c in self.chunks(text)])
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        letters = word.rstrip(SIGNS)
+        if letters.isalpha():   # one chunk of letters, and one of the signs behind them
+            made = self.new.get(" " + letters) or self._chunk(" " + letters)
+            if len(letters) < len(word):
+                signs = word[len(letters):]
+                made += self.new.get(signs) or self._chunk(signs)
+        else:
+            made = tuple(self._pieces(" " + word))
+        if len(word) <= CACHE_CHARS:
+            self.words[word] = made
+        return made
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, without begin and end ids.  Each distinct word is looked up
+        once."""
         if len(self.new) >= CACHE_CHUNKS:
             self.old, self.new = self.new, {}
-        get, make = self.new.get, self._chunk_ids
-        chunks = self.chunks(" " + text.replace("▁", " "))
-        return list(chain.from_iterable([get(c) or make(c) for c in chunks]))
-
-    def decode(self, ids: list[int]) -> str:
-        """Text of the ids; the dummy prefix goes, bytes that are not UTF-8
-        become replacement characters as in the library."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            return self.library.decode(ids)
-        return text[1:] if text[:1] == " " else text
+        if len(self.words) >= CACHE_WORDS:
+            self.words = {}
+        spaced = [t.replace("▁", " ") for t in texts]
+        out: list[list[int]] = [[]] * len(texts)
+        plain = []
+        for i, text in enumerate(spaced):
+            if "  " in text or text[:1] == " " or text[-1:] == " ":
+                # Spaces in a row belong to the chunk behind them.
+                out[i] = list(self._pieces(" " + text))
+            elif text:
+                plain.append(i)
+        if plain:
+            words = pc.split_pattern(pa.array([spaced[i] for i in plain], pa.string()), " ")
+            coded = words.flatten().dictionary_encode()
+            get, make = self.words.get, self._word
+            ids = [get(w) or make(w) for w in coded.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            table = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            of = coded.indices.to_numpy(zero_copy_only=False)
+            many = sizes[of]
+            ends = np.cumsum(many)
+            # The ids of an occurrence follow one another in the table, too.
+            place = np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - many), many)
+            place += np.arange(len(place))
+            found = table[place]
+            bounds = [0, *ends[words.offsets.to_numpy()[1:] - 1].tolist()]
+            for i, first, last in zip(plain, bounds, bounds[1:]):
+                out[i] = found[first:last].tolist()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -137,24 +170,36 @@ def _model(model_file: str) -> MergeModel:
     return MergeModel(model_file)
 
 
+def _encoded(model: MergeModel, batch):
+    """For each group of texts of a batch: ids, and the texts that the library decodes
+    them to.  The library encodes every text, too."""
+    texts = [raw.decode() for raw in text_bytes(batch)]
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
+            size += len(texts[end])
+            end += 1
+        group = texts[at:end]
+        ids = model.encode(group)
+        if ids != model.library.encode(group, num_threads=1):
+            raise ValueError("ids differ from those of the sentencepiece library")
+        yield ids, model.library.decode(ids, num_threads=1)
+        at = end
+
+
 def _coder(model_file: str):
     def make():
         model = _model(model_file)
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
+        @uncollected
         def step(batch):
             out = {"id": batch.column("id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for raw in text_bytes(batch):
-                text = raw.decode()
-                ids = model.encode(text)
-                if ids != model.library.encode(text, num_threads=1):
-                    raise ValueError("ids differ from those of the sentencepiece library")
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(
-                    hashlib.sha256(",".join(map(model.decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded = model.decode(ids)
-                if decoded != model.library.decode(ids):
-                    raise ValueError("decoded text differs from that of the sentencepiece library")
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+            for ids, decoded in _encoded(model, batch):
+                out["n_tokens"] += map(len, ids)
+                out["ids_sha256"] += [digest(str(x)[1:-1].replace(" ", "")) for x in ids]
+                out["decoded_sha256"] += map(digest, decoded)
             return out
         return step
     return make
@@ -164,16 +209,13 @@ def _encoder(model_file: str):
     def make():
         model = _model(model_file)
 
+        @uncollected
         def step(batch):
-            ids, decoded = [], []
-            for raw in text_bytes(batch):
-                text = raw.decode()
-                got = model.encode(text)
-                if got != model.library.encode(text, num_threads=1):
-                    raise ValueError("ids differ from those of the sentencepiece library")
-                ids.append(got)
-                decoded.append(model.decode(got))
-            return {"id": batch.column("id"), "ids": ids, "decoded": decoded}
+            out = {"id": batch.column("id"), "ids": [], "decoded": []}
+            for ids, decoded in _encoded(model, batch):
+                out["ids"] += ids
+                out["decoded"] += decoded
+            return out
         return step
     return make
 
