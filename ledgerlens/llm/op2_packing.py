@@ -26,10 +26,12 @@ from bisect import bisect_left, insort
 from functools import lru_cache, partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_table, text_bytes, written
+from .common import arrow_map, read_table, uncollected, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -38,8 +40,10 @@ END_ID = 0
 GROUPS = 512
 LARGE = 1 / 4
 BUCKETS = 64
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 400_000
 CACHE_BYTES = 64
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 8 << 20
 SIGNS = b".,;:!?%$&*#|)"
 
 
@@ -118,16 +122,26 @@ class ChunkEncoder:
             del new[chunk]
         return long
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other (little-endian, unsigned), and the place
+        at which each text ends.  Each distinct chunk is looked up once."""
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.new) >= CACHE_CHUNKS:
             self.old, self.new = self.new, {b"": b""}
-        split = [raw.replace(b"\n", b" ").split(b" ") for raw in texts]
-        long = self._learn(set().union(*split).difference(self.new))
-        if long:
-            known = self.new.get
-            return [b"".join([long[c] if (ids := known(c)) is None else ids for c in chunks]) for chunks in split]
-        return [b"".join(map(self.new.__getitem__, chunks)) for chunks in split]
+        long = self._learn(set(distinct).difference(self.new))
+        known = self.new
+        ids = [known[c] if c in known else long[c] for c in distinct] if long else list(map(known.__getitem__, distinct))
+        table = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        of = coded.indices.to_numpy(zero_copy_only=False)
+        many = sizes[of]
+        ends = np.cumsum(many)
+        # The ids of an occurrence follow one another in the table, too.
+        place = np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - many), many)
+        place += np.arange(len(place))
+        return table[place], np.concatenate(([0], ends))[chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()]
 
 
 @lru_cache(maxsize=1)
@@ -139,34 +153,33 @@ def _chunk_encoder(tokenizer_file: str) -> ChunkEncoder:
 def _piecer(tokenizer_file: str, capacity: int, end_id: int, with_ids: bool):
     def make():
         encoder = _chunk_encoder(tokenizer_file)
-        end = np.array([end_id], "<u4").tobytes()
-        width = 4 * capacity
+        end = np.array([end_id], "<u4")
+        width = capacity
 
+        @uncollected
         def step(batch):
             out = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32", "ids")}
-            pending, size = [], 0
-
-            def flush():
-                for key, ids in zip([p[0] for p in pending], encoder.encode([p[1] for p in pending])):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), width)):
-                        part = ids[at:at + width]
+            keys = batch.column("id").to_pylist()
+            texts = pc.fill_null(batch.column("text"), "")
+            before = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))))
+            at = 0
+            while at < len(keys):
+                to = max(at + 1, int(np.searchsorted(before, before[at] + GROUP_BYTES, "right")) - 1)
+                ids, ends = encoder.encode(texts[at:to])
+                first = 0
+                for key, last in zip(keys[at:to], ends.tolist()):
+                    own = np.concatenate((ids[first:last], end))
+                    for piece, start in enumerate(range(0, len(own), width)):
+                        part = own[start:start + width]
                         out["id"].append(key)
                         out["piece"].append(piece)
-                        out["start"].append(at // 4)
-                        out["length"].append(len(part) // 4)
+                        out["start"].append(start)
+                        out["length"].append(len(part))
                         out["ids_crc32"].append(zlib.crc32(part))
                         if with_ids:
-                            out["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
-                pending.clear()
-
-            for key, raw in zip(batch.column("id").to_pylist(), text_bytes(batch)):
-                pending.append((key, raw))
-                size += len(raw)
-                if size > 1 << 20:
-                    flush()
-                    size = 0
-            flush()
+                            out["ids"].append(part.astype(np.int32))
+                    first = last
+                at = to
             return out
         return step
     return make
