@@ -80,15 +80,30 @@ def test_alignment_equals_plain_version(spark):
     assert Counter(map(tuple, got.collect())) == plain_alignment([*rows, (950, "")])
 
 
-def test_alignment_of_a_long_text_and_a_full_memo():
+def test_alignment_of_a_long_text_a_full_memo_and_equal_codes(monkeypatch):
     one = op11_align.Aligner(op11_align.ByteLevel(A_FILE), op11_align.Pieces(B_FILE))
-    few = op11_align.Aligner(one.a, one.b, memo=3)
-    text = documents()[29][1] + " tail" * 20000
-    a, b = (side.encode([text])[0] for side in (one.a, one.b))
-    for left, right in zip(one.document(text.encode(), a, b), few.document(text.encode(), a, b)):
-        assert list(left) == list(right) if hasattr(left, "__len__") else left == right
-    n_a, n_b, groups, links = one.document(text.encode(), a, b)[:4]
-    assert links == n_a + n_b - groups
+    few = op11_align.Aligner(one.sides[0], one.sides[1], memo=3)
+    coded = op11_align.Aligner(one.sides[0], one.sides[1])
+    coded.weights = coded.weights * 0     # every window has the same code
+    texts = [(documents()[29][1] + " tail" * 20000).encode(), b"", b"one two one two", "é".encode() * 500]
+    want = one.group(texts)
+    for other in (few, coded, one):
+        for name, column in other.group(texts).items():
+            assert [list(x) if hasattr(x, "__len__") else x for x in column] == [
+                list(x) if hasattr(x, "__len__") else x for x in want[name]]
+    assert all(n == a + b - g for n, a, b, g in zip(*(want[c] for c in ("n_links", "n_a", "n_b", "n_groups"))))
+
+
+def test_ranks_encode_as_the_tokenizer_file_does():
+    side, library = op11_align.ByteLevel(A_FILE), Tokenizer.from_file(A_FILE)
+    library.encode_special_tokens = True
+    assert side.ranks is not None
+    rnd = random.Random(4)
+    parts = ["the", "er", "a", "x", "é", " ", "  ", "\n", "1", "'s", "'S", "...", "日本", "👍", "\t", "\u2003", "ABC", "<|endoftext|>"]
+    texts = ["".join(rnd.choices(parts, k=30)) for _ in range(3000)]
+    texts += [f"a{chr(c)}a 1{chr(c)}1 {chr(c)}" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for text, got in zip(texts, library.encode_batch([" " + t for t in texts], add_special_tokens=False)):
+        assert side.encode(text).tolist() == got.ids
 
 
 def test_alignment_of_nothing(spark):
