@@ -221,13 +221,16 @@ def trie(rebuilt: DataFrame) -> DataFrame:
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     nodes = written(shared.join(ends, "key", "left").withColumn("ends_sha256", ending).select(*columns)
                     .unionByName(alone(members.where("NOT shared"), F.col("parent"))), "nodes")
-    root_sha = ends.where(F.col("key") == F.lit(ROOT)).agg(F.max("ends_sha256").alias("ends"))
-    root = nodes.where("depth = 1").agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"),
-                                        F.sum("saved_tokens").alias("saved")).join(root_sha, F.lit(True)).select(
+    at_root = nodes.where("depth = 1").select(one.alias("child"), "n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends")) \
+        .unionByName(ends.where(F.col("key") == F.lit(ROOT)).select(zero.alias("child"), zero.alias("n_leaves"),
+                                                                    zero.alias("saved_tokens"), F.col("ends_sha256").alias("ends")))
+    children = F.coalesce(F.sum("child"), zero)
+    root = at_root.agg(
         F.lit(whole["first"]).cast("long").alias("conv_id"), zero.alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
-        F.lit(whole["n"]).cast("long").alias("n_convs"), F.col("children").alias("n_children"),
-        F.coalesce("leaves", one).alias("n_leaves"), F.coalesce("saved", zero).alias("saved_tokens"),
-        F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256")).where(F.col("n_convs") > 0)
+        F.lit(whole["n"]).cast("long").alias("n_convs"), children.alias("n_children"),
+        F.when(children > 0, F.sum("n_leaves")).otherwise(one).alias("n_leaves"),
+        F.coalesce(F.sum("saved_tokens"), zero).alias("saved_tokens"),
+        F.coalesce(F.max("ends"), F.lit(NO_ENDS)).alias("ends_sha256")).where(F.col("n_convs") > 0)
     return root.unionByName(nodes).unionByName(tails)
 
 
