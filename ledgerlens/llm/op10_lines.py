@@ -1,9 +1,9 @@
 """Line deduplication with a segment-partition edit join.  Native Spark
 functions only.
 
-A line of at least ``min_chars`` characters is removed if the same line occurs
-earlier in the corpus, or if a line within reach of it has its first occurrence
-before its own; earlier means by id, then line number.  Within reach are lines
+A line with a word is removed if the same line occurs earlier in the corpus; a line
+of at least ``min_chars`` characters also if a line within reach of it has its first
+occurrence before its own; earlier means by id, then line number.  Within reach are lines
 that differ by at most one edit for each ``CHARS_PER_EDIT`` characters begun of
 the shorter line, and by at most ``MAX_EDITS``; or by ``edits`` if it is given.
 The edit join runs over the first occurrences:
@@ -15,32 +15,38 @@ The edit join runs over the first occurrences:
    substrings that can match, by class, segment number and shift.
 2. Lines that share a key are candidates; each candidate pair is verified by
    the banded edit distance.
-3. A key with more than ``dense`` lines is not paired off at once.  All its lines
-   are compared with the earliest of them; those near it are decided, and need
-   be met only as earlier lines.  If others are open, the key is refined: what is
-   left of a line without the segment is cut into segments again, and lines meet
-   if they share one of these as well.  Pairs of two decided lines are left out.
+3. A key with more than ``dense`` lines is not paired off.  All its lines are
+   compared with the earliest of them; those near it are decided, and need
+   be met only as earlier lines.  If others are open, the lines of the key meet in a join
+   that verifies a pair before it becomes a row: by length, by the numbers of their
+   letters (a signature of 32 bytes), and by the edit distance.  So the rows
+   made are near pairs; comparisons of signatures still grow with the square of a
+   family whose lines share a segment but are not near each other.
 
 Shuffled are hashes, positions, and the texts of distinct lines once; later on
 texts are moved only for candidate lines and for documents that lose lines.
 
-Defined results: null text is the empty text; shorter lines stay; rows that
+Defined results: null text is the empty text; lines without a word stay; rows that
 share id and text share their decisions; a null id comes first; an empty table
 gives an empty result; other columns are kept by :func:`remove_lines`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import if_small, read_table, words, written
+from .common import if_small, nested, read_table, spread, with_decisions, words, written
 
 MAX_EDITS = 6
 CHARS_PER_EDIT = 20
 MIN_CHARS = 20
 DENSE = 64
 PLACE = ("id", "th", "line_no")
+#: Characters with a count of their own in a signature.
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
 
 
 def least_chars(edits: int | None, min_chars: int) -> int:
@@ -60,14 +66,12 @@ def class_base(n: Column, edits: int | None, min_chars: int) -> Column:
     return F.greatest(base, F.lit(least_chars(edits, min_chars)))
 
 
-def lines(docs: DataFrame, edits: int | None = None, id_col: str = "doc_id", text_col: str = "text",
-          min_chars: int = MIN_CHARS) -> DataFrame:
-    """The eligible lines: id, th (hash of the text), line_no, h1 and h2 (hashes
-    of the line), line."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
-                       F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    rows = rows.where(F.length("line") >= least_chars(edits, min_chars))
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The lines with a word: id, th (hash of the text), line_no, h1 and h2 (hashes of
+    the line), line."""
+    rows = nested(docs, id_col, text_col).select("id", "th", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+                                                 .alias("line_no", "line"))
+    rows = rows.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "")
     return rows.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line")
 
 
@@ -107,26 +111,27 @@ def _classed(distinct: DataFrame, own: bool, edits: int | None, min_chars: int)
     return distinct.select("h1", "line", F.explode(bases).alias("base")).withColumn("k", k)
 
 
-def _cut(rows: DataFrame, own: bool, edits: int | None, size: Column, *of: str) -> DataFrame:
-    """``rows`` with one row for each segment or probe of column line: key (of
-    columns ``of``, segment number and substring), start and size."""
+def keys_of(distinct: DataFrame, own: bool, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, base and key (of class, segment number and substring) of the segments or
+    probes of lines."""
+    rows = _classed(distinct, own, edits, min_chars)
+    size = F.floor(F.col("base") / (F.col("k") + 1)).cast("int")
     pattern = F.inline(F.get(_pattern_table(edits, own), F.col("k"))).alias("j", "s")
-    cut = rows.withColumn("size", size.cast("int")).select("*", pattern)
+    cut = rows.withColumn("size", size).select("*", pattern)
     cut = cut.withColumn("start", F.col("j") * F.col("size") + F.col("s")).where("start >= 0")
     cut = cut.withColumn("part", F.substr("line", F.col("start") + 1, F.col("size"))).where(F.length("part") == F.col("size"))
-    return cut.withColumn("key", F.xxhash64(*of, "j", "part")).drop("j", "s", "part")
-
-
-def keys_of(distinct: DataFrame, own: bool, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, line, base, k, size, start and key of the segments or probes of lines."""
-    return _cut(_classed(distinct, own, edits, min_chars), own, edits, F.floor(F.col("base") / (F.col("k") + 1)), "base")
+    return cut.select("h1", "base", F.xxhash64("base", "j", "part").alias("key"))
 
 
-def _refined(cut: DataFrame, own: bool, edits: int | None) -> DataFrame:
-    """Finer keys for rows of :func:`keys_of`, from the lines without the segment."""
-    rest = F.concat(F.substr("line", F.lit(1), F.col("start")), F.substr("line", F.col("start") + F.col("size") + 1))
-    rows = cut.select("h1", F.col("key").alias("of"), rest.alias("line"), "k", (F.col("base") - F.col("size")).alias("left"))
-    return _cut(rows, own, edits, F.floor(F.col("left") / (F.col("k") + 1)), "of").select("key", "h1")
+def signature(line: Column) -> list[Column]:
+    """Four longs whose differing bits are at most the letters by which two lines
+    differ in number: a byte for each of 27 characters and one for all others, that holds
+    the number as a circular unary code of sixteen steps."""
+    counts = [F.length(line) - F.length(F.replace(line, F.lit(c))) for c in LETTERS]
+    counts.append(reduce(lambda a, b: a - b, counts, F.length(line)))
+    codes = F.array(*[F.lit((1 << n) - 1 if n < 8 else 255 ^ ((1 << n - 8) - 1)).cast("long") for n in range(16)])
+    of = [F.get(codes, n % 16) for n in counts]
+    return [reduce(Column.bitwiseOR, [F.shiftleft(c, 8 * i) for i, c in enumerate(of[at:at + 8])]) for at in range(0, 28, 8)]
 
 
 def within(x: Column, y: Column, edits: int | Column) -> Column:
@@ -154,9 +159,44 @@ def _pairs(own: DataFrame, probes: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _near_in(open_keys: DataFrame, decided: DataFrame, distinct: DataFrame, members: DataFrame, edits: int | None,
+             min_chars: int) -> DataFrame:
+    """(h1, place) of the later line of each pair within reach that shares an open
+    key and is not decided.  Pairs are verified as they meet: lengths first, then letter
+    counts, then the edit distance; only those within reach become rows."""
+    hint = if_small(open_keys)
+    of = members.join(hint, "key", "left_semi").select("h1").distinct()
+    known = decided.withColumn("done", F.lit(True))
+    texts = distinct.join(of, "h1").join(known, "h1", "left").select(
+        "h1", "first", "line", F.length("line").alias("n"), F.coalesce("done", F.lit(False)).alias("done"),
+        class_base(F.length("line"), edits, min_chars).alias("class"), F.array(*signature(F.col("line"))).alias("letters"))
+    texts = written(texts, "open-lines")
+
+    def side(own: bool, name: str) -> DataFrame:
+        keys = keys_of(texts, own, edits, min_chars).join(hint, "key", "left_semi").select("key", "h1", "base").distinct()
+        full = keys.join(texts, "h1")
+        return full.select("key", *[F.col(c).alias(f"{name}_{c}") for c in full.columns if c != "key"])
+
+    shorter, apart = F.least("a_n", "b_n"), F.abs(F.col("a_n") - F.col("b_n"))
+    reach = F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(shorter / CHARS_PER_EDIT).cast("int"))
+    letters = reduce(Column.__add__, [F.bit_count(F.get("a_letters", F.lit(i)).bitwiseXOR(F.get("b_letters", F.lit(i))))
+                                      for i in range(4)])
+    a_first = F.col("a_first") < F.col("b_first")
+    # Lines of one class meet both ways round.
+    once = (F.col("a_h1") < F.col("b_h1")) | ((F.col("a_h1") != F.col("b_h1")) & (F.col("b_class") != F.col("a_base")))
+    wanted = once & ~F.when(a_first, F.col("b_done")).otherwise(F.col("a_done")) & (apart <= reach) \
+        & (letters <= 2 * reach - apart) & (F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), reach) >= 0)
+    a, b = side(True, "a"), side(False, "b")
+    met = a.join(b.withColumnRenamed("key", "b_key"), (F.col("key") == F.col("b_key")) & wanted)
+    later = F.when(a_first, F.struct(F.col("b_h1").alias("h1"), F.col("b_first").alias("place"))).otherwise(
+        F.struct(F.col("a_h1").alias("h1"), F.col("a_first").alias("place")))
+    return met.select(later.alias("l")).select("l.*").distinct()
+
+
 def near_lines(distinct: DataFrame, edits: int | None = None, dense: int = DENSE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Places of first occurrences that have an earlier one within reach;
     ``distinct`` is a written table of :func:`distinct_lines`."""
+    distinct = distinct.where(F.length("line") >= least_chars(edits, min_chars))
     own, probes = (keys_of(distinct, o, edits, min_chars).select("key", "h1") for o in (True, False))
     many = written(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
     if many.isEmpty():
@@ -176,21 +216,14 @@ def near_lines(distinct: DataFrame, edits: int | None = None, dense: int = DENSE
     left = written(undecided.select("key").distinct(), "open")
     if left.isEmpty():
         return near.select("place.*")
-    # Keys with other open lines are refined.
-    hint = if_small(left)
-    texts = written(distinct.select("h1", "line").join(
-        members.join(hint, "key", "left_semi").select("h1").distinct(), "h1"), "members")
-    fine = [written(_refined(keys_of(texts, o, edits, min_chars).join(hint, "key", "left_semi"), o, edits).distinct(), "fine")
-            for o in (True, False)]
-    unsure = [f.join(decided, "h1", "left_anti") for f in fine]
-    more = _pairs(unsure[0], fine[1]).unionByName(_pairs(fine[0], unsure[1])).distinct()
-    return near.unionByName(_near(written(more, "pairs"), distinct, edits)).select("place.*").distinct()
+    more = _near_in(left, decided, distinct, members, edits, min_chars)
+    return near.unionByName(more).select("place.*").distinct()
 
 
 def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, dense: int = DENSE,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th, exact and near: arrays of the line numbers a document loses."""
-    all_lines = lines(docs, edits, id_col, text_col, min_chars)
+    all_lines = lines(docs, id_col, text_col)
     found = written(all_lines.drop("line"), "lines")
     distinct = written(distinct_lines(all_lines), "distinct-lines")
     later = later_occurrences(found, distinct).withColumn("near", F.lit(False))
@@ -201,21 +234,17 @@ def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MI
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with __exact, __near (numbers of lines removed) and __kept (the
-    text without them; the text itself if none are)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    small = if_small(removed.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "exact", "near"))
-    d = docs.withColumn("__key", F.xxhash64(text)).join(
-        small, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
-    all_lines = F.split(text, "\n", -1)
+    """row (a struct of the columns of ``docs``), text, kept (the text without the lines
+    of ``removed``; the text itself if there are none), n_exact and n_near (lines removed)."""
+    d = with_decisions(nested(docs, id_col, text_col), removed)
+    touched = F.col("exact").isNotNull()
+    all_lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     numbers = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.concat("exact", "near"))
-    d = d.withColumn("__lines", F.when(F.col("__th").isNotNull(), all_lines)).withColumn(
-        "__numbers", F.when(F.col("__th").isNotNull(), numbers))
-    kept = F.array_join(F.transform("__numbers", lambda i: F.get("__lines", i)), "\n")
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return d.withColumn("__kept", F.when(F.col("__th").isNotNull(), kept).otherwise(F.col(text_col))) \
-        .withColumn("__exact", F.when(F.col("__th").isNotNull(), count("exact")).otherwise(F.lit(0).cast("long"))) \
-        .withColumn("__near", F.when(F.col("__th").isNotNull(), count("near")).otherwise(F.lit(0).cast("long")))
+    d = d.withColumn("lines", F.when(touched, all_lines)).withColumn("numbers", F.when(touched, numbers))
+    kept = F.array_join(F.transform("numbers", lambda i: F.get("lines", i)), "\n")
+    count = lambda c: F.when(touched, F.size(c)).otherwise(0).cast("long")
+    return d.select("row", "text", F.when(touched, kept).otherwise(F.col("text")).alias("kept"),
+                    count("exact").alias("n_exact"), count("near").alias("n_near"))
 
 
 def remove_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
@@ -223,16 +252,14 @@ def remove_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN
     """``docs`` without the removed lines, columns as they are.  A document
     that loses lines goes only if no word of it is left."""
     d = without_lines(docs, removed_lines(docs, edits, min_chars, DENSE, id_col, text_col), id_col, text_col)
-    lost = F.col("__exact") + F.col("__near") > 0
-    d = d.where(~(lost & (F.size(words(F.col("__kept"))) == 0)))
-    return d.withColumn(text_col, F.col("__kept")).select(*docs.columns)
+    lost = F.col("n_exact") + F.col("n_near") > 0
+    return spread(d.where(~(lost & (F.size(words(F.col("kept"))) == 0))), docs, text_col, F.col("kept"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: lines of all documents that repeat an earlier line."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     d = without_lines(docs, removed_lines(docs))
-    text, kept = F.coalesce("text", F.lit("")), F.coalesce("__kept", F.lit(""))
-    return d.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-                    F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"),
-                    F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    text, kept = F.coalesce("text", F.lit("")), F.coalesce("kept", F.lit(""))
+    return d.select("row.doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+                    "n_exact", "n_near", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, if_small, read_table, text_bytes, written
+from .common import arrow_map, if_small, nested, read_table, same_text, spread, text_bytes, written
 from .graph import connected_components
 
 SHINGLE = 3
@@ -171,18 +171,17 @@ def remove_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: in
     texts = written(texts.join(roots, F.col("fp") == F.col("__fp")).select("id", "th", "n", "root", place), "texts")
     stays = texts.groupBy(F.col("root").alias("__root")).agg(F.min("place").alias("stays"))
     met = texts.join(stays, F.col("root") == F.col("__root")).withColumn("one", F.col("place").eqNullSafe(F.col("stays")))
-    met = written(met.where("NOT one OR n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"), "one"), "more")
-    rows = docs.withColumn("__t", _text_hash(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th"))
-    rest = rows.join(if_small(met), same, "left_anti")
-    # Repeated rows of the text that stays: one of them, found by an aggregate.
+    met = written(met.where("NOT one OR n > 1").select("id", "th", "one"), "more")
+    rows = nested(docs, id_col, text_col)
+    rest = rows.join(if_small(met), same_text(rows, met), "left_anti")
+    # Repeated rows of the text that stays: one of them, found by an aggregate.  Rows
+    # are told apart by their JSON form, as a map has no order.
     again = met.where("one")
     if again.isEmpty():
-        return rest.select(*docs.columns)
-    repeated = rows.join(if_small(again), same, "left_semi")
-    once = repeated.groupBy(F.col(id_col).alias("__id"), F.col("__t").alias("__th")).agg(
-        F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return rest.select(*docs.columns).unionByName(once)
+        return spread(rest, docs)
+    repeated = rows.join(if_small(again), same_text(rows, again), "left_semi")
+    once = repeated.groupBy("id", "th").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return spread(rest.select("row").unionByName(once.select("row")), docs)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

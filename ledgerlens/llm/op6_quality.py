@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, if_small, read_table, words, written
+from .common import SPACE_CHARS, if_small, nested, read_table, same_text, spread, words, written
 from .weak import Start, one_failure_each, posteriors, vote
 
 SYMBOLS = "#*$%&|<>"
@@ -112,10 +112,9 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD, start: Start = START,
 def filter_documents(docs: DataFrame, threshold: float = THRESHOLD, start: Start = START, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they are."""
-    bad = quality(docs, threshold, start, id_col, text_col).where("not kept").select(
-        F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(if_small(written(bad, "rejected")), docs[id_col].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_anti")
+    bad = written(quality(docs, threshold, start, id_col, text_col).where("not kept").select("id", "th").distinct(), "rejected")
+    rows = nested(docs, id_col, text_col)
+    return spread(rows.join(if_small(bad), same_text(rows, bad), "left_anti"), docs)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import if_small, read_table, written
+from .common import nested, read_table, spread, with_decisions, written
 from .weak import posteriors, two_classes, vote
 
 KINDS = ("email", "ip", "card", "phone")
@@ -263,27 +263,23 @@ def _listed(spans: Column) -> Column:
 def redact(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; spans
     that overlap become one, named after the first.  Columns stay as they are."""
-    found = spans(docs, threshold, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "th"]).select(
-        F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    found = if_small(written(found, "spans"))
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("__t", th).join(
-        found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left")
+    found = spans(docs, threshold, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "th"])
+    joined = with_decisions(nested(docs, id_col, text_col), written(found.select("id", "th", "spans"), "spans"))
     # Spans in order: a span is kept if it starts after all before it end.
-    reach = F.aggregate("__spans", F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda acc, s: F.when(
+    reach = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda acc, s: F.when(
         (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
             F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"),
             F.element_at(acc, -1)["kind"].alias("kind"))))).otherwise(
         F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
-    joined = joined.withColumn("__merged", reach)
-    pieces = F.transform("__merged", lambda s, i: F.concat(
-        F.substr(F.col(text_col), F.when(i > 0, F.get("__merged", i - 1)["end"]).otherwise(0) + 1,
-                 s["start"] - F.when(i > 0, F.get("__merged", i - 1)["end"]).otherwise(0)),
+    joined = joined.withColumn("merged", reach)
+    pieces = F.transform("merged", lambda s, i: F.concat(
+        F.substr(F.col("text"), F.when(i > 0, F.get("merged", i - 1)["end"]).otherwise(0) + 1,
+                 s["start"] - F.when(i > 0, F.get("merged", i - 1)["end"]).otherwise(0)),
         F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    rest = F.substr(F.col(text_col), F.element_at("__merged", -1)["end"] + 1)
-    new = F.when(F.col("__merged").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return joined.withColumn(text_col, new).select(*docs.columns)
+    rest = F.substr(F.col("text"), F.element_at("merged", -1)["end"] + 1)
+    new = F.when(F.col("merged").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return spread(joined, docs, text_col, new)
 
 
 def _of(kind: str):

@@ -44,7 +44,7 @@ def test_run_packs_what_the_stages_keep(spark):
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {*QUERIES, "pipeline"} <= names
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
