@@ -43,7 +43,7 @@ from .common import if_small, nested, read_table, spread, with_decisions, words,
 MAX_EDITS = 6
 CHARS_PER_EDIT = 20
 MIN_CHARS = 20
-DENSE = 64
+DENSE = 8
 PLACE = ("id", "th", "line_no")
 #: Characters with a count of their own in a signature.
 LETTERS = "abcdefghijklmnopqrstuvwxyz "
