@@ -13,8 +13,9 @@ The edit join runs over the first occurrences:
    within k edits, the longer one holds some segment j of the shorter one intact,
    with at most j edits before and k - j behind it, so it is probed with the
    substrings that can match, by class, segment number and shift.
-2. Lines that share a key are candidates; each candidate pair is verified by
-   the banded edit distance.
+2. The segments of a line are among its own probes, so one shuffle of the probes brings
+   each key together; keys that no line owns, or only one has, go there.  Lines that share
+   a key left are candidates; each candidate pair is verified by the banded edit distance.
 3. A key with more than ``dense`` lines is not paired off.  All its lines are
    compared with the earliest of them; those near it are decided, and need
    be met only as earlier lines.  If others are open, the lines of the key meet in a join
@@ -35,7 +36,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import if_small, nested, read_table, spread, with_decisions, words, written
@@ -88,39 +89,41 @@ def later_occurrences(found: DataFrame, distinct: DataFrame) -> DataFrame:
     return met.where(~F.struct(*PLACE).eqNullSafe(F.col("first"))).select(*PLACE).distinct()
 
 
-def _patterns(k: int, own: bool) -> list[tuple[int, int]]:
-    """(segment, shift) of the keys of a line, or of the probes of one that is
-    as long or longer: a shift to the left has to be made good behind it."""
-    return [(j, s) for j in range(k + 1) for s in range(0 if own else -min(j, k - j), 1 if own else j + 1)]
+def _patterns(k: int) -> list[tuple[int, int]]:
+    """(segment, shift) of the probes of a line, made for lines as long or shorter: a
+    shift to the left has to be made good behind it."""
+    return [(j, s) for j in range(k + 1) for s in range(-min(j, k - j), j + 1)]
 
 
-def _pattern_table(edits: int | None, own: bool) -> Column:
-    rows = ["array(" + ", ".join(f"named_struct('j', {j}, 's', {s})" for j, s in _patterns(k, own)) + ")"
+def _pattern_table(edits: int | None) -> Column:
+    rows = ["array(" + ", ".join(f"named_struct('j', {j}, 's', {s})" for j, s in _patterns(k)) + ")"
             for k in range((edits or MAX_EDITS) + 1)]
     return F.expr("array(" + ", ".join(rows) + ")")
 
 
-def _classed(distinct: DataFrame, own: bool, edits: int | None, min_chars: int) -> DataFrame:
-    """Lines (h1, line) with their class c, or the classes they probe: those of
-    lines as long or shorter by the edits that the class allows."""
+def _classed(distinct: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
+    """Lines (nr, line) with the classes they probe, those of lines as long or shorter
+    by the edits that the class allows; home marks their own."""
     n, least = F.length("line"), F.lit(least_chars(edits, min_chars))
-    lengths = [n] + [F.greatest(n - d, least) for d in range(1, 1 + (0 if own else edits or MAX_EDITS))]
-    bases = F.array_distinct(F.array(*[class_base(m, edits, min_chars) for m in lengths])) if not own else F.array(
-        class_base(n, edits, min_chars))
+    lengths = [n] + [F.greatest(n - d, least) for d in range(1, 1 + (edits or MAX_EDITS))]
+    bases = F.array_distinct(F.array(*[class_base(m, edits, min_chars) for m in lengths]))
     k = F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(F.col("base") / CHARS_PER_EDIT).cast("int"))
-    return distinct.select("h1", "line", F.explode(bases).alias("base")).withColumn("k", k)
+    return distinct.select("nr", "line", F.posexplode(bases).alias("at", "base")).select(
+        "nr", "line", "base", (F.col("at") == 0).alias("home")).withColumn("k", k)
 
 
-def keys_of(distinct: DataFrame, own: bool, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, base and key (of class, segment number and substring) of the segments or
-    probes of lines."""
-    rows = _classed(distinct, own, edits, min_chars)
+def keys_of(distinct: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """key (of class, segment number and substring) and nr of all probes of lines; those
+    that are segments of the line itself, in its own class and unshifted, are own."""
+    rows = _classed(distinct, edits, min_chars)
     size = F.floor(F.col("base") / (F.col("k") + 1)).cast("int")
-    pattern = F.inline(F.get(_pattern_table(edits, own), F.col("k"))).alias("j", "s")
+    pattern = F.inline(F.get(_pattern_table(edits), F.col("k"))).alias("j", "s")
     cut = rows.withColumn("size", size).select("*", pattern)
     cut = cut.withColumn("start", F.col("j") * F.col("size") + F.col("s")).where("start >= 0")
     cut = cut.withColumn("part", F.substr("line", F.col("start") + 1, F.col("size"))).where(F.length("part") == F.col("size"))
-    return cut.select("h1", "base", F.xxhash64("base", "j", "part").alias("key"))
+    # 48 bits of hash, and the equal bytes of rows side by side, which compress well in the shuffle.
+    key = F.shiftleft(F.xxhash64("base", "j", "part"), 16)
+    return cut.select(key.alias("key"), "nr", (F.col("home") & (F.col("s") == 0)).alias("own"))
 
 
 def signature(line: Column) -> list[Column]:
@@ -140,84 +143,94 @@ def within(x: Column, y: Column, edits: int | Column) -> Column:
     return (F.abs(F.length(x) - F.length(y)) <= edits) & (F.call_function("levenshtein", x, y, edits) >= 0)
 
 
+def shared_keys(distinct: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """nr, key, own and n (lines that own the key) of :func:`keys_of`, without the keys
+    that no line owns or that only one line has.  One shuffle brings the keys together."""
+    keys = keys_of(distinct, edits, min_chars)
+    of = Window.partitionBy("key")
+    met = keys.select("*", F.count_if("own").over(of).alias("n"), F.min("nr").over(of).alias("low"), F.max("nr").over(of).alias("high"))
+    return met.where((F.col("n") > 0) & (F.col("low") != F.col("high"))).drop("low", "high")
+
+
+def _reach(edits: int | None, shorter: Column) -> Column:
+    return F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(shorter / CHARS_PER_EDIT).cast("int"))
+
+
 def _near(pairs: DataFrame, distinct: DataFrame, edits: int | None) -> DataFrame:
-    """(h1, place) of the later line of each pair (a, b) within reach."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
-    texts = written(distinct.select("h1", "first", "line").join(wanted, "h1"), "texts")
-    side = lambda p: texts.select(F.col("h1").alias(p), F.col("first").alias(p + "_at"), F.col("line").alias(p + "_line"))
+    """(nr, place) of the later line of each pair (a, b) within reach."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("nr")).distinct(), "wanted")
+    texts = written(distinct.select("nr", "first", "line").join(wanted, "nr"), "texts")
+    side = lambda p: texts.select(F.col("nr").alias(p), F.col("first").alias(p + "_at"), F.col("line").alias(p + "_line"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
-    shorter = F.least(F.length("a_line"), F.length("b_line"))
-    reach = F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(shorter / CHARS_PER_EDIT).cast("int"))
-    close = met.where(within(F.col("a_line"), F.col("b_line"), reach))
-    later = F.greatest(F.struct("a_at", F.col("a").alias("h1")), F.struct(F.col("b_at").alias("a_at"), F.col("b").alias("h1")))
-    return close.select(later.alias("l")).select(F.col("l.h1").alias("h1"), F.col("l.a_at").alias("place")).distinct()
+    close = met.where(within(F.col("a_line"), F.col("b_line"), _reach(edits, F.least(F.length("a_line"), F.length("b_line")))))
+    later = F.greatest(F.struct("a_at", F.col("a").alias("nr")), F.struct(F.col("b_at").alias("a_at"), F.col("b").alias("nr")))
+    return close.select(later.alias("l")).select(F.col("l.nr").alias("nr"), F.col("l.a_at").alias("place")).distinct()
 
 
-def _pairs(own: DataFrame, probes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of (key, h1) and (key, h1)."""
-    met = own.select("key", F.col("h1").alias("a")).join(probes.select("key", F.col("h1").alias("b")), "key").where("a <> b")
+def _pairs(shared: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of lines: one owns a key that the other has."""
+    met = shared.where("own").select("key", F.col("nr").alias("a")).join(
+        shared.select("key", F.col("nr").alias("b")), "key").where("a <> b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _near_in(open_keys: DataFrame, decided: DataFrame, distinct: DataFrame, members: DataFrame, edits: int | None,
-             min_chars: int) -> DataFrame:
-    """(h1, place) of the later line of each pair within reach that shares an open
-    key and is not decided.  Pairs are verified as they meet: lengths first, then letter
-    counts, then the edit distance; only those within reach become rows."""
-    hint = if_small(open_keys)
-    of = members.join(hint, "key", "left_semi").select("h1").distinct()
+def _near_in(keyed: DataFrame, decided: DataFrame, distinct: DataFrame, edits: int | None) -> DataFrame:
+    """(nr, place) of the later line of each pair within reach that shares a key of
+    ``keyed`` (nr, own_keys, keys) and is not decided.  Pairs are verified as they meet: lengths
+    first, then letter counts, then the edit distance; only those within reach become rows."""
     known = decided.withColumn("done", F.lit(True))
-    texts = distinct.join(of, "h1").join(known, "h1", "left").select(
-        "h1", "first", "line", F.length("line").alias("n"), F.coalesce("done", F.lit(False)).alias("done"),
-        class_base(F.length("line"), edits, min_chars).alias("class"), F.array(*signature(F.col("line"))).alias("letters"))
+    texts = distinct.join(keyed, "nr").join(known, "nr", "left").select(
+        "nr", "own_keys", "keys", "first", "line", F.length("line").alias("n"), F.coalesce("done", F.lit(False)).alias("done"),
+        F.array(*signature(F.col("line"))).alias("letters"))
     texts = written(texts, "open-lines")
 
-    def side(own: bool, name: str) -> DataFrame:
-        keys = keys_of(texts, own, edits, min_chars).join(hint, "key", "left_semi").select("key", "h1", "base").distinct()
-        full = keys.join(texts, "h1")
-        return full.select("key", *[F.col(c).alias(f"{name}_{c}") for c in full.columns if c != "key"])
+    def side(keys: str, name: str) -> DataFrame:
+        columns = ("nr", "first", "line", "n", "done", "letters")
+        return texts.select(F.explode(keys).alias(f"{name}_key"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    shorter, apart = F.least("a_n", "b_n"), F.abs(F.col("a_n") - F.col("b_n"))
-    reach = F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(shorter / CHARS_PER_EDIT).cast("int"))
+    reach, apart = _reach(edits, F.col("a_n")), F.col("b_n") - F.col("a_n")
     letters = reduce(Column.__add__, [F.bit_count(F.get("a_letters", F.lit(i)).bitwiseXOR(F.get("b_letters", F.lit(i))))
                                       for i in range(4)])
     a_first = F.col("a_first") < F.col("b_first")
-    # Lines of one class meet both ways round.
-    once = (F.col("a_h1") < F.col("b_h1")) | ((F.col("a_h1") != F.col("b_h1")) & (F.col("b_class") != F.col("a_base")))
+    # The longer line is the one that is probed; lines of one length meet both ways round.
+    once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_nr") < F.col("b_nr")))
     wanted = once & ~F.when(a_first, F.col("b_done")).otherwise(F.col("a_done")) & (apart <= reach) \
         & (letters <= 2 * reach - apart) & (F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), reach) >= 0)
-    a, b = side(True, "a"), side(False, "b")
-    met = a.join(b.withColumnRenamed("key", "b_key"), (F.col("key") == F.col("b_key")) & wanted)
-    later = F.when(a_first, F.struct(F.col("b_h1").alias("h1"), F.col("b_first").alias("place"))).otherwise(
-        F.struct(F.col("a_h1").alias("h1"), F.col("a_first").alias("place")))
+    met = side("own_keys", "a").join(side("keys", "b"), (F.col("a_key") == F.col("b_key")) & wanted)
+    later = F.when(a_first, F.struct(F.col("b_nr").alias("nr"), F.col("b_first").alias("place"))).otherwise(
+        F.struct(F.col("a_nr").alias("nr"), F.col("a_first").alias("place")))
     return met.select(later.alias("l")).select("l.*").distinct()
 
 
+def _by_line(shared: DataFrame) -> DataFrame:
+    """nr, own_keys and keys: a line has at most some eighty keys."""
+    return shared.groupBy("nr").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"),
+                                    F.collect_set("key").alias("keys"))
+
+
 def near_lines(distinct: DataFrame, edits: int | None = None, dense: int = DENSE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Places of first occurrences that have an earlier one within reach;
-    ``distinct`` is a written table of :func:`distinct_lines`."""
+    ``distinct`` is a written table of :func:`distinct_lines` with numbers nr."""
     distinct = distinct.where(F.length("line") >= least_chars(edits, min_chars))
-    own, probes = (keys_of(distinct, o, edits, min_chars).select("key", "h1") for o in (True, False))
-    many = written(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
+    shared = written(shared_keys(distinct, edits, min_chars), "shared")
+    few = written(_pairs(shared.where(F.col("n") <= dense)), "pairs")
+    near = _near(few, distinct, edits)
+    many = shared.where(F.col("n") > dense)
     if many.isEmpty():
-        return _near(written(_pairs(own, probes), "pairs"), distinct, edits).select("place.*")
-    hint = if_small(many)
-    few = _pairs(own.join(hint, "key", "left_anti"), probes.join(hint, "key", "left_anti"))
-    near = _near(written(few, "pairs"), distinct, edits)
+        return near.select("place.*")
     # Lines of dense keys against the earliest of each.
-    members = written(own.unionByName(probes).join(hint, "key", "left_semi").distinct(), "members")
-    placed = members.join(distinct.select("h1", "first"), "h1")
-    heads = written(placed.groupBy("key").agg(F.min(F.struct("first", "h1")).alias("head")).select(
-        "key", F.col("head.h1").alias("head")), "heads")
-    leads = members.join(heads, "key").where("h1 <> head").select(F.least("h1", "head").alias("a"), F.greatest("h1", "head").alias("b"))
+    lines_of = written(_by_line(many), "members")
+    placed = written(lines_of.join(distinct.select("nr", "first"), "nr").select("nr", "first", F.explode("keys").alias("key")), "placed")
+    heads = placed.groupBy("key").agg(F.min(F.struct("first", "nr")).alias("head")).select("key", F.col("head.nr").alias("head"))
+    met = written(placed.select("key", "nr").join(heads, "key").where("nr <> head"), "met")
+    leads = met.select(F.least("nr", "head").alias("a"), F.greatest("nr", "head").alias("b"))
     near = written(near.unionByName(_near(written(leads.distinct(), "leads"), distinct, edits)).distinct(), "near")
-    decided = near.select("h1").distinct()
-    undecided = members.join(heads, "key").where("h1 <> head").join(decided, "h1", "left_anti")
-    left = written(undecided.select("key").distinct(), "open")
+    decided = near.select("nr").distinct()
+    left = written(met.join(decided, "nr", "left_anti").select("key").distinct(), "open")
     if left.isEmpty():
         return near.select("place.*")
-    more = _near_in(left, decided, distinct, members, edits, min_chars)
-    return near.unionByName(more).select("place.*").distinct()
+    open_keys = _by_line(many.join(if_small(left), "key", "left_semi"))
+    return near.unionByName(_near_in(open_keys, decided, distinct, edits)).select("place.*").distinct()
 
 
 def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, dense: int = DENSE,
@@ -225,7 +238,8 @@ def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MI
     """id, th, exact and near: arrays of the line numbers a document loses."""
     all_lines = lines(docs, id_col, text_col)
     found = written(all_lines.drop("line"), "lines")
-    distinct = written(distinct_lines(all_lines), "distinct-lines")
+    # The numbers are written with the lines, so they stay.
+    distinct = written(distinct_lines(all_lines).withColumn("nr", F.monotonically_increasing_id()), "distinct-lines")
     later = later_occurrences(found, distinct).withColumn("near", F.lit(False))
     near = near_lines(distinct, edits, dense, min_chars).select(*PLACE).withColumn("near", F.lit(True))
     return written(later.unionByName(near).groupBy("id", "th").agg(

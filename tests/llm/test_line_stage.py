@@ -47,6 +47,21 @@ def test_edits_grow_with_the_line(spark, edits, dense):
     assert {r["id"] for r in got} == want
 
 
+@pytest.mark.parametrize("dense", [1, 64])
+def test_a_longer_line_is_probed_whatever_the_hashes(spark, dense):
+    """Two lines of a length class, the later with one character more in front: only the probe of the longer one
+    meets the shorter one where the others of its keys are not near."""
+    rnd = random.Random(5)
+    docs = []
+    for i in range(40):
+        line = "".join(rnd.choice("abcdefgh ") for _ in range(24))
+        other = line[:12] + "".join(rnd.choice("ijklm") for _ in range(12))
+        docs += [(4 * i, other), (4 * i + 1, line), (4 * i + 2, line[:5] + "z" + line[5:])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = op10_lines.removed_lines(df, 1, 20, dense).where("size(near) > 0").select("id").collect()
+    assert sorted(r["id"] for r in got) == [4 * i + 2 for i in range(40)]
+
+
 def test_one_word_replaced_is_a_near_copy(spark):
     line = "all files are distributed under the licence of the people who wrote them, without a warranty of any kind at all"
     rows = [(1, line, "x"), (2, line.replace("people", "persons") + "\nown words", "x")]
