@@ -119,3 +119,11 @@ def test_loaded_and_rejected_records_are_all_records(spark, tmp_path):
     assert {r["record"] for r in got if r["reasons"] == ["columns"]} == {k for k, v in bad.items() if v == ["columns"]}
     assert rows.count() + rejects.count() == len(good) + len(bad)
     assert {r["reason"]: r["n_records"] for r in quarantine.reject_summary(rejects).collect()}["columns"] == 2
+
+
+def test_levels_of_intervals_are_few(spark):
+    """Each level copies all points: windows of 30 to 200 days share one."""
+    days = spark.range(1, 5000).select((F.col("id") * 86_400_000_000 + 1).alias("n"))
+    got = days.select("n", intervals.level(F.col("n")).alias("l")).collect()
+    assert {r["l"] for r in got if 30 * 86_400_000_000 < r["n"] <= 200 * 86_400_000_000} == {44}
+    assert all(r["n"] < 2 ** r["l"] <= 16 * r["n"] for r in got)
