@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import dbl
 from ..operators import cohorts, segments, users
+from ..session import written_table
 from ..sources.binding import FULL_END, FULL_START, Bound
 from .oracle_views import register, with_views
 from .ramp_plans import conversions
@@ -326,11 +327,17 @@ def _ref_perf(b: Bound):
     return segments.referral_performance(classified(b))
 
 
+#: Columns of the master table that ``users.product_flags`` reads.
+PRODUCT_COLUMNS = ("n_conversions", "onramp_volume_brl", "offramp_volume_usdc", "card_fee_usd", "card_tx_fee_usd", "n_swaps",
+                   "payout_fee_usd")
+
+
 @query("adoption_by_segment", with_views("""
     SELECT c.segment, round(avg(CAST(a.has_conversion AS DOUBLE)), 6) AS has_conversion,
            round(avg(CAST(a.has_card AS DOUBLE)), 6) AS has_card, round(avg(CAST(a.has_swap AS DOUBLE)), 6) AS has_swap,
            round(avg(CAST(a.has_crossborder AS DOUBLE)), 6) AS has_crossborder
     FROM classified c JOIN adoption a ON a.user_id = c.user_id GROUP BY 1""", "classified", "adoption"))
 def _adoption_seg(b: Bound):
-    m = master(b)
+    # Read three times: for the threshold, the segments and the products.
+    m = written_table(master(b).select("user_id", "net_revenue_usd", "days_since_last_active", *PRODUCT_COLUMNS), "adoption")
     return segments.adoption_by_segment(segments.classify_segments(m), users.product_adoption(m, mask=False))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import dbl
 from ..operators import ramp, users
+from ..session import written_table
 from ..sources.binding import AS_OF, FULL_END, FULL_START, Bound, once
 from .oracle_views import register, with_views
 from .ramp_plans import conversions
@@ -25,12 +26,19 @@ USER_STREAMS = ("card_fee_usd", "billing_usd", "cashback_usd", "revenue_share_us
 TRANSACTING_STREAMS = ("card_fee_usd", "billing_usd", "n_swaps", "payout_fee_usd")
 
 
-def stream_frames(b: Bound, swaps_enabled: bool = False):
-    """Conversions per user, and all other streams from one pass over the
-    ledger plus one for the grand total of card transactions."""
+@once
+def user_streams(b: Bound):
+    """Sums of all other streams per user, written once: the lines are by far the largest
+    table, and master is read several times by some queries."""
     per = users.ledger_sums(b.card_ledger, USER_STREAMS, ("user_id",), FULL_START, FULL_END)
-    total = users.ledger_rows(b.card_ledger, ["n_card_tx"], FULL_START, FULL_END).agg(
-        F.count(F.lit(1)).alias("total_tx_count"))
+    return written_table(per, "user-streams")
+
+
+def stream_frames(b: Bound, swaps_enabled: bool = False):
+    """Conversions per user, and all other streams with the grand total of card
+    transactions, both from one pass over the ledger."""
+    per = user_streams(b)
+    total = per.agg(F.coalesce(F.sum("n_card_tx"), F.lit(0).cast("bigint")).alias("total_tx_count"))
     fee = F.col("swap_fee_usd") if swaps_enabled else F.lit(0).cast("decimal(28,10)")
     per = per.select("user_id", "card_fee_usd", F.col("n_card_tx").alias("user_tx_count"),
                      F.col("billing_usd").alias("card_tx_fee_usd"), "cashback_usd",
@@ -48,8 +56,8 @@ def fx_rate(b: Bound):
 
 @once
 def master(b: Bound):
-    """One row per user (lazy): the lines are read twice, for the streams of the
-    users and for the grand total."""
+    """One row per user (lazy but for the sums of :func:`user_streams`, the one pass over
+    the lines)."""
     joined = users.join_revenue_streams(cohort_base(b), stream_frames(b))
     return users.time_signals(users.user_profit(joined, fx_rate(b)), AS_OF)
 

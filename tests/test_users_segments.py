@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import cohorts, segments, users
 
+from .conftest import SF_SMALL
+
 
 def test_user_profit_formula(spark):
     joined = spark.createDataFrame(
@@ -125,3 +127,15 @@ def test_approx_percentile_mode(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "v double")
     r = exact_percentiles(df, "v", {"m": 0.5}, exact=False).first()
     assert r.m == 50.0
+
+
+def test_the_lines_are_read_once_for_the_master_table(spark):
+    """The sums of the lines are written, so a query that reads master again does not join all lines again; the
+    grand total comes from them."""
+    from ledgerlens.plans import user_plans
+    from ledgerlens.sources.binding import Bound
+    b = Bound(spark, SF_SMALL)
+    m = user_plans.master(b)
+    assert "l_orderkey" not in m._jdf.queryExecution().optimizedPlan().toString()
+    closed = b._lines.where("l_linestatus = 'F'").count()
+    assert {r[0] for r in m.where("user_tx_count > 0").select("total_tx_count").distinct().collect()} == {closed}
