@@ -12,15 +12,16 @@ The edit join runs over the first occurrences:
    pieces of a line that its class cuts off are its segments.  Of two lines
    within k edits, the longer one holds some segment j of the shorter one intact,
    with at most j edits before and k - j behind it, so it is probed with the
-   substrings that can match, by class, segment number and shift.
+   substrings that can match, by class, segment number and shift.  In classes of
+   ``LONG_CHARS`` and more, a few chunks of the line stand for all of these (:func:`_chunks`).
 2. The segments of a line are among its own probes, so one shuffle of the probes brings
    each key together; keys that no line owns, or only one has, go there.  Lines that share
-   a key left are candidates; each candidate pair is verified by the banded edit distance.
+   a key left are candidates; a candidate pair is verified by lengths, by the numbers of its
+   letters (a signature of 32 bytes), and only then, with the texts, by the banded edit distance.
 3. A key with more than ``dense`` lines is not paired off.  All its lines are
    compared with the earliest of them; those near it are decided, and need
    be met only as earlier lines.  If others are open, the lines of the key meet in a join
-   that verifies a pair before it becomes a row: by length, by the numbers of their
-   letters (a signature of 32 bytes), and by the edit distance.  So the rows
+   that verifies a pair in the same way before it becomes a row.  So the rows
    made are near pairs; comparisons of signatures still grow with the square of a
    family whose lines share a segment but are not near each other.
 
@@ -39,12 +40,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import if_small, nested, read_table, spread, with_decisions, words, written
+from .common import SMALL_ROWS, if_small, nested, read_table, spread, with_decisions, words, written
 
 MAX_EDITS = 6
 CHARS_PER_EDIT = 20
 MIN_CHARS = 20
 DENSE = 8
+#: Least lengths of the first and the last class whose lines meet by chunks.
+LONG_CHARS, LONG_MOST = 256, 1 << 22
+#: Where lines of classes from a length on are cut: at spaces before some letters.
+CUTS = {LONG_CHARS: " (?=[a-l])", 384: " (?=[a-h])", 640: " (?=[a-e])", 1280: " (?=[b-d])"}
+#: Bits of the number of a chunk in its line.
+NUMBER_BITS = 24
 PLACE = ("id", "th", "line_no")
 #: Characters with a count of their own in a signature.
 LETTERS = "abcdefghijklmnopqrstuvwxyz "
@@ -96,34 +103,76 @@ def _patterns(k: int) -> list[tuple[int, int]]:
 
 
 def _pattern_table(edits: int | None) -> Column:
-    rows = ["array(" + ", ".join(f"named_struct('j', {j}, 's', {s})" for j, s in _patterns(k)) + ")"
+    rows = ["array(" + ", ".join(f"named_struct('j', {j}, 's', {s}, 'chunk', CAST(NULL AS LONG))" for j, s in _patterns(k)) + ")"
             for k in range((edits or MAX_EDITS) + 1)]
     return F.expr("array(" + ", ".join(rows) + ")")
 
 
 def _classed(distinct: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
-    """Lines (nr, line) with the classes they probe, those of lines as long or shorter
+    """Lines with the classes they probe, those of lines as long or shorter
     by the edits that the class allows; home marks their own."""
     n, least = F.length("line"), F.lit(least_chars(edits, min_chars))
-    lengths = [n] + [F.greatest(n - d, least) for d in range(1, 1 + (edits or MAX_EDITS))]
+    # Where the edits grow with the length, no class between others is as short as the edits.
+    shorter = range(1, 1 + edits) if edits else range(1, 1 + MAX_EDITS) if min_chars < CHARS_PER_EDIT else (MAX_EDITS,)
+    lengths = [n] + [F.greatest(n - d, least) for d in shorter]
     bases = F.array_distinct(F.array(*[class_base(m, edits, min_chars) for m in lengths]))
     k = F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(F.col("base") / CHARS_PER_EDIT).cast("int"))
-    return distinct.select("nr", "line", F.posexplode(bases).alias("at", "base")).select(
-        "nr", "line", "base", (F.col("at") == 0).alias("home")).withColumn("k", k)
+    return distinct.select("nr", "line", F.posexplode(bases).alias("at", "base")).withColumn("home", F.col("at") == 0).withColumn("k", k)
+
+
+def _chunks(rows: DataFrame, allowed: int) -> DataFrame:
+    """Rows of :func:`_classed` with chunks (hashes of some chunks of a line of the long classes,
+    else null) and few (whether the allowed edits can change every chunk of it).
+
+    A line is cut where its class says, and by what stands there only.  So an edit
+    changes one chunk or two neighbours, and k edits leave some of k + 1 chunks
+    that are no neighbours.  All chunks have one order: long ones first, then by hash.  A line
+    keeps its first ones, so many that k + 1 of them are no neighbours, or all if there are
+    not that many: it is few.  Of two lines within k edits, take the one whose kept chunks end first in
+    that order (a few line ends last): one of them is in the other line, which keeps
+    it, too.  Only two few lines can miss each other."""
+    in_line = F.lit((1 << NUMBER_BITS) - 1)
+
+    def code(c: Column, i: Column) -> Column:
+        """6 bits of length, 33 of hash, and the number."""
+        by_length = F.shiftleft((63 - F.least(F.octet_length(c), F.lit(63))).cast("long"), 57)
+        return by_length.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.xxhash64(c), 7 + NUMBER_BITS), NUMBER_BITS)).bitwiseOR(i.cast("long"))
+
+    def apart(m: int) -> Column:
+        """How many of the first m chunks are no neighbours."""
+        numbers = F.sort_array(F.transform(F.slice("codes", 1, m), lambda c: c.bitwiseAND(in_line)))
+        start = F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).alias("n"))
+        return F.aggregate(numbers, start, lambda at, i: F.when(i - at["last"] < 2, at).otherwise(
+            F.struct(i.alias("last"), (at["n"] + 1).alias("n"))), lambda at: at["n"])
+
+    # Of 2 k + 1 chunks, k + 1 are no neighbours.
+    most = 2 * allowed + 1
+    cut_at = reduce(lambda at, c: F.when(F.col("base") >= c, F.lit(CUTS[c])).otherwise(at), sorted(CUTS), F.lit(" "))
+    is_long = F.col("base").between(LONG_CHARS, LONG_MOST)
+    cut = rows.withColumn("codes", F.when(is_long, F.sort_array(F.transform(F.split("line", cut_at, -1), code))))
+    used = reduce(lambda done, m: F.when(apart(m) > allowed, m).otherwise(done), [m for m in (allowed + 5, allowed + 3) if m < most], F.lit(most))
+    cut = cut.withColumn("used", F.when(is_long, used))
+    few = F.when(is_long, F.when(F.size("codes") < F.col("used"), apart(most) <= allowed).otherwise(False))
+    kept = F.transform(F.slice("codes", F.lit(1), F.col("used")), lambda c: F.shiftrightunsigned(c, NUMBER_BITS))
+    return cut.withColumn("chunks", F.array_distinct(kept)).withColumn("few", few).drop("codes", "used")
 
 
 def keys_of(distinct: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """key (of class, segment number and substring) and nr of all probes of lines; those
-    that are segments of the line itself, in its own class and unshifted, are own."""
-    rows = _classed(distinct, edits, min_chars)
-    size = F.floor(F.col("base") / (F.col("k") + 1)).cast("int")
-    pattern = F.inline(F.get(_pattern_table(edits), F.col("k"))).alias("j", "s")
-    cut = rows.withColumn("size", size).select("*", pattern)
-    cut = cut.withColumn("start", F.col("j") * F.col("size") + F.col("s")).where("start >= 0")
-    cut = cut.withColumn("part", F.substr("line", F.col("start") + 1, F.col("size"))).where(F.length("part") == F.col("size"))
+    """key (of class, segment number and substring, or of class and chunk) and nr of
+    all probes of lines.  Own are those that are segments of the line itself, in its own class and
+    unshifted, and all chunks."""
+    rows = _chunks(_classed(distinct, edits, min_chars), edits or MAX_EDITS)
+    pattern = F.get(_pattern_table(edits), F.col("k"))
+    chunks = F.transform("chunks", lambda c: F.struct(F.lit(-1).alias("j"), F.lit(0).alias("s"), c.alias("chunk")))
+    probes = F.when(F.col("few").isNull(), pattern).when(F.col("few"), F.concat(pattern, chunks)).otherwise(chunks)
+    by_segments = F.coalesce("few", F.lit(True))
+    cut = rows.select("nr", "base", "home", F.when(by_segments, F.col("line")).alias("line"), F.length("line").alias("n"),
+                      F.floor(F.col("base") / (F.col("k") + 1)).cast("int").alias("size"), F.inline(probes).alias("j", "s", "chunk"))
+    start, is_chunk = F.col("j") * F.col("size") + F.col("s"), F.col("chunk").isNotNull()
+    cut = cut.where(is_chunk | ((start >= 0) & (start + F.col("size") <= F.col("n"))))
     # 48 bits of hash, and the equal bytes of rows side by side, which compress well in the shuffle.
-    key = F.shiftleft(F.xxhash64("base", "j", "part"), 16)
-    return cut.select(key.alias("key"), "nr", (F.col("home") & (F.col("s") == 0)).alias("own"))
+    key = F.when(is_chunk, F.xxhash64("base", "chunk")).otherwise(F.xxhash64("base", "j", F.substr("line", start + 1, F.col("size"))))
+    return cut.select(F.shiftleft(key, 16).alias("key"), "nr", (is_chunk | (F.col("home") & (F.col("s") == 0))).alias("own"))
 
 
 def signature(line: Column) -> list[Column]:
@@ -156,15 +205,25 @@ def _reach(edits: int | None, shorter: Column) -> Column:
     return F.lit(edits) if edits else F.least(F.lit(MAX_EDITS), F.ceil(shorter / CHARS_PER_EDIT).cast("int"))
 
 
-def _near(pairs: DataFrame, distinct: DataFrame, edits: int | None) -> DataFrame:
-    """(nr, place) of the later line of each pair (a, b) within reach."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("nr")).distinct(), "wanted")
-    texts = written(distinct.select("nr", "first", "line").join(wanted, "nr"), "texts")
-    side = lambda p: texts.select(F.col("nr").alias(p), F.col("first").alias(p + "_at"), F.col("line").alias(p + "_line"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
+def _alike(x_n: Column, x_letters: Column, y_n: Column, y_letters: Column) -> tuple[Column, Column]:
+    """By how much two lines differ in length, and at least in letters."""
+    letters = [F.bit_count(F.get(x_letters, F.lit(i)).bitwiseXOR(F.get(y_letters, F.lit(i)))) for i in range(4)]
+    return F.abs(x_n - y_n), reduce(Column.__add__, letters)
+
+
+def _near(pairs: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
+    """(nr, place) of the later line of each pair (a, b) within reach.  Texts go only to
+    pairs whose lengths and letters allow it."""
+    side = lambda p, *columns: texts.select(F.col("nr").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    reach = _reach(edits, F.least("a_n", "b_n"))
+    apart, letters = _alike(F.col("a_n"), F.col("a_letters"), F.col("b_n"), F.col("b_letters"))
+    alike = pairs.join(side("a", "n", "letters"), "a").join(side("b", "n", "letters"), "b").where(
+        (apart <= reach) & (letters <= 2 * reach - apart))
+    alike = written(alike.select("a", "b"), "alike")
+    met = alike.join(side("a", "first", "line"), "a").join(side("b", "first", "line"), "b").repartition("a", "b")
     close = met.where(within(F.col("a_line"), F.col("b_line"), _reach(edits, F.least(F.length("a_line"), F.length("b_line")))))
-    later = F.greatest(F.struct("a_at", F.col("a").alias("nr")), F.struct(F.col("b_at").alias("a_at"), F.col("b").alias("nr")))
-    return close.select(later.alias("l")).select(F.col("l.nr").alias("nr"), F.col("l.a_at").alias("place")).distinct()
+    later = F.greatest(F.struct("a_first", F.col("a").alias("nr")), F.struct(F.col("b_first").alias("a_first"), F.col("b").alias("nr")))
+    return close.select(later.alias("l")).select(F.col("l.nr").alias("nr"), F.col("l.a_first").alias("place")).distinct()
 
 
 def _pairs(shared: DataFrame) -> DataFrame:
@@ -174,23 +233,19 @@ def _pairs(shared: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _near_in(keyed: DataFrame, decided: DataFrame, distinct: DataFrame, edits: int | None) -> DataFrame:
+def _near_in(keyed: DataFrame, decided: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
     """(nr, place) of the later line of each pair within reach that shares a key of
     ``keyed`` (nr, own_keys, keys) and is not decided.  Pairs are verified as they meet: lengths
     first, then letter counts, then the edit distance; only those within reach become rows."""
     known = decided.withColumn("done", F.lit(True))
-    texts = distinct.join(keyed, "nr").join(known, "nr", "left").select(
-        "nr", "own_keys", "keys", "first", "line", F.length("line").alias("n"), F.coalesce("done", F.lit(False)).alias("done"),
-        F.array(*signature(F.col("line"))).alias("letters"))
-    texts = written(texts, "open-lines")
+    texts = written(texts.join(keyed, "nr").join(known, "nr", "left").withColumn("done", F.coalesce("done", F.lit(False))), "open-lines")
 
     def side(keys: str, name: str) -> DataFrame:
         columns = ("nr", "first", "line", "n", "done", "letters")
         return texts.select(F.explode(keys).alias(f"{name}_key"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     reach, apart = _reach(edits, F.col("a_n")), F.col("b_n") - F.col("a_n")
-    letters = reduce(Column.__add__, [F.bit_count(F.get("a_letters", F.lit(i)).bitwiseXOR(F.get("b_letters", F.lit(i))))
-                                      for i in range(4)])
+    letters = _alike(F.col("a_n"), F.col("a_letters"), F.col("b_n"), F.col("b_letters"))[1]
     a_first = F.col("a_first") < F.col("b_first")
     # The longer line is the one that is probed; lines of one length meet both ways round.
     once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_nr") < F.col("b_nr")))
@@ -213,24 +268,28 @@ def near_lines(distinct: DataFrame, edits: int | None = None, dense: int = DENSE
     ``distinct`` is a written table of :func:`distinct_lines` with numbers nr."""
     distinct = distinct.where(F.length("line") >= least_chars(edits, min_chars))
     shared = written(shared_keys(distinct, edits, min_chars), "shared")
+    # Texts are moved once, and only those of lines that have candidates.
+    wanted = written(shared.select("nr").distinct(), "wanted")
+    texts = written(distinct.select("nr", "first", "line", F.length("line").alias("n")).join(if_small(wanted, 4 * SMALL_ROWS), "nr", "left_semi")
+                    .withColumn("letters", F.array(*signature(F.col("line")))), "texts")
     few = written(_pairs(shared.where(F.col("n") <= dense)), "pairs")
-    near = _near(few, distinct, edits)
+    near = _near(few, texts, edits)
     many = shared.where(F.col("n") > dense)
     if many.isEmpty():
         return near.select("place.*")
     # Lines of dense keys against the earliest of each.
     lines_of = written(_by_line(many), "members")
-    placed = written(lines_of.join(distinct.select("nr", "first"), "nr").select("nr", "first", F.explode("keys").alias("key")), "placed")
+    placed = written(lines_of.join(texts.select("nr", "first"), "nr").select("nr", "first", F.explode("keys").alias("key")), "placed")
     heads = placed.groupBy("key").agg(F.min(F.struct("first", "nr")).alias("head")).select("key", F.col("head.nr").alias("head"))
     met = written(placed.select("key", "nr").join(heads, "key").where("nr <> head"), "met")
     leads = met.select(F.least("nr", "head").alias("a"), F.greatest("nr", "head").alias("b"))
-    near = written(near.unionByName(_near(written(leads.distinct(), "leads"), distinct, edits)).distinct(), "near")
+    near = written(near.unionByName(_near(written(leads.distinct(), "leads"), texts, edits)).distinct(), "near")
     decided = near.select("nr").distinct()
     left = written(met.join(decided, "nr", "left_anti").select("key").distinct(), "open")
     if left.isEmpty():
         return near.select("place.*")
     open_keys = _by_line(many.join(if_small(left), "key", "left_semi"))
-    return near.unionByName(_near_in(open_keys, decided, distinct, edits)).select("place.*").distinct()
+    return near.unionByName(_near_in(open_keys, decided, texts, edits)).select("place.*").distinct()
 
 
 def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, dense: int = DENSE,

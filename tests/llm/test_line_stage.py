@@ -67,3 +67,35 @@ def test_one_word_replaced_is_a_near_copy(spark):
     rows = [(1, line, "x"), (2, line.replace("people", "persons") + "\nown words", "x")]
     out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(map(tuple, out)) == [rows[0], (2, "own words", "x")]
+
+
+def _words(rnd, n, letters="abcdefghijklmnopqrst"):
+    return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7))) for _ in range(n))[:n]
+
+
+@pytest.mark.parametrize("dense", [1, 64])
+def test_long_lines_meet_by_chunks(spark, dense):
+    """Edits at the cuts, lines on both sides of the least length, and lines that have too few chunks."""
+    rnd = random.Random(dense)
+    base = [_words(rnd, n) for n in (257, 262, 330, 388)] + [_words(rnd, 300, "uvwxyz"), "x" * 20 + _words(rnd, 280).replace(" ", "")]
+    texts = {}
+    for b, line in enumerate(base):
+        for _ in range(14):
+            x = list(line)
+            for _ in range(rnd.randint(0, 8)):
+                at = rnd.choice([i for i, c in enumerate(x) if c == " "] or range(len(x))) + rnd.randint(0, 1)
+                x[at:at + rnd.randint(0, 1)] = [rnd.choice("ab ")] * rnd.randint(0, 1)
+            texts.setdefault("".join(x), b)
+    texts = rnd.sample(sorted(texts.items()), len(texts))
+    want = {i for i, (x, b) in enumerate(texts) for y, c in texts[:i]
+            if b == c and abs(len(x) - len(y)) <= 6 and _edits(x, y) <= 6}
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(texts)], "doc_id long, text string")
+    got = op10_lines.removed_lines(df, None, 20, dense).where("size(near) > 0").select("id").collect()
+    assert {r["id"] for r in got} == want and 0 < len(want) < len(texts)
+
+
+def test_a_long_line_has_few_keys(spark):
+    rnd = random.Random(1)
+    rows = [(i, _words(rnd, n)) for i, n in enumerate((300, 460, 700, 1500, 9000) * 4)]
+    keys = op10_lines.keys_of(spark.createDataFrame(rows, "nr long, line string"))
+    assert max(r["count"] for r in keys.groupBy("nr").count().collect()) <= 2 * op10_lines.MAX_EDITS + 1
