@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import op2_packing, op6_quality, op8_pii, op10_lines
+from ledgerlens.llm import common, op2_packing, op6_quality, op8_pii, op10_lines
 from ledgerlens.llm.queries import QUERIES
 
 from ..conftest import SF_SMALL
@@ -110,3 +110,15 @@ def test_columns_with_names_of_inner_columns_are_kept(spark, stage):
     rows = got.collect()
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(map(tuple, want.collect()))
     assert all(r[c] == i for r in rows for i, c in enumerate(CLASHING)) and all(r["row"] == {"k": 1} for r in rows)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, monkeypatch):
+    """The write runs under Spark's setting that frees them, and the session's own value is back after it, and after a failure."""
+    before, seen = spark.conf.get(common.FREE_SHUFFLES), []
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    real = type(df).write
+    monkeypatch.setattr(type(df), "write", property(lambda self: (seen.append(spark.conf.get(common.FREE_SHUFFLES)), real.fget(self))[1]))
+    assert sum(r["count"] for r in common.written(df, "seen").collect()) == 1000
+    with pytest.raises(Exception):  # noqa: B017
+        common.written(df.select(F.raise_error(F.lit("no")).alias("x")), "fails")
+    assert seen == ["true", "true"] and spark.conf.get(common.FREE_SHUFFLES) == before == "false"
