@@ -158,21 +158,23 @@ def _chunks(rows: DataFrame, allowed: int) -> DataFrame:
 
 
 def keys_of(distinct: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """key (of class, segment number and substring, or of class and chunk) and nr of
-    all probes of lines.  Own are those that are segments of the line itself, in its own class and
-    unshifted, and all chunks."""
-    rows = _chunks(_classed(distinct, edits, min_chars), edits or MAX_EDITS)
+    """key (of class, segment number and substring, or of class and chunk), nr and chars (the
+    length) of all probes of lines.  Own are those that are segments of the line itself, in its
+    own class and unshifted, and all chunks."""
+    rows = _chunks(_classed(distinct, edits, min_chars), edits or MAX_EDITS).withColumn("chars", F.length("line"))
     pattern = F.get(_pattern_table(edits), F.col("k"))
     chunks = F.transform("chunks", lambda c: F.struct(F.lit(-1).alias("j"), F.lit(0).alias("s"), c.alias("chunk")))
     probes = F.when(F.col("few").isNull(), pattern).when(F.col("few"), F.concat(pattern, chunks)).otherwise(chunks)
     by_segments = F.coalesce("few", F.lit(True))
-    cut = rows.select("nr", "base", "home", F.when(by_segments, F.col("line")).alias("line"), F.length("line").alias("n"),
-                      F.floor(F.col("base") / (F.col("k") + 1)).cast("int").alias("size"), F.inline(probes).alias("j", "s", "chunk"))
+    # What a line's probes share is made before they are rows: beside inline() it would be made for each.
+    cut = rows.withColumn("line", F.when(by_segments, F.col("line"))).withColumn(
+        "size", F.floor(F.col("base") / (F.col("k") + 1)).cast("int"))
+    cut = cut.select("nr", "base", "home", "line", "chars", "size", F.inline(probes).alias("j", "s", "chunk"))
     start, is_chunk = F.col("j") * F.col("size") + F.col("s"), F.col("chunk").isNotNull()
-    cut = cut.where(is_chunk | ((start >= 0) & (start + F.col("size") <= F.col("n"))))
+    cut = cut.where(is_chunk | ((start >= 0) & (start + F.col("size") <= F.col("chars"))))
     # 48 bits of hash, and the equal bytes of rows side by side, which compress well in the shuffle.
     key = F.when(is_chunk, F.xxhash64("base", "chunk")).otherwise(F.xxhash64("base", "j", F.substr("line", start + 1, F.col("size"))))
-    return cut.select(F.shiftleft(key, 16).alias("key"), "nr", (is_chunk | (F.col("home") & (F.col("s") == 0))).alias("own"))
+    return cut.select(F.shiftleft(key, 16).alias("key"), "nr", "chars", (is_chunk | (F.col("home") & (F.col("s") == 0))).alias("own"))
 
 
 def signature(line: Column) -> list[Column]:
@@ -194,11 +196,16 @@ def within(x: Column, y: Column, edits: int | Column) -> Column:
 
 def shared_keys(distinct: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """nr, key, own and n (lines that own the key) of :func:`keys_of`, without the keys
-    that no line owns or that only one line has.  One shuffle brings the keys together."""
+    that no line owns, that only one line has, or only two whose lengths differ by more than the edits.
+    One shuffle brings the keys together."""
     keys = keys_of(distinct, edits, min_chars)
     of = Window.partitionBy("key")
-    met = keys.select("*", F.count_if("own").over(of).alias("n"), F.min("nr").over(of).alias("low"), F.max("nr").over(of).alias("high"))
-    return met.where((F.col("n") > 0) & (F.col("low") != F.col("high"))).drop("low", "high")
+    # A line can have a key twice, so of two rows both are one line's or each is one's.
+    met = keys.select("*", F.count_if("own").over(of).alias("n"), F.count(F.lit(1)).over(of).alias("rows"),
+                      F.min("nr").over(of).alias("low"), F.max("nr").over(of).alias("high"),
+                      (F.max("chars").over(of) - F.min("chars").over(of)).alias("apart"))
+    met = met.where((F.col("n") > 0) & (F.col("low") != F.col("high")) & ((F.col("rows") > 2) | (F.col("apart") <= (edits or MAX_EDITS))))
+    return met.select("key", "nr", "own", "n")
 
 
 def _reach(edits: int | None, shorter: Column) -> Column:

@@ -99,3 +99,15 @@ def test_a_long_line_has_few_keys(spark):
     rows = [(i, _words(rnd, n)) for i, n in enumerate((300, 460, 700, 1500, 9000) * 4)]
     keys = op10_lines.keys_of(spark.createDataFrame(rows, "nr long, line string"))
     assert max(r["count"] for r in keys.groupBy("nr").count().collect()) <= 2 * op10_lines.MAX_EDITS + 1
+
+
+def test_two_lines_of_lengths_too_far_apart_are_no_candidates(spark):
+    """Lines of one class whose first segments are equal: 4 characters more than an edit can make good, and 1 more."""
+    rnd = random.Random(2)
+    line = lambda: "".join(rnd.choice("abcdefghij ") for _ in range(24))
+    far, near = line(), line()
+    rows = [(1, far), (2, far + "wxyz"), (3, near), (4, near + "w")]
+    shared = op10_lines.shared_keys(spark.createDataFrame(rows, "nr long, line string"), None)
+    assert {r["nr"] for r in shared.collect()} == {1, 2, 3, 4}
+    shared = op10_lines.shared_keys(spark.createDataFrame(rows, "nr long, line string"), 2)
+    assert {r["nr"] for r in shared.collect()} == {3, 4}
