@@ -319,9 +319,10 @@ def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
     d = with_decisions(nested(docs, id_col, text_col), removed)
     touched = F.col("exact").isNotNull()
     all_lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.concat("exact", "near"))
-    d = d.withColumn("lines", F.when(touched, all_lines)).withColumn("numbers", F.when(touched, numbers))
-    kept = F.array_join(F.transform("numbers", lambda i: F.get("lines", i)), "\n")
+    # Bound by a function, as a text split inside another one would be split again for each line.
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.concat("exact", "near"))
+    joined = lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n")
+    kept = F.get(F.transform(F.array(all_lines), joined), F.lit(0))
     count = lambda c: F.when(touched, F.size(c)).otherwise(0).cast("long")
     return d.select("row", "text", F.when(touched, kept).otherwise(F.col("text")).alias("kept"),
                     count("exact").alias("n_exact"), count("near").alias("n_near"))

@@ -1,6 +1,7 @@
 """Line deduplication: the stage, and lines within an edit limit that grows with their length."""
 
 import random
+import time
 
 import pytest
 
@@ -111,3 +112,15 @@ def test_two_lines_of_lengths_too_far_apart_are_no_candidates(spark):
     assert {r["nr"] for r in shared.collect()} == {1, 2, 3, 4}
     shared = op10_lines.shared_keys(spark.createDataFrame(rows, "nr long, line string"), 2)
     assert {r["nr"] for r in shared.collect()} == {3, 4}
+
+
+def test_a_text_is_cut_into_lines_once(spark):
+    """It was cut once more for each line that stays."""
+    text = "\n".join(f"line {i}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, text), (2, "a\nb")], "doc_id long, text string")
+    removed = docs.limit(1).where("doc_id = 1").selectExpr("doc_id AS id", "xxhash64(text) AS th", "array(0, 29999) AS exact", "array(7) AS near")
+    removed = spark.createDataFrame(removed.collect(), removed.schema)
+    start = time.monotonic()
+    got = {r["row"]["doc_id"]: (r["kept"], r["n_exact"], r["n_near"]) for r in op10_lines.without_lines(docs, removed).collect()}
+    assert time.monotonic() - start < 20
+    assert got == {1: ("\n".join(f"line {i}" for i in range(1, 29_999) if i != 7), 2, 1), 2: ("a\nb", 0, 0)}
