@@ -50,6 +50,9 @@ DENSE = 8
 LONG_CHARS, LONG_MOST = 256, 1 << 22
 #: Where lines of classes from a length on are cut: at spaces before some letters.
 CUTS = {LONG_CHARS: " (?=[a-l])", 384: " (?=[a-h])", 640: " (?=[a-e])", 1280: " (?=[b-d])"}
+#: A key has its hash above 16 bits: 7 of the length beyond that of the class, up to a most, one
+#: mark, and 8 that are empty.
+KEY_SHIFT, LOW_SHIFT, MOST_BEYOND = 16, 8, (1 << 7) - 1
 #: Bits of the number of a chunk in its line.
 NUMBER_BITS = 24
 PLACE = ("id", "th", "line_no")
@@ -84,9 +87,11 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def distinct_lines(found: DataFrame) -> DataFrame:
-    """One row per line text: first (its first place), n (occurrences), line."""
-    return found.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"),
+    """One row per line text: first (its first place), n (occurrences), line, and for lines that
+    repeat h1 and h2, which nothing else needs."""
+    rows = found.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"),
                                          F.first("line").alias("line"))
+    return rows.select(*[F.when(F.col("n") > 1, F.col(h)).alias(h) for h in ("h1", "h2")], "first", "n", "line")
 
 
 def later_occurrences(found: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -98,16 +103,10 @@ def later_occurrences(found: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def _patterns(k: int) -> list[tuple[int, int]]:
     """(segment, shift) of the probes of a line, made for lines as long or shorter: a
-    shift to the left has to be made good behind it."""
+    shift to the left has to be made good behind it.  Those for k edits are among those for more."""
     return [(j, s) for j in range(k + 1) for s in range(-min(j, k - j), j + 1)]
 
 
-def _pattern_table(edits: int | None) -> Column:
-    rows = ["array(" + ", ".join(f"named_struct('j', {j}, 's', {s}, 'chunk', CAST(NULL AS LONG))" for j, s in _patterns(k)) + ")"
-            for k in range((edits or MAX_EDITS) + 1)]
-    return F.expr("array(" + ", ".join(rows) + ")")
-
-
 def _classed(distinct: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
     """Lines with the classes they probe, those of lines as long or shorter
     by the edits that the class allows; home marks their own."""
@@ -158,31 +157,38 @@ def _chunks(rows: DataFrame, allowed: int) -> DataFrame:
 
 
 def keys_of(distinct: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """key (of class, segment number and substring, or of class and chunk), nr and chars (the
-    length) of all probes of lines.  Own are those that are segments of the line itself, in its
-    own class and unshifted, and all chunks."""
-    rows = _chunks(_classed(distinct, edits, min_chars), edits or MAX_EDITS).withColumn("chars", F.length("line"))
-    pattern = F.get(_pattern_table(edits), F.col("k"))
-    chunks = F.transform("chunks", lambda c: F.struct(F.lit(-1).alias("j"), F.lit(0).alias("s"), c.alias("chunk")))
-    probes = F.when(F.col("few").isNull(), pattern).when(F.col("few"), F.concat(pattern, chunks)).otherwise(chunks)
-    by_segments = F.coalesce("few", F.lit(True))
-    # What a line's probes share is made before they are rows: beside inline() it would be made for each.
-    cut = rows.withColumn("line", F.when(by_segments, F.col("line"))).withColumn(
-        "size", F.floor(F.col("base") / (F.col("k") + 1)).cast("int"))
-    cut = cut.select("nr", "base", "home", "line", "chars", "size", F.inline(probes).alias("j", "s", "chunk"))
-    start, is_chunk = F.col("j") * F.col("size") + F.col("s"), F.col("chunk").isNotNull()
-    cut = cut.where(is_chunk | ((start >= 0) & (start + F.col("size") <= F.col("chars"))))
-    # 48 bits of hash, and the equal bytes of rows side by side, which compress well in the shuffle.
-    key = F.when(is_chunk, F.xxhash64("base", "chunk")).otherwise(F.xxhash64("base", "j", F.substr("line", start + 1, F.col("size"))))
-    return cut.select(F.shiftleft(key, 16).alias("key"), "nr", "chars", (is_chunk | (F.col("home") & (F.col("s") == 0))).alias("own"))
+    """packed and nr for all probes of lines: 48 bits of hash (of class, segment number and
+    substring, or of class and chunk), 7 of the length beyond the least one of the class, one that marks own
+    keys.  Own are those that are segments of the line itself, in its own class and unshifted, and all chunks.
+    Rows have two numbers, with the bytes that differ side by side, as the shuffle compresses them well so."""
+    most = edits or MAX_EDITS
+    rows = _chunks(_classed(distinct, edits, min_chars), most).withColumn("chars", F.length("line"))
+    # What a line's probes share is made once, before them.
+    rows = rows.withColumn("size", F.floor(F.col("base") / (F.col("k") + 1)).cast("int")).withColumn(
+        "beyond", F.least(F.col("chars") - F.col("base"), F.lit(MOST_BEYOND)).cast("long") * 2).withColumn("by_segments", F.coalesce("few", F.lit(True)))
+    pack = lambda key, own: F.shiftleft(key, KEY_SHIFT).bitwiseOR(F.shiftleft(F.col("beyond") + own, LOW_SHIFT))
+
+    def probe(j: int, s: int) -> Column:
+        """0 if the line has none: it is shorter, or its class allows too few edits."""
+        start = F.col("size") * j + s
+        has = F.col("by_segments") & (F.col("k") >= j + max(0, -s)) & (start >= 0) & (start + F.col("size") <= F.col("chars"))
+        own = F.lit(0) if s else F.col("home").cast("int")
+        return F.when(has, pack(F.xxhash64("base", F.lit(j), F.substr("line", start + 1, F.col("size"))), own)).otherwise(F.lit(0).cast("long"))
+
+    chunks = F.coalesce(F.transform("chunks", lambda c: pack(F.xxhash64("base", c), F.lit(1))), F.array().cast("array<bigint>"))
+    probes = F.concat(F.array(*[probe(j, s) for j, s in _patterns(most)]), chunks)
+    # Rows are made of the finished keys, so none carries the line.  For explode() Spark would ask first
+    # whether there are keys, and make them twice.
+    return rows.select("nr", probes.alias("keys")).select(F.explode_outer("keys").alias("packed"), "nr").where("packed <> 0")
 
 
 def signature(line: Column) -> list[Column]:
     """Four longs whose differing bits are at most the letters by which two lines
     differ in number: a byte for each of 27 characters and one for all others, that holds
     the number as a circular unary code of sixteen steps."""
-    counts = [F.length(line) - F.length(F.replace(line, F.lit(c))) for c in LETTERS]
-    counts.append(reduce(lambda a, b: a - b, counts, F.length(line)))
+    # Letters are one byte each.  The others are counted by themselves, not by all counts once more.
+    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))) for c in LETTERS]
+    counts.append(F.length(F.translate(line, LETTERS, "")))
     codes = F.array(*[F.lit((1 << n) - 1 if n < 8 else 255 ^ ((1 << n - 8) - 1)).cast("long") for n in range(16)])
     of = [F.get(codes, n % 16) for n in counts]
     return [reduce(Column.bitwiseOR, [F.shiftleft(c, 8 * i) for i, c in enumerate(of[at:at + 8])]) for at in range(0, 28, 8)]
@@ -198,12 +204,15 @@ def shared_keys(distinct: DataFrame, edits: int | None = None, min_chars: int =
     """nr, key, own and n (lines that own the key) of :func:`keys_of`, without the keys
     that no line owns, that only one line has, or only two whose lengths differ by more than the edits.
     One shuffle brings the keys together."""
-    keys = keys_of(distinct, edits, min_chars)
+    key = F.shiftrightunsigned("packed", KEY_SHIFT)
+    keys = keys_of(distinct, edits, min_chars).repartition(key).select(
+        key.alias("key"), "nr", F.shiftright("packed", LOW_SHIFT + 1).bitwiseAND(F.lit(MOST_BEYOND)).alias("beyond"),
+        (F.col("packed").bitwiseAND(F.lit(1 << LOW_SHIFT)) != 0).alias("own"))
     of = Window.partitionBy("key")
     # A line can have a key twice, so of two rows both are one line's or each is one's.
     met = keys.select("*", F.count_if("own").over(of).alias("n"), F.count(F.lit(1)).over(of).alias("rows"),
                       F.min("nr").over(of).alias("low"), F.max("nr").over(of).alias("high"),
-                      (F.max("chars").over(of) - F.min("chars").over(of)).alias("apart"))
+                      (F.max("beyond").over(of) - F.min("beyond").over(of)).alias("apart"))
     met = met.where((F.col("n") > 0) & (F.col("low") != F.col("high")) & ((F.col("rows") > 2) | (F.col("apart") <= (edits or MAX_EDITS))))
     return met.select("key", "nr", "own", "n")
 
@@ -256,8 +265,10 @@ def _near_in(keyed: DataFrame, decided: DataFrame, texts: DataFrame, edits: int
     a_first = F.col("a_first") < F.col("b_first")
     # The longer line is the one that is probed; lines of one length meet both ways round.
     once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_nr") < F.col("b_nr")))
-    wanted = once & ~F.when(a_first, F.col("b_done")).otherwise(F.col("a_done")) & (apart <= reach) \
-        & (letters <= 2 * reach - apart) & (F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), reach) >= 0)
+    # Numbers first: most pairs end there.
+    wanted = (apart >= 0) & (apart <= reach) & (letters <= 2 * reach - apart) & once \
+        & ~F.when(a_first, F.col("b_done")).otherwise(F.col("a_done")) \
+        & (F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), reach) >= 0)
     met = side("own_keys", "a").join(side("keys", "b"), (F.col("a_key") == F.col("b_key")) & wanted)
     later = F.when(a_first, F.struct(F.col("b_nr").alias("nr"), F.col("b_first").alias("place"))).otherwise(
         F.struct(F.col("a_nr").alias("nr"), F.col("a_first").alias("place")))

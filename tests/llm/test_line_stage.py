@@ -114,6 +114,16 @@ def test_two_lines_of_lengths_too_far_apart_are_no_candidates(spark):
     assert {r["nr"] for r in shared.collect()} == {3, 4}
 
 
+def test_keys_are_shuffled_once_as_two_numbers(spark):
+    """Lengths and marks go with the hash: rows had four columns, and carried the line until they were made."""
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, _words(rnd, n)) for i, n in enumerate((20, 39, 40, 119, 120, 255, 300, 900))], "nr long, line string")
+    keys = op10_lines.keys_of(df)
+    assert keys.dtypes == [("packed", "bigint"), ("nr", "bigint")]
+    plan = op10_lines.shared_keys(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_a_text_is_cut_into_lines_once(spark):
     """It was cut once more for each line that stays."""
     text = "\n".join(f"line {i}" for i in range(30_000))
