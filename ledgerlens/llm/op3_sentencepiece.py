@@ -66,6 +66,9 @@ class MergeModel:
                 self.id_of[piece], self.score[piece] = i, -lib.get_score(i)
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte fallback")
+        # Decimal form of each id with a comma behind it, zero bytes after that.
+        width = len(f"{len(pieces)},")
+        self.decimals = np.array([f"{i},".encode() for i in range(len(pieces))], f"S{width}").view(np.uint8).reshape(-1, width)
         # Chunks seen lately, in two generations of bounded size.
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -104,6 +107,11 @@ class MergeModel:
                 ids.extend((known,) if known is not None else (self.byte_id[b] for b in symbol.encode()))
         return tuple(ids)
 
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the decimal ids of a text, joined by commas."""
+        padded = self.decimals[ids]
+        return padded[padded != 0][:-1]
+
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         made = self.old.get(chunk) or self.agenda(chunk)
         if len(chunk) <= CACHE_CHARS:
@@ -128,20 +136,20 @@ class MergeModel:
             self.words[word] = made
         return made
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, without begin and end ids.  Each distinct word is looked up
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (int32) of each text, without begin and end ids.  Each distinct word is looked up
         once."""
         if len(self.new) >= CACHE_CHUNKS:
             self.old, self.new = self.new, {}
         if len(self.words) >= CACHE_WORDS:
             self.words = {}
         spaced = [t.replace("▁", " ") for t in texts]
-        out: list[list[int]] = [[]] * len(texts)
+        out = [np.empty(0, np.int32)] * len(texts)
         plain = []
         for i, text in enumerate(spaced):
             if "  " in text or text[:1] == " " or text[-1:] == " ":
                 # Spaces in a row belong to the chunk behind them.
-                out[i] = list(self._pieces(" " + text))
+                out[i] = np.array(list(self._pieces(" " + text)), np.int32)
             elif text:
                 plain.append(i)
         if plain:
@@ -160,7 +168,7 @@ class MergeModel:
             found = table[place]
             bounds = [0, *ends[words.offsets.to_numpy()[1:] - 1].tolist()]
             for i, first, last in zip(plain, bounds, bounds[1:]):
-                out[i] = found[first:last].tolist()
+                out[i] = found[first:last]
         return out
 
 
@@ -182,9 +190,10 @@ def _encoded(model: MergeModel, batch):
             end += 1
         group = texts[at:end]
         ids = model.encode(group)
-        if ids != model.library.encode(group, num_threads=1):
+        theirs = model.library.encode(group, num_threads=1)
+        if len(ids) != len(theirs) or not all(np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, theirs)):
             raise ValueError("ids differ from those of the sentencepiece library")
-        yield ids, model.library.decode(ids, num_threads=1)
+        yield ids, model.library.decode(theirs, num_threads=1)
         at = end
 
 
@@ -198,7 +207,7 @@ def _coder(model_file: str):
             out = {"id": batch.column("id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for ids, decoded in _encoded(model, batch):
                 out["n_tokens"] += map(len, ids)
-                out["ids_sha256"] += [digest(str(x)[1:-1].replace(" ", "")) for x in ids]
+                out["ids_sha256"] += [hashlib.sha256(model.joined(x)).hexdigest() for x in ids]
                 out["decoded_sha256"] += map(digest, decoded)
             return out
         return step
