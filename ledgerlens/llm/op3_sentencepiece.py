@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -191,7 +192,7 @@ def _encoded(model: MergeModel, batch):
         group = texts[at:end]
         ids = model.encode(group)
         theirs = model.library.encode(group, num_threads=1)
-        if len(ids) != len(theirs) or not all(np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, theirs)):
+        if len(ids) != len(theirs) or any(x.tobytes() != array("i", y).tobytes() for x, y in zip(ids, theirs)):
             raise ValueError("ids differ from those of the sentencepiece library")
         yield ids, model.library.decode(theirs, num_threads=1)
         at = end
