@@ -22,8 +22,7 @@ STATE = ("_q", "_avg", "_pnl_cum")
 
 def closings(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, day and the state after the day's last event, from :func:`position_rows`."""
-    last = F.max_by(F.struct(*STATE), F.struct("_ts", "_id"))
-    return rows.groupBy(*keys, F.to_date("_ts").alias("day")).agg(last.alias("s")).select(*keys, "day", "s.*")
+    return rows.groupBy(*keys, F.to_date("_ts").alias("day")).agg(*[F.max_by(c, "_row").alias(c) for c in STATE])
 
 
 def touched_days(batch: DataFrame, keys: tuple[str, ...], ts: str = "created_at") -> DataFrame:
@@ -49,7 +48,7 @@ def apply_load(stored: DataFrame | None, history: DataFrame | None, batch: DataF
         replay = batch.unionByName(later.select(*[history[c] for c in batch.columns]))
     if stored is not None:
         before = _of_touched(stored, touched, keys).where(F.col("day") < F.col("first_day"))
-        opening = before.groupBy(*[stored[k] for k in keys]).agg(F.max_by(F.struct(*STATE), "day").alias("s")).select(*keys, "s.*")
+        opening = before.groupBy(*[stored[k] for k in keys]).agg(*[F.max_by(c, "day").alias(c) for c in STATE])
     restated = written_table(closings(position_rows(replay, keys, ts, id_col, rate, opening=opening), keys), "restated")
     if stored is None:
         return restated, restated
