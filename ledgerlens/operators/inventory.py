@@ -49,7 +49,7 @@ def apply_load(stored: DataFrame | None, history: DataFrame | None, batch: DataF
     if stored is not None:
         before = _of_touched(stored, touched, keys).where(F.col("day") < F.col("first_day"))
         opening = before.groupBy(*[stored[k] for k in keys]).agg(*[F.max_by(c, "day").alias(c) for c in STATE])
-    restated = written_table(closings(position_rows(replay, keys, ts, id_col, rate, opening=opening), keys), "restated")
+    restated = written_table(closings(position_rows(replay, keys, ts, id_col, rate, opening=opening, along=()), keys), "restated")
     if stored is None:
         return restated, restated
     t = touched.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "first_day")
