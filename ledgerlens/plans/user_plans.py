@@ -26,18 +26,22 @@ USER_STREAMS = ("card_fee_usd", "billing_usd", "cashback_usd", "revenue_share_us
 TRANSACTING_STREAMS = ("card_fee_usd", "billing_usd", "n_swaps", "payout_fee_usd")
 
 
+def user_sums(b: Bound):
+    """Sums of all other streams per user."""
+    return users.ledger_sums(b.card_ledger, USER_STREAMS, ("user_id",), FULL_START, FULL_END)
+
+
 @once
 def user_streams(b: Bound):
-    """Sums of all other streams per user, written once: the lines are by far the largest
+    """:func:`user_sums` written once: the lines are by far the largest
     table, and master is read several times by some queries."""
-    per = users.ledger_sums(b.card_ledger, USER_STREAMS, ("user_id",), FULL_START, FULL_END)
-    return written_table(per, "user-streams")
+    return written_table(user_sums(b), "user-streams")
 
 
-def stream_frames(b: Bound, swaps_enabled: bool = False):
+def stream_frames(b: Bound, swaps_enabled: bool = False, sums=user_streams):
     """Conversions per user, and all other streams with the grand total of card
-    transactions, both from one pass over the ledger."""
-    per = user_streams(b)
+    transactions, both from ``sums``."""
+    per = sums(b)
     total = per.agg(F.coalesce(F.sum("n_card_tx"), F.lit(0).cast("bigint")).alias("total_tx_count"))
     fee = F.col("swap_fee_usd") if swaps_enabled else F.lit(0).cast("decimal(28,10)")
     per = per.select("user_id", "card_fee_usd", F.col("n_card_tx").alias("user_tx_count"),
@@ -54,12 +58,22 @@ def fx_rate(b: Bound):
     return ramp.fx_rate_median(scale_minor_units(b.conversion_quotes), FULL_START, FULL_END)
 
 
+def _master_of(b: Bound, sums):
+    joined = users.join_revenue_streams(cohort_base(b), stream_frames(b, sums=sums))
+    return users.time_signals(users.user_profit(joined, fx_rate(b)), AS_OF)
+
+
 @once
 def master(b: Bound):
     """One row per user (lazy but for the sums of :func:`user_streams`, the one pass over
     the lines)."""
-    joined = users.join_revenue_streams(cohort_base(b), stream_frames(b))
-    return users.time_signals(users.user_profit(joined, fx_rate(b)), AS_OF)
+    return _master_of(b, user_streams)
+
+
+def lazy_master(b: Bound):
+    """:func:`master` for queries that read it once: nothing is written, and the lines are
+    in the plan twice, for the sums and for the grand total."""
+    return _master_of(b, user_sums)
 
 
 # ----------------------------------------------------------------- SQL side
@@ -292,7 +306,7 @@ _MASTER_OUT = ["onramp_revenue_usd", "offramp_revenue_usd", "card_fee_usd", "car
     + ", ".join(f"CAST({'on_usd' if c == 'onramp_revenue_usd' else 'off_usd' if c == 'offramp_revenue_usd' else c}"
                 f" AS DOUBLE) AS {c}" for c in _MASTER_OUT) + " FROM master"))
 def _user_profit(b: Bound):
-    m = master(b)
+    m = lazy_master(b)
     return m.select("user_id", "acquisition_source", "is_founder", "n_conversions",
                     *[dbl(c).alias(c) for c in _MASTER_OUT])
 
@@ -438,7 +452,7 @@ def _ref_summary(b: Bound):
                AS revenue_per_network_member
     FROM master m LEFT JOIN adoption a ON a.user_id = m.user_id WHERE is_founder""", "adoption"))
 def _founders(b: Bound):
-    return users.founders_report(master(b))
+    return users.founders_report(lazy_master(b))
 
 
 @query("underused_invites", _mq("""
